@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from metaloom.llm.bpe import op4_bpe
+from metaloom.llm.fingerprint import op9_fingerprint
+from metaloom.llm.langid import op1_language_id
 from metaloom.llm.pii import op7_pii
+from metaloom.llm.quality import op6_quality
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_bpe": op4_bpe,
+    "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op9_fingerprint": op9_fingerprint,
 }
 ORACLES: dict[str, str] = {}
