@@ -66,14 +66,14 @@ def fold(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int, by: list[str] | None = None) -> DataFrame:
     """Adds the gapless rank from 0 of each row among those that share keys, without bringing a key's rows into one task.
 
-    Rows are dealt into hash buckets of their order columns; a bucket's rows are numbered in order and
-    start after the rows of the key's earlier buckets. Rows that agree in keys and order are interchangeable.
-    buckets bounds the small table of offsets to buckets rows for each key.
+    Rows are dealt into hash buckets of by (the order columns by default; keys aren't null); a bucket's rows are
+    numbered in order and start after the rows of the key's earlier buckets. Rows that agree in keys and order
+    are interchangeable. buckets bounds the offsets to as many rows for each key.
     """
-    spread = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    spread = df.withColumn("_b", F.pmod(F.xxhash64(*(by or order)), F.lit(buckets)))
     counts = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -84,3 +84,22 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets:
         .withColumn(name, (F.col("_start") + F.col("_i")).cast("long"))
         .drop("_b", "_i", "_start")
     )
+
+
+def buckets_for(rows: int, keys: int = 1) -> int:
+    """Buckets of about 20,000 rows for ranked()."""
+    return max(16, min(1 << 16, rows // (20_000 * keys)))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's rank from 0 in a total order, by sorted ranges; df is written out once."""
+    ranges = cut(df.orderBy(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranges.groupBy("_p").count().collect()  # a row for each partition
+    starts, total = {}, 0
+    for r in sorted(sizes, key=lambda r: r["_p"]):
+        starts[r["_p"]] = total
+        total += r["count"]
+    if not starts:
+        return ranges.withColumn(name, F.lit(0).cast("long")).drop("_p")
+    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_p")]
+    return ranges.withColumn(name, (start + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).cast("long")).drop("_p")
