@@ -21,11 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the checkpoint folder that all executors share and forgets the plan behind them."""
+    """Writes the rows to the checkpoint folder that all executors share and forgets the plan behind them.
+
+    Inferred constraints are off meanwhile: a checkpoint hands them on, and over rounds of joins they multiply.
+    """
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="metaloom-"))
-    return df.checkpoint()
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ from metaloom.llm.bpe import op4_bpe
 from metaloom.llm.fingerprint import op9_fingerprint
 from metaloom.llm.langid import op1_language_id
 from metaloom.llm.mixing import op8_mix
+from metaloom.llm.neardup import op3_near_duplicates
 from metaloom.llm.pii import op7_pii
 from metaloom.llm.quality import op6_quality
 from metaloom.llm.sharding import op10_shard
@@ -14,6 +15,7 @@ from metaloom.llm.urlfilter import op2_url_filter
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
