@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from metaloom.llm.ann import op5_nearest
 from metaloom.llm.bpe import op4_bpe
 from metaloom.llm.fingerprint import op9_fingerprint
 from metaloom.llm.langid import op1_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_bpe": op4_bpe,
+    "op5_nearest": op5_nearest,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_mix": op8_mix,
