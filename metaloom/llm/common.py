@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -63,6 +64,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
     return df.mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, for tables that several executors write and read."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metaloom-")
+    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
 def _arrow(kind: str) -> pa.DataType:
     simple = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}
     if kind.startswith("array<"):

@@ -97,9 +97,13 @@ def _small(left: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    chosen = mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row")), **options)
-    return chosen.where("copies > 0").select(F.explode(F.array_repeat("_row", F.col("copies"))).alias("_row")).select("_row.*")
+    """The rows of docs, each as often as the mix takes it. Of rows equal in id, source and text the first stands for all."""
+    keyed = docs.withColumn("_h", F.xxhash64("doc_id", F.isnull("doc_id"), "source", F.isnull("source"), "text", F.isnull("text")))
+    chosen = mix(keyed.select("doc_id", "source", "text", "_h"), **options)
+    copies = cut(chosen.groupBy("_h").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
+    joined = keyed.join(copies, "_h")
+    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_h"])) if not copies.where("_rows > 1").isEmpty() else joined
+    return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

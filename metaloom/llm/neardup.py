@@ -269,5 +269,26 @@ def clustered(docs: DataFrame) -> DataFrame:
     return placed.join(least, "comp", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest doc_id (nulls last, then by hash of text).
+
+    Rows with an empty set are linked with nothing and all stay.
+    """
+    keyed = docs.withColumn("_h", F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text")))
+    rows = cut(described(keyed.select(F.col("_h").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_h"))
+    ids = rows.join(keyed.select("_h", "doc_id").distinct(), "_h")
+    rows = cut(ids)
+    _, found = links(docs, rows)
+    placed = rows.where("class IS NOT NULL").join(found.withColumnRenamed("node", "class"), "class", "left").select("_h", "doc_id", F.coalesce("root", "class").alias("comp"))
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "_h")).alias("m"), F.count(F.lit(1)).alias("n"))
+    stay = first.select(F.col("m._h").alias("_h"))
+    repeated = cut(rows.where("class IS NOT NULL").groupBy("_h").count().where("count > 1").select("_h").join(stay, "_h", "left_semi"))
+    stay = cut(stay.unionByName(rows.where("class IS NULL").select("_h").distinct()))
+    kept = keyed.join(stay, "_h", "left_semi")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "_h", "left_anti").unionByName(kept.join(repeated, "_h", "left_semi").dropDuplicates(["_h"]))
+    return kept.select(*docs.columns)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -157,6 +157,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, score double")
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score the threshold or more."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def make():
+        m = shared.value
+
+        def run(*columns):
+            keep = (m.score(np.stack([features(t) for t in columns[at]])) >= threshold).tolist()
+            return [[x for x, k in zip(c, keep, strict=True) if k] for c in columns]
+
+        return run
+
+    return map_rows(docs, make, ", ".join(f"{c} {kind}" for c, kind in docs.dtypes))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> Model:
     """The contract's folds: rows whose crc32 of doc_id, modulo 4, is 2 are held out."""
     return train(docs.where(fold("doc_id", 4) != 2), labels.where(fold("doc_id", 4) != 2))
