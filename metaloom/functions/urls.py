@@ -10,6 +10,7 @@ from urllib.parse import quote, unquote
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*):")
 _EDGE = "".join(map(chr, range(33)))
@@ -120,12 +121,12 @@ def resolve(url: str | None, base: str | None = None) -> str | None:
     return f"{scheme}://{authority}{path}{query}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_url(url: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([resolve(u, b) for u, b in zip(url, base, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_url(url: pd.Series) -> pd.Series:
     return pd.Series([resolve(u) for u in url], dtype=object)
 

@@ -182,9 +182,9 @@ def place_of(value) -> str | None:
 
 
 def joined(value) -> str | None:
-    """Of site data: texts of lists are joined; of records the first of the usual keys."""
+    """Of site data: texts of lists are put together; of records the first of the usual keys."""
     if isinstance(value, list):
-        return " ".join(filter(None, map(joined, value))).strip() or None
+        return "".join(filter(None, map(joined, value))) or None
     if isinstance(value, dict):
         for k in ("text", "simpleText", "runs", "title", "name", "value", "url"):
             if found := joined(value.get(k)):
