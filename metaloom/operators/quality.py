@@ -17,7 +17,7 @@ def text_points(text: Column, most: float, shortest: int, longest: int) -> Colum
     plain = squashed(text)
     n = units(plain)
     by_length = F.when(n < shortest, n / shortest).when(n > longest, F.greatest(F.lit(0.4), longest / n)).otherwise(1.0)
-    return F.coalesce(most * by_length * F.when(plain.rlike(GENERIC), 0.35).otherwise(1.0), F.lit(0.0))
+    return F.when(plain.isNotNull(), most * by_length * F.when(plain.rlike(GENERIC), 0.35).otherwise(1.0)).otherwise(0.0)
 
 
 def source_bonus(source: Column) -> Column:

@@ -1,6 +1,518 @@
-"""Every query of the engine by name, and the SQL that states its rows."""
+"""Every query of the engine by name, and the SQL that states its rows.
+
+The given pages hold hardly any markup, so most queries build pages or assets from relational columns, run the engine on
+them, and the SQL states what must come out from the same columns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metaloom.functions import images as image_files
+from metaloom.functions import urls
+from metaloom.operators import adapters, assets, fetch, quality, state, tags
+from metaloom.operators.record import with_media, with_tags
+from metaloom.plans.api import Engine, preview_cards
+from metaloom.sources.media import srcset
+from metaloom.sources.pages import scan
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that states its rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text(*parts) -> Column:
+    """Columns and literals put together as text."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def col(name: str) -> Column:
+    return F.col(name)
+
+
+# ---- pages as they are -------------------------------------------------------------------------------------------------
+
+_PAGES = r"""WITH t AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS url,
+  nullif(trim(regexp_replace(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '') AS title FROM pages),
+c AS (SELECT page_id, url, title, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') AS site,
+  CAST(floor(18 * (CASE WHEN length(title) < 6 THEN length(title) / 6.0 WHEN length(title) > 120 THEN greatest(0.4, 120.0 / length(title)) ELSE 1 END) + 0.5) AS INT) AS confidence FROM t)
+"""
+
+
+@query(_PAGES + "SELECT page_id, title FROM c")
+def page_title(spark, d):
+    return scan(read(spark, d, "pages")).select("page_id", "title")
+
+
+@query(_PAGES + "SELECT page_id, url AS final_url, site AS domain FROM c")
+def url_normalize(spark, d):
+    return read(spark, d, "pages").select("page_id", urls.normalize_url("url").alias("final_url")).withColumn("domain", urls.domain_of(col("final_url")))
+
+
+@query(_PAGES + "SELECT page_id, title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS image, url, site AS \"siteName\", site AS domain, CAST(NULL AS VARCHAR) AS author, 'website' AS type, confidence FROM c")
+def preview_card(spark, d):
+    return preview_cards(Engine().parse(read(spark, d, "pages")), "page_id")
+
+
+@query(_PAGES + "SELECT page_id, confidence, 34 AS completeness, CAST(floor(confidence * 0.45 + 34 * 0.3 + 0.5) AS INT) AS reliability FROM c")
+def quality_scores(spark, d):
+    return Engine().parse(read(spark, d, "pages")).select("page_id", "confidence", "completeness", "reliability")
+
+
+@query(_PAGES + "SELECT site AS domain, type, count(*) AS n, sum(confidence) AS confidence_sum FROM (SELECT site, 'website' AS type, confidence FROM c) GROUP BY ROLLUP (site, type)")
+def type_by_domain_rollup(spark, d):
+    cards = preview_cards(Engine().parse(read(spark, d, "pages")), "page_id")
+    return cards.rollup("domain", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("confidence_sum"))
+
+
+@query(r"""WITH t AS (SELECT page_id, nullif(trim(regexp_replace(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '') AS title FROM pages)
+SELECT page_id, 'html' AS sources_used, 'html' AS title_source, 18 AS n_trace FROM t WHERE title IS NULL UNION ALL SELECT page_id, 'html', 'html', 1 FROM t WHERE title IS NOT NULL""")
+def sources_used_pages(spark, d):
+    r = Engine().parse(read(spark, d, "pages"))
+    return r.select("page_id", F.array_join("diagnostics.sourcesUsed", ",").alias("sources_used"), col("sources.title").alias("title_source"), F.size("trace").alias("n_trace"))
+
+
+# ---- meta tags and links -----------------------------------------------------------------------------------------------
+
+
+def part_pages(spark, d) -> DataFrame:
+    """Products: Open Graph with two pictures, the second secure, and linked data."""
+    k = col("p_partkey")
+    head = text(
+        '<html><head><title>Part</title><meta property="og:title" content="', col("p_name"), '"><meta property="og:type" content="product"><meta name="og:site_name" content="  ', col("p_brand"), ' ">',
+        '<meta property=og:image content="/img/', k, '.jpg"><meta property="og:image:width" content="', col("p_size") * 60, 'px"><meta property="og:image:height" content="', col("p_size") * 20 + 200, '">',
+        '<meta property="og:image:url" content="/second/', k, '.png"><meta property="og:image:secure_url" content="https://s.example.com/', k, '.png"><meta property="og:image:alt" content="a &amp; b">',
+        '<meta property="OG:title" content="other case"><meta property="og:title" content="second">',
+        '<meta name="product:price:amount" content="', col("p_retailprice"), '">',
+        '<script type="application/ld+json">{"@context":"https://schema.org","@type":["Thing","Product"],"name":"', col("p_name"), '","brand":{"@type":"Brand","name":"', col("p_brand"), '"},"sku":"', k,
+        '","offers":[{"price":"', col("p_retailprice"), '","priceCurrency":"EUR","availability":"https://schema.org/InStock"}],"aggregateRating":{"ratingValue":"4.5 stars","reviewCount":', col("p_size"), '}}</script></head><body></body></html>',
+    )
+    return read(spark, d, "part").select("p_partkey", text("https://shop.example.com/p/", k).alias("url"), head.alias("html"))
+
+
+def tagged(pages: DataFrame) -> DataFrame:
+    return with_tags(scan(pages))
+
+
+@query("SELECT p_partkey, p_name AS title, 'product' AS type, p_brand AS site_name, 2 AS n_titles, CAST(p_retailprice AS VARCHAR) AS price FROM part")
+def og_fields(spark, d):
+    t = tagged(part_pages(spark, d))
+    return t.select("p_partkey", col("og.title").alias("title"), col("og.type").alias("type"), col("og.site_name").alias("site_name"), F.size(tags.raw_map(col("og_raw"))["og:title"]).alias("n_titles"), col("og.price").alias("price"))
+
+
+@query("""SELECT p_partkey, 0 AS ord, 'https://shop.example.com/img/' || p_partkey || '.jpg' AS url, p_size * 60.0 AS width, p_size * 20.0 + 200 AS height, CAST(NULL AS VARCHAR) AS alt FROM part
+UNION ALL SELECT p_partkey, 1, 'https://s.example.com/' || p_partkey || '.png', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 'a & b' FROM part""")
+def og_structured_images(spark, d):
+    t = tagged(part_pages(spark, d)).select("p_partkey", F.posexplode("og.images").alias("ord", "a"))
+    return t.select("p_partkey", "ord", "a.url", "a.width", "a.height", "a.alt")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'https://e.example.com/u/' || n_nationkey ELSE NULL END AS url, CASE WHEN n_nationkey % 2 = 0 THEN 10.0 + n_nationkey END AS width FROM nation")
+def og_orphan_properties(spark, d):
+    k = col("n_nationkey")
+    html = text('<meta property="og:image:width" content="', k + 10, '">', F.when(k % 2 == 0, text('<meta property="og:image:url" content="/u/', k, '">')).otherwise('<meta property="og:image:alt" content="x">'))
+    t = tagged(read(spark, d, "nation").select("n_nationkey", F.lit("https://e.example.com/").alias("url"), html.alias("html")))
+    first = F.get("og.images", F.lit(0))
+    return t.select("n_nationkey", first.url.alias("url"), first.width.alias("width"))
+
+
+def order_pages(spark, d) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    html = text(
+        '<meta property="og:type" content="article"><meta property="article:published_time" content="', day, '"><meta property="article:section" content="', col("o_orderpriority"), '">',
+        '<meta property="article:tag" content="', col("o_orderstatus"), '"><meta property="article:tag" content="', col("c_mktsegment"), '"><meta property="article:author" content="', col("c_name"), '">',
+        '<script type="application/ld+json">{"@type":"NewsArticle","headline":"Order ', col("o_orderkey"), '","author":{"@type":"Person","name":"', col("c_name"), '"},"dateModified":"', day, '","keywords":"', col("c_mktsegment"), ', extra"}</script>',
+    )
+    joined = read(spark, d, "orders").where("o_orderkey % 5 = 0").join(read(spark, d, "customer"), col("o_custkey") == col("c_custkey"))
+    return joined.select("o_orderkey", text("https://news.example.com/o/", col("o_orderkey")).alias("url"), html.alias("html"))
+
+
+_ORDERS = "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0"
+
+
+@query(f"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS published, o_orderpriority AS section, o_orderstatus || ',' || c_mktsegment AS tags, c_name AS author {_ORDERS}")
+def og_article(spark, d):
+    return tagged(order_pages(spark, d)).select("o_orderkey", col("og.published").alias("published"), col("og.section").alias("section"), F.array_join("og.tags", ",").alias("tags"), F.array_join("og.authors", ",").alias("author"))
+
+
+@query(f"SELECT o_orderkey, 'Order ' || o_orderkey AS headline, c_name AS author, strftime(o_orderdate, '%Y-%m-%d') AS modified, c_mktsegment || ',extra' AS keywords, 'NewsArticle' AS type {_ORDERS}")
+def jsonld_nodes(spark, d):
+    n = F.get("jsonld", F.lit(0))
+    return scan(order_pages(spark, d)).select("o_orderkey", n.headline.alias("headline"), F.get(n.authors, 0)["name"].alias("author"), n.modified.alias("modified"), F.array_join(n.keywords, ",").alias("keywords"), F.array_join(n.types, ",").alias("type"))
+
+
+@query("SELECT p_partkey, p_name AS name, p_brand AS brand, CAST(p_partkey AS VARCHAR) AS sku, CAST(p_retailprice AS VARCHAR) AS price, 'EUR' AS currency, 'https://schema.org/InStock' AS availability, '4.5 stars' AS rating, CAST(p_size AS VARCHAR) AS reviews FROM part")
+def jsonld_product(spark, d):
+    n = state.node_of("Product")
+    return scan(part_pages(spark, d)).select("p_partkey", n["name"].alias("name"), n.brand["name"].alias("brand"), *[n[k].alias(k) for k in ("sku", "price", "currency", "availability", "rating", "reviews")])
+
+
+@query("SELECT r_regionkey, 3 + r_regionkey AS n_nodes, CASE WHEN r_regionkey % 2 = 1 THEN 1 ELSE 0 END AS n_warnings, r_name AS organization FROM region")
+def jsonld_graph(spark, d):
+    k = col("r_regionkey")
+    people = F.array_join(F.transform(F.sequence(F.lit(0), k), lambda i: F.concat(F.lit('{"@type":"Person","name":"p'), i.cast("string"), F.lit('"}'))), ",")
+    html = text('<script type="application/ld+json"><!-- {"@graph":[', people, ',5,{"@type":"Organization","name":"', col("r_name"), '"}]} --></script>', F.when(k % 2 == 1, '<script type="application/ld+json">{"a":NaN}</script>').otherwise(""))
+    n = scan(read(spark, d, "region").select("r_regionkey", "r_name", F.lit("https://e.example.com/").alias("url"), html.alias("html")))
+    return n.select("r_regionkey", F.size("jsonld").alias("n_nodes"), F.size("jsonld_warnings").alias("n_warnings"), state.node_of("Organization")["name"].alias("organization"))
+
+
+def customer_cards(spark, d) -> DataFrame:
+    k = col("c_custkey")
+    html = text(
+        '<meta name="twitter:card" content="summary"><meta name="twitter:title" content="', col("c_name"), '"><meta name="twitter:image:src" content="/b', k, '.jpg"><meta name="twitter:image" content="/a', k, '.jpg">',
+        '<meta name="twitter:image1" content="/a', k, '.jpg"><meta property="twitter:image:2" content="/c', k, '.jpg"><meta name="twitter:image:width" content="', k % 500 + 300, '">',
+        '<meta name="twitter:player:stream" content="/stream.mp4">', F.when(k % 3 == 0, text('<meta name="twitter:player" content="/player/', k, '">')).otherwise(""),
+    )
+    return read(spark, d, "customer").select("c_custkey", text("https://x.example.com/", k).alias("url"), html.alias("html"))
+
+
+@query("""SELECT c_custkey, ord, 'https://x.example.com/' || l || c_custkey || '.jpg' AS url, c_custkey % 500 + 300.0 AS width FROM customer, (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(ord, l)""")
+def twitter_images(spark, d):
+    t = tagged(customer_cards(spark, d)).select("c_custkey", F.posexplode("card.images").alias("ord", "a"))
+    return t.select("c_custkey", "ord", "a.url", "a.width")
+
+
+@query("SELECT c_custkey, c_name AS title, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS n_players, CASE WHEN c_custkey % 3 = 0 THEN 'https://x.example.com/player/' || c_custkey END AS player FROM customer")
+def twitter_player(spark, d):
+    return tagged(customer_cards(spark, d)).select("c_custkey", col("card.title").alias("title"), F.size("card.videos").alias("n_players"), F.get("card.videos", F.lit(0)).url.alias("player"))
+
+
+def supplier_pages(spark, d) -> DataFrame:
+    k = col("s_suppkey")
+    html = text(
+        '<head><title> ', col("s_name"), ' &amp;\n more</title><link rel="canonical" href="/first"><LINK REL="Shortcut  ICON" href=fav', k, '.ico sizes="16x16"><link rel="apple-touch-icon" href="/t.png">',
+        '<link rel="canonical" href="../c/', k, '?a=1#f"><link rel="alternate" hreflang="de" href="/de/', k, '"><link rel="image_src" href="/i.png"><link rel=manifest href="/m.json">',
+        '<meta name="description" content="  Supplier\n', k, ' "><meta name="keywords" content="a, ,b , ', k, '"><meta name="robots" content="noindex"><meta name="theme-color" content="#fff"><meta name="application-name" content="App', k, '"></head>',
+    )
+    return read(spark, d, "supplier").select("s_suppkey", text("https://sup.example.com/a/b/", k).alias("url"), html.alias("html"))
+
+
+@query("""SELECT s_suppkey, s_name || ' & more' AS title, 'Supplier ' || s_suppkey AS description, '../c/' || s_suppkey || '?a=1#f' AS raw_canonical, 'https://sup.example.com/a/c/' || s_suppkey || '?a=1' AS canonical, 'a,b,' || s_suppkey AS keywords,
+'noindex' AS robots, '/m.json' AS manifest, '#fff' AS theme, 'App' || s_suppkey AS app, 'https://sup.example.com/i.png' AS image_src FROM supplier""")
+def html_head(spark, d):
+    h = col("html")
+    return tagged(supplier_pages(spark, d)).select(
+        "s_suppkey", h.title.alias("title"), h.description.alias("description"), h.rawCanonicalUrl.alias("raw_canonical"), h.canonicalUrl.alias("canonical"), F.array_join(h.keywords, ",").alias("keywords"), h.robots.alias("robots"),
+        h.manifestUrl.alias("manifest"), h.themeColor.alias("theme"), h.applicationName.alias("app"), F.get(h.imageSrc, 0).url.alias("image_src"),
+    )
+
+
+@query("""SELECT s_suppkey, 'icon' AS kind, 'https://sup.example.com/a/b/fav' || s_suppkey || '.ico' AS url, '16x16' AS note FROM supplier UNION ALL SELECT s_suppkey, 'icon', 'https://sup.example.com/t.png', NULL FROM supplier
+UNION ALL SELECT s_suppkey, 'alternate', '/de/' || s_suppkey, 'de' FROM supplier""")
+def html_links(spark, d):
+    t = tagged(supplier_pages(spark, d))
+    icons = t.select("s_suppkey", F.lit("icon").alias("kind"), F.explode("html.favicons").alias("a")).select("s_suppkey", "kind", "a.url", col("a.metadata.sizes").alias("note"))
+    return icons.unionByName(t.select("s_suppkey", F.lit("alternate").alias("kind"), F.explode("html.alternates").alias("a")).select("s_suppkey", "kind", col("a.href").alias("url"), col("a.hreflang").alias("note")))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'https://n.example.com/o?id=' || n_nationkey WHEN 1 THEN 'https://n.example.com/e?format=json&u=' || n_nationkey END AS href FROM nation""")
+def oembed_links(spark, d):
+    k = col("n_nationkey")
+    link = (
+        F.when(k % 4 == 0, text('<link rel="alternate" type="application/json+oembed" href="/o?id=', k, '" title="t">'))
+        .when(k % 4 == 1, text('<link rel="next" href="/e?format=json&amp;u=', k, '">'))
+        .when(k % 4 == 2, '<link rel="alternate" type="application/rss+xml" href="/feed">')
+        .otherwise('<link rel="alternate" type="text/xml+oembed" href="mailto:a@b">')
+    )
+    return tagged(read(spark, d, "nation").select("n_nationkey", F.lit("https://n.example.com/").alias("url"), link.alias("html"))).select("n_nationkey", F.get("oembed_links", F.lit(0)).href.alias("href"))
+
+
+# ---- application state -------------------------------------------------------------------------------------------------
+
+
+def event_pages(spark, d) -> DataFrame:
+    k = col("event_id")
+    html = text(
+        '<script>var a=1;window.__INITIAL_STATE__ = {"post":{"title":"Event number ', k, ' of type ', col("event_type"), '","views":"', (k % 1000).cast("int"), ' views","author":{"name":"user', col("user_id"), '"}},"s":"}{"};more()</script>',
+        '<script type="application/json" id="props">', col("props"), '</script><script type="application/json">[1]</script><script type="application/json">{bad</script>',
+    )
+    return read(spark, d, "events").where("event_id % 10 = 0").select("event_id", text("https://ev.example.com/", k).alias("url"), html.alias("html"))
+
+
+@query("""SELECT event_id, 'initialState:window.__INITIAL_STATE__,initialState:__INITIAL_STATE__,applicationJson:props' AS items, 1 AS n_warnings, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_id % 10 = 0""")
+def embedded_items(spark, d):
+    named = F.array_join(F.transform("embedded", lambda e: F.concat_ws(":", e.source, e.path)), ",")
+    props = F.get(F.filter("embedded", lambda e: e.path == "props"), 0)
+    return scan(event_pages(spark, d)).select("event_id", named.alias("items"), F.size("embedded_warnings").alias("n_warnings"), F.get_json_object(props.json, "$.k").alias("k"))
+
+
+@query("SELECT event_id, 'Event number ' || event_id || ' of type ' || event_type AS title, 'user' || user_id AS author, CAST(event_id % 1000 AS DOUBLE) AS views FROM events WHERE event_id % 10 = 0")
+def embedded_best_string(spark, d):
+    from metaloom.functions.js import number_of
+
+    return scan(event_pages(spark, d)).select("event_id", state.best_text("title", "headline", "name").alias("title"), state.first_entity("author")["name"].alias("author"), number_of(state.best_text("viewCount", "views")).alias("views"))
+
+
+# ---- media in markup ---------------------------------------------------------------------------------------------------
+
+_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem WHERE l_orderkey % 4 = 0"
+
+
+def gallery(spark, d) -> DataFrame:
+    """One page for each order: a picture for each line, one of three sizes, one lazy copy, and two that are to be dropped."""
+    line = text('<img src="/g/', col("l_partkey"), "-", col("l_suppkey"), "-", col("at"), '.jpg" width="', (col("l_quantity") * 10).cast("int"), '" height="200" alt="q">')
+    lines = read(spark, d, "lineitem").where("l_orderkey % 4 = 0").withColumn("at", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1"))
+    pages = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(col("at"), line.alias("t")))), lambda x: x.t), "").alias("t"))
+    html = text('<link rel="preload" as="image" href="/pre.webp">', col("t"), '<img src="sprite.png"><img data-src="/lazy.jpg" srcset="/s1.jpg 1x, /s2.jpg 2x"><img src="/x.gif" width=1 height=1><picture><source srcset="/p.avif" type="image/avif"></picture><noscript><img src="/ns.png"></noscript>')
+    return pages.select("l_orderkey", text("https://g.example.com/o/", col("l_orderkey")).alias("url"), html.alias("html"))
+
+
+@query(f"""WITH l AS ({_LINES}), n AS (SELECT l_orderkey, count(*) AS n FROM l GROUP BY 1)
+SELECT l_orderkey, 0 AS ord, 'https://g.example.com/pre.webp' AS url, CAST(NULL AS DOUBLE) AS width, 'link.preload' AS origin FROM n
+UNION ALL SELECT l_orderkey, 1 + pos, 'https://g.example.com/g/' || l_partkey || '-' || l_suppkey || '-' || pos || '.jpg', floor(l_quantity * 10), 'img' FROM l
+UNION ALL SELECT l_orderkey, 1 + n + k, 'https://g.example.com/' || f, NULL, o FROM n, (VALUES (0, 'lazy.jpg', 'img'), (1, 's1.jpg', 'img'), (2, 's2.jpg', 'img'), (3, 'p.avif', 'picture.source'), (4, 'ns.png', 'noscript')) v(k, f, o)""")
+def image_candidates(spark, d):
+    t = scan(gallery(spark, d)).select("l_orderkey", F.posexplode("dom_images").alias("ord", "a"))
+    return t.select("l_orderkey", "ord", "a.url", "a.width", col("a.metadata.discoveredFrom").alias("origin"))
+
+
+@query("""SELECT p_partkey, kind, ord, url, type FROM part, LATERAL (VALUES ('video', 0, 'https://v.example.com/a' || p_partkey || '.mp4', NULL), ('video', 1, 'https://v.example.com/b.webm', 'video/webm'), ('video', 2, 'https://player.example.com/' || p_partkey, NULL),
+('audio', 0, 'https://v.example.com/s' || p_partkey || '.mp3', 'audio/mpeg')) v(kind, ord, url, type)""")
+def video_audio_candidates(spark, d):
+    k = col("p_partkey")
+    html = text('<video data-src="/a', k, '.mp4" poster="/p.jpg" width=640><source src="/b.webm" type="video/webm"></video><audio><source src="/s', k, '.mp3" type="audio/mpeg"></audio><iframe src="https://player.example.com/', k, '"><img src="/no.jpg"></iframe><iframe src="/other"></iframe>')
+    t = scan(read(spark, d, "part").select("p_partkey", F.lit("https://v.example.com/x").alias("url"), html.alias("html")))
+    both = [t.select("p_partkey", F.lit(kind).alias("kind"), F.posexplode(c).alias("ord", "a")).select("p_partkey", "kind", "ord", "a.url", "a.type") for kind, c in (("video", "dom_videos"), ("audio", "dom_audio"))]
+    return both[0].unionByName(both[1])
+
+
+@query("SELECT p_partkey, ord, CASE ord WHEN 0 THEN '/a' || p_partkey || '.jpg' WHEN 1 THEN 'b.jpg' ELSE 'c.jpg' END AS url FROM part, (VALUES (0), (1), (2)) v(ord)")
+def srcset_split(spark, d):
+    value = text("/a", col("p_partkey"), ".jpg 1x,  b.jpg\t640w ,, c.jpg")
+    first = F.transform(F.split(value, ","), lambda c: F.get(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), 0))
+    assert srcset("/a1.jpg 1x,  b.jpg\t640w ,, c.jpg") == ["/a1.jpg", "b.jpg", "c.jpg"]
+    return read(spark, d, "part").select("p_partkey", F.posexplode(F.filter(first, lambda u: u != "")).alias("ord", "url"))
+
+
+# ---- URLs --------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT n_nationkey, ref, CASE ref WHEN 'a/../b' THEN 'https://n.example.com/d/' || n_nationkey || '/b' WHEN '/x y' THEN 'https://n.example.com/x%20y' WHEN '?q' THEN 'https://n.example.com/d/' || n_nationkey || '/f?q' WHEN '//H.COM:443/p#f' THEN 'https://h.com/p'
+WHEN 'HTTP://U.com:80' THEN 'http://u.com/' WHEN '#top' THEN 'https://n.example.com/d/' || n_nationkey || '/f?z' END AS resolved FROM nation, (VALUES ('a/../b'), ('/x y'), ('?q'), ('//H.COM:443/p#f'), ('HTTP://U.com:80'), ('#top'), ('mailto:a@b'), ('http://')) v(ref)""")
+def resolve_url(spark, d):
+    refs = F.explode(F.array(*map(F.lit, ("a/../b", "/x y", "?q", "//H.COM:443/p#f", "HTTP://U.com:80", "#top", "mailto:a@b", "http://"))))
+    base = text("https://n.example.com/d/", col("n_nationkey"), "/f?z#y")
+    return read(spark, d, "nation").select("n_nationkey", refs.alias("ref"), base.alias("base")).select("n_nationkey", "ref", urls.resolve_url("ref", "base").alias("resolved"))
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 7 WHEN 0 THEN 'Pinterest' WHEN 1 THEN 'Reddit' WHEN 2 THEN 'X' WHEN 3 THEN 'Bitly' WHEN 4 THEN 'TinyURL' WHEN 5 THEN 'YouTube' END AS provider, n_nationkey % 7 < 6 AS is_short FROM nation""")
+def short_url(spark, d):
+    hosts = F.array(*map(F.lit, ("pin.it", "redd.it", "T.co", "www.bit.ly", "tinyurl.com", "youtu.be", "xpin.it")))
+    url = text("https://", F.get(hosts, (col("n_nationkey") % 7).cast("int")), "/", col("n_nationkey"))
+    return read(spark, d, "nation").select("n_nationkey", urls.short_provider(url).alias("provider")).withColumn("is_short", col("provider").isNotNull())
+
+
+_IPS = ("127.0.0.1", "10.1.2.3", "172.16.0.1", "172.32.0.1", "192.168.1.1", "169.254.1.1", "0.0.0.0", "224.0.0.1", "100.64.0.1", "192.0.2.1", "198.18.0.1", "8.8.8.8", "::1", "fd00::1", "fe80::1", "::ffff:10.0.0.1", "2001:db8::1", "300.1.1.1", "example.com", "::")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 20 WHEN 0 THEN 'loopback' WHEN 1 THEN 'private' WHEN 2 THEN 'private' WHEN 4 THEN 'private' WHEN 5 THEN 'linkLocal' WHEN 6 THEN 'reserved' WHEN 7 THEN 'reserved' WHEN 8 THEN 'reserved' WHEN 9 THEN 'reserved' WHEN 10 THEN 'reserved' WHEN 12 THEN 'loopback' WHEN 13 THEN 'private' WHEN 14 THEN 'linkLocal' WHEN 15 THEN 'reserved' WHEN 19 THEN 'reserved' ELSE 'public' END AS class FROM customer")
+def classify_ip(spark, d):
+    return read(spark, d, "customer").select("c_custkey", urls.ip_class(F.get(F.array(*map(F.lit, _IPS)), (col("c_custkey") % 20).cast("int"))).alias("class"))
+
+
+_SOCIAL = ("https://www.youtube.com/watch?v=v{}&list=L", "https://www.reddit.com/r/sub/comments/p{}/t", "https://www.pinterest.com/pin/{}/", "https://www.behance.net/gallery/{}/x", "https://www.tiktok.com/@user/video/{}", "https://www.facebook.com/page/posts/{}", "https://x.com/user/status/{}", "https://www.instagram.com/reel/{}/")
+
+
+def social_url() -> Column:
+    k = col("c_custkey")
+    made = [text(*[p for pair in zip(u.split("{}"), [k, ""], strict=False) for p in pair]) for u in _SOCIAL]
+    return F.get(F.array(*made), (k % 8).cast("int"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'youtubeAdapter' WHEN 1 THEN 'redditAdapter' WHEN 2 THEN 'pinterestAdapter' WHEN 3 THEN 'behanceAdapter' WHEN 4 THEN 'tiktokAdapter' WHEN 5 THEN 'facebookAdapter' WHEN 6 THEN 'twitterAdapter' ELSE 'instagramAdapter' END AS adapter FROM customer""")
+def host_route(spark, d):
+    url = social_url()
+    route = F.coalesce(*[F.when(test(url), F.lit(name)) for name, test, _ in adapters.DEFAULT])
+    return read(spark, d, "customer").select("c_custkey", route.alias("adapter"))
+
+
+@query("""SELECT c_custkey, 'v' || c_custkey AS watch, 's' || c_custkey AS short, 'b' || c_custkey AS be, CAST(NULL AS VARCHAR) AS none FROM customer""")
+def youtube_ids(spark, d):
+    k = col("c_custkey")
+    made = {"watch": text("https://www.youtube.com/watch?a=1&v=v", k, "&b"), "short": text("https://youtube.com/shorts/s", k), "be": text("https://youtu.be/b", k, "?t=1"), "none": text("https://www.youtube.com/@c", k)}
+    return read(spark, d, "customer").select("c_custkey", *[urls.youtube_id(u).alias(n) for n, u in made.items()])
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey END AS subreddit, CASE c_custkey % 3 WHEN 0 THEN 'p' || c_custkey WHEN 1 THEN 'q' || c_custkey END AS post_id, CASE WHEN c_custkey % 3 = 2 THEN 'u' || c_custkey END AS username, c_custkey % 3 < 2 AS is_post FROM customer""")
+def reddit_url_parts(spark, d):
+    k = col("c_custkey")
+    url = F.when(k % 3 == 0, text("https://old.reddit.com/r/s", k, "/comments/p", k, "/x")).when(k % 3 == 1, text("https://redd.it/q", k)).otherwise(text("https://www.reddit.com/user/u", k, "/about"))
+    of = adapters.reddit_parts(url)
+    return read(spark, d, "customer").select("c_custkey", of["subreddit"].alias("subreddit"), of["postId"].alias("post_id"), of["username"].alias("username"), F.coalesce(of["isPost"], F.lit(False)).alias("is_post"))
+
+
+# ---- assets: merging and ranking ---------------------------------------------------------------------------------------
+
+_ASSETS = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, 'https://m.example.com/' || (l_partkey % 3) || CASE WHEN l_suppkey % 2 = 0 THEN '-300x200' ELSE '' END || '.jpg' AS url,
+CASE l_linenumber % 4 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'html' WHEN 2 THEN 'jsonLd' ELSE 'odd' END AS source, l_quantity * 40.0 AS width, 300.0 AS height, l_partkey % 3 AS sig FROM lineitem WHERE l_orderkey % 3 = 0"""
+
+
+def line_assets(spark, d) -> DataFrame:
+    url = text("https://m.example.com/", col("l_partkey") % 3, F.when(col("l_suppkey") % 2 == 0, "-300x200").otherwise(""), ".jpg")
+    source = F.get(F.array(*map(F.lit, ("openGraph", "html", "jsonLd", "odd"))), (col("l_linenumber") % 4).cast("int"))
+    one = assets.asset(url, "image", source, width=col("l_quantity") * 40, height=F.lit(300.0))
+    rows = read(spark, d, "lineitem").where("l_orderkey % 3 = 0")
+    sorted_ = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("a"))))
+    return rows.groupBy("l_orderkey").agg(F.transform(sorted_, lambda x: x.a).alias("images"))
+
+
+@query(f"""WITH a AS ({_ASSETS}), r AS (SELECT *, CASE source WHEN 'openGraph' THEN 1420 WHEN 'html' THEN 40 WHEN 'jsonLd' THEN 70 ELSE 50 END AS rank FROM a),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, sig ORDER BY rank DESC, pos) AS k, min(pos) OVER (PARTITION BY l_orderkey, sig) AS place FROM r)
+SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY place) - 1 AS ord, url, source, width FROM b WHERE k = 1""")
+def media_dedupe(spark, d):
+    t = line_assets(spark, d).select("l_orderkey", F.posexplode(assets.merged(col("images"))).alias("ord", "a"))
+    return t.select("l_orderkey", col("ord").cast("bigint").alias("ord"), "a.url", "a.source", "a.width")
+
+
+_POINTS = """(CASE source WHEN 'openGraph' THEN 94 WHEN 'html' THEN 42 WHEN 'jsonLd' THEN 82 ELSE 50 END
+ + CASE WHEN width < 120 THEN -35 WHEN width * height >= 1000000 THEN 12 WHEN width * height >= 300000 THEN 9 WHEN width * height >= 90000 THEN 5 WHEN width * height < 10000 THEN -20 ELSE 0 END
+ + CASE WHEN abs(width / height - 1.91) <= 0.18 THEN 12 WHEN abs(width / height - 16.0::DOUBLE / 9) <= 0.2 OR abs(width / height - 1) <= 0.2 THEN 8 WHEN width / height > 4 OR width / height < 0.25 THEN -16 ELSE 0 END + 3
+ - least(pos * 1.5, 10) + CASE WHEN n = 1 THEN 4 ELSE 0 END - CASE WHEN same > 1 THEN least((same - 1) * 4, 12) ELSE 0 END)"""
+_SCORED = f"WITH a AS ({_ASSETS}), c AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, count(*) OVER (PARTITION BY l_orderkey, sig) AS same FROM a), s AS (SELECT *, CAST(greatest(0, least(100, {_POINTS})) AS DOUBLE) AS score, CASE source WHEN 'openGraph' THEN 94 WHEN 'html' THEN 42 WHEN 'jsonLd' THEN 82 ELSE 50 END AS weight FROM c)"
+
+
+@query(_SCORED + " SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) - 1 AS ord, url, source, score FROM s")
+def score_images(spark, d):
+    t = line_assets(spark, d).select("l_orderkey", F.posexplode(assets.scored(col("images"))).alias("ord", "a"))
+    return t.select("l_orderkey", col("ord").cast("bigint").alias("ord"), "a.url", "a.source", "a.score")
+
+
+@query(_SCORED + ", b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) AS k FROM s) SELECT l_orderkey, url, score, CAST(same > 1 AS BOOLEAN) AS repeated FROM b WHERE k = 1")
+def best_image(spark, d):
+    best = F.get(assets.scored(col("images")), 0)
+    return line_assets(spark, d).select("l_orderkey", best.alias("a")).select("l_orderkey", "a.url", "a.score", F.exists("a.reasons", lambda r: r.startswith("duplicate-like")).alias("repeated"))
+
+
+@query("""SELECT p_partkey, 1 AS n, CASE WHEN p_size % 5 = 0 THEN 'https://preview.redd.it/b.jpg' ELSE 'https://i.redd.it/a' || p_partkey || '.jpg' END AS first FROM part""")
+def reddit_filter(spark, d):
+    big = F.when(col("p_size") % 5 == 0, 100.0).otherwise(900.0)
+    images = F.array(
+        assets.asset(F.lit("https://www.redditstatic.com/avatar.png"), "image", "html"), assets.asset(text("https://i.redd.it/a", col("p_partkey"), ".jpg"), "image", "applicationJson", width=big, height=big),
+        assets.asset(F.lit("https://preview.redd.it/b.jpg"), "image", F.when(col("p_size") % 5 == 0, "html").otherwise("html")), assets.asset(F.lit("https://preview.redd.it/b.jpg"), "image", F.when(col("p_size") % 5 == 0, "fallback").otherwise("twitter")),
+    )
+    kept = assets.reddit_filtered(assets.merged(images))
+    return read(spark, d, "part").select("p_partkey", F.size(kept).alias("n"), F.get(F.transform(F.array_sort(F.transform(kept, lambda a: a.url)), lambda u: u), 0).alias("first"))
+
+
+# ---- whole records -----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'Card ' || p_partkey WHEN 2 THEN 'Linked ' || p_partkey ELSE 'Plain ' || p_partkey END AS title, CASE p_partkey % 4 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'twitter' WHEN 2 THEN 'embeddedData' ELSE 'html' END AS title_source,
+CASE p_partkey % 4 WHEN 0 THEN 'article' WHEN 2 THEN 'article' ELSE 'website' END AS type, CASE p_partkey % 4 WHEN 0 THEN 'openGraph,html' WHEN 1 THEN 'twitter,html' WHEN 2 THEN 'jsonLd,embeddedData,jsonScript,html' ELSE 'html' END AS sources FROM part""")
+def field_precedence(spark, d):
+    k = col("p_partkey")
+    extra = (
+        F.when(k % 4 == 0, text('<meta property="og:title" content="', col("p_name"), '">'))
+        .when(k % 4 == 1, text('<meta name="twitter:title" content="Card ', k, '">'))
+        .when(k % 4 == 2, text('<script type="application/ld+json">{"@type":"Article","headline":"Linked ', k, '"}</script>'))
+        .otherwise("")
+    )
+    pages = read(spark, d, "part").select("p_partkey", F.lit("https://f.example.com/").alias("url"), text("<title>Plain ", k, "</title>", extra).alias("html"))
+    return Engine().parse(pages).select("p_partkey", "title", col("sources.title").alias("title_source"), "type", F.array_join("diagnostics.sourcesUsed", ",").alias("sources"))
+
+
+@query("""SELECT c_custkey, c_name AS title, CASE c_custkey % 8 WHEN 0 THEN 'playlist' WHEN 3 THEN 'image' ELSE 'social_post' END AS type, CASE c_custkey % 8 WHEN 0 THEN 'YouTube' WHEN 1 THEN 'Reddit' WHEN 2 THEN 'Pinterest' WHEN 3 THEN 'Behance' WHEN 4 THEN 'TikTok' WHEN 5 THEN 'Facebook' WHEN 6 THEN 'X' ELSE 'Instagram' END AS site_name,
+CASE WHEN c_custkey % 8 = 0 THEN 'https://www.youtube.com/watch?v=v' || c_custkey ELSE 'https://canon.example.com/' || c_custkey END AS canonical, CASE WHEN c_custkey % 8 = 4 THEN 100 ELSE 95 END AS adapter_confidence FROM customer""")
+def adapter_social(spark, d):
+    html = text('<meta property="og:title" content="', col("c_name"), '"><meta property="og:url" content="https://canon.example.com/', col("c_custkey"), '"><meta property="og:description" content="A fine description of it."><meta property="og:image" content="https://cdn.example.com/big.jpg">')
+    pages = read(spark, d, "customer").select("c_custkey", social_url().alias("url"), html.alias("html"))
+    return Engine().parse(pages).select("c_custkey", "title", "type", "site_name", col("canonical_url").alias("canonical"), col("diagnostics.adapter.confidence").alias("adapter_confidence"))
+
+
+@query("SELECT p_partkey, 'Plugin ' || p_partkey AS title, 'myPlugin' AS source, CASE WHEN p_partkey % 2 = 0 THEN 'https://f.example.com/b.png' ELSE 'https://f.example.com/a.png' END AS best FROM part")
+def plugin_and_scorer(spark, d):
+    def setup(api):
+        api.add_extractor("myPlugin", lambda: adapters.result(title=F.concat(F.lit("Plugin "), F.col("in_p_partkey").cast("string"))))
+        api.add_image_scorer(lambda a, i, every: F.when(F.endswith(a.url, F.lit("/b.png")) & (F.col("in_p_partkey") % 2 == 0), 30.0).otherwise(0.0))
+
+    pages = read(spark, d, "part").select("p_partkey", F.lit("https://f.example.com/").alias("url"), F.lit('<title>t</title><img src="a.png"><img src="b.png">').alias("html"))
+    return Engine([("mine", setup)]).parse(pages).select("p_partkey", "title", col("sources.title").alias("source"), col("best_image").alias("best"))
+
+
+@query("SELECT s_suppkey, CAST(floor(18 * least(1, length(s_name) / 6.0) + 0.5) AS INT) AS title_points, 40 AS home, CASE WHEN s_suppkey % 2 = 0 THEN 8 ELSE 1 END AS bonus FROM supplier")
+def text_quality(spark, d):
+    from metaloom.functions.js import rounded
+
+    source = F.when(col("s_suppkey") % 2 == 0, "adapter").otherwise("jsonScript")
+    return read(spark, d, "supplier").select("s_suppkey", rounded(quality.text_points(col("s_name"), 18, 6, 120)).alias("title_points"), rounded(quality.text_points(F.lit(" sign  IN "), 114, 6, 120)).alias("home"), quality.source_bonus(source).alias("bonus"))
+
+
+# ---- fetching ----------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS k, n_nationkey + 1 AS nxt FROM nation WHERE n_nationkey < 24 AND n_nationkey % 8 <> 7), w AS (SELECT n_nationkey AS start, n_nationkey AS pos, 0 AS hops FROM nation WHERE n_nationkey < 24 UNION ALL SELECT start, nxt, hops + 1 FROM w JOIN e ON pos = k WHERE hops < 6),
+l AS (SELECT start, max(hops) AS hops, max(pos) AS pos FROM w GROUP BY 1) SELECT start, CASE WHEN hops > 5 THEN NULL ELSE 'https://n.example.com/' || pos END AS final_url, CASE WHEN hops > 5 THEN NULL ELSE hops END AS hops, CASE WHEN hops > 5 THEN 'Too many redirects. Maximum allowed redirects: 5.' END AS error FROM l""")
+def redirect_chain(spark, d):
+    n = read(spark, d, "nation").where("n_nationkey < 24")
+    k = col("n_nationkey")
+    moved = k % 8 != 7
+    responses = n.select(text("https://n.example.com/", k).alias("request_url"), F.when(moved, 302).otherwise(200).alias("status"), F.when(moved, text("/", k + 1)).alias("location"), F.lit("text/html").alias("content_type"), F.lit("").alias("body"))
+    found = fetch.follow(n.select(k.alias("start"), text("https://n.example.com/", k).alias("url")), responses)
+    return found.select("start", "final_url", F.when(col("error").isNull(), F.size("redirects")).alias("hops"), "error")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Localhost URLs are blocked by default.' WHEN 1 THEN 'Loopback address is blocked: 127.0.0.1' WHEN 2 THEN 'Private or reserved network address is blocked: 10.0.0.' || n_nationkey WHEN 3 THEN 'Unsupported URL protocol' END AS blocked FROM nation""")
+def ssrf_block(spark, d):
+    k = col("n_nationkey")
+    url = F.when(k % 5 == 0, text("http://app.localhost:8080/", k)).when(k % 5 == 1, "http://127.0.0.1/x").when(k % 5 == 2, text("https://in", k, ".example.com/")).when(k % 5 == 3, "file:///etc/passwd").otherwise(text("https://out", k, ".example.com/"))
+    n = read(spark, d, "nation")
+    dns = n.select(F.explode(F.array(F.struct(text("in", k, ".example.com").alias("host"), text("10.0.0.", k).alias("address")), F.struct(text("out", k, ".example.com").alias("host"), F.lit("93.184.216.34").alias("address")))).alias("r")).select("r.*")
+    return fetch.guarded(n.select("n_nationkey", url.alias("url")), dns).select("n_nationkey", "blocked")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN 82 WHEN 3 THEN NULL ELSE 70 END AS confidence, CASE n_nationkey % 4 WHEN 0 THEN 60 WHEN 3 THEN NULL ELSE 35 END AS completeness, CASE n_nationkey % 4 WHEN 0 THEN 300.0 + n_nationkey END AS width FROM nation""")
+def direct_media(spark, d):
+    k = col("n_nationkey")
+    url = F.when(k % 4 == 0, text("https://c.example.com/a?width=", k + 300, "&height=20")).when(k % 4 == 1, "https://c.example.com/v.MP4?x").when(k % 4 == 2, "https://c.example.com/s").otherwise("https://c.example.com/page")
+    kind = F.when(k % 4 == 0, "image/png").when(k % 4 == 2, "audio/mpeg").otherwise("text/html")
+    m = fetch.direct_media(url, kind, F.lit(None).cast("binary"))
+    return read(spark, d, "nation").select("n_nationkey", m.alias("m")).select("n_nationkey", "m.kind", "m.confidence", "m.completeness", "m.width")
+
+
+@query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'provider_verification_required' WHEN 1 THEN 'provider_blocked_request' WHEN 2 THEN 'provider_blocked_request' WHEN 3 THEN 'provider_blocked_request' END AS reason FROM nation""")
+def block_reason(spark, d):
+    k = col("n_nationkey")
+    html = F.when(k % 5 == 0, "<title>Reddit - Please wait for verification</title>").when(k % 5 == 1, "<p>Whoa there,\n pardner!</p>").when(k % 5 == 2, "<title>Blocked</title>").otherwise(text("<p>fine ", col("n_name"), "</p>"))
+    return read(spark, d, "nation").select("n_nationkey", fetch.block_reason(F.when(k % 5 == 3, 429).otherwise(200), html).alias("reason"))
+
+
+@query("SELECT p_partkey, p_size * 60 AS width, p_size * 20 + 200 AS height FROM part")
+def image_dimensions(spark, d):
+    number = lambda c: F.lpad(F.hex(c.cast("bigint")), 8, "0")
+    header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(col("p_size") * 60), number(col("p_size") * 20 + 200)))
+    size = image_files.dimensions(header, F.lit("image/png"))
+    return read(spark, d, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 1000 ELSE 60000 END AS BIGINT) AS ms FROM nation")
+def retry_after(spark, d):
+    value = F.when(col("n_nationkey") % 2 == 0, col("n_nationkey").cast("string")).otherwise("Thu, 01 Jan 2026 00:01:00 GMT")
+    return read(spark, d, "nation").select("n_nationkey", fetch.retry_after_ms(value, F.lit("2026-01-01 00:00:00").cast("timestamp")).alias("ms"))
+
+
+@query()
+def reddit_json_post(spark, d):
+    """Posts of a listing, as records."""
+    k = col("n_nationkey")
+    body = text('[{"data":{"children":[{"kind":"t3","data":{"id":"p', k, '","title":"', col("n_name"), '","author":"u', k, '","permalink":"/r/s/comments/p', k, '/","url_overridden_by_dest":"https://i.redd.it/', k, '.jpg","created_utc":1767225600}}]}}]')
+    n = read(spark, d, "nation").select("n_nationkey", text("https://www.reddit.com/r/s/comments/p", k, "/t").alias("url"), body.alias("body"))
+    responses = n.select(text("https://www.reddit.com/r/s/comments/p", k, "/t.json").alias("request_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"), F.lit("application/json").alias("content_type"), "body")
+    return fetch.records(n.select("n_nationkey", "url"), responses).select("n_nationkey", "ok", "title", "type", "best_image", col("author.name").alias("author"), "method")
