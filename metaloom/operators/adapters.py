@@ -49,11 +49,11 @@ def _kinds(ddl: str) -> list[str]:
     return out
 
 
-def marked(assets: Column, adapter: str) -> Column:
+def marked(assets: Column, adapter: Column) -> Column:
     """Assets as the adapter's own, each URL once; the source that they came from is kept."""
     urls = F.transform(assets, lambda a: a.url)
     once = F.filter(assets, lambda a, i: F.array_position(urls, a.url) == i + 1)
-    return F.transform(once, lambda a: a.withField("metadata", a.metadata.withField("adapter", F.lit(adapter)).withField("originalSource", a.source)).withField("source", F.lit("adapter")))
+    return F.transform(once, lambda a: a.withField("metadata", a.metadata.withField("adapter", adapter).withField("originalSource", F.coalesce(a.metadata.originalSource, a.source))).withField("source", F.lit("adapter")))
 
 
 def _person(p: Column) -> Column:
@@ -81,16 +81,25 @@ def _ids(**ids: Column) -> Column:
     return F.map_filter(every, lambda k, v: v.isNotNull())
 
 
+def page_columns(adapters: list[Adapter]) -> dict[str, Column]:
+    """What several adapters read, each computed once; null for pages of no adapter's site. Texts are the best ones, whichever the source."""
+    name = F.coalesce(*[F.when(test(F.col("final_url")), F.lit(n)) for n, test, _ in adapters], F.lit(None).cast("string"))
+    of_site = lambda c: F.when(F.col("site").isNotNull(), c)
+    return {
+        "site_adapter": name,
+        "site_path": path_of(F.col("final_url")),
+        "site_published": of_site(best_of(F.col("og.published"), F.col("site.published"), best_site_text(_PUBLISHED))),
+        "site_description": of_site(best_of(F.col("og.description"), F.col("card.description"), best_site_text(_DESCRIPTION), F.col("html.description"))),
+    }
+
+
 class Page:
     """Columns that adapters read."""
 
     def __init__(self):
-        self.url, self.path = F.col("final_url"), path_of(F.col("final_url"))
-        self.images, self.videos = F.col("found.images"), F.col("found.videos")
-        self.site = F.col("site")
-        # Sorted by quality, whichever the source.
-        self.published = best_of(F.col("og.published"), self.site.published, best_site_text(_PUBLISHED))
-        self.description = best_of(F.col("og.description"), F.col("card.description"), best_site_text(_DESCRIPTION), F.col("html.description"))
+        self.url, self.path = F.col("final_url"), F.col("site_path")
+        self.images, self.videos = F.col("site_images"), F.col("site_videos")
+        self.site, self.published, self.description = F.col("site"), F.col("site_published"), F.col("site_description")
 
     def title(self, *keys: str) -> Column:
         return best_of(F.col("og.title"), F.col("card.title"), best_site_text(keys), F.col("html.title"))
@@ -98,7 +107,7 @@ class Page:
     def plain(self, adapter: str, name: str, kind: Column, keys: tuple[str, ...], **ids: Column) -> Column:
         return result(
             source=F.lit(adapter), type=kind, title=self.title(*keys), description=self.description, siteName=F.lit(name), canonicalUrl=F.col("og.url"), author=_person(self.site.person),
-            publishedTime=self.published, images=marked(self.images, adapter), videos=marked(self.videos, adapter), identifiers=_ids(**ids),
+            publishedTime=self.published, images=self.images, videos=self.videos, identifiers=_ids(**ids),
         )
 
 
@@ -117,7 +126,7 @@ def youtube(p: Page) -> Column:
     return result(
         source=F.lit("youtubeAdapter"), type=F.when(list_.isNotNull(), "playlist").when(post.isNotNull(), "social_post").otherwise("video"), siteName=F.lit("YouTube"),
         canonicalUrl=F.coalesce(F.concat(F.lit("https://www.youtube.com/watch?v="), id_), F.col("og.url")), title=title, description=text, author=channel, publishedTime=p.published,
-        images=marked(p.images, "youtubeAdapter"), videos=marked(p.videos, "youtubeAdapter"), video=F.when(id_.isNotNull(), video), playlist=F.when(list_.isNotNull(), playlist),
+        images=p.images, videos=p.videos, video=F.when(id_.isNotNull(), video), playlist=F.when(list_.isNotNull(), playlist),
         method=F.coalesce(method, F.lit(prefix + "htmlFallback")), identifiers=_ids(videoId=id_, playlistId=list_, communityPostId=post),
     )
 
@@ -143,7 +152,7 @@ def reddit(p: Page) -> Column:
     text = F.when(~text.rlike("(?i)please wait for verification|whoa there, pardner|request has been blocked"), text)
     return result(
         source=F.lit("redditAdapter"), type=F.when(of["isPost"], "social_post").otherwise("website"), siteName=F.lit("Reddit"), canonicalUrl=F.coalesce(F.col("og.url"), F.col("html.canonicalUrl")), title=clean, description=text,
-        author=F.coalesce(_named(of["username"]), _person(p.site.person)), publishedTime=p.published, images=marked(p.images, "redditAdapter"), videos=marked(p.videos, "redditAdapter"),
+        author=F.coalesce(_named(of["username"]), _person(p.site.person)), publishedTime=p.published, images=p.images, videos=p.videos,
         method=F.when(method == "state", state).otherwise(F.coalesce(method, F.lit("reddit:htmlFallback"))), identifiers=_ids(**{k: of[k] for k in ("subreddit", "postId", "username")}),
     )
 
@@ -171,7 +180,7 @@ def tiktok(p: Page) -> Column:
     with_own = lambda own, found: F.concat(F.coalesce(own, none()), found)
     return result(
         source=F.lit("tiktokAdapter"), type=F.lit("social_post"), siteName=F.lit("TikTok"), canonicalUrl=F.col("og.url"), title=title, description=text, author=author, publishedTime=when,
-        images=marked(with_own(p.site.item_images, p.images), "tiktokAdapter"), videos=marked(with_own(p.site.item_videos, p.videos), "tiktokAdapter"), video=F.when(post.isNotNull(), video),
+        images=marked(with_own(p.site.item_images, p.images), F.lit("tiktokAdapter")), videos=marked(with_own(p.site.item_videos, p.videos), F.lit("tiktokAdapter")), video=F.when(post.isNotNull(), video),
         method=F.coalesce(method, F.lit("tiktok:fallback")), identifiers=_ids(username=user, postId=post),
     )
 

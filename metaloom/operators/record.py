@@ -62,6 +62,9 @@ def with_media(tagged: DataFrame, sites: list[adapters.Adapter], plugins: list[C
     once = assets.discovered(*_candidates(None), F.col("final_url"))
     found = tagged.withColumn("found", F.struct(*[c.alias(k) for k, c in once.items()]))
     own = F.filter(F.array(*[p.cast(RESULT) for p in plugins]), lambda r: r.isNotNull()) if plugins else F.array().cast(NO_RESULTS)
+    found = found.withColumns(adapters.page_columns(sites))
+    of_site = lambda c: F.when(F.col("site_adapter").isNotNull(), adapters.marked(c, F.col("site_adapter")))
+    found = found.withColumns({"site_images": of_site(F.col("found.images")), "site_videos": of_site(F.col("found.videos"))})
     found = found.withColumns({"plugin_results": own, "adapter_results": adapters.results(sites)})
     found = found.withColumn("ext", F.concat("plugin_results", "adapter_results"))
     again = assets.discovered(*_candidates(F.col("ext")), F.col("final_url"))
