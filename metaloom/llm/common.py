@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metaloom.functions.ship import ship
+
 #: Rows of an Arrow batch, and the bytes after which a batch ends early.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 #: Words as the contracts define them: runs of anything but space, tab, line feed, vertical tab, form feed and return.
@@ -21,25 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below the checkpoint folder, which all executors share; its tables are done with when it ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # only in tests
+        base = _folders.setdefault("", tempfile.mkdtemp(prefix="metaloom-"))
+    return _folders.setdefault(base, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
+
+
+_folders: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the checkpoint folder that all executors share and forgets the plan behind them.
+    """Writes the rows to the shared folder and reads them again, which forgets the plan behind them.
 
-    Inferred constraints are off meanwhile: a checkpoint hands them on, and over rounds of joins they multiply.
+    A table rather than a checkpoint, as a checkpoint hands on the plan's size estimate: over rounds of joins that
+    number gains millions of digits, while a table's size is its files'.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="metaloom-"))
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    before = conf.get(name)
-    conf.set(name, "false")
-    try:
-        return df.checkpoint()
-    finally:
-        conf.set(name, before)
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch can hold, for tables with very long texts."""
+    """Bounds what one Arrow batch can hold, for tables with very long texts, and sends the package to executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -64,12 +72,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder, for tables that several executors write and read."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="metaloom-")
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
 def _arrow(kind: str) -> pa.DataType:
     simple = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary()}
     if kind.startswith("array<"):
