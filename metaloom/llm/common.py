@@ -91,7 +91,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets:
     numbered in order and start after the rows of the key's earlier buckets. Rows that agree in keys and order
     are interchangeable. buckets bounds the offsets to as many rows for each key.
     """
-    spread = df.withColumn("_b", F.pmod(F.xxhash64(*(by or order)), F.lit(buckets)))
+    spread = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(name), *(by or order)), F.lit(buckets)))
     counts = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
