@@ -3,14 +3,15 @@
 1. Texts with the same set of shingles form a class; only classes are compared, so copies cost nothing. Classes
    have a signature of ``ROWS * BANDS`` minima, and classes that agree in a band share a bucket. A pair at similarity 0.75 shares
    none with a chance of (1 - 0.75^6)^50 = 6e-5.
-2. A bucket proposes its smallest class with every other (a star). Signatures of a pair are compared in batches of
-   ``BATCH``; after each, the pair is dropped if the posterior chance (uniform prior) that its similarity reaches the
-   threshold is below ``MISS``. Survivors are confirmed on their full sets.
-3. Links join classes into components. A bucket whose other members lie in several components is not done: it goes on
-   with a new centre, against members of other components only. After ``STARS`` rounds, the pairs between components of buckets up to
-   ``SMALL`` members are compared, and members of larger ones are joined on their rarest shingles: of two sets at the threshold, each
-   has one of the other's rarest quarter. So every pair that shares a bucket is compared or already connected, no pairs
-   are made within a component, and the pairs made grow with the rows.
+2. A bucket proposes its most connected class (most companions over all its buckets) with every other: a star.
+   Signatures of a pair are compared in batches of ``BATCH``; after each, the pair is dropped if the posterior chance
+   (uniform prior) that its similarity reaches the threshold is below ``MISS``. Survivors are confirmed on their full sets.
+3. Links join classes into components. A bucket whose other members lie in several components isn't done: it goes
+   on with a new centre against members of other components, ``STARS`` times. What is left is joined on rare shingles, which is
+   exact: in any fixed order of shingles (here rarest first) two sets at the threshold have their first common one early enough
+   in both that what follows can still reach the needed overlap. So every pair that shares a bucket is compared, excluded by that
+   bound or already connected, no pairs are made within a component, and neither large groups of near copies nor passages that
+   many texts share make pairs of all their members.
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space; a shingle is five words, or all words of a shorter text.
 Shingles count as equal if their 64-bit hashes are. Null texts and texts without words have empty sets and are linked with nothing.
@@ -30,7 +31,7 @@ from metaloom.llm.common import cut, map_rows, table
 from metaloom.llm.graph import components
 
 WIDTH, PERCENT, ROWS, BANDS, BATCH, MISS = 5, 75, 6, 50, 30, 1e-6
-STARS, SMALL = 3, 32
+STARS = 2
 _BLOCK = 1024
 _SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
 _seeded = np.random.Generator(np.random.PCG64(20))
@@ -197,7 +198,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes (class, comp) of different components that share one of their rarest shingles."""
+    """Pairs of classes (class, comp) of different components that can reach the threshold by where their first common shingle is."""
 
     def spread():
         def run(classes, comps, found):
@@ -209,53 +210,57 @@ def _rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
 
     items = map_rows(left.join(sets, "class").select("class", "comp", "set"), spread, "class bigint, comp bigint, n int, item bigint")
     df = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    # A set's rarest n - ceil(0.75 n) + 1 shingles.
-    ranked = items.join(df, "item").groupBy("class", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item", "lo", "hi"))).alias("all"))
+    ranked = items.join(df.hint("merge"), "item").groupBy("class", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item", "lo", "hi"))).alias("all"))
+    # Of n shingles, a common one after the first n - ceil(0.75 n) + 1 leaves too few.
     prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    rare = cut(ranked.select("class", "comp", "n", F.explode(F.filter(prefix, lambda x: x.lo < x.hi)).alias("x")).select("class", "comp", "n", "x.item"))
-    other = rare.select(F.col("class").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), "item")
-    met = rare.join(other, "item").where((F.col("class") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b")))
+    rare = cut(ranked.select("class", "comp", "n", F.posexplode(prefix).alias("at", "x")).where("x.lo < x.hi").select("class", "comp", "n", "at", "x.item"))
+    other = rare.select(F.col("class").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "item")
+    reach = (100 + PERCENT) * F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= PERCENT * (F.col("n") + F.col("n_b"))
+    met = rare.join(other.hint("merge"), "item").where((F.col("class") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & reach)
     return met.select(F.col("class").alias("a"), "b").distinct()
 
 
-def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between classes that connect all that are similar, and (node, root) of the linked classes."""
     signs = cut(rows.where("signature IS NOT NULL").groupBy("class").agg(F.first("signature").alias("signature")))
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     banded = signs.select("class", F.explode(bands).alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = cut(banded.join(heads, "bucket").where("class <> head"))
-    pairs = cut(members.select(F.col("head").alias("a"), F.col("class").alias("b")).distinct())
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = cut(banded.join(shared.hint("merge"), "bucket"))
+    known = members.groupBy("class").agg(F.sum("n").alias("company"))
+    members = cut(members.join(known, "class").select("bucket", "class", "company"))
+    heads = members.groupBy("bucket").agg(F.max(F.struct("company", "class")).alias("h")).select("bucket", F.col("h.class").alias("head"))
+    members = cut(members.join(heads, "bucket").where("class <> head"))
+    pairs = _ordered(members.select(F.col("head").alias("a"), F.col("class").alias("b")))
+    members = members.drop("head")
     sets = _sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
     confirmed = _verify(pairs, signs, sets)
     found = components(confirmed)
     for turn in range(STARS):
-        members, left = _open(members, found)
-        if left is None:
-            return confirmed, found
+        members = _open(members, found)
+        if members.isEmpty():
+            break
         if turn + 1 < STARS:
-            pairs = members.where("comp <> head_comp AND class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
-            members = members.where("class <> head").select("bucket", "class")
+            members = members.where("class <> head")
+            pairs = members.where("comp <> head_comp").select(F.col("head").alias("a"), F.col("class").alias("b"))
+            members = members.select("bucket", "class", "company")
         else:
-            few = members.where(F.col("n") <= SMALL)
-            pairs = few.select("bucket", F.col("class").alias("a"), F.col("comp").alias("comp_a")).join(few.select("bucket", F.col("class").alias("b"), "comp"), "bucket").where("a < b AND comp <> comp_a").select("a", "b")
-            many = members.where(F.col("n") > SMALL).select("class", "comp").distinct()
-            if not many.isEmpty():
-                pairs = pairs.unionByName(_rare_pairs(many, sets))
-        more = _verify(cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), signs, sets)
-        confirmed = cut(confirmed.unionByName(more))
+            pairs = _rare_pairs(members.select("class", "comp").distinct(), sets)
+        confirmed = cut(confirmed.unionByName(_verify(_ordered(pairs), signs, sets)))
         found = components(confirmed)
     return confirmed, found
 
 
-def _open(members: DataFrame, found: DataFrame) -> tuple[DataFrame, bool | None]:
-    """Members (bucket, class) of buckets that span several components, with components, sizes and a new centre."""
-    known = members.select("bucket", "class").join(found.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("comp"))
-    known = cut(known)
-    state = known.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("class", "comp")).alias("h"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    state = state.select("bucket", "n", F.col("h.class").alias("head"), F.col("h.comp").alias("head_comp"))
-    left = cut(known.join(state, "bucket"))
-    return left, None if left.isEmpty() else True
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that span several components, with their components and a new centre."""
+    placed = members.select("bucket", "class", "company").join(found.withColumnRenamed("node", "class"), "class", "left")
+    placed = cut(placed.select("bucket", "class", "company", F.coalesce("root", "class").alias("comp")))
+    state = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("company", "class", "comp")).alias("h")).where("lo <> hi")
+    return cut(placed.join(state.select("bucket", F.col("h.class").alias("head"), F.col("h.comp").alias("head_comp")), "bucket"))
 
 
 def clustered(docs: DataFrame) -> DataFrame:

@@ -96,7 +96,6 @@ def test_clusters_equal_brute_force(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(map(tuple, neardup.clustered(docs).collect())) == brute(rows)
-    monkeypatch.setattr(neardup, "SMALL", 1)
     monkeypatch.setattr(neardup, "STARS", 1)
     assert sorted(map(tuple, neardup.clustered(docs).collect())) == brute(rows)
 
