@@ -6,6 +6,8 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from metaloom.llm import bpe, mixing, neardup, pii, quality
@@ -47,7 +49,7 @@ STAGES = [("quality", classify), ("near_duplicates", deduplicate), ("pii", redac
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written to the shared folder before the next reads it."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
