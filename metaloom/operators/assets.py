@@ -6,7 +6,7 @@ Column expression over one row, so no step shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions.js import rounded, two_places
@@ -244,6 +244,19 @@ def scored(images: Column, scorers: tuple = ()) -> Column:
     return F.transform(F.array_sort(F.transform(F.transform(images, one), key)), lambda k: k.a)
 
 
+def scored_rows(rows: DataFrame, page: str) -> DataFrame:
+    """The same for a table of candidates (page, at from 0, a): adds score and ord from 0, with windows instead of arrays."""
+    own, same = Window.partitionBy(page), Window.partitionBy(page, "_sig")
+    rows = rows.withColumn("_sig", signature_of(F.col("a.url"))).withColumns({"_n": F.count(F.lit(1)).over(own), "_same": F.count(F.lit(1)).over(same)})
+    a = F.col("a")
+    score, _ = points(a, F.col("at"), F.col("_n"), F.col("_same"))
+    context = (a.metadata.adapter == "redditAdapter") | (a.metadata.originalSource == "redditJsonEndpoint") | a.metadata.redditMediaKind.isNotNull()
+    rows = rows.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), "_reddit": F.max(F.coalesce(context, F.lit(False))).over(own)})
+    first = F.when(F.col("_reddit"), reddit_priority(a)).otherwise(0)
+    order = own.orderBy(first.desc(), F.col("score").desc(), by_source(POINTS, a.source).desc(), area(a).desc(), "at")
+    return rows.withColumn("ord", F.row_number().over(order) - 1).drop("_sig", "_n", "_same", "_reddit")
+
+
 def choice(best: Column) -> Column:
     """Why an image was chosen."""
     known = (F.coalesce(best.width, F.lit(0.0)) != 0) & (F.coalesce(best.height, F.lit(0.0)) != 0)

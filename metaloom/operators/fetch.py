@@ -17,7 +17,7 @@ from metaloom.functions import images, urls
 from metaloom.functions.js import rounded, squashed
 from metaloom.sources.payload import scalar
 
-REDIRECTS, MOST_REDIRECTS, MOST_CHILDREN = (301, 302, 303, 307, 308), 5, 100
+REDIRECTS, MOST_REDIRECTS, MOST_CHILDREN, MOST_BYTES = (301, 302, 303, 307, 308), 5, 100, 2_000_000
 HOP = "struct<from:string,to:string,status:int>"
 
 
@@ -78,6 +78,27 @@ def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS,
     return state
 
 
+def split_by_cache(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of wanted (url, more) that a cache of pages (url, html, final_url, status, content_type) answers, and those to be fetched.
+
+    Both sides are compared by their normalised URLs; an entry without a status counts as 200.
+    """
+    known = cache.select(urls.normalize_url("url").alias("_u"), "html", "final_url", F.coalesce("status", F.lit(200)).alias("status"), "content_type").dropDuplicates(["_u"])
+    asked = wanted.withColumn("_u", urls.normalize_url("url"))
+    return asked.join(known, "_u").drop("_u"), asked.join(known, "_u", "left_anti").drop("_u")
+
+
+def cache_rows(followed: DataFrame) -> DataFrame:
+    """What is to be appended to the cache after follow(): answers that ended without an error."""
+    return followed.where("error IS NULL AND status IS NOT NULL").select(urls.normalize_url("url").alias("url"), F.col("body").alias("html"), "final_url", "status", "content_type", "redirects")
+
+
+def limited(responses: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Responses with bodies above the limit turned into errors."""
+    large = F.octet_length("body") > most_bytes
+    return responses.withColumns({"error": F.when(large, f"Response body exceeds {most_bytes} bytes."), "body": F.when(~F.coalesce(large, F.lit(False)), F.col("body"))})
+
+
 def direct_media(url: Column, content_type: Column, data: Column) -> Column:
     """What is known of a URL that is a picture, video or sound itself, by content type or by extension; null for pages."""
     kind_of, low = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(url)

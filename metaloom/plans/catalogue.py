@@ -365,10 +365,14 @@ _ASSETS = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER
 CASE l_linenumber % 4 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'html' WHEN 2 THEN 'jsonLd' ELSE 'odd' END AS source, l_quantity * 40.0 AS width, 300.0 AS height, l_partkey % 3 AS sig FROM lineitem WHERE l_orderkey % 3 = 0"""
 
 
-def line_assets(spark, d) -> DataFrame:
+def line_asset() -> Column:
     url = text("https://m.example.com/", col("l_partkey") % 3, F.when(col("l_suppkey") % 2 == 0, "-300x200").otherwise(""), ".jpg")
     source = F.get(F.array(*map(F.lit, ("openGraph", "html", "jsonLd", "odd"))), (col("l_linenumber") % 4).cast("int"))
-    one = assets.asset(url, "image", source, width=col("l_quantity") * 40, height=F.lit(300.0))
+    return assets.asset(url, "image", source, width=col("l_quantity") * 40, height=F.lit(300.0))
+
+
+def line_assets(spark, d) -> DataFrame:
+    one = line_asset()
     rows = read(spark, d, "lineitem").where("l_orderkey % 3 = 0")
     sorted_ = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("a"))))
     return rows.groupBy("l_orderkey").agg(F.transform(sorted_, lambda x: x.a).alias("images"))
@@ -391,8 +395,8 @@ _SCORED = f"WITH a AS ({_ASSETS}), c AS (SELECT *, count(*) OVER (PARTITION BY l
 
 @query(_SCORED + " SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) - 1 AS ord, url, source, score FROM s")
 def score_images(spark, d):
-    t = line_assets(spark, d).select("l_orderkey", F.posexplode(assets.scored(col("images"))).alias("ord", "a"))
-    return t.select("l_orderkey", col("ord").cast("bigint").alias("ord"), "a.url", "a.source", "a.score")
+    rows = read(spark, d, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1").alias("at"), line_asset().alias("a"))
+    return assets.scored_rows(rows, "l_orderkey").select("l_orderkey", col("ord").cast("bigint").alias("ord"), "a.url", "a.source", "score")
 
 
 @query(_SCORED + ", b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) AS k FROM s) SELECT l_orderkey, url, score, CAST(same > 1 AS BOOLEAN) AS repeated FROM b WHERE k = 1")

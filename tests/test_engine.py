@@ -138,6 +138,27 @@ def test_fetching(spark):
     assert found[5].error.startswith("Too many redirects") and found[6].error.startswith("No response")
 
 
+def test_ranking_of_rows_equals_ranking_of_arrays(spark):
+    kinds = ("openGraph", "html", "favicon", "adapter", "odd")
+    rows = [(i % 7, i, f"https://e.com/{'logo' if i % 5 == 0 else 'x'}{i % 4}{'-small' if i % 3 else ''}.{('jpg', 'webp', 'gif')[i % 3]}", kinds[i % 5], float(i * 37 % 900), float(i * 53 % 700)) for i in range(120)]
+    df = spark.createDataFrame(rows, "page int, i int, url string, source string, w double, h double").withColumn("a", assets.asset(F.col("url"), "image", F.col("source"), width=F.col("w"), height=F.col("h")))
+    df = df.withColumn("at", F.expr("row_number() OVER (PARTITION BY page ORDER BY i) - 1"))
+    by_rows = assets.scored_rows(df, "page").select("page", "ord", "a.url", "score").collect()
+    arrays = df.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "a"))), lambda x: x.a).alias("images"))
+    by_arrays = arrays.select("page", F.posexplode(assets.scored(F.col("images"))).alias("ord", "a")).select("page", "ord", "a.url", "a.score").collect()
+    assert sorted(map(tuple, by_rows)) == sorted(map(tuple, by_arrays)) and len(by_rows) == 120
+
+
+def test_cache_and_limit(spark):
+    cache = spark.createDataFrame([("https://e.com:443/a#x", "<p>", "https://e.com/a", None, "text/html")], "url string, html string, final_url string, status int, content_type string")
+    hits, misses = fetch.split_by_cache(spark.createDataFrame([(1, "https://E.com/a"), (2, "https://e.com/b")], "id int, url string"), cache)
+    assert [(r.id, r.status) for r in hits.collect()] == [(1, 200)] and [r.id for r in misses.collect()] == [2]
+    large = fetch.limited(spark.createDataFrame([("u", "x" * 50), ("v", None)], "request_url string, body string"), 10).collect()
+    assert [(r.body, r.error is not None) for r in large] == [(None, True), (None, False)]
+    followed = fetch.follow(spark.createDataFrame([("https://e.com/b",)], "url string"), spark.createDataFrame([("https://e.com/b", 200, None, "text/html", "hi")], "request_url string, status int, location string, content_type string, body string"))
+    assert [(r.url, r.html) for r in fetch.cache_rows(followed).collect()] == [("https://e.com/b", "hi")]
+
+
 def test_stream_and_table_function(spark, tmp_path):
     rows = [(i, f"https://e.com/{i}", f"<title>Page {i}</title><img src=/i{i}.png>") for i in range(5)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/in")
