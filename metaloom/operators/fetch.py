@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from metaloom.functions import images, urls
 from metaloom.functions.js import rounded, squashed
+from metaloom.functions.ship import ship
 from metaloom.sources.payload import scalar
 
 REDIRECTS, MOST_REDIRECTS, MOST_CHILDREN, MOST_BYTES = (301, 302, 303, 307, 308), 5, 100, 2_000_000
@@ -49,6 +50,7 @@ def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS,
     One join for each hop; the number of hops is bounded, and only rows that still move take part in a hop's work. With dns every
     hop's target is checked.
     """
+    ship(wanted.sparkSession)
     answers = responses.select(F.col("request_url").alias("_q"), F.col("status").alias("_status"), F.col("location").alias("_location"), F.col("content_type").alias("_type"), F.col("body").alias("_body"))
     state = wanted.withColumns({"final_url": urls.normalize_url("url"), "redirects": F.array().cast(f"array<{HOP}>"), **{c: F.lit(None).cast(k) for c, k in (("status", "int"), ("content_type", "string"), ("body", "string"), ("error", "string"))}})
     state = state.withColumn("error", F.when(F.col("final_url").isNull(), "Invalid or unsupported URL"))
@@ -83,6 +85,7 @@ def split_by_cache(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
 
     Both sides are compared by their normalised URLs; an entry without a status counts as 200.
     """
+    ship(wanted.sparkSession)
     known = cache.select(urls.normalize_url("url").alias("_u"), "html", "final_url", F.coalesce("status", F.lit(200)).alias("status"), "content_type").dropDuplicates(["_u"])
     asked = wanted.withColumn("_u", urls.normalize_url("url"))
     return asked.join(known, "_u").drop("_u"), asked.join(known, "_u", "left_anti").drop("_u")
@@ -215,12 +218,13 @@ def records(wanted: DataFrame, responses: DataFrame, engine=None) -> DataFrame:
     fine = F.when(is_reddit, F.col("status").between(200, 299) & F.col("blocked").isNull() & ((F.col("how") != "reddit:jsonEndpoint") | F.col("_page").isNotNull())).otherwise(F.col("status").isNotNull())
     # The first that is fine, else the last.
     fields = [c for c in got.columns if c not in ("_id", "_n")]
-    best = got.groupBy("_id").agg(F.min_by(F.struct(*fields, F.coalesce(fine, F.lit(False)).alias("fine")), F.when(F.coalesce(fine, F.lit(False)), F.col("_n")).otherwise(100 - F.col("_n"))).alias("b")).select("b.*")
+    tried = F.transform(F.array_sort(F.collect_list(F.struct("_n", "how", F.col("url").alias("at"), "status", "blocked", "error"))), lambda t: t.dropFields("_n"))
+    best = got.groupBy("_id").agg(tried.alias("attempts"), F.min_by(F.struct(*fields, F.coalesce(fine, F.lit(False)).alias("fine")), F.when(F.coalesce(fine, F.lit(False)), F.col("_n")).otherwise(100 - F.col("_n"))).alias("b")).select("attempts", "b.*")
     media = direct_media(F.col("final_url"), F.col("content_type"), F.encode(F.col("body"), "iso-8859-1"))
     best = best.withColumn("media", F.when(F.col("fine") & ~is_reddit, media))
     target = F.when(F.col("how") == "reddit:jsonEndpoint", F.col("asked")).otherwise(F.col("final_url"))
     inputs = best.withColumn("html", F.when(F.col("fine") & F.col("media").isNull(), F.coalesce("_page", "body")))
-    inputs = inputs.select(*keep, "asked", "how", "status", "error", "blocked", "redirects", "media", "fine", target.alias("url"), "html")
+    inputs = inputs.select(*keep, "asked", "attempts", "how", "status", "error", "blocked", "redirects", "media", "fine", target.alias("url"), "html")
     parsed = (engine or Engine()).parse(inputs.withColumnRenamed("error", "fetch_error"))
     dead = ~F.col("fine")
     none = lambda c: F.when(~dead & F.col("media").isNull(), F.col(c))

@@ -7,12 +7,14 @@ them, and the SQL states what must come out from the same columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.functions import images as image_files
 from metaloom.functions import urls
+from metaloom.functions.ship import ship
 from metaloom.operators import adapters, assets, fetch, quality, state, tags
 from metaloom.operators.record import with_media, with_tags
 from metaloom.plans.api import Engine, preview_cards
@@ -27,7 +29,12 @@ def query(sql: str | None = None):
     """Registers a query under its function's name, with the SQL that states its rows."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
         return f

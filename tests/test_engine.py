@@ -132,6 +132,7 @@ def test_fetching(spark):
     assert (found[0].ok, found[0].title, found[0].type, found[0].method, found[0].author.name) == (True, "A post", "social_post", "reddit:jsonEndpoint", "me")
     assert found[0].best_image == "https://preview.redd.it/b.jpg"
     assert (found[1].title, found[1].method) == ("Old page", "reddit:oldReddit")
+    assert [(a.how, a.status, a.blocked) for a in found[1].attempts][:2] == [("reddit:jsonEndpoint", 403, "provider_blocked_request"), ("reddit:oldReddit", 200, None)]
     assert (found[2].ok, found[2].type, found[2].confidence, found[2].method) == (False, "unknown", 0, "reddit:blockedProvider")
     assert (found[3].ok, found[3].title, len(found[3].redirects), found[3].final_url) == (False, "Gone", 1, "https://e.com/page")
     assert (found[4].type, found[4].confidence, found[4].best_image) == ("image", 82, "https://e.com/x.png")

@@ -3,7 +3,7 @@ import struct
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from metaloom.functions import images, js, urls
+from metaloom.functions import http, images, js, urls
 from metaloom.sources import html, payload
 from pyspark.sql import functions as F
 
@@ -88,3 +88,11 @@ def test_picture_sizes():
     vp8x = b"RIFF\0\0\0\0WEBPVP8X" + b"\0" * 8 + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
     vp8l = b"RIFF\0\0\0\0WEBPVP8L" + b"\0" * 5 + (299 | 199 << 14).to_bytes(4, "little")
     assert [images.size_of(b, None) for b in (png, jpeg, vp8x, vp8l, b"", b"x" * 40, png[:20])] == [(640, 480), (64, 48), (100, 50), (300, 200), None, None, None]
+
+
+def test_headers_and_bodies(spark):
+    assert http.request_headers({"Accept": "x"})["accept"] == "x" and len(http.request_headers()) == 14
+    assert http.decoded("é€".encode("cp1252"), 'text/html; charset="ISO-8859-1"') == "é€"
+    assert http.decoded(b"\xef\xbb\xbfa\xff", "text/html; charset=nonsense") == "a\ufffd" and http.decoded(None, None) is None
+    df = spark.createDataFrame([(bytearray("ü".encode("utf-16-le")), "t; charset=utf-16le"), (None, None)], "b binary, t string")
+    assert [r[0] for r in df.select(http.decode_body("b", "t")).collect()] == ["ü", None]
