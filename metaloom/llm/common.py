@@ -34,6 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
 _folders: dict[str, str] = {}
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes what cut() has written so far, once no result that reads it is needed any more."""
+    for base, folder in list(_folders.items()):
+        if base:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            del _folders[base]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder and reads them again, which forgets the plan behind them.
 
