@@ -149,7 +149,8 @@ def with_following(docs: DataFrame) -> DataFrame:
         also = F.when(name.isin(names), F.array(before[F.col("range")])).otherwise(also)
     copies = F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))), F.transform(also, lambda r: F.struct(r.alias("range"), F.lit(True).alias("ghost"))))
     dealt = rows.select(F.explode(copies).alias("to"), "doc_id", "order", "text").select("to.range", "to.ghost", "doc_id", "order", "text")
-    return dealt.repartition("range").sortWithinPartitions("range", "ghost", F.col("doc_id").desc(), "order")
+    # Two ranges for each task on average, so that a task's share doesn't grow with the table.
+    return dealt.repartition(parts // 2 + 1, "range").sortWithinPartitions("range", "ghost", F.col("doc_id").desc(), "order")
 
 
 def edited(docs: DataFrame) -> DataFrame:
