@@ -148,7 +148,7 @@ def order_pages(spark, d) -> DataFrame:
         '<meta property="article:tag" content="', col("o_orderstatus"), '"><meta property="article:tag" content="', col("c_mktsegment"), '"><meta property="article:author" content="', col("c_name"), '">',
         '<script type="application/ld+json">{"@type":"NewsArticle","headline":"Order ', col("o_orderkey"), '","author":{"@type":"Person","name":"', col("c_name"), '"},"dateModified":"', day, '","keywords":"', col("c_mktsegment"), ', extra"}</script>',
     )
-    joined = read(spark, d, "orders").where("o_orderkey % 5 = 0").join(read(spark, d, "customer"), col("o_custkey") == col("c_custkey"))
+    joined = read(spark, d, "orders").join(read(spark, d, "customer"), col("o_custkey") == col("c_custkey"))
     return joined.select("o_orderkey", text("https://news.example.com/o/", col("o_orderkey")).alias("url"), html.alias("html"))
 
 
@@ -251,7 +251,7 @@ def event_pages(spark, d) -> DataFrame:
         '<script>var a=1;window.__INITIAL_STATE__ = {"post":{"title":"Event number ', k, ' of type ', col("event_type"), '","views":"', (k % 1000).cast("int"), ' views","author":{"name":"user', col("user_id"), '"}},"s":"}{"};more()</script>',
         '<script type="application/json" id="props">', col("props"), '</script><script type="application/json">[1]</script><script type="application/json">{bad</script>',
     )
-    return read(spark, d, "events").where("event_id % 10 = 0").select("event_id", text("https://ev.example.com/", k).alias("url"), html.alias("html"))
+    return read(spark, d, "events").select("event_id", text("https://ev.example.com/", k).alias("url"), html.alias("html"))
 
 
 @query("""SELECT event_id, 'initialState:window.__INITIAL_STATE__,initialState:__INITIAL_STATE__,applicationJson:props' AS items, 1 AS n_warnings, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_id % 10 = 0""")
@@ -276,7 +276,7 @@ _LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenu
 def gallery(spark, d) -> DataFrame:
     """One page for each order: a picture for each line, one of three sizes, one lazy copy, and two that are to be dropped."""
     line = text('<img src="/g/', col("l_partkey"), "-", col("l_suppkey"), "-", col("at"), '.jpg" width="', (col("l_quantity") * 10).cast("int"), '" height="200" alt="q">')
-    lines = read(spark, d, "lineitem").where("l_orderkey % 4 = 0").withColumn("at", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1"))
+    lines = read(spark, d, "lineitem").withColumn("at", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1"))
     pages = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(col("at"), line.alias("t")))), lambda x: x.t), "").alias("t"))
     html = text('<link rel="preload" as="image" href="/pre.webp">', col("t"), '<img src="sprite.png"><img data-src="/lazy.jpg" srcset="/s1.jpg 1x, /s2.jpg 2x"><img src="/x.gif" width=1 height=1><picture><source srcset="/p.avif" type="image/avif"></picture><noscript><img src="/ns.png"></noscript>')
     return pages.select("l_orderkey", text("https://g.example.com/o/", col("l_orderkey")).alias("url"), html.alias("html"))
@@ -380,8 +380,8 @@ def line_asset() -> Column:
 
 def line_assets(spark, d) -> DataFrame:
     one = line_asset()
-    rows = read(spark, d, "lineitem").where("l_orderkey % 3 = 0")
-    sorted_ = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", one.alias("a"))))
+    rows = read(spark, d, "lineitem")
+    sorted_ = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", one.alias("a"))))
     return rows.groupBy("l_orderkey").agg(F.transform(sorted_, lambda x: x.a).alias("images"))
 
 
@@ -402,7 +402,7 @@ _SCORED = f"WITH a AS ({_ASSETS}), c AS (SELECT *, count(*) OVER (PARTITION BY l
 
 @query(_SCORED + " SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) - 1 AS ord, url, source, score FROM s")
 def score_images(spark, d):
-    rows = read(spark, d, "lineitem").where("l_orderkey % 3 = 0").select("l_orderkey", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1").alias("at"), line_asset().alias("a"))
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1").alias("at"), line_asset().alias("a"))
     return assets.scored_rows(rows, "l_orderkey").select("l_orderkey", col("ord").cast("bigint").alias("ord"), "a.url", "a.source", "score")
 
 
