@@ -3,9 +3,12 @@
 Documents with equal texts are linked. Linked documents start evenly spread, and in each round every one looks up,
 through a join with its group's counts, the shard that holds most of its group; moves between two shards are
 accepted as swaps of equal numbers, plus as many as the target's quota has room for. Unlinked documents cut no edge
-wherever they go, so they fill the shards to their quotas: the counts differ by one at most. A group of more rows than
-``SMALL`` and 1/``PIECES`` of a shard is split by hash into pieces of about that size, each with its own majority, so that no group
-needs more room than there is and none is gathered in one task.
+wherever they go, so they fill the shards to their quotas: the counts differ by one at most.
+
+An even start leaves a large group (more rows than ``SMALL`` and 1/``PIECES`` of a shard, or than a shard) without a majority, so room
+decides: from the largest on, each goes whole to the shard that it fills most, and is cut only if no shard has room for all of it,
+then into as few parts as there can be. Their number is bounded, so the driver plans them; their rows are ranked in hash buckets, so
+that none is gathered in one task. The rounds then move the other groups within the room that is left.
 
 Slots number each shard's rows from 0. Null texts have size 1 and checksum 0 and are linked with each other, apart from the
 empty text's. Rows that agree in all columns are interchangeable. All of it is DataFrame operations on ids, sizes and hashes.
@@ -13,7 +16,7 @@ empty text's. Rows that agree in all columns are interchangeable. All of it is D
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import buckets_for, cut, ranked, table
@@ -28,17 +31,43 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.concat(F.when(F.isnull("text"), F.lit("n")).otherwise(F.lit("t")), F.md5(text)).alias("g"))
 
 
+def planned(groups: list[tuple[str, int]], room: list[int]) -> list[tuple[str, int, int, int]]:
+    """(group, first rank, rank after the last, shard) for each part of large groups (group, rows); takes their rows off room."""
+    parts = []
+    for g, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+        start = 0
+        while start < n:
+            fits = [j for j, r in enumerate(room) if r >= n - start]
+            j = min(fits, key=lambda j: room[j]) if fits else max(range(len(room)), key=lambda j: room[j])
+            end = min(n, start + room[j])
+            parts.append((g, start, end, j))
+            room[j] -= end - start
+            start = end
+    return parts
+
+
+def dealt(shares: list[int]) -> Column:
+    """The label of the row at _rank when label j takes shares[j] rows, one label after the other."""
+    label = F.lit(len(shares) - 1)
+    for j in reversed(range(len(shares))):
+        label = F.when(F.col("_rank") < sum(shares[: j + 1]), F.lit(j)).otherwise(label)
+    return label.cast("int")
+
+
 def propagate(linked: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Labels of linked rows (g, piece and more), at most quotas[j] of label j.
+    """Labels of linked rows (g and more), at most quotas[j] of label j.
 
     The driver sees the number of rows for each pair of shards, and for each shard.
     """
     shards, n = len(quotas), linked.count()
-    state = cut(ranked(linked, [], _ORDER, "label", buckets_for(n)).withColumn("label", (F.col("label") % shards).cast("int")))
+    start = [n * q // max(1, sum(quotas)) for q in quotas]  # in proportion to the quotas
+    for j in [j for j in range(shards) if start[j] < quotas[j]][: n - sum(start)]:
+        start[j] += 1
+    state = cut(ranked(linked, [], _ORDER, "_rank", buckets_for(n)).withColumn("label", dealt(start)).drop("_rank"))
     for _ in range(rounds):
-        held = state.groupBy("g", "piece", "label").agg(F.count(F.lit(1)).alias("n"))
-        liked = held.groupBy("g", "piece").agg(F.max(F.struct("n", F.xxhash64("g", "piece", "label").alias("tie"), "label")).alias("top")).select("g", "piece", F.col("top.label").alias("to"))
-        state = cut(state.join(liked, ["g", "piece"]))
+        held = state.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+        liked = held.groupBy("g").agg(F.max(F.struct("n", F.xxhash64("g", "label").alias("tie"), "label")).alias("top")).select("g", F.col("top.label").alias("to"))
+        state = cut(state.join(liked, ["g"]))
         flows = {(r.label, r.to): r["count"] for r in state.groupBy("label", "to").count().collect()}
         loads = [sum(c for (a, _), c in flows.items() if a == j) for j in range(shards)]
         quota = {}
@@ -55,7 +84,7 @@ def propagate(linked: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Dat
             state = state.drop("to")
             break
         allowed = F.coalesce(F.create_map(*[F.lit(x) for (i, j), c in quota.items() for x in (i * shards + j, c)])[F.col("label") * shards + F.col("to")], F.lit(0))
-        movers = ranked(state.where("label <> to"), ["label", "to"], ["g", "piece", *_ORDER[:3]], "_rank", buckets_for(n, shards * shards), by=["g", "piece"])
+        movers = ranked(state.where("label <> to"), ["label", "to"], ["g", *_ORDER[:3]], "_rank", buckets_for(n, shards * shards), by=["g"])
         moved = movers.withColumn("label", F.when(F.col("_rank") < allowed, F.col("to")).otherwise(F.col("label"))).drop("_rank")
         state = cut(state.where("label = to").unionByName(moved).drop("to"))
     return state
@@ -67,19 +96,18 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     n = rows.count()
     quotas = [n // shards + (j < n % shards) for j in range(shards)]
     groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    most = max(SMALL, n // (shards * PIECES))
-    pieces = F.ceil(F.col("n") / most).cast("long")
+    most = min(max(SMALL, n // (shards * PIECES)), quotas[-1])
     joined = cut(rows.join(groups, "g", "left"))
-    linked = joined.where("n IS NOT NULL").withColumn("piece", F.pmod(F.xxhash64("doc_id", "size"), pieces)).drop("n")
-    placed = propagate(linked, quotas, rounds).drop("piece")
+    room = list(quotas)
+    parts = planned([(r.g, r.n) for r in groups.where(F.col("n") > most).collect()], room)
+    large = ranked(joined.where(F.col("n") > most).drop("n"), ["g"], _ORDER, "_rank", buckets_for(n))
+    ends = rows.sparkSession.createDataFrame(parts, "g string, _from bigint, _to bigint, label int")
+    large = large.join(F.broadcast(ends), ["g"]).where("_rank >= _from AND _rank < _to").drop("_rank", "_from", "_to")
+    placed = propagate(joined.where(F.col("n") <= most).drop("n"), room, rounds).unionByName(large)
     held = {r.label: r["count"] for r in placed.groupBy("label").count().collect()}
     # The others fill up the quotas, in order of their rank.
     rest = ranked(joined.where("n IS NULL").drop("n"), [], _ORDER, "_rank", buckets_for(n))
-    label, end = F.lit(shards - 1), n
-    for j in reversed(range(shards)):
-        end = sum(quotas[k] - held.get(k, 0) for k in range(j + 1))
-        label = F.when(F.col("_rank") < end, F.lit(j)).otherwise(label)
-    rest = rest.withColumn("label", label.cast("int")).drop("_rank")
+    rest = rest.withColumn("label", dealt([q - held.get(j, 0) for j, q in enumerate(quotas)])).drop("_rank")
     every = cut(placed.unionByName(rest).withColumnRenamed("label", "shard"))
     return ranked(every, ["shard"], _ORDER, "slot", buckets_for(n, shards))
 

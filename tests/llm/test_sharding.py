@@ -45,3 +45,25 @@ def test_odd_rows(spark, tmp_path):
     assert found.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     check(found.collect(), rows)
     assert sharding.sharded(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_large_groups_are_cut_only_where_quotas_demand_it(spark):
+    sizes = {"hot": 1334, **{f"a{k}": 200 for k in range(4)}, **{f"b{k}": 100 for k in range(4)}}  # n/3, n/20 and n/40 of 4000
+    texts = [g for g, n in sizes.items() for _ in range(n)] + [f"pair {k // 2}" for k in range(200)]
+    rows = list(enumerate(texts + [f"alone {k}" for k in range(4000 - len(texts))]))
+    found = sharding.sharded(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    check(found, rows)
+    places = defaultdict(Counter)
+    for x in found:
+        places[rows[x.doc_id][1]][x.shard] += 1
+    assert {g: len(places[g]) for g in sizes} == {g: 3 if g == "hot" else 1 for g in sizes}
+    assert sorted(places["hot"].values()) == [334, 500, 500]
+    assert sum(len(places[f"pair {k}"]) > 1 for k in range(100)) <= 5
+
+
+def test_plan_of_large_groups():
+    room = [500] * 8
+    parts = sharding.planned([(f"g{k}", 400) for k in range(10)], room)
+    assert room == [0] * 8 and sum(b - a for _, a, b, _ in parts) == 4000
+    assert sorted(Counter(g for g, *_ in parts).values()) == [1] * 8 + [4, 4]
+    assert sharding.planned([], [1, 2]) == []
