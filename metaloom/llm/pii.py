@@ -3,8 +3,11 @@
 Base spans (email, ip, card, phone) follow fixed rules and always stay. Beside them the method
 proposes spans that those rules miss: cards and phones inside a longer run of digits, IBANs,
 social security numbers and credentials. Each proposal starts from its kind's prior; a validator
-(Luhn, mod 97, number ranges) raises or rejects it, and words near it raise it further; it is
-accepted from ``ACCEPT``. Offsets count code points, ends are exclusive.
+(Luhn, mod 97, number ranges, a fixed form) raises or rejects it, and words near it raise it further; it is
+accepted from ``ACCEPT``. Checksums, whole international phone numbers and access key ids suffice alone;
+social security numbers, phones without + and opaque words need a context word. A credential that is
+assigned to a name like password has that name as its context word. A proposal that only context lifts gives
+way to the spans it overlaps. Offsets count code points, ends are exclusive.
 
 Nulls count as empty texts, which have no spans. Very long runs cost time in proportion to their length.
 """
@@ -39,6 +42,9 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20?[=:]\x20?[\"']?([A-Za-z0-9+/_.-]{8,})")
 _ACCESS = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
+_NATIONAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\)\x20?|0[0-9]{1,4}[\x20/.-]|[0-9]{3}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,5}(?![\w-])|(?<![\w+.-])[0-9]{10,11}(?![\w-])")
+_NINE = re.compile(r"(?<![\w-])([0-9]{3})(\x20?)([0-9]{2})\2([0-9]{4})(?![\w-])")
+_OPAQUE = re.compile(r"(?<![\w+/.=@:-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}+(?![\w+/=@:]|\.\w)")
 #: Words that raise a proposal of a kind when they stand near it.
 CONTEXT = {
     "card": re.compile(r"(?i)\b(?:card|visa|credit|payment|karte|carte|tarjeta)\b"),
@@ -47,7 +53,8 @@ CONTEXT = {
     "ssn": re.compile(r"(?i)\b(?:ssn|social|security|taxpayer)\b"),
     "secret": re.compile(r"(?i)\b(?:password|secret|token|key|login|credentials?)\b"),
 }
-_PRIOR = {"card": 0.3, "phone": 0.4, "iban": 0.3, "ssn": 0.4, "secret": 0.5}
+_PRIOR = {"card": 0.3, "phone": 0.4, "iban": 0.3, "ssn": 0.3, "secret": 0.4}
+_LIFT = 0.2
 
 
 def luhn(digits: str) -> bool:
@@ -98,12 +105,17 @@ def _place(span: Span) -> tuple[int, int, int]:
     return span[1], _RANK[span[0]], span[2]
 
 
+def _assigned(area: str, group: str, serial: str) -> bool:
+    """Whether the parts of a social security number are in the ranges that are given out."""
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
 def _proposals(text: str, dropped: list[Span]):
-    """(kind, start, end, what its validator adds)."""
+    """(kind, start, end, what its validator adds, whether its own name is a context word)."""
     for kind, start, end in dropped:
         if kind == "phone":
             if m := _NUMBER.match(text, start, end):
-                yield "phone", m.start(), m.end(), 0.2
+                yield "phone", m.start(), m.end(), 0.2, False
         else:
             tokens = [(m.start() + start, m.end() + start) for m in _TOKEN.finditer(text[start:end])]
             sizes = [0, *accumulate(b - a for a, b in tokens)]
@@ -111,31 +123,54 @@ def _proposals(text: str, dropped: list[Span]):
             while i < len(tokens):  # the longest group of whole tokens that starts here
                 best = next((j for j in range(min(len(tokens), bisect_left(sizes, sizes[i] + 20) - 1), i, -1) if 13 <= sizes[j] - sizes[i] <= 19 and luhn("".join(text[a:b] for a, b in tokens[i:j]))), None)
                 if best:
-                    yield "card", tokens[i][0], tokens[best - 1][1], 0.3
+                    yield "card", tokens[i][0], tokens[best - 1][1], 0.3, False
                 i = best or i + 1
     if _DIGIT.search(text):
         for m in _IBAN.finditer(text):
             if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0]):
-                yield "iban", m.start(), m.end(), 0.5
+                yield "iban", m.start(), m.end(), 0.5, False
         for m in _SSN.finditer(text):
-            if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
-                yield "ssn", m.start(), m.end(), 0.2
+            if _assigned(*m.groups()):
+                yield "ssn", m.start(), m.end(), 0.15, False
+        if CONTEXT["phone"].search(text):
+            for m in _NATIONAL.finditer(text):
+                if 9 <= sum(map(len, _TOKEN.findall(m[0]))) <= 12:
+                    yield "phone", m.start(), m.end(), 0.0, False
+        if CONTEXT["ssn"].search(text):
+            for m in _NINE.finditer(text):
+                if _assigned(m[1], m[3], m[4]):
+                    yield "ssn", m.start(), m.end(), 0.05, False
+        if CONTEXT["secret"].search(text):
+            for m in _OPAQUE.finditer(text):
+                yield "secret", m.start(), m.end(), 0.0, False
     if "=" in text or ":" in text:
         for m in _ASSIGNED.finditer(text):
             if _DIGIT.search(m[1]):
-                yield "secret", m.start(1), m.end(1), 0.2
+                yield "secret", m.start(1), m.end(1), 0.0, True
     for m in _ACCESS.finditer(text) if "AKIA" in text else ():
-        yield "secret", m.start(), m.end(), 0.4
+        yield "secret", m.start(), m.end(), 0.4, False
 
 
-def find(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans, and all spans, each in order of place."""
+def scored(text: str) -> tuple[list[Span], dict[Span, float]]:
+    """Base spans in order, and the score of each other span that is accepted."""
     base, dropped = base_spans(text)
-    more = set()
-    for kind, start, end, evidence in _proposals(text, dropped):
+    sure, lifted = {}, {}
+    for kind, start, end, evidence, named in _proposals(text, dropped):
         around = text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]
-        if _PRIOR[kind] + evidence + (0.2 if CONTEXT[kind].search(around) else 0) >= ACCEPT:
-            more.add((kind, start, end))
+        own = _PRIOR[kind] + evidence
+        score = round(own + (_LIFT if named or CONTEXT[kind].search(around) else 0), 2)
+        if score >= ACCEPT:
+            (sure if own >= ACCEPT or named else lifted)[kind, start, end] = score
+    if lifted:
+        taken = sorted({(a, b) for _, a, b in [*base, *sure]})
+        last = [0, *accumulate((b for _, b in taken), max)]  # where the first i of them have ended
+        sure |= {x: score for x, score in lifted.items() if last[bisect_left(taken, (x[2],))] <= x[1]}
+    return base, sure
+
+
+def find(text: str) -> tuple[list[Span], list[Span]]:
+    """Base spans, and all spans, each in order of place."""
+    base, more = scored(text)
     return base, sorted({*base, *more}, key=_place) if more else base
 
 
@@ -154,18 +189,21 @@ def written(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each row of docs: counts and a hash of the base spans, and all spans."""
+    """One row for each row of docs: counts and a hash of the base spans, all spans, and their scores (1 for base spans)."""
 
     def make():
         def run(keys, texts):
-            found = [find(t or "") for t in texts]
+            found = []
+            for base, more in (scored(t or "") for t in texts):
+                scores = dict.fromkeys(base, 1.0)
+                found.append((base, {s: scores.get(s) or more[s] for s in sorted({*base, *more}, key=_place)} if more else scores))
             counts = [[sum(s[0] == kind for s in base) for base, _ in found] for kind in BASE]
-            return [keys, *counts, [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], [written(every) for _, every in found]]
+            return [keys, *counts, [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], [written(every) for _, every in found], [",".join(map(str, every.values())) for _, every in found]]
 
         return run
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_rows(docs.select(id_column, text_column), make, f"{id_column} {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return map_rows(docs.select(id_column, text_column), make, f"{id_column} {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, scores string")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
