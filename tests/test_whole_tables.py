@@ -35,3 +35,12 @@ def test_every_row_of_the_table_counts(spark, oracle, name):
     assert sorted((plain(r[c] for c in columns) for r in rows), key=str) == sorted((plain(r[names.index(c)] for c in columns) for r in q.fetchall()), key=str)
     key = next(c for c in columns if c in ("o_orderkey", "event_id", "l_orderkey"))
     assert {r[key] for r in rows} == {k for (k,) in oracle.execute(f"SELECT DISTINCT {key} FROM {WHOLE[name]}").fetchall()}
+
+
+def test_a_redirect_to_nowhere_is_an_error(spark):
+    found = {r.start: r for r in catalogue.QUERIES["redirect_chain"](spark, DATA).collect()}
+    assert set(found) == set(range(25))
+    assert tuple(found[24]) == (24, None, None, "No response for https://n.example.com/25")
+    sql = catalogue.ORACLES["redirect_chain"]
+    stated = duckdb.connect().execute(f"WITH nation AS (SELECT unnest(range(24)) AS n_nationkey) SELECT * FROM ({sql})").fetchall()
+    assert {tuple(found[k]) for k in range(24)} == {r for r in stated if r[0] < 24}
