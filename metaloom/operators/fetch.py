@@ -48,12 +48,14 @@ def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS,
     """Adds final_url, redirects, status, content_type, body and error to wanted (url, more).
 
     One join for each hop; the number of hops is bounded, and only rows that still move take part in a hop's work. With dns every
-    hop's target is checked.
+    hop's target is checked. Responses may have error, which ends a row when it is reached, and bytes, which are added too.
     """
     ship(wanted.sparkSession)
-    answers = responses.select(F.col("request_url").alias("_q"), F.col("status").alias("_status"), F.col("location").alias("_location"), F.col("content_type").alias("_type"), F.col("body").alias("_body"))
+    data = "bytes" in responses.columns
+    answers = responses.select(F.col("request_url").alias("_q"), F.col("status").alias("_status"), F.col("location").alias("_location"), F.col("content_type").alias("_type"), F.col("body").alias("_body"), (F.col("error") if "error" in responses.columns else F.lit(None).cast("string")).alias("_error"), *([F.col("bytes").alias("_bytes")] if data else []))
     state = wanted.withColumns({"final_url": urls.normalize_url("url"), "redirects": F.array().cast(f"array<{HOP}>"), **{c: F.lit(None).cast(k) for c, k in (("status", "int"), ("content_type", "string"), ("body", "string"), ("error", "string"))}})
     state = state.withColumn("error", F.when(F.col("final_url").isNull(), "Invalid or unsupported URL"))
+    state = state.withColumn("bytes", F.lit(None).cast("binary")) if data else state
     for hop in range(most + 1):
         open_ = F.col("status").isNull() & F.col("error").isNull()
         if dns is not None:
@@ -67,16 +69,18 @@ def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS,
             F.when(F.col("_open") & F.col("_q").isNull(), F.concat(F.lit("No response for "), F.col("final_url")))
             .when(F.col("_moves") & F.col("_location").isNull(), F.concat(F.lit("Redirect response from "), F.col("final_url"), F.lit(" did not include a Location header.")))
             .when(F.col("_moves") & F.lit(hop == most), F.lit(f"Too many redirects. Maximum allowed redirects: {most}."))
+            .when(F.col("_open") & ~F.col("_moves"), F.col("_error"))
         )
         went = F.col("_moves") & failed.isNull()
-        here = F.col("_open") & ~F.col("_moves")
+        here = F.col("_open") & ~F.col("_moves") & failed.isNull()
         step = F.struct(F.col("final_url").alias("from"), F.col("_to").alias("to"), F.col("_status").alias("status"))
         state = joined.withColumns(
             {
                 "error": F.coalesce("error", failed), "redirects": F.when(went, F.concat("redirects", F.array(step))).otherwise(F.col("redirects")), "final_url": F.when(went, F.col("_to")).when(failed.isNotNull(), F.lit(None)).otherwise(F.col("final_url")),
                 "status": F.when(here, F.col("_status")).otherwise(F.col("status")), "content_type": F.when(here, F.col("_type")).otherwise(F.col("content_type")), "body": F.when(here, F.col("_body")).otherwise(F.col("body")),
+                **({"bytes": F.when(here, F.col("_bytes")).otherwise(F.col("bytes"))} if data else {}),
             }
-        ).drop("_q", "_status", "_location", "_type", "_body", "_moves", "_open", "_to")
+        ).drop("_q", "_status", "_location", "_type", "_body", "_error", "_bytes", "_moves", "_open", "_to")
     return state
 
 
@@ -98,8 +102,9 @@ def cache_rows(followed: DataFrame) -> DataFrame:
 
 def limited(responses: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Responses with bodies above the limit turned into errors."""
-    large = F.octet_length("body") > most_bytes
-    return responses.withColumns({"error": F.when(large, f"Response body exceeds {most_bytes} bytes."), "body": F.when(~F.coalesce(large, F.lit(False)), F.col("body"))})
+    texts = [c for c in ("body", "bytes") if c in responses.columns]
+    large = F.greatest(F.lit(0), *[F.octet_length(c) for c in texts]) > most_bytes
+    return responses.withColumns({"error": F.when(large, f"Response body exceeds {most_bytes} bytes."), **{c: F.when(~large, F.col(c)) for c in texts}})
 
 
 def direct_media(url: Column, content_type: Column, data: Column) -> Column:
@@ -197,11 +202,14 @@ def listing_page(body: pd.Series) -> pd.Series:
     return pd.Series([page_of(b) for b in body], dtype=object)
 
 
-def records(wanted: DataFrame, responses: DataFrame, engine=None) -> DataFrame:
+def records(wanted: DataFrame, responses: DataFrame, engine=None, cache: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Records of wanted (url, more) from replayed responses.
 
     Reddit posts are tried as JSON, on the old site and as they are; the first answer with content counts. Blocked and failed
     ones become records without content, pictures, videos and sounds records of themselves; everything else is parsed.
+
+    What a cache (as in split_by_cache, and redirects if it has them) answers counts instead of responses. Bodies above most_bytes
+    are errors. Addresses aren't checked here: guarded() and follow() with dns do that.
     """
     from metaloom.plans.api import Engine
 
@@ -212,7 +220,13 @@ def records(wanted: DataFrame, responses: DataFrame, engine=None) -> DataFrame:
     tries = tries.otherwise(F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("how"), F.col("url").alias("at"))))
     asked = wanted.withColumn("_id", F.monotonically_increasing_id()).select("*", F.explode(F.filter(tries, lambda t: t["at"].isNotNull())).alias("t"))
     asked = asked.select(*keep, "_id", F.col("url").alias("asked"), F.col("t.n").alias("_n"), F.col("t.how").alias("how"), F.col("t.at").alias("url"))
-    got = follow(asked, responses)
+    got = follow(asked, limited(responses, most_bytes))
+    if cache is not None:
+        past = F.col("redirects") if "redirects" in cache.columns else F.lit(None)
+        known = cache.select(urls.normalize_url("url").alias("_u"), F.struct(F.col("html").alias("body"), "final_url", F.coalesce("status", F.lit(200)).alias("status"), "content_type", F.coalesce(past.cast(f"array<{HOP}>"), F.array().cast(f"array<{HOP}>")).alias("redirects")).alias("_c")).dropDuplicates(["_u"])
+        hit = F.col("_c").isNotNull()
+        got = got.withColumn("_u", urls.normalize_url("url")).join(known, "_u", "left")
+        got = got.withColumns({**{c: F.when(hit, F.col(f"_c.{c}")).otherwise(F.col(c)) for c in ("body", "final_url", "status", "content_type", "redirects")}, **{c: F.when(~hit, F.col(c)) for c in ("error", "bytes") if c in got.columns}}).drop("_u", "_c")
     is_reddit = F.col("how").isNotNull()
     got = got.withColumns({"blocked": F.when(is_reddit & F.col("status").isNotNull(), block_reason(F.col("status"), F.col("body"))), "_page": F.when(F.col("how") == "reddit:jsonEndpoint", listing_page("body"))})
     fine = F.when(is_reddit, F.col("status").between(200, 299) & F.col("blocked").isNull() & ((F.col("how") != "reddit:jsonEndpoint") | F.col("_page").isNotNull())).otherwise(F.col("status").isNotNull())
@@ -220,7 +234,7 @@ def records(wanted: DataFrame, responses: DataFrame, engine=None) -> DataFrame:
     fields = [c for c in got.columns if c not in ("_id", "_n")]
     tried = F.transform(F.array_sort(F.collect_list(F.struct("_n", "how", F.col("url").alias("at"), "status", "blocked", "error"))), lambda t: t.dropFields("_n"))
     best = got.groupBy("_id").agg(tried.alias("attempts"), F.min_by(F.struct(*fields, F.coalesce(fine, F.lit(False)).alias("fine")), F.when(F.coalesce(fine, F.lit(False)), F.col("_n")).otherwise(100 - F.col("_n"))).alias("b")).select("attempts", "b.*")
-    media = direct_media(F.col("final_url"), F.col("content_type"), F.encode(F.col("body"), "iso-8859-1"))
+    media = direct_media(F.col("final_url"), F.col("content_type"), F.coalesce(*[F.col("bytes")] * ("bytes" in got.columns), F.encode(F.col("body"), "iso-8859-1")))
     best = best.withColumn("media", F.when(F.col("fine") & ~is_reddit, media))
     target = F.when(F.col("how") == "reddit:jsonEndpoint", F.col("asked")).otherwise(F.col("final_url"))
     inputs = best.withColumn("html", F.when(F.col("fine") & F.col("media").isNull(), F.coalesce("_page", "body")))

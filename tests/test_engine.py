@@ -160,6 +160,18 @@ def test_cache_and_limit(spark):
     assert [(r.url, r.html) for r in fetch.cache_rows(followed).collect()] == [("https://e.com/b", "hi")]
 
 
+def test_records_apply_cache_limit_and_bytes(spark):
+    png, page = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (640).to_bytes(4) + (480).to_bytes(4), "<title>A page</title>"
+    responses = [("https://e.com/big", "text/html", page + "x" * 2_000_000, None), ("https://e.com/x.png", "image/png", None, png), ("https://e.com/y.png", "image/png", None, png + b"x" * 2_000_000)]
+    responses = spark.createDataFrame([(u, 200, None, *r) for u, *r in responses], "request_url string, status int, location string, content_type string, body string, bytes binary")
+    wanted = spark.createDataFrame(list(enumerate(("https://e.com/big", "https://e.com/x.png", "https://e.com/y.png", "https://e.com/kept"))), "id int, url string")
+    cache = spark.createDataFrame([("https://e.com/kept", "<title>Kept</title>", "https://e.com/kept", None, "text/html")], "url string, html string, final_url string, status int, content_type string")
+    found = {r.id: r for r in fetch.records(wanted, responses, cache=cache).select("id", "ok", "title", "type", "completeness", "error").collect()}
+    assert [found[k].error for k in (0, 2)] == ["Response body exceeds 2000000 bytes."] * 2 and not found[0].ok and not found[2].ok
+    assert (found[1].type, found[1].completeness) == ("image", 60)  # its size is read from the bytes
+    assert (found[3].ok, found[3].title, found[3].error) == (True, "Kept", None)
+
+
 def test_stream_and_table_function(spark, tmp_path):
     rows = [(i, f"https://e.com/{i}", f"<title>Page {i}</title><img src=/i{i}.png>") for i in range(5)]
     spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/in")
