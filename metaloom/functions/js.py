@@ -34,9 +34,10 @@ def defined(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
-def to_integer(text: str | None) -> int | None:
+def to_integer(text: str | None) -> float | None:
+    """As a double, which is infinite for very many digits."""
     m = _INTEGER.match(text) if text else None
-    return int(m[1]) if m else None
+    return float(m[1]) if m else None
 
 
 def to_number(text: str | None) -> float | None:

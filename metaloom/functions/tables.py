@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from metaloom.functions.ship import ship
 from metaloom.functions.urls import normalize_url, resolve_url
-from metaloom.sources.pages import scan_page
+from metaloom.sources.pages import safe_page
 
 _FIELDS = ("url", "kind", "source", "type", "width", "height", "alt")
 
@@ -19,7 +19,7 @@ class WebMedia:
     """Media of a page's markup and data, in order."""
 
     def eval(self, html: str, url: str) -> Iterator[tuple]:
-        page = scan_page(url, html) or {}
+        page = safe_page(url, html) or {}
         for part in ("json_images", "dom_images", "json_videos", "dom_videos", "json_audio", "dom_audio"):
             for a in page.get(part) or ():
                 yield tuple(a[f] for f in _FIELDS)

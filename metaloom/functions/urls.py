@@ -86,9 +86,9 @@ def split(url: str) -> tuple[str, str, str, str] | None:
     if (p := re.search(r":([0-9]*)$", place)) and not place.endswith("]"):
         name, colon, port = place[: p.start()], ":", p[1]
     host = _host(name)
-    if host is None or (port and int(port) > 65535):
+    port = port and (port.lstrip("0") or "0")
+    if host is None or len(port) > 5 or (port and int(port) > 65535):
         return None
-    port = str(int(port)) if port else ""
     shown = f"{quote(user, safe='!$%&()*+,-.:_~')}@" * bool(at and user) + host + f":{port}" * bool(port and port != _PORTS[scheme])
     return scheme, shown, _path("/" + path), mark and query and "?" + quote(query, safe=_QUERY)
 

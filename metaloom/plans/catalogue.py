@@ -66,7 +66,7 @@ c AS (SELECT page_id, url, title, regexp_replace(regexp_extract(url, '^https?://
 
 @query(_PAGES + "SELECT page_id, title FROM c")
 def page_title(spark, d):
-    return scan(read(spark, d, "pages")).select("page_id", "title")
+    return scan(read(spark, d, "pages"), ["title"]).select("page_id", "title")
 
 
 @query(_PAGES + "SELECT page_id, url AS final_url, site AS domain FROM c")
@@ -116,7 +116,7 @@ def part_pages(spark, d) -> DataFrame:
 
 
 def tagged(pages: DataFrame) -> DataFrame:
-    return with_tags(scan(pages))
+    return with_tags(scan(pages, ["final_url", "title", "metas", "links"]))
 
 
 @query("SELECT p_partkey, p_name AS title, 'product' AS type, p_brand AS site_name, 2 AS n_titles, CAST(p_retailprice AS VARCHAR) AS price FROM part")
@@ -152,7 +152,7 @@ def order_pages(spark, d) -> DataFrame:
     return joined.select("o_orderkey", text("https://news.example.com/o/", col("o_orderkey")).alias("url"), html.alias("html"))
 
 
-_ORDERS = "FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 = 0"
+_ORDERS = "FROM orders JOIN customer ON o_custkey = c_custkey"
 
 
 @query(f"SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS published, o_orderpriority AS section, o_orderstatus || ',' || c_mktsegment AS tags, c_name AS author {_ORDERS}")
@@ -163,13 +163,13 @@ def og_article(spark, d):
 @query(f"SELECT o_orderkey, 'Order ' || o_orderkey AS headline, c_name AS author, strftime(o_orderdate, '%Y-%m-%d') AS modified, c_mktsegment || ',extra' AS keywords, 'NewsArticle' AS type {_ORDERS}")
 def jsonld_nodes(spark, d):
     n = F.get("jsonld", F.lit(0))
-    return scan(order_pages(spark, d)).select("o_orderkey", n.headline.alias("headline"), F.get(n.authors, 0)["name"].alias("author"), n.modified.alias("modified"), F.array_join(n.keywords, ",").alias("keywords"), F.array_join(n.types, ",").alias("type"))
+    return scan(order_pages(spark, d), ["jsonld"]).select("o_orderkey", n.headline.alias("headline"), F.get(n.authors, 0)["name"].alias("author"), n.modified.alias("modified"), F.array_join(n.keywords, ",").alias("keywords"), F.array_join(n.types, ",").alias("type"))
 
 
 @query("SELECT p_partkey, p_name AS name, p_brand AS brand, CAST(p_partkey AS VARCHAR) AS sku, CAST(p_retailprice AS VARCHAR) AS price, 'EUR' AS currency, 'https://schema.org/InStock' AS availability, '4.5 stars' AS rating, CAST(p_size AS VARCHAR) AS reviews FROM part")
 def jsonld_product(spark, d):
     n = state.node_of("Product")
-    return scan(part_pages(spark, d)).select("p_partkey", n["name"].alias("name"), n.brand["name"].alias("brand"), *[n[k].alias(k) for k in ("sku", "price", "currency", "availability", "rating", "reviews")])
+    return scan(part_pages(spark, d), ["jsonld"]).select("p_partkey", n["name"].alias("name"), n.brand["name"].alias("brand"), *[n[k].alias(k) for k in ("sku", "price", "currency", "availability", "rating", "reviews")])
 
 
 @query("SELECT r_regionkey, 3 + r_regionkey AS n_nodes, CASE WHEN r_regionkey % 2 = 1 THEN 1 ELSE 0 END AS n_warnings, r_name AS organization FROM region")
@@ -177,7 +177,7 @@ def jsonld_graph(spark, d):
     k = col("r_regionkey")
     people = F.array_join(F.transform(F.sequence(F.lit(0), k), lambda i: F.concat(F.lit('{"@type":"Person","name":"p'), i.cast("string"), F.lit('"}'))), ",")
     html = text('<script type="application/ld+json"><!-- {"@graph":[', people, ',5,{"@type":"Organization","name":"', col("r_name"), '"}]} --></script>', F.when(k % 2 == 1, '<script type="application/ld+json">{"a":NaN}</script>').otherwise(""))
-    n = scan(read(spark, d, "region").select("r_regionkey", "r_name", F.lit("https://e.example.com/").alias("url"), html.alias("html")))
+    n = scan(read(spark, d, "region").select("r_regionkey", "r_name", F.lit("https://e.example.com/").alias("url"), html.alias("html")), ["jsonld", "jsonld_warnings"])
     return n.select("r_regionkey", F.size("jsonld").alias("n_nodes"), F.size("jsonld_warnings").alias("n_warnings"), state.node_of("Organization")["name"].alias("organization"))
 
 
@@ -254,23 +254,42 @@ def event_pages(spark, d) -> DataFrame:
     return read(spark, d, "events").select("event_id", text("https://ev.example.com/", k).alias("url"), html.alias("html"))
 
 
-@query("""SELECT event_id, 'initialState:window.__INITIAL_STATE__,initialState:__INITIAL_STATE__,applicationJson:props' AS items, 1 AS n_warnings, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_id % 10 = 0""")
+@query("""SELECT event_id, 'initialState:window.__INITIAL_STATE__,initialState:__INITIAL_STATE__,applicationJson:props' AS items, 1 AS n_warnings, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events""")
 def embedded_items(spark, d):
     named = F.array_join(F.transform("embedded", lambda e: F.concat_ws(":", e.source, e.path)), ",")
     props = F.get(F.filter("embedded", lambda e: e.path == "props"), 0)
-    return scan(event_pages(spark, d)).select("event_id", named.alias("items"), F.size("embedded_warnings").alias("n_warnings"), F.get_json_object(props.json, "$.k").alias("k"))
+    return scan(event_pages(spark, d), ["embedded", "embedded_warnings"]).select("event_id", named.alias("items"), F.size("embedded_warnings").alias("n_warnings"), F.get_json_object(props.json, "$.k").alias("k"))
 
 
-@query("SELECT event_id, 'Event number ' || event_id || ' of type ' || event_type AS title, 'user' || user_id AS author, CAST(event_id % 1000 AS DOUBLE) AS views FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, 'Event number ' || event_id || ' of type ' || event_type AS title, 'user' || user_id AS author, CAST(event_id % 1000 AS DOUBLE) AS views FROM events")
 def embedded_best_string(spark, d):
     from metaloom.functions.js import number_of
 
-    return scan(event_pages(spark, d)).select("event_id", state.best_text("title", "headline", "name").alias("title"), state.first_entity("author")["name"].alias("author"), number_of(state.best_text("viewCount", "views")).alias("views"))
+    return scan(event_pages(spark, d), ["walk"]).select("event_id", state.best_text("title", "headline", "name").alias("title"), state.first_entity("author")["name"].alias("author"), number_of(state.best_text("viewCount", "views")).alias("views"))
+
+
+@query("""SELECT c_custkey, 'T' || c_custkey AS title, CASE WHEN c_custkey % 5 IN (0, 3) THEN 1 ELSE 0 END AS n_nodes, CASE WHEN c_custkey % 5 = 0 THEN chr(65533) || ' x' END AS name, CASE WHEN c_custkey % 5 = 1 THEN 'half ' || chr(65533) END AS state_title,
+CASE WHEN c_custkey % 5 = 4 THEN 1 ELSE 0 END AS n_warnings, CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 0 END AS n_images, CASE WHEN c_custkey % 5 = 2 THEN TRUE END AS endless FROM customer""")
+def hostile_pages(spark, d):
+    """Halves of surrogate pairs, numbers, keys, widths and ports of thousands of digits, and JSON that is nested too deeply."""
+    k = col("c_custkey")
+    nines = "9" * 5000
+    shapes = [
+        '<script type="application/ld+json">{"name":"\\ud800 x"}</script>', f'<script>window.__INITIAL_STATE__ = {{"{nines}":1,"title":"half \\udc00"}}</script>',
+        f'<img src="/a.jpg" width="{nines}"><img src="https://e.example.com:{nines}/b.jpg">', f'<script type="application/ld+json">{{"reviewCount":{nines}}}</script>', f'<script type="application/ld+json">{"[" * 100_000}</script>',
+    ]
+    html = text("<title>T", k, "</title>", F.get(F.array(*map(F.lit, shapes)), (k % 5).cast("int")))
+    pages = read(spark, d, "customer").select("c_custkey", F.lit("https://e.example.com/").alias("url"), html.alias("html"))
+    image = F.get("dom_images", F.lit(0))
+    return scan(pages, ["title", "jsonld", "jsonld_warnings", "walk", "dom_images"]).select(
+        "c_custkey", "title", F.size("jsonld").alias("n_nodes"), F.get("jsonld", F.lit(0))["name"].alias("name"), state.best_text("title").alias("state_title"),
+        F.size("jsonld_warnings").alias("n_warnings"), F.size("dom_images").alias("n_images"), (image.width == float("inf")).alias("endless"),
+    )
 
 
 # ---- media in markup ---------------------------------------------------------------------------------------------------
 
-_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem WHERE l_orderkey % 4 = 0"
+_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos FROM lineitem"
 
 
 def gallery(spark, d) -> DataFrame:
@@ -287,7 +306,7 @@ SELECT l_orderkey, 0 AS ord, 'https://g.example.com/pre.webp' AS url, CAST(NULL
 UNION ALL SELECT l_orderkey, 1 + pos, 'https://g.example.com/g/' || l_partkey || '-' || l_suppkey || '-' || pos || '.jpg', floor(l_quantity * 10), 'img' FROM l
 UNION ALL SELECT l_orderkey, 1 + n + k, 'https://g.example.com/' || f, NULL, o FROM n, (VALUES (0, 'lazy.jpg', 'img'), (1, 's1.jpg', 'img'), (2, 's2.jpg', 'img'), (3, 'p.avif', 'picture.source'), (4, 'ns.png', 'noscript')) v(k, f, o)""")
 def image_candidates(spark, d):
-    t = scan(gallery(spark, d)).select("l_orderkey", F.posexplode("dom_images").alias("ord", "a"))
+    t = scan(gallery(spark, d), ["dom_images"]).select("l_orderkey", F.posexplode("dom_images").alias("ord", "a"))
     return t.select("l_orderkey", "ord", "a.url", "a.width", col("a.metadata.discoveredFrom").alias("origin"))
 
 
@@ -296,7 +315,7 @@ def image_candidates(spark, d):
 def video_audio_candidates(spark, d):
     k = col("p_partkey")
     html = text('<video data-src="/a', k, '.mp4" poster="/p.jpg" width=640><source src="/b.webm" type="video/webm"></video><audio><source src="/s', k, '.mp3" type="audio/mpeg"></audio><iframe src="https://player.example.com/', k, '"><img src="/no.jpg"></iframe><iframe src="/other"></iframe>')
-    t = scan(read(spark, d, "part").select("p_partkey", F.lit("https://v.example.com/x").alias("url"), html.alias("html")))
+    t = scan(read(spark, d, "part").select("p_partkey", F.lit("https://v.example.com/x").alias("url"), html.alias("html")), ["dom_videos", "dom_audio"])
     both = [t.select("p_partkey", F.lit(kind).alias("kind"), F.posexplode(c).alias("ord", "a")).select("p_partkey", "kind", "ord", "a.url", "a.type") for kind, c in (("video", "dom_videos"), ("audio", "dom_audio"))]
     return both[0].unionByName(both[1])
 
@@ -368,8 +387,8 @@ def reddit_url_parts(spark, d):
 
 # ---- assets: merging and ranking ---------------------------------------------------------------------------------------
 
-_ASSETS = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, 'https://m.example.com/' || (l_partkey % 3) || CASE WHEN l_suppkey % 2 = 0 THEN '-300x200' ELSE '' END || '.jpg' AS url,
-CASE l_linenumber % 4 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'html' WHEN 2 THEN 'jsonLd' ELSE 'odd' END AS source, l_quantity * 40.0 AS width, 300.0 AS height, l_partkey % 3 AS sig FROM lineitem WHERE l_orderkey % 3 = 0"""
+_ASSETS = """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos, 'https://m.example.com/' || (l_partkey % 3) || CASE WHEN l_suppkey % 2 = 0 THEN '-300x200' ELSE '' END || '.jpg' AS url,
+CASE l_linenumber % 4 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'html' WHEN 2 THEN 'jsonLd' ELSE 'odd' END AS source, l_quantity * 40.0 AS width, 300.0 AS height, l_partkey % 3 AS sig FROM lineitem"""
 
 
 def line_asset() -> Column:
@@ -469,8 +488,8 @@ def text_quality(spark, d):
 # ---- fetching ----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS k, n_nationkey + 1 AS nxt FROM nation WHERE n_nationkey < 24 AND n_nationkey % 8 <> 7), w AS (SELECT n_nationkey AS start, n_nationkey AS pos, 0 AS hops FROM nation WHERE n_nationkey < 24 UNION ALL SELECT start, nxt, hops + 1 FROM w JOIN e ON pos = k WHERE hops < 6),
-l AS (SELECT start, max(hops) AS hops, max(pos) AS pos FROM w GROUP BY 1) SELECT start, CASE WHEN hops > 5 THEN NULL ELSE 'https://n.example.com/' || pos END AS final_url, CASE WHEN hops > 5 THEN NULL ELSE hops END AS hops, CASE WHEN hops > 5 THEN 'Too many redirects. Maximum allowed redirects: 5.' END AS error FROM l""")
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS k, n_nationkey + 1 AS nxt FROM nation WHERE n_nationkey % 8 <> 7), w AS (SELECT n_nationkey AS start, n_nationkey AS pos, 0 AS hops FROM nation UNION ALL SELECT start, nxt, hops + 1 FROM w JOIN e ON pos = k WHERE hops < 6),
+l AS (SELECT start, max(hops) AS hops, max(pos) AS pos FROM w GROUP BY 1) SELECT start, CASE WHEN hops <= 5 AND n_nationkey IS NOT NULL THEN 'https://n.example.com/' || pos END AS final_url, CASE WHEN hops <= 5 AND n_nationkey IS NOT NULL THEN hops END AS hops, CASE WHEN hops > 5 THEN 'Too many redirects. Maximum allowed redirects: 5.' WHEN n_nationkey IS NULL THEN 'No response for https://n.example.com/' || pos END AS error FROM l LEFT JOIN nation ON n_nationkey = pos""")
 def redirect_chain(spark, d):
     n = read(spark, d, "nation")
     k = col("n_nationkey")

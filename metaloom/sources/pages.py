@@ -6,16 +6,17 @@ scan() adds the columns of SCAN to (page_id, url, html). A row whose URL can't b
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from metaloom.functions.batches import pieces
 from metaloom.functions.js import squash, text_score
 from metaloom.functions.ship import ship
 from metaloom.functions.urls import resolve
-from metaloom.sources.html import elements
+from metaloom.sources.html import Element, elements
 from metaloom.sources.media import ASSET, in_payload, markup
 from metaloom.sources.payload import compact, embedded, entities_of, entity_of, field_score, joined, keywords_of, linked_data, record_of, text_of, texts_of, types_of, walk
 from metaloom.sources.sites import SITE, site_facts
@@ -33,6 +34,7 @@ SCAN = (
     f"dom_images array<{ASSET}>, dom_videos array<{ASSET}>, dom_audio array<{ASSET}>, json_images array<{ASSET}>, json_videos array<{ASSET}>, json_audio array<{ASSET}>, "
     f"jsonld array<{NODE}>, jsonld_warnings array<string>, embedded array<struct<source:string,path:string,json:string>>, embedded_warnings array<string>, walk array<{WALK}>, site {SITE}"
 )
+COLUMNS = tuple(re.findall(r"(?:^|, )([a-z_]+) (?:string|array|struct)", SCAN))
 #: Keys whose values fields are made of: equal, or (for people and organisations, and for sites) contained or at the end.
 _EQUAL = frozenset(
     "canonicalurl canonical permalink pageurl shareurl title headline pagetitle ogtitle name description excerpt summary subtitle ogdescription sitename site_name appname applicationname posttitle pintitle "
@@ -76,50 +78,120 @@ def _walked(items: list[tuple[str, str | None, dict]], base: str) -> Iterator[di
                 }
 
 
-def scan_page(url: str | None, html: str | None) -> dict | None:
+#: Columns that need linked data, application data and both.
+_NODES, _ITEMS = ("jsonld", "jsonld_warnings"), ("embedded", "embedded_warnings", "walk")
+_JSON_MEDIA = {"json_images": "image", "json_videos": "video", "json_audio": "audio"}
+_MARKUP = ("dom_images", "dom_videos", "dom_audio")
+
+
+def scan_page(url: str | None, html: str | None, wanted: Container[str] = COLUMNS) -> dict | None:
+    """The wanted columns of a page; None for a URL that can't be used."""
     base = resolve(url)
     if base is None:
         return None
     found = elements(html or "")
-    title = squash(next((e.text for e in found if e.tag == "title"), None))
-    metas, links = [], []
+    page: dict = {"final_url": base}
+    if "title" in wanted:
+        page["title"] = squash(next((e.text for e in found if e.tag == "title"), None))
+    if "metas" in wanted:
+        page["metas"] = list(_metas(found, base))
+    if "links" in wanted:
+        page["links"] = list(_links(found, base))
+    both = "site" in wanted or any(c in wanted for c in _JSON_MEDIA)
+    nodes: list[dict] = []
+    items: list[tuple[str, str | None, dict]] = []
+    scripts = [(e.get("type") or "", e.get("id"), e.text) for e in found if e.tag == "script"]
+    if both or any(c in wanted for c in _NODES):
+        nodes, page["jsonld_warnings"] = linked_data([(t, x) for t, _, x in scripts])
+    if both or any(c in wanted for c in _ITEMS):
+        items, page["embedded_warnings"] = embedded(scripts)
+    if "jsonld" in wanted:
+        page["jsonld"] = [_node(n, base) for n in nodes]
+    if "embedded" in wanted:
+        page["embedded"] = [{"source": s, "path": p, "json": compact(d)} for s, p, d in items]
+    if "walk" in wanted:
+        page["walk"] = list(_walked(items, base))
+    if "site" in wanted:
+        page["site"] = site_facts(base, nodes, items)
+    for c, kind in _JSON_MEDIA.items():
+        if c in wanted:
+            page[c] = in_payload(nodes, items, kind, base) if nodes or items else []
+    if any(c in wanted for c in _MARKUP):
+        page |= zip(_MARKUP, markup(found, base), strict=True)
+    return page
+
+
+def _metas(found: list[Element], base: str) -> Iterator[dict]:
     for e in found:
         if e.tag == "meta" and e.get("content"):
             m = {k: squash(e.get(k)) for k in ("name", "property", "itemprop", "content")}
             if m["content"]:
                 m["resolved"] = resolve(m["content"], base) if _MEDIA_META.match(m["property"] or "") or _MEDIA_META.match(m["name"] or "") else None
-                metas.append(m)
-        elif e.tag == "link" and (rel := squash(e.get("rel"))) and (href := squash(e.get("href"))):
-            links.append({"rel": rel.lower().split(), "rel_text": rel.lower(), "href": href, "resolved": resolve(href, base), **{k: squash(e.get(k)) for k in ("type", "title", "hreflang", "sizes")}})
-    scripts = [(e.get("type") or "", e.get("id"), e.text) for e in found if e.tag == "script"]
-    nodes, warnings = linked_data([(t, x) for t, _, x in scripts])
-    items, more = embedded(scripts)
-    images, videos, sounds = markup(found, base)
-    json_media = {k: in_payload(nodes, items, k, base) if nodes or items else [] for k in ("image", "video", "audio")}
-    return {
-        "final_url": base, "title": title, "metas": metas, "links": links, "dom_images": images, "dom_videos": videos, "dom_audio": sounds, "json_images": json_media["image"], "json_videos": json_media["video"],
-        "json_audio": json_media["audio"], "jsonld": [_node(n, base) for n in nodes], "jsonld_warnings": warnings, "embedded": [{"source": s, "path": p, "json": compact(d)} for s, p, d in items], "embedded_warnings": more,
-        "walk": list(_walked(items, base)), "site": site_facts(base, nodes, items),
-    }
+                yield m
+
+
+def _links(found: list[Element], base: str) -> Iterator[dict]:
+    for e in found:
+        if e.tag == "link" and (rel := squash(e.get("rel"))) and (href := squash(e.get("href"))):
+            yield {"rel": rel.lower().split(), "rel_text": rel.lower(), "href": href, "resolved": resolve(href, base), **{k: squash(e.get(k)) for k in ("type", "title", "hreflang", "sizes")}}
+
+
+def unread(url: str | None, error: Exception) -> dict:
+    """What stands for a page that can't be read: empty, with a warning."""
+    empty: dict = dict.fromkeys(COLUMNS, []) | dict.fromkeys(("final_url", "title", "site"))
+    try:
+        empty["final_url"] = resolve(url)
+    except Exception:  # noqa: BLE001
+        pass
+    return empty | {"jsonld_warnings": [f"Could not read page: {type(error).__name__}"]}
+
+
+def safe_page(url: str | None, html: str | None, wanted: Container[str] = COLUMNS) -> dict | None:
+    """scan_page(), with a warning instead of an error."""
+    try:
+        return scan_page(url, html, wanted)
+    except Exception as e:  # noqa: BLE001
+        return unread(url, e)
+
 
+def scan(pages: DataFrame, columns: Iterable[str] | None = None, rows_per_batch: int = 256) -> DataFrame:
+    """pages has url and html, and whatever else is to be kept; columns are those of SCAN that are wanted, all by default.
 
-def scan(pages: DataFrame, rows_per_batch: int = 256) -> DataFrame:
-    """pages has url and html, and whatever else is to be kept. Batches are small, as a page can hold megabytes."""
+    Catalyst can't see what Python needs, so what isn't wanted must be said: linked data, application data, media and walks are
+    only read for columns that hold them. Batches are worked through in small pieces, as a page can hold megabytes. A page that can't
+    be read becomes a row without content and with a warning, and never fails the others.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = pages.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
     kept = [f for f in pages.schema if f.name != "html"]
-    schema = StructType([*kept, *_schema(spark)])
+    schema = StructType([*kept, *(f for f in _schema(spark) if columns is None or f.name in columns)])
     arrow = to_arrow_schema(schema)
     made = arrow.names[len(kept) :]
+    wanted = frozenset(made)
+
+    def column(rows: list[dict], name: str) -> pa.Array:
+        return pa.array([r[name] for r in rows], arrow.field(name).type)
+
+    def arrays(urls: list[str | None], rows: list[dict]) -> list[pa.Array]:
+        try:
+            return [column(rows, c) for c in made]
+        except Exception:  # noqa: BLE001
+            for i, r in enumerate(rows):  # a row with a value that no column can hold
+                try:
+                    for c in made:
+                        column([r], c)
+                except Exception as e:  # noqa: BLE001
+                    rows[i] = unread(urls[i], e)
+            return [column(rows, c) for c in made]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [scan_page(u, h) or dict.fromkeys(made) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)]
-            columns = [batch.column(f.name) for f in kept] + [pa.array([r[c] for r in rows], arrow.field(c).type) for c in made]
-            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+        for whole in batches:
+            for batch in pieces(whole, rows_per_batch):
+                urls = batch.column("url").to_pylist()
+                rows = [safe_page(u, h, wanted) or dict.fromkeys(made) for u, h in zip(urls, batch.column("html").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + arrays(urls, rows), names=arrow.names)
 
     return pages.mapInArrow(run, schema)
 

@@ -25,6 +25,7 @@ ASSIGNED = {
 _OPENING = re.compile(r"=\s*[\[{]")
 _SIGNS = {k: re.compile(rf'[{re.escape(k)}"]') for k in ("{}", "[]")}
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*+"', re.S)
+_SURROGATE, _ESCAPED = re.compile("[\ud800-\udfff]"), re.compile(r"\\u[dD][89a-fA-F]")
 _GENERIC = re.compile(r"^(home|login|index|untitled)$", re.I)
 
 
@@ -32,12 +33,41 @@ def _no_constant(name: str):
     raise ValueError(f"Unexpected token {name}")
 
 
+def _integer(digits: str) -> int | float:
+    """Numbers are doubles; those of many digits may be infinite."""
+    return int(digits) if len(digits) < 300 else float(digits)
+
+
+def whole(value):
+    """The value with U+FFFD for halves of surrogate pairs, which no UTF-8 text can hold."""
+    if isinstance(value, str):
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if _SURROGATE.search(value) else value
+    if isinstance(value, list):
+        return [whole(v) for v in value]
+    if isinstance(value, dict):
+        return {whole(k): whole(v) for k, v in value.items()}
+    return value
+
+
 def parse(text: str):
-    return json.loads(text, parse_constant=_no_constant)
+    value = json.loads(text, parse_constant=_no_constant, parse_int=_integer)
+    return whole(value) if _ESCAPED.search(text) else value
 
 
 def compact(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    """As JSON; numbers that aren't finite become null."""
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"), allow_nan=False)
+    except ValueError:
+        return json.dumps(_finite(value), ensure_ascii=False, separators=(",", ":"))
+
+
+def _finite(value):
+    if isinstance(value, list):
+        return [_finite(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _finite(v) for k, v in value.items()}
+    return None if isinstance(value, float) and not isfinite(value) else value
 
 
 def cleaned(text: str | None) -> str:
@@ -136,7 +166,7 @@ def embedded(scripts: list[tuple[str, str | None, str]]) -> tuple[list[tuple[str
 def entries(record: dict) -> list[tuple[str, object]]:
     """Keys that are whole numbers come first, ascending."""
     if any(k.isdigit() for k in record):
-        numbers = [k for k in record if k.isascii() and k.isdigit() and str(int(k)) == k and int(k) < 2**32 - 1]
+        numbers = [k for k in record if k.isascii() and k.isdigit() and len(k) <= 10 and str(int(k)) == k and int(k) < 2**32 - 1]
         return [(k, record[k]) for k in sorted(numbers, key=int)] + [(k, v) for k, v in record.items() if k not in set(numbers)]
     return list(record.items())
 
