@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import cut, small_batches, table
+from metaloom.functions.ship import ship
+from metaloom.llm.common import cut, table
 
 K, QUERY_EVERY = 10, 100
 SHARD_ROWS, DEGREE, BEAM, BUILD_BEAM, ALPHA, BATCH, BLOCK = 4000, 24, 48, 48, 1.2, 128, 512
@@ -147,7 +148,7 @@ def clean(vectors: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of vectors to each of queries, both from clean()."""
-    small_batches(vectors.sparkSession)
+    ship(vectors.sparkSession)
     # The k + 1 smallest ids of each distinct vector, first within salted parts of its copies.
     salted = Window.partitionBy("h", "v", "salt").orderBy("vec_id")
     final = Window.partitionBy("h", "v").orderBy("vec_id")

@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metaloom.functions.batches import pieces
 from metaloom.functions.ship import ship
 
-#: Rows of an Arrow batch, and the bytes after which a batch ends early.
+#: Rows and bytes of text that a Python function gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Rows of a bucket of ranked() and running(), on average.
+BUCKET_ROWS = 20_000
 #: Words as the contracts define them: runs of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BREAKS = " \t\n\x0b\f\r"
@@ -26,21 +29,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A folder of this application below the checkpoint folder, which all executors share; its tables are done with when it ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # only in tests
-        base = _folders.setdefault("", tempfile.mkdtemp(prefix="metaloom-"))
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        base = _folders.setdefault("", tempfile.mkdtemp(prefix="metaloom-"))  # one machine
     return _folders.setdefault(base, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
 
 
 _folders: dict[str, str] = {}
+_tables: list[tuple[str, DataFrame]] = []
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Deletes what cut() has written so far, once no result that reads it is needed any more."""
     for base, folder in list(_folders.items()):
         if base:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, folder)
             del _folders[base]
+    _tables.clear()
+
+
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_tables)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables that cut() has written since a mark(), but for those in keep (as cut() returned them)."""
+    kept = [(path, df) for path, df in _tables[since:] if any(df is k for k in keep)]
+    for path, df in _tables[since:]:
+        if not any(df is k for k in keep):
+            delete(spark, path)
+    _tables[since:] = kept
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,14 +77,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch can hold, for tables with very long texts, and sends the package to executors."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _tables.append((path, found))
+    return found
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str) -> DataFrame:
@@ -67,14 +88,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list]], schema: str
     make() returns a function of the batch's columns (as Python lists, in df's order) that returns
     the lists of the result's columns. Only the columns in df cross to Python.
     """
-    small_batches(df.sparkSession)
+    ship(df.sparkSession)
     arrow = pa.schema([(f.name, _arrow(f.dataType.simpleString())) for f in df.sparkSession.createDataFrame([], schema).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
-            f = f or make()
-            if batch.num_rows:
+        for whole in batches:
+            for batch in pieces(whole, BATCH_ROWS, BATCH_BYTES):
+                f = f or make()
                 made = f(*(c.to_pylist() for c in batch.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, arrow.types, strict=True)], schema=arrow)
 
@@ -93,40 +114,43 @@ def fold(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int, by: list[str] | None = None) -> DataFrame:
-    """Adds the gapless rank from 0 of each row among those that share keys, without bringing a key's rows into one task.
+def running(df: DataFrame, keys: list[str], order: list[str], weight: Column, name: str, buckets: int, by: list[str] | None = None) -> DataFrame:
+    """Adds the sum of weight over the rows before each row, among those that share keys, without bringing a key's rows into one task.
 
     Rows are dealt into hash buckets of by (the order columns by default; keys aren't null); a bucket's rows are
-    numbered in order and start after the rows of the key's earlier buckets. Rows that agree in keys and order
+    summed up in order and start after the rows of the key's earlier buckets. Rows that agree in keys and order
     are interchangeable. buckets bounds the offsets to as many rows for each key.
     """
-    spread = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(name), *(by or order)), F.lit(buckets)))
-    counts = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    spread = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(name), *(by or order)), F.lit(buckets))).withColumn("_w", weight.cast("long"))
+    start = before(spread.groupBy(*keys, "_b").agg(F.sum("_w").alias("_n")), keys, "_b", "_n", "_start")
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        spread.withColumn("_i", F.row_number().over(inside) - 1)
-        .join(starts, [*keys, "_b"])
+        spread.withColumn("_i", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
+        .join(start.drop("_n"), [*keys, "_b"])
         .withColumn(name, (F.col("_start") + F.col("_i")).cast("long"))
-        .drop("_b", "_i", "_start")
+        .drop("_b", "_i", "_start", "_w")
     )
 
 
+def before(sums: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of value over the rows before each row of a table of pre-aggregated sums."""
+    window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0)))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets: int, by: list[str] | None = None) -> DataFrame:
+    """Adds the gapless rank from 0 of each row among those that share keys (see running())."""
+    return running(df, keys, order, F.lit(1), name, buckets, by)
+
+
 def buckets_for(rows: int, keys: int = 1) -> int:
-    """Buckets of about 20,000 rows for ranked()."""
-    return max(16, min(1 << 16, rows // (20_000 * keys)))
+    """Buckets of about BUCKET_ROWS rows for ranked(), whatever the number of rows."""
+    return max(16, rows // (BUCKET_ROWS * keys))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds each row's rank from 0 in a total order, by sorted ranges; df is written out once."""
     ranges = cut(df.orderBy(*order).withColumn("_p", F.spark_partition_id()))
-    sizes = ranges.groupBy("_p").count().collect()  # a row for each partition
-    starts, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["_p"]):
-        starts[r["_p"]] = total
-        total += r["count"]
-    if not starts:
-        return ranges.withColumn(name, F.lit(0).cast("long")).drop("_p")
-    start = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col("_p")]
-    return ranges.withColumn(name, (start + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).cast("long")).drop("_p")
+    start = before(ranges.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")), [], "_p", "_n", "_start")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranges.withColumn("_i", inside).join(start, "_p").withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_p", "_n", "_start", "_i")

@@ -24,7 +24,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import map_rows, small_batches, table
+from metaloom.functions.ship import ship
+from metaloom.llm.common import map_rows, table
 
 STRONG, LANES, WINDOW = 16, 256, 12
 #: Rows of one range of doc_ids, and the most ranges; a range is worked through in order, one row at a time.
@@ -155,7 +156,7 @@ def with_following(docs: DataFrame) -> DataFrame:
 
 def edited(docs: DataFrame) -> DataFrame:
     """The fingerprint of every row of docs (doc_id, text), and of its text edited with the next row's by descending doc_id."""
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

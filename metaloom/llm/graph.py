@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import cut
+from metaloom.llm.common import cut, mark, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     followed to their ends by doubling, and links between different ends remain. A round merges every smallest
     node's neighbours into it, so few rounds remain even for chains and stars.
     """
+    since = mark()
     links = cut(links.where("a <> b").select("a", "b").distinct())
     found = None
     while not links.isEmpty():
@@ -31,4 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         moved = links.join(to, F.col("a") == F.col("_from")).select(F.col("_to").alias("a"), "b")
         moved = moved.join(to, F.col("b") == F.col("_from")).select("a", F.col("_to").alias("b"))
         links = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
+    if found is None:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = cut(found)
+    release(found.sparkSession, since, found)
+    return found

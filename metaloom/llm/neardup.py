@@ -24,10 +24,10 @@ import hashlib
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import cut, map_rows, table
+from metaloom.llm.common import WORD, cut, map_rows, mark, release, table
 from metaloom.llm.graph import components
 
 WIDTH, PERCENT, ROWS, BANDS, BATCH, MISS = 5, 75, 6, 50, 30, 1e-6
@@ -90,8 +90,10 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (low >> np.uint32(3)).astype(np.uint16)
 
 
-def class_of(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(found: np.ndarray) -> tuple[int, int]:
+    """A set's name, and as much again of its digest, by which sets of one name are told apart."""
+    made = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    return int.from_bytes(made[:8], "little", signed=True), int.from_bytes(made[8:], "little", signed=True)
 
 
 def least_matches() -> list[int]:
@@ -127,27 +129,50 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (null for an empty set) and, on one row of each class in a task, its signature."""
+#: A row of documents: two rows that agree in these are equal in id and text.
+_ROW = ["doc_id", "t1", "t2"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds two independent 64-bit hashes of the text, which with doc_id say which row is meant."""
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["t1"] == b["t1"]) & (a["t2"] == b["t2"])
+
+
+def described(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, class, name and proof (null for an empty set) and, on one row of each class in a task, its signature.
+
+    A class is a set; its number is the name, the first bits of the digest. Where sets of different proofs share a name (at 10^10
+    sets some will) the numbers are made anew from both.
+    """
 
     def make():
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
+        cutoff = (1 << bits - 1) - 1
 
-        def run(keys, texts):
-            sizes, classes, signs = [], [], []
+        def run(keys, first, second, texts):
+            sizes, names, proofs, signs = [], [], [], []
             for text in texts:
                 found = shingles(text)
                 c = class_of(found) if len(found) else None
                 sizes.append(len(found))
-                classes.append(c)
+                names.append(c and (c[0] if bits == 64 else c[0] & cutoff))
+                proofs.append(c and c[1])
                 signs.append(None if c is None or c in seen else signature(found).tobytes())
-                if len(seen) < 1 << 18:
+                if c and len(seen) < 1 << 18:
                     seen.add(c)
-            return [keys, sizes, classes, signs]
+            return [keys, first, second, sizes, names, proofs, signs]
 
         return run
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_shingles bigint, class bigint, signature binary")
+    rows = cut(map_rows(_keyed(docs.select("doc_id", "text")).select(*_ROW, "text"), make, "doc_id bigint, t1 bigint, t2 bigint, n_shingles bigint, name bigint, proof bigint, signature binary"))
+    clash = rows.where("name IS NOT NULL").groupBy("name").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo <> hi").select("name")
+    if clash.isEmpty():
+        return rows.withColumn("class", F.col("name"))
+    return cut(rows.join(clash.withColumn("_c", F.lit(True)), "name", "left").withColumn("class", F.when(F.col("_c"), F.xxhash64("name", "proof")).otherwise(F.col("name"))).drop("_c"))
 
 
 def _verify(pairs: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,26 +200,29 @@ def _verify(pairs: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(map_rows(joined.select("a", "b", "xa", "xb"), confirm, "a bigint, b bigint"))
 
 
-def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of wanted classes, made again from the text of one of each class's rows."""
-    low = -(1 << 63)
-    key = F.coalesce("doc_id", F.lit(low)).alias("key")
-    chosen = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(low))).alias("key")).join(wanted, "class")
-    texts = docs.select(key, "text").join(chosen, "key")
+def _sets(docs: DataFrame, signs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of wanted classes, made again from the text of the row that stands for each."""
+    chosen = signs.join(wanted, "class").select("class", "proof", *_ROW)
+    keyed = _keyed(docs.select("doc_id", "text"))
+    texts = keyed.join(chosen, _same_row(keyed, chosen)).select("class", "proof", "text")
 
     def make():
-        def run(classes, texts):
+        seen: set[int] = set()
+
+        def run(classes, proofs, texts):
             out: tuple[list, list] = ([], [])
-            for c, text in zip(classes, texts, strict=True):
-                found = shingles(text)
-                if len(found) and class_of(found) == c:  # else another text under the same doc_id
-                    out[0].append(c)
-                    out[1].append(found.tobytes())
+            for c, proof, text in zip(classes, proofs, texts, strict=True):
+                if c not in seen:
+                    found = shingles(text)
+                    if len(found) and class_of(found)[1] == proof:  # else another text of the same hashes
+                        seen.add(c)
+                        out[0].append(c)
+                        out[1].append(found.tobytes())
             return list(out)
 
         return run
 
-    return cut(map_rows(texts.select("class", "text"), make, "class bigint, set binary").dropDuplicates(["class"]))
+    return cut(map_rows(texts, make, "class bigint, set binary").dropDuplicates(["class"]))
 
 
 def _rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
@@ -226,7 +254,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links between classes that connect all that are similar, and (node, root) of the linked classes."""
-    signs = cut(rows.where("signature IS NOT NULL").groupBy("class").agg(F.first("signature").alias("signature")))
+    one = F.first(F.struct("signature", "proof", *_ROW)).alias("one")
+    signs = cut(rows.where("signature IS NOT NULL").groupBy("class").agg(one).select("class", "one.*"))
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
     banded = signs.select("class", F.explode(bands).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -234,10 +263,10 @@ def links(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = members.groupBy("class").agg(F.sum("n").alias("company"))
     members = cut(members.join(known, "class").select("bucket", "class", "company"))
     heads = members.groupBy("bucket").agg(F.max(F.struct("company", "class")).alias("h")).select("bucket", F.col("h.class").alias("head"))
-    members = cut(members.join(heads, "bucket").where("class <> head"))
+    members = cut(members.join(heads.hint("merge"), "bucket").where("class <> head"))  # a merge join, as large buckets can be split then
     pairs = _ordered(members.select(F.col("head").alias("a"), F.col("class").alias("b")))
     members = members.drop("head")
-    sets = _sets(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    sets = _sets(docs, signs, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
     confirmed = _verify(pairs, signs, sets)
     found = components(confirmed)
     for turn in range(STARS):
@@ -260,39 +289,46 @@ def _open(members: DataFrame, found: DataFrame) -> DataFrame:
     placed = members.select("bucket", "class", "company").join(found.withColumnRenamed("node", "class"), "class", "left")
     placed = cut(placed.select("bucket", "class", "company", F.coalesce("root", "class").alias("comp")))
     state = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("company", "class", "comp")).alias("h")).where("lo <> hi")
-    return cut(placed.join(state.select("bucket", F.col("h.class").alias("head"), F.col("h.comp").alias("head_comp")), "bucket"))
+    heads = state.select("bucket", F.col("h.class").alias("head"), F.col("h.comp").alias("head_comp"))
+    return cut(placed.join(heads.hint("merge"), "bucket"))
 
 
-def clustered(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
-    rows = cut(described(docs))
+def clustered(docs: DataFrame, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text); written to the shared folder once. bits are those of a class's name."""
+    since = mark()
+    rows = described(docs, bits)
     _, found = links(docs, rows)
     placed = rows.select("doc_id", "n_shingles", "class").join(found.withColumnRenamed("node", "class"), "class", "left")
     placed = cut(placed.select("doc_id", "n_shingles", F.coalesce("root", "class").alias("comp")))
     least = placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     component = F.coalesce("least", "doc_id")
-    return placed.join(least, "comp", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    done = placed.join(least.hint("merge"), "comp", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    done = cut(done)
+    release(docs.sparkSession, since, done)
+    return done
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id (nulls last, then by hash of text).
 
-    Rows with an empty set are linked with nothing and all stay.
+    Rows with an empty set are linked with nothing and all stay; of rows equal in id and text one stays, whichever other columns it has.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", F.isnull("doc_id"), "text", F.isnull("text")))
-    rows = cut(described(keyed.select(F.col("_h").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_h"))
-    ids = rows.join(keyed.select("_h", "doc_id").distinct(), "_h")
-    rows = cut(ids)
+    since = mark()
+    rows = described(docs)
     _, found = links(docs, rows)
-    placed = rows.where("class IS NOT NULL").join(found.withColumnRenamed("node", "class"), "class", "left").select("_h", "doc_id", F.coalesce("root", "class").alias("comp"))
-    first = placed.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), "doc_id", "_h")).alias("m"), F.count(F.lit(1)).alias("n"))
-    stay = first.select(F.col("m._h").alias("_h"))
-    repeated = cut(rows.where("class IS NOT NULL").groupBy("_h").count().where("count > 1").select("_h").join(stay, "_h", "left_semi"))
-    stay = cut(stay.unionByName(rows.where("class IS NULL").select("_h").distinct()))
-    kept = keyed.join(stay, "_h", "left_semi")
+    placed = rows.where("class IS NOT NULL").join(found.withColumnRenamed("node", "class"), "class", "left").select(*_ROW, F.coalesce("root", "class").alias("comp"))
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("no"), *_ROW)).alias("m")).select("m.doc_id", "m.t1", "m.t2")
+    stay = cut(first)
+    many = rows.where("class IS NOT NULL").groupBy(*_ROW).count().where("count > 1")
+    repeated = cut(many.join(stay, _same_row(many, stay), "left_semi").select(*_ROW))
+    release(docs.sparkSession, since, stay, repeated)
+    wordy = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = docs.withColumn("_id", F.col("doc_id")).withColumns({"_t1": F.xxhash64("text"), "_t2": F.xxhash64(F.lit(1), "text")})
+    same = lambda other: F.col("_id").eqNullSafe(other["doc_id"]) & (F.col("_t1") == other["t1"]) & (F.col("_t2") == other["t2"])
+    kept = keyed.where(wordy).join(stay, same(stay), "left_semi")
     if not repeated.isEmpty():
-        kept = kept.join(repeated, "_h", "left_anti").unionByName(kept.join(repeated, "_h", "left_semi").dropDuplicates(["_h"]))
-    return kept.select(*docs.columns)
+        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(kept.join(repeated, same(repeated), "left_semi").dropDuplicates(["_id", "_t1", "_t2"]))
+    return kept.select(*docs.columns).unionByName(docs.where(~wordy))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

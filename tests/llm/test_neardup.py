@@ -4,6 +4,7 @@ import re
 import numpy as np
 from metaloom.llm import neardup
 from metaloom.llm.graph import components
+from pyspark.sql import functions as F
 
 
 def words(text):
@@ -107,3 +108,30 @@ def test_odd_rows(spark, tmp_path):
     found = sorted(map(str, neardup.op3_near_duplicates(spark, str(tmp_path)).collect()))
     assert len(found) == 6 and sum("component_id=5" in x for x in found) == 3
     assert neardup.clustered(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_sets_that_share_a_name_stay_apart(spark):
+    rows = corpus(7, 8)
+    assert sorted(map(tuple, neardup.clustered(spark.createDataFrame(rows, "doc_id bigint, text string"), bits=4).collect())) == brute(rows)
+
+
+def test_null_ids_cost_no_more_than_others(spark):
+    texts = [f"a{i} b{i % 7} c d e f g{i // 2}" for i in range(400)]
+    with_ids = neardup.clustered(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    without = neardup.clustered(spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string"))
+    assert with_ids.agg(F.sum("n_shingles")).first() == without.agg(F.sum("n_shingles")).first()
+    sets = neardup._sets(spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string"), *signed(spark, texts))
+    assert sets.count() == len({neardup.class_of(neardup.shingles(t)) for t in texts})
+
+
+def signed(spark, texts):
+    rows = neardup.described(spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")).where("signature IS NOT NULL").dropDuplicates(["class"])
+    return rows, rows.select("class")
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from metaloom.llm import common
+
+    common.drop_tables(spark)
+    found = neardup.clustered(spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e")], "doc_id bigint, text string"))
+    assert len(common._tables) == 1 and found.where("kept").count() == 1
