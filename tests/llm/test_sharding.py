@@ -67,3 +67,11 @@ def test_plan_of_large_groups():
     assert room == [0] * 8 and sum(b - a for _, a, b, _ in parts) == 4000
     assert sorted(Counter(g for g, *_ in parts).values()) == [1] * 8 + [4, 4]
     assert sharding.planned([], [1, 2]) == []
+
+
+def test_a_group_in_every_bucket_is_shared_out_exactly(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SMALL", 1)
+    monkeypatch.setattr(sharding, "HOT", 4)
+    sizes = {f"g{k}": 3 + 7 * k for k in range(20)}
+    rows = list(enumerate([g for g, n in sizes.items() for _ in range(n)] + [None] * 50))
+    check(sharding.sharded(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
