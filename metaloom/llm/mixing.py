@@ -2,16 +2,18 @@
 
 Sources in order of code points, null last, have weights that repeat; together they get a share of all words. No target
 exceeds ``MOST`` times its source's words; what lies above is shared among the others by weight until none is above.
-A source takes every document a whole number of times (the whole part of target over size), and fills the rest with one
-more copy of some: documents are ranked by Pareto's number, random odds u / (1 - u) divided by the document's inclusion
-odds, and taken in that order up to the wanted number of words; where that is more than half of the source, the
-documents to leave out are found likewise from the order's other end. Long documents have lower odds (2 / (1 + size / mean size)),
-lest few of them decide the sum; a constant factor of the odds doesn't change the order, so the size is fixed without solving for
-it. The document at which the sum would pass the target is skipped, and ``ROUNDS`` further passes fill what is left from those that fit.
-
-u is a hash of doc_id and text, so reruns agree. Orders and sums are made in ``BUCKETS`` ranges of the Pareto number for each
-source, so a source with a third of all rows is never in one task. Null and empty texts have size 0 and are taken 0 times;
-repeated rows that agree in id and text are interchangeable.
+Every document of a source is to be taken target / source_size times in the mean. The whole part of that it is taken for certain;
+the fraction p is its inclusion probability in a sample of one more copy, so the words expected of the sample are what the whole
+copies leave of the target. Documents are ranked by Pareto's number, random odds u / (1 - u) divided by the inclusion odds p / (1 - p),
+and taken in that order while the wanted number of words isn't passed: the sample's size is fixed in words, with probabilities that
+differ by source. The document at which the words would be passed is skipped, and ``ROUNDS`` further passes go on after it with the
+documents that still fit. So each document is included with about its p, but for one bias: a document whose size is a large part of
+what its source is to get passes the end more often and is taken less, and small ones fill what it leaves.
+
+u is a hash of doc_id and text, so reruns agree. The place in the order at which a source's words are reached is found by sums
+over ranges of the Pareto number, as many as rows demand, then within one range of each source; only this place is
+remembered, no table of rows is written again. So a source with a third of all rows is never in one task. Null and empty texts have size 0
+and are taken 0 times; repeated rows that agree in id and text share a place and are interchangeable.
 """
 
 from __future__ import annotations
@@ -19,22 +21,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import WORD, cut, numbered, table
+from metaloom.llm.common import WORD, before, buckets_for, cut, mark, numbered, ranked, release, table
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
-BUCKETS, ROUNDS = 1024, 3
+ROUNDS = 3
 #: Sources up to which their table is sent to all executors.
 FEW_SOURCES = 10_000
+#: Columns that mix() adds; the caller's columns of these names are left out.
+ADDED = ("size", "source_size", "target", "copies", "taken")
+_PLACE = "struct<t:double,r:bigint,size:bigint>"
+_ROUND = f"struct<lo:{_PLACE},left:double,edge:{_PLACE},k:bigint>"
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, int]:
-    """source, source_size and target of every source of sizes (source, source_size, docs), and the number of sources."""
+    """source, source_size and target of every source of sizes (source, source_size), and the number of sources."""
     listed = numbered(sizes, [F.col("source").asc_nulls_last()], "_place")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int"))
     listed = cut(listed.withColumn("_w", weight).withColumn("_cap", most * F.col("source_size")))
     n, total, all_weights = listed.agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("_w")).first()
     if not n:
-        return listed.select("source", "source_size", "docs", F.col("_cap").alias("target")), 0
+        return listed.select("source", "source_size", F.col("_cap").alias("target")), 0
     wanted, level, capped = share * (total or 0), 0.0, -1
     level = wanted / all_weights
     while True:  # the level only rises, and with it the number of sources at their cap
@@ -44,68 +50,92 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
             break
         capped, level = now, (wanted - (at_cap or 0.0)) / free
     target = F.least(F.col("_w") * level, F.col("_cap")) if free else F.col("_cap")
-    return listed.select("source", "source_size", "docs", target.cast("double").alias("target")), n
+    return listed.select("source", "source_size", target.cast("double").alias("target")), n
 
 
-def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Adds size, source_size, target, copies and taken to docs, which has doc_id, source and text; the text is dropped."""
+def placed(docs: DataFrame, seed: int, weights, share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with their size, place and inclusion probability; and of each source its key, whole copies and what is to be sampled."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    hashed = F.pmod(F.xxhash64("doc_id", F.xxhash64(text), F.lit(seed)), F.lit(1 << 52))
-    rows = cut(docs.select(*[c for c in docs.columns if c != "text"], F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), ((hashed + 0.5) / float(1 << 52)).alias("_u")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    of_source, n = targets(sizes, weights, share, most)
+    kept = [c for c in docs.columns if c != "text" and c not in ADDED]
+    size = F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
+    rows = cut(docs.select(*kept, size, F.xxhash64("doc_id", F.xxhash64(text), F.lit(seed)).alias("_r"), F.monotonically_increasing_id().alias("_n")))
+    of_source, n = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
-    of_source = cut(of_source.select(F.col("source").alias("_of"), F.xxhash64("source", F.isnull("source")).alias("_key"), "source_size", "docs", "target", whole.alias("_whole")))
-    rest = F.col("target") - F.col("_whole") * F.col("source_size")
-    of_source = of_source.withColumn("_out", rest > F.col("source_size") / 2)
-    side = F.broadcast(of_source) if n <= FEW_SOURCES else of_source
-    rows = rows.join(side, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
-    odds = 2 / (1 + F.col("size") * F.col("docs") / F.greatest(F.col("source_size"), F.lit(1)))
-    pareto = F.col("_u") / (1 - F.col("_u")) / odds
-    place = pareto / (1 + pareto)
-    rows = cut(rows.withColumn("_t", F.when(F.col("_out"), 1 - place).otherwise(place)).withColumn("_bucket", F.least(F.floor(F.col("_t") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).withColumn("_more", F.lit(0)))
-    left = of_source.select("_key", F.when(F.col("_out"), F.col("source_size") - rest).otherwise(rest).alias("_left"))
+    of_source = of_source.select(F.col("source").alias("_of"), F.xxhash64("source", F.isnull("source")).alias("_key"), "source_size", "target", whole.alias("_whole"))
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size"))
+    of_source = cut(of_source.withColumn("_rest", rest).withColumn("p", F.when(F.col("source_size") > 0, rest / F.col("source_size")).otherwise(0.0)))
+    side = of_source.drop("_rest")
+    rows = rows.join(F.broadcast(side) if n <= FEW_SOURCES else side, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    u = (F.pmod("_r", F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    pareto = u / (1 - u) * (1 - F.col("p")) / F.greatest(F.col("p"), F.lit(1e-12))
+    buckets = buckets_for(rows.count())
+    rows = rows.withColumn("_t", pareto / (1 + pareto)).withColumn("_bucket", F.least(F.floor(F.col("_t") * buckets), F.lit(buckets - 1)))
+    rows = rows.withColumn("_place", F.struct(F.col("_t").alias("t"), F.col("_r").alias("r"), "size").cast(_PLACE)).drop("_t", "_r")
+    return cut(rows), of_source.select("_key", F.col("_rest").alias("_left"), F.lit(None).cast(_PLACE).alias("_lo"), F.array().cast(f"array<{_ROUND}>").alias("_rounds"))
+
+
+def _next(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """One pass: from each source's last place on, documents that fit are taken in order until the words would be passed."""
+    side = _small(state)
+    open_ = (F.col("size") > 0) & (F.col("size") <= F.col("_left")) & (F.col("_lo").isNull() | (F.col("_place") > F.col("_lo")))
+    fits = rows.join(side.drop("_rounds"), "_key").where(open_)
+    sums = before(fits.groupBy("_key", "_bucket").agg(F.sum("size").alias("_s"), F.first("_left").alias("_left")), ["_key"], "_bucket", "_s", "_before")
+    ranges = sums.where(F.col("_before") + F.col("_s") > F.col("_left")).groupBy("_key").agg(F.min(F.struct("_bucket", "_before")).alias("_e"))
+    # The range of each source in which its words are reached, about BUCKET_ROWS rows.
+    near = fits.join(_small(ranges.select("_key", "_e._bucket", "_e._before")), ["_key", "_bucket"])
+    same = near.groupBy("_key", "_place").agg(F.count(F.lit(1)).alias("_m"), F.first("_left").alias("_left"), F.first("_before").alias("_before"))
+    words = F.col("_m") * F.col("_place.size")
+    run = F.col("_before") + F.coalesce(F.sum(words).over(Window.partitionBy("_key").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = same.withColumn("_run", run).where(F.col("_run") + words > F.col("_left")).groupBy("_key").agg(F.min(F.struct("_place", "_run")).alias("_e"))
+    found = state.join(ends, "_key", "left")
+    k = F.floor((F.col("_left") - F.col("_e._run")) / F.col("_e._place.size"))
+    left = F.when(F.col("_e").isNull(), 0.0).otherwise(F.col("_left") - F.col("_e._run") - k * F.col("_e._place.size"))
+    done = F.struct(F.col("_lo").alias("lo"), F.col("_left").alias("left"), F.col("_e._place").alias("edge"), k.cast("bigint").alias("k")).cast(_ROUND)
+    return cut(found.select("_key", left.alias("_left"), F.coalesce("_e._place", "_lo").alias("_lo"), F.concat("_rounds", F.array(done)).alias("_rounds")))
+
+
+def mix(docs: DataFrame, seed: int = 17, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Adds size, source_size, target, copies and taken to docs (doc_id, source, text, more); the text and columns of these names are dropped."""
+    since = mark()
+    rows, state = placed(docs, seed, weights, share, most)
     for _ in range(1 + ROUNDS):
-        rows, left = _fill(rows, left)
-    copies = F.col("_whole") + F.when(F.col("_out"), 1 - F.col("_more")).otherwise(F.col("_more"))
-    return rows.withColumn("copies", copies).withColumn("taken", (F.col("size") * copies).cast("long")).drop("_whole", "_more", "_out", "_t", "_bucket", "_key", "_u", "docs")
-
-
-def _fill(rows: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Takes one more copy of documents in Pareto order while their words fit into what is left of their source's target."""
-    open_ = F.when((F.col("_more") == 0) & (F.col("size") > 0), F.col("size"))
-    # Only documents that fit alone are in this round; their sums by range of the Pareto number.
-    fits = rows.join(_small(left), "_key").withColumn("_size", F.when(open_ <= F.col("_left"), F.col("size")).otherwise(0))
-    sums = fits.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_s"), F.first("_left").alias("_l"))
-    before = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0)))
-    sums = sums.select("_key", "_bucket", "_before", F.when(F.col("_before") + F.col("_s") <= F.col("_l"), 2).when(F.col("_before") < F.col("_l"), 1).otherwise(0).alias("_state"))
-    fits = fits.join(sums, ["_key", "_bucket"])
-    running = F.sum("_size").over(Window.partitionBy("_key", "_bucket").orderBy("_t", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    settled = fits.where("_state <> 1").withColumn("_take", (F.col("_state") == 2) & (F.col("_size") > 0))
-    # One range of each source holds the place where its target is reached.
-    edge = fits.where("_state = 1").withColumn("_take", (F.col("_before") + running <= F.col("_left")) & (F.col("_size") > 0))
-    both = settled.unionByName(edge).withColumn("_more", F.when(F.col("_take"), 1).otherwise(F.col("_more")))
-    both = cut(both.withColumn("_took", F.when(F.col("_take"), F.col("size")).otherwise(0)).drop("_take", "_before", "_state", "_size"))
-    left = both.groupBy("_key").agg((F.first("_left") - F.sum("_took")).alias("_left"))
-    return both.drop("_left", "_took"), left
-
-
-def _small(left: DataFrame) -> DataFrame:
-    left = cut(left)
-    return F.broadcast(left) if left.count() <= FEW_SOURCES else left
+        state = _next(rows, state)
+    release(docs.sparkSession, since, rows, state)
+    side = state.select("_key", "_rounds")
+    told = rows.join(F.broadcast(side) if state.count() <= FEW_SOURCES else side, "_key")
+    place = F.col("_place")
+    inside = lambda x: (F.col("size") > 0) & (F.col("size") <= x.left) & (x.lo.isNull() | (place > x.lo)) & (x.edge.isNull() | (place < x.edge))
+    at_edge = F.get(F.filter("_rounds", lambda x: x.edge == place), F.lit(0))
+    told = told.withColumns({"_in": F.coalesce(F.exists("_rounds", inside), F.lit(False)), "_k": at_edge.k}).drop("_rounds")
+    edge = ranked(told.where("_k IS NOT NULL"), ["_key", "_place"], ["_n"], "_rank", 64).withColumn("_in", F.col("_rank") < F.col("_k")).drop("_rank")
+    every = told.where("_k IS NULL").unionByName(edge)
+    copies = F.col("_whole") + F.col("_in").cast("int")
+    return every.withColumn("copies", copies).withColumn("taken", (F.col("size") * copies).cast("long")).drop("_whole", "_in", "_k", "_place", "_bucket", "_key", "_n", "p")
+
+
+def _small(state: DataFrame) -> DataFrame:
+    state = cut(state)
+    return F.broadcast(state) if state.count() <= FEW_SOURCES else state
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Of rows equal in id, source and text the first stands for all."""
-    keyed = docs.withColumn("_h", F.xxhash64("doc_id", F.isnull("doc_id"), "source", F.isnull("source"), "text", F.isnull("text")))
-    chosen = mix(keyed.select("doc_id", "source", "text", "_h"), **options)
-    copies = cut(chosen.groupBy("_h").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
-    joined = keyed.join(copies, "_h")
-    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_h"])) if not copies.where("_rows > 1").isEmpty() else joined
+    """The rows of docs, each as often as the mix takes it. Of rows equal in id, source and text one stands for all."""
+    since = mark()
+    same = [F.col("doc_id"), F.isnull("doc_id"), F.col("source"), F.isnull("source"), F.col("text"), F.isnull("text")]
+    keyed = docs.withColumns({"_h1": F.xxhash64(*same), "_h2": F.xxhash64(F.lit(1), *same)})
+    chosen = mix(keyed.select("doc_id", "source", "text", "_h1", "_h2"), **options)
+    copies = cut(chosen.groupBy("_h1", "_h2").agg(F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0"))
+    release(docs.sparkSession, since, copies)
+    joined = keyed.join(copies, ["_h1", "_h2"])
+    once = joined
+    if not copies.where("_rows > 1").isEmpty():
+        once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_h1", "_h2"]))
     return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    since = mark()
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    found = cut(mix(docs).select("doc_id", "size", "source_size", "target", "taken"))
+    release(spark, since, found)
+    return found

@@ -1,7 +1,8 @@
 import random
 import re
 
-from metaloom.llm import mixing
+from metaloom.llm import common, mixing
+from pyspark.sql import functions as F
 
 
 def expected(rows):
@@ -68,3 +69,51 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, source string, text string")
     assert mixing.mix(docs).count() == 0
     assert [x.taken for x in mixing.mix(spark.createDataFrame([(1, None, None)], docs.schema)).collect()] == [0]
+
+
+def sampled(rows, p, wanted, rounds):
+    """The brute-force sample of one source: rows are (u, r, size, key); copies of each key."""
+    order = sorted((((o := u / (1 - u) * (1 - p) / p) / (1 + o), r, size), key) for u, r, size, key in rows if size)
+    taken, left, at = {}, wanted, None
+    for _ in range(rounds):
+        limit, passed = left, False
+        for place, key in order:
+            if place[2] <= limit and (at is None or place > at):
+                if place[2] > left:
+                    at, passed = place, True
+                    break
+                taken[key] = 1
+                left -= place[2]
+        if not passed:
+            break
+    return taken
+
+
+def test_sample_equals_brute_force_and_keeps_to_its_probabilities(spark, monkeypatch):
+    monkeypatch.setattr(common, "BUCKET_ROWS", 100)
+    r = random.Random(4)
+    rows = [(i, "abc"[i % 7 % 3], "w " * r.choice((1, 3, 10, 30, 90)) + ("x " * 20_000 if i == 700 else "")) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    found = {x.doc_id: x for x in mixing.mix(docs).collect()}
+    hashes = {x.doc_id: x.r for x in docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(17)).alias("r")).collect()}
+    size, words, target = expected(rows)
+    for s in words:
+        whole = int(target[s] // words[s])
+        rest = target[s] - whole * words[s]
+        own = [(i, size(t)) for i, x, t in rows if x == s]
+        if rest:
+            p = rest / words[s]
+            wanted = sampled([((hashes[i] % (1 << 52) + 0.5) / (1 << 52), hashes[i], n, i) for i, n in own], p, rest, 1 + mixing.ROUNDS)
+            assert {i for i, _ in own if found[i].copies > whole} == set(wanted)
+            for n in (1, 3, 10, 30, 90):
+                ids = [i for i, k in own if k == n]
+                share = sum(i in wanted for i in ids) / len(ids)
+                assert abs(share - p) < 4 * (p * (1 - p) / len(ids)) ** 0.5 + 20_000 / words[s], (s, n, share, p)
+
+
+def test_one_row_many_times(spark):
+    rows = [(1, "s", "a b c")] * 500 + [(2, "t", "x")] * 400
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()
+    for s in "st":
+        own = [x for x in found if x.source == s]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= own[0]["size"]
