@@ -9,7 +9,7 @@ unequal ones agree with a chance of about 2^-(64 * STRONG). The lanes are a line
 documents' lanes estimates that of their window counts, the likeness (1 for equal fingerprints, 0 at least).
 
 Nulls count as empty texts, which are one empty paragraph. Rows that share a doc_id follow each other by the hash of
-their text; a null doc_id comes last.
+their text; a null doc_id comes last. An empty table gives none. Other columns of docs don't count.
 """
 
 from __future__ import annotations
@@ -24,13 +24,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metaloom.functions.batches import pieces
 from metaloom.functions.ship import ship
-from metaloom.llm.common import map_rows, table
+from metaloom.llm.common import BATCH_BYTES, BATCH_ROWS, map_rows, table
 
 STRONG, LANES, WINDOW = 16, 256, 12
-#: Rows of one range of doc_ids, and the most ranges; a range is worked through in order, one row at a time.
-RANGE_ROWS, MOST_RANGES = 1000, 1 << 15
-_WRAP, _BLOCK = (1 << 64) - 1, 1 << 22
+#: Rows of one range of doc_ids; a range is a task, which sorts outside memory and holds one row at a time.
+RANGE_ROWS = 4000
+#: Tasks that a stage can have; beyond as many ranges, they hold more rows, which takes time but no memory.
+MOST_TASKS = 100_000
+#: Sampled ids for each range, which ends follow.
+SAMPLED = 30
+_BLOCK, _CELLS, _NULL = 1 << 22, 1_000_000_000, -1e300
 
 
 class Fingerprint:
@@ -124,59 +129,111 @@ def edit(text: str, following: str) -> str:
 _RESULT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def with_following(docs: DataFrame) -> DataFrame:
-    """Deals docs (doc_id, text) into ranges of descending doc_id, each followed by the first row of the next range.
+def dealt(docs: DataFrame) -> tuple[DataFrame, list[int]]:
+    """docs (doc_id, text) with the order of rows of one id, and the range of descending doc_ids; and the ranges that have rows, in order.
 
-    Columns: range, ghost (of that first row), doc_id, order, text. Only the texts' one shuffle moves more than ids;
-    the driver sees one id for each range.
+    Ranges hold about RANGE_ROWS rows. Their ends are quantiles of ids that a hash samples, SAMPLED for each range, as
+    Spark's own range partitioning takes them, but here the same whenever a task runs again. An id (or null) with the rows of several
+    ranges is cut by its order, so only rows equal in id and text always share a range. The driver sees the sample and the ranges' numbers.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("order"))
-    ids = docs.select(F.col("doc_id").cast("double").alias("at"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("order"), "text")
     n = docs.count()
-    parts = max(1, min(MOST_RANGES, n // RANGE_ROWS))
-    cuts = sorted({float(x) for x in ids.approxQuantile("at", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 and n else []
-    if cuts:
-        deal = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket")
-        rows = deal.transform(rows.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))).withColumn("range", -F.col("bucket").cast("int")).drop("at", "bucket")
-    else:
-        rows = rows.withColumn("range", F.lit(0))
-    # The first row of a range: the largest doc_id, then the smallest hash of text; nulls last.
-    first = rows.groupBy("range").agg(F.min(F.struct(F.isnull("doc_id").alias("n"), F.bitwise_not("doc_id").alias("d"), F.col("order").alias("o"))).alias("m")).orderBy("range").collect()
-    also = F.array().cast("array<int>")
-    if first:
-        names = [f"{r.range} {'' if r.m.d is None else ~r.m.d} {r.m.o}" for r in first]
-        before = F.create_map(*[F.lit(x) for i, r in enumerate(first) for x in (r.range, first[i - 1].range)])
-        name = F.concat_ws(" ", F.col("range").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("order").cast("string"))
-        also = F.when(name.isin(names), F.array(before[F.col("range")])).otherwise(also)
-    copies = F.concat(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))), F.transform(also, lambda r: F.struct(r.alias("range"), F.lit(True).alias("ghost"))))
-    dealt = rows.select(F.explode(copies).alias("to"), "doc_id", "order", "text").select("to.range", "to.ghost", "doc_id", "order", "text")
-    # Two ranges for each task on average, so that a task's share doesn't grow with the table.
-    return dealt.repartition(parts // 2 + 1, "range").sortWithinPartitions("range", "ghost", F.col("doc_id").desc(), "order")
+    parts = max(1, min(MOST_TASKS, n // RANGE_ROWS))
+    if parts == 1:
+        return rows.withColumn("range", F.lit(0).cast("bigint")), [0] if n else []
+    at = F.coalesce(F.col("doc_id").cast("double"), F.lit(_NULL))
+    share = min(1.0, SAMPLED * parts / n)
+    taken = rows.where(F.pmod(F.xxhash64("doc_id", "order"), F.lit(_CELLS)) < int(share * _CELLS)).select(at.alias("at"))
+    sample = np.sort(taken.toPandas()["at"].to_numpy(np.float64))
+    ends = sample[np.linspace(0, len(sample) - 1, parts + 1).astype(np.int64)[1:-1]] if len(sample) else sample
+    cuts, counts = np.unique(ends, return_counts=True)
+    deal = Bucketizer(splits=[float("-inf"), *cuts.tolist(), float("inf")], inputCol="at", outputCol="bucket")
+    rows = deal.transform(rows.withColumn("at", at))
+    # The rows of an id that is an end k times over are the last of its range in descending order; they are cut into 2k.
+    hot = [(float(i + 1), float(c), int(2 * k)) for i, (c, k) in enumerate(zip(cuts, counts, strict=True)) if k > 1]
+    width = max([2, *(k + 1 for *_, k in hot)])
+    place = F.lit(0)
+    if hot:
+        known = F.broadcast(docs.sparkSession.createDataFrame(hot, "bucket double, _at double, _k bigint"))  # fewer than ranges
+        rows = rows.join(known, "bucket", "left")
+        sub = F.floor((F.col("order") / float(1 << 63) + 1) / 2 * F.col("_k"))
+        place = F.when(F.col("at") == F.col("_at"), 1 + F.least(sub, F.col("_k") - 1)).otherwise(0)
+    rows = rows.withColumn("range", (place - F.col("bucket").cast("bigint") * width).cast("bigint")).select("doc_id", "order", "text", "range")
+    return rows, sorted(r.range for r in rows.select("range").distinct().collect())
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """The fingerprint of every row of docs (doc_id, text), and of its text edited with the next row's by descending doc_id."""
-    ship(docs.sparkSession)
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+    """The fingerprint of every row of docs (doc_id, text), and of its text edited with the next row's by descending doc_id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each range is sorted and streamed through one task, which knows the next row of every row but its last; first and last rows of the
+    ranges are read from the same shuffle again, and a join of these few gives each last row the first of the next range.
+    """
+    ship(docs.sparkSession)
+    rows, ranges = dealt(docs)
+    if not ranges:
+        return docs.sparkSession.createDataFrame([], _RESULT)
+    number = {r: i for i, r in enumerate(ranges)}
+    shared = docs.sparkSession.sparkContext.broadcast(number)
+    ordered = rows.repartition(len(ranges), "range").sortWithinPartitions("range", F.col("doc_id").desc(), "order").select("range", "doc_id", "text")
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            out = []
-            for part, ghost, key, text in zip(*(batch.column(c).to_pylist() for c in ("range", "ghost", "doc_id", "text")), strict=True):
-                text = text or ""
-                print_ = of(text)
-                if held and held[0] == part and not held[4]:
-                    _, k, t, f, _ = held
-                    made = edit(t, text)
-                    g = of(made)
-                    out.append((k, len(t), hashlib.sha256(made.encode()).hexdigest(), f.written(), g.written(), f.likeness(g), f.likeness(print_)))
-                # Copies of a ghost row close the range: all but the first follow it and have no row to serve.
-                held = (part, key, text, print_, ghost)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
-
-    return with_following(docs).mapInArrow(run, _RESULT)
+        for whole in batches:
+            for batch in pieces(whole, BATCH_ROWS, BATCH_BYTES):
+                out = []
+                for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "text")), strict=True):
+                    now = (part, key, text or "", of(text))
+                    if held and held[0] == part:
+                        out.append(_made(held[1], held[2], held[3], now[2], now[3]))
+                    held = now
+                if out:
+                    yield _batch(out)
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first and the last row of each range, under the range's number; the first is meant for the range before."""
+        held, n = None, len(shared.value)
+
+        def one(i: int, first: bool, key: int | None, text: str | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((i, first, key, text), _ENDS.types, strict=True)], schema=_ENDS)
+
+        for whole in batches:
+            for batch in pieces(whole, BATCH_ROWS, BATCH_BYTES):
+                parts, keys, texts = batch.column("range").to_pylist(), batch.column("doc_id"), batch.column("text")
+                for j in [j for j, part in enumerate(parts) if part != (parts[j - 1] if j else held and held[0])]:
+                    last = (parts[j - 1], keys[j - 1].as_py(), texts[j - 1].as_py()) if j else held
+                    if last:
+                        yield one(shared.value[last[0]], False, *last[1:])
+                    yield one((shared.value[parts[j]] - 1) % n, True, keys[j].as_py(), texts[j].as_py())
+                held = (parts[-1], keys[-1].as_py(), texts[-1].as_py())
+        if held:
+            yield one(shared.value[held[0]], False, *held[1:])
+
+    edges = ordered.mapInArrow(ends, "i bigint, first boolean, doc_id bigint, text string")
+    firsts = edges.where("first").select("i", F.col("text").alias("following"))
+    lasts = edges.where("NOT first").select("i", "doc_id", "text").join(firsts, "i").select("doc_id", "text", "following")
+
+    def outer():
+        def run(keys, texts, following):
+            out = [_made(k, t or "", of(t), f or "", of(f)) for k, t, f in zip(keys, texts, following, strict=True)]
+            return list(zip(*out, strict=True))
+
+        return run
+
+    return ordered.mapInArrow(inner, _RESULT).unionByName(map_rows(lasts, outer, _RESULT))
+
+
+def _made(key: int | None, text: str, own: Fingerprint, following: str, theirs: Fingerprint) -> tuple:
+    made = edit(text, following)
+    changed = of(made)
+    return key, len(text), hashlib.sha256(made.encode()).hexdigest(), own.written(), changed.written(), own.likeness(changed), own.likeness(theirs)
+
+
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((c, pa.string()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_ENDS = pa.schema([("i", pa.int64()), ("first", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

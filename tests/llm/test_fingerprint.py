@@ -63,3 +63,18 @@ def test_odd_rows(spark, tmp_path):
     found = fp.edited(same).collect()
     assert len(found) == 7 and len({x.fingerprint for x in found if x.doc_id == 5 and x.n_chars == 3}) == 1
     assert fp.edited(same.limit(0)).count() == 0
+
+
+def test_an_id_with_most_rows_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 20)
+    texts = [f"text {i}" for i in range(400)]
+    for hot in (7, None):
+        docs = spark.createDataFrame([(hot, t) for t in texts] + [(i, f"other {i}") for i in range(100, 200)], "doc_id bigint, text string")
+        rows, ranges = fp.dealt(docs)
+        sizes = [r["count"] for r in rows.groupBy("range").count().collect()]
+        assert len(ranges) > 15 and max(sizes) < 80 and sum(sizes) == 500
+        found = fp.edited(docs).collect()
+        order = {x.text: x.order for x in rows.collect()}
+        wanted = sorted(([(i, f"other {i}") for i in range(100, 200)] + [(hot, t) for t in texts]), key=lambda r: (r[0] is None, -(r[0] or 0), order[r[1]]))
+        made = sorted(hashlib.sha256(fp.edit(t, wanted[(i + 1) % 500][1]).encode()).hexdigest() for i, (_, t) in enumerate(wanted))
+        assert sorted(x.edited_sha256 for x in found) == made
