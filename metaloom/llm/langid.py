@@ -11,22 +11,27 @@ Most texts need no search: if no stretch of words gains more than its changes co
 language (two inside the text, one at its start or end), the constant labelling is optimal, which one pass over
 running sums decides exactly.
 
-Training takes a bounded sample: about ``PER_LANGUAGE`` rows of each language, by hash of doc_id (a parameter).
+Training takes a bounded sample: about ``PER_LANGUAGE`` rows of each language, by hash of doc_id, of the ``LANGUAGES`` most common
+values of lang (both parameters). Their trigrams are counted where the rows are; the driver gets the sums, whose number the tables' size bounds.
 Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import fold, map_rows, table
+from metaloom.functions.batches import pieces
+from metaloom.functions.ship import ship
+from metaloom.llm.common import BATCH_BYTES, BATCH_ROWS, fold, map_rows, table
 
-PER_LANGUAGE, SWITCH, SCRIPT_SHARE, SMOOTH = 600, 12.0, 0.01, 0.3
-_TABLE, _BLOCK, _CELLS = 1 << 16, 1 << 20, 1_000_000
+PER_LANGUAGE, LANGUAGES, SWITCH, SCRIPT_SHARE, SMOOTH = 600, 200, 12.0, 0.01, 0.3
+_TABLE, _BLOCK, _CELLS, _HELD = 1 << 16, 1 << 20, 1_000_000, 32
 #: First and last code points of scripts, by name.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -67,7 +72,8 @@ def _blocks(text: str):
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    """Code points in lower case, one for each of the text: of what becomes two in lower case only the first stays."""
+    return np.frombuffer(text.replace("\u0130", "i").lower().encode("utf-32-le", "replace"), np.uint32)
 
 
 def _scan(text: str):
@@ -115,7 +121,7 @@ class Model:
         return viterbi(scores, SWITCH)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, language) of each run of words of one language, in characters of the lower-cased text."""
+        """(start, end, language) of each run of words of one language, in code points of the text."""
         starts, ends, scores = self.words(text)
         if not len(starts):
             return []
@@ -154,55 +160,91 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(labels[::-1], np.int64)
 
 
-def learn(rows: list[tuple[str, str]]) -> Model:
-    """Trains on (language, text) pairs."""
-    languages = sorted({lang for lang, _ in rows})
-    index = {lang: i for i, lang in enumerate(languages)}
-    grams, histories = np.zeros((len(languages), _TABLE)), np.zeros((len(languages), _TABLE))
-    scripts = np.zeros((len(languages), _OTHER + 1))
-    for lang, text in rows:
-        k = index[lang]
+class Counts:
+    """What training counts of one language: trigrams, their histories and scripts of words."""
+
+    def __init__(self):
+        self.grams, self.histories, self.scripts = np.zeros(_TABLE, np.int64), np.zeros(_TABLE, np.int64), np.zeros(_OTHER + 1, np.int64)
+
+    def add(self, text: str, place: np.ndarray) -> None:
+        """place gets the history's place of each trigram's place that occurs, the largest of several."""
         for block in _blocks(text):
             history, gram, starts, ends, script = _scan(block)
             inside = np.zeros(len(gram) + 1, np.int64)
             np.add.at(inside, starts, 1)
             np.add.at(inside, np.minimum(ends + 1, len(gram)), -1)
             used = np.cumsum(inside)[:-1] > 0
-            grams[k] += np.bincount(gram[used], minlength=_TABLE)
-            histories[k] += np.bincount(history[used], minlength=_TABLE)
-            scripts[k] += np.bincount(script, minlength=_OTHER + 1)
+            self.grams += np.bincount(gram[used], minlength=_TABLE)
+            self.histories += np.bincount(history[used], minlength=_TABLE)
+            self.scripts += np.bincount(script, minlength=_OTHER + 1)
+            np.maximum.at(place, gram, history)
+
+    def parts(self) -> list[tuple[int, np.ndarray]]:
+        return [(0, self.grams), (1, self.histories), (2, self.scripts)]
+
+
+def model_of(languages: list[str], counts: list[Counts], place: np.ndarray) -> Model:
     # A trigram's probability given its history, mixed with its overall frequency: both sides stay proper for unseen signs.
     likelihood = np.empty((_TABLE, len(languages)), np.float32)
-    place = _histories_of(rows)
-    for k in range(len(languages)):
-        alone = (grams[k] + 0.05) / (grams[k].sum() + 0.05 * _TABLE)
-        weight = histories[k][place]
-        likelihood[:, k] = np.log((grams[k] + SMOOTH * 20 * alone) / (weight + SMOOTH * 20))
+    for k, c in enumerate(counts):
+        alone = (c.grams + 0.05) / (c.grams.sum() + 0.05 * _TABLE)
+        likelihood[:, k] = np.log((c.grams + SMOOTH * 20 * alone) / (c.histories[place] + SMOOTH * 20))
+    scripts = np.array([c.scripts for c in counts], np.float64).reshape(len(counts), _OTHER + 1)
     allowed = scripts / np.maximum(1, scripts.sum(1, keepdims=True)) >= SCRIPT_SHARE
     allowed = allowed.T | ~allowed.any(0)[:, None]
     order = sorted(range(len(languages)), key=lambda k: (-scripts[k].sum(), languages[k]))
     return Model([languages[k] for k in order], np.ascontiguousarray(likelihood[:, order]), np.ascontiguousarray(allowed[:, order]))
 
 
-def _histories_of(rows: list[tuple[str, str]]) -> np.ndarray:
-    """The history's place of each trigram's place that occurs; others share place 0."""
+def learn(rows: list[tuple[str, str]]) -> Model:
+    """Trains on (language, text) pairs."""
+    counts: dict[str, Counts] = {}
     place = np.zeros(_TABLE, np.int64)
-    for _, text in rows:
-        for block in _blocks(text):
-            history, gram, *_ = _scan(block)
-            place[gram] = history
-    return place
+    for lang, text in rows:
+        counts.setdefault(lang, Counts()).add(text, place)
+    languages = sorted(counts)
+    return model_of(languages, [counts[k] for k in languages], place)
+
+
+_SUMS = pa.schema([("lang", pa.int32()), ("kind", pa.int32()), ("at", pa.int32()), ("n", pa.int64())])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task's rows (lang, text); at most _HELD languages are held at once."""
+    counts: dict[int, Counts] = {}
+    place = np.zeros(_TABLE, np.int64)
+
+    def sums(lang: int, kind: int, values: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x), t) for x, t in ((lang, pa.int32()), (kind, pa.int32()))] + [pa.array(at, pa.int32()), pa.array(values[at], pa.int64())], schema=_SUMS)
+
+    for whole in batches:
+        for batch in pieces(whole, BATCH_ROWS, BATCH_BYTES):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if lang not in counts and len(counts) == _HELD:
+                    yield from (sums(k, *part) for k, c in counts.items() for part in c.parts())
+                    counts.clear()
+                counts.setdefault(lang, Counts()).add(text, place)
+    yield from (sums(k, *part) for k, c in counts.items() for part in c.parts())
+    yield sums(-1, 3, place)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model:
     """Learns from docs (doc_id, text, lang); rows without language, id or text don't count."""
+    spark = docs.sparkSession
+    ship(spark)
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count().collect()
-    rate = F.lit(0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(int(_CELLS * min(1.0, per_language / r["count"])))).otherwise(rate)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(_CELLS)) < rate)
-    return learn([(r.lang, r.text) for r in chosen.select("lang", "text").collect()])
+    found = sorted((r["lang"], r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
+    rates = spark.createDataFrame([(i, lang, int(_CELLS * min(1.0, per_language / n))) for i, (lang, n) in enumerate(found)], "i int, lang string, rate int")
+    chosen = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(_CELLS)) < F.col("rate"))
+    sums = chosen.select(F.col("i").alias("lang"), "text").mapInArrow(_count, "lang int, kind int, at int, n bigint")
+    sums = sums.groupBy("lang", "kind", "at").agg(F.when(F.col("kind") == 3, F.max("n")).otherwise(F.sum("n")).alias("n")).toPandas()
+    counts, place = [Counts() for _ in found], np.zeros(_TABLE, np.int64)
+    for (lang, kind), part in sums.groupby(["lang", "kind"]):
+        into = place if kind == 3 else counts[lang].parts()[kind][1]
+        into[part["at"].to_numpy()] = part["n"].to_numpy()
+    seen = [i for i, c in enumerate(counts) if c.scripts.any()]
+    return model_of([found[i][0] for i in seen], [counts[i] for i in seen], place)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -90,7 +90,7 @@ def base_spans(text: str) -> tuple[list[Span], list[Span]]:
     """The base spans in order, and the matches of card and phone that their checks drop."""
     spans, dropped = emails(text) if "@" in text else [], []
     if _DIGIT.search(text):
-        spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        spans += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m[0].split(".")))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             (spans if 12 <= len(digits) <= 19 and luhn(digits) else dropped).append(("card", m.start(), m.end()))

@@ -3,13 +3,16 @@
 Features of a whole text: frequencies of hashed byte trigrams, and shares that tell prose from junk
 (upper case, digits, marks, repeated words, repeated lines, lengths). A linear model minimises
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` over trusted positives (label 1) and unlabelled
-documents; the class prior is estimated as the share of label 1 among the labels of the training folds.
-As that risk orders texts but doesn't fix the scale, the score is calibrated by a one-variable logistic
-fit on labelled rows of the training folds.
+documents. The class prior is estimated from positives and unlabelled documents alone (best-bin estimate): a first model,
+trained on one half of both, scores the other half, and the prior is the least ratio of the unlabelled share above a threshold to the
+positive share above it, where both shares are known well enough. Label 0 has no part in risk or prior. As the risk orders texts but
+doesn't fix the scale, the score is calibrated by a one-variable logistic fit on labelled rows of the training folds, and this is the
+only place where label 0 is used.
 
 Training takes a bounded sample by hash of doc_id: about ``POSITIVES`` labelled and ``UNLABELLED`` other rows
 (``train``'s parameters). Everything else reads all rows. Null and empty texts have all features 0 and get the
-score of that vector. Without labels of both classes, all scores are the prior, or 0.5 without any label.
+score of that vector; repeated rows score alike. Without labels of both classes, all scores are the share of label 1, or 0.5
+without any label. An empty table gives no rows; other columns don't count.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ GRAMS, SHARES = 1024, 16
 SHORT = 200
 POSITIVES, UNLABELLED, STEPS = 6000, 6000, 250
 THRESHOLD = 0.7
+#: Rows that each half needs for an estimate of the prior.
+LEAST = 50
 _CELLS = 1_000_000
 
 
@@ -102,6 +107,26 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, bias)
 
 
+def risk(model_scores_p: np.ndarray, model_scores_u: np.ndarray, prior: float) -> float:
+    """The non-negative risk of raw scores of positives and unlabelled rows."""
+    negative = np.logaddexp(0, model_scores_u).mean() - prior * np.logaddexp(0, model_scores_p).mean()
+    return float(prior * np.logaddexp(0, -model_scores_p).mean() + max(0.0, negative))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from scores of rows that the scoring model hasn't seen.
+
+    Above any threshold lie at most prior times the positives' share of positives; the threshold is chosen at which this ratio plus its
+    margin of error (Dvoretzky, Kiefer and Wolfowitz at 90 %) is least.
+    """
+    at = np.sort(positive)
+    above_p = 1 - np.arange(len(at)) / len(at)
+    above_u = 1 - np.searchsorted(np.sort(unlabelled), at, "left") / len(unlabelled)
+    error = np.sqrt(np.log(40) / 2 / len(unlabelled)) + np.sqrt(np.log(40) / 2 / len(positive))
+    best = int(((above_u + 1.01 * error) / above_p).argmin())
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
 def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     """A logistic fit of the label on the raw score, by Newton's method with a little shrinkage."""
     raw = model.raw(x)
@@ -133,17 +158,27 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         return constant(min(max(ones / n, 0.01), 0.99) if n else 0.5)
     of_labels, of_docs = min(1.0, positives / ones), min(1.0, unlabelled / max(1, docs.count()))
     sample = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (_share(1, of_labels) | _share(2, of_docs))).withColumn("in_u", _share(2, of_docs))
-    sample = sample.join(known.where(_share(1, of_labels)), "doc_id", "left").where("in_u OR y IS NOT NULL")
+    sample = sample.join(known.where(_share(1, of_labels)), "doc_id", "left").where("in_u OR y IS NOT NULL").withColumn("half", _share(4, 0.5))
 
     def make():
-        return lambda u, y, texts: [u, y, [features(t).astype(np.float16).tobytes() for t in texts]]
+        return lambda u, y, half, texts: [u, y, half, [features(t).astype(np.float16).tobytes() for t in texts]]
 
-    rows = map_rows(sample.select("in_u", "y", "text"), make, "in_u boolean, y int, x binary").collect()
+    rows = map_rows(sample.select("in_u", "y", "half", "text"), make, "in_u boolean, y int, half boolean, x binary").collect()
     x = np.stack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, GRAMS + SHARES), np.float32)
     u, y = np.array([r.in_u for r in rows], bool), np.array([-1 if r.y is None else r.y for r in rows])
     if not (u.any() and (y == 1).any() and (y == 0).any()):
         return constant(ones / n)
-    return calibrate(fit(x[y == 1], x[u], ones / n), x[y >= 0], y[y >= 0])
+    half = np.array([r.half for r in rows], bool)
+    return calibrate(fit(x[y == 1], x[u], prior_of(x, u, y, half, ones / n)), x[y >= 0], y[y >= 0])
+
+
+def prior_of(x: np.ndarray, u: np.ndarray, y: np.ndarray, half: np.ndarray, otherwise: float) -> float:
+    """The estimated class prior; too few rows in a half give the share of label 1 instead."""
+    parts = [(y == 1) & half, u & half, (y == 1) & ~half, u & ~half]
+    if min(part.sum() for part in parts) < LEAST:
+        return otherwise
+    first = fit(x[parts[0]], x[parts[1]], 0.5, STEPS // 2)
+    return estimate_prior(first.raw(x[parts[2]]), first.raw(x[parts[3]]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

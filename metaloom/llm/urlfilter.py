@@ -3,12 +3,16 @@
 A rule (verdict, host, path) fits its host and all subdomains if the path starts with the rule's; the longest that fits
 wins. URLs that a rule labels train the trees; the trees judge the others. Features: lengths of URL, host,
 path and query, path depth, number of host labels, shares of digits, letters and marks, character entropy, numbers of
-parameters and of hyphens, a fragment, and the smoothed shares of blocked labelled URLs under the host's last label and under
-its first path segment. All of it runs as DataFrame expressions and JVM trees.
+parameters and of hyphens, a fragment, and statistics of the host's suffix (the host without its first label, if it has three or more): how
+many URLs there are under it, their mean depth and their mean share of digits. All of it runs as DataFrame expressions and JVM trees.
 
-Training takes about ``LABELLED`` labelled URLs by hash (a parameter); suffix statistics use all of them. Null
+No feature holds a label or names what a rule tests: a rule's labels follow from host and path prefix alone, so shares of labels
+by suffix or segment would only spell the rules out again, and trees on them would judge all other URLs of a suffix by a rule that
+doesn't fit them. What the trees know is how URLs that were blocked or allowed are written.
+
+Training takes about ``LABELLED`` labelled URLs by hash (a parameter); suffix statistics use all URLs. Null
 URLs and URLs without `://` have an empty host and path. Without labels of both classes the one class that occurs is the
-verdict of all, and without any, allow.
+verdict of all, and without any, allow. Repeated rows are judged alike; other columns of pages don't count.
 """
 
 from __future__ import annotations
@@ -18,14 +22,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import table
+from metaloom.llm.common import cut, table
 
 #: The rules of the query, as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LABELLED, TREES, DEPTH, SMOOTH = 20_000, 20, 4, 5.0
+LABELLED, TREES, DEPTH, LEAF = 20_000, 20, 4, 20
+#: Suffixes up to which their table is sent to all executors; beyond, only those with more than 1/FEW of all URLs are.
+FEW = 10_000
 _CELLS = 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("f_length", "f_host", "f_path", "f_query", "f_depth", "f_labels", "f_digits", "f_letters", "f_marks", "f_entropy", "f_params", "f_hyphens", "f_fragment", "f_suffix", "f_segment")
+FEATURES = ("f_length", "f_host", "f_path", "f_query", "f_depth", "f_labels", "f_digits", "f_letters", "f_marks", "f_entropy", "f_params", "f_hyphens", "f_fragment", "f_suffix_urls", "f_suffix_depth", "f_suffix_digits")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -55,8 +61,7 @@ def lexical(urls: DataFrame) -> DataFrame:
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     return urls.select(
         "*",
-        F.element_at(F.split("host", r"\."), -1).alias("_suffix"),
-        F.coalesce(F.try_element_at(segments, F.lit(1)), F.lit("")).alias("_segment"),
+        F.regexp_replace("host", r"^[^.]*\.([^.]*\..*)$", "$1").alias("_suffix"),
         F.length(u).cast("double").alias("f_length"),
         F.length("host").cast("double").alias("f_host"),
         F.length("path").cast("double").alias("f_path"),
@@ -73,54 +78,68 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-class Filter:
-    """Trained trees with the statistics that their last two features need."""
+def with_suffixes(urls: DataFrame) -> DataFrame:
+    """lexical() urls with the statistics of their hosts' suffixes and the vector of all features.
+
+    A suffix may hold most URLs, so none is joined by shuffling it: the table of suffixes is sent out whole, or, where it is long, in
+    its part of at most FEW large suffixes, and the others are shuffled.
+    """
+    stats = cut(urls.groupBy("_suffix").agg(F.count(F.lit(1)).alias("_n"), F.avg("f_depth").alias("f_suffix_depth"), F.avg("f_digits").alias("f_suffix_digits")))
+    suffixes, n = stats.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if suffixes <= FEW:
+        joined = urls.join(F.broadcast(stats), "_suffix")
+    else:
+        large = stats.where(F.col("_n") > n // FEW)
+        told = urls.join(F.broadcast(large), "_suffix", "left")
+        added = [c for c in stats.columns if c != "_suffix"]
+        joined = told.where("_n IS NOT NULL").unionByName(told.where("_n IS NULL").drop(*added).join(stats, "_suffix"))
+    joined = joined.withColumn("f_suffix_urls", F.log1p(F.col("_n") / F.lit(max(1, n)) * 1e6)).drop("_n")
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(joined)
 
-    def __init__(self, trees: GBTClassificationModel | None, only: str, suffixes: DataFrame | None = None, segments: DataFrame | None = None, prior: float = 0.5):
-        self.trees, self.only, self.suffixes, self.segments, self.prior = trees, only, suffixes, segments, prior
 
-    def features(self, urls: DataFrame) -> DataFrame:
-        """urls with the vector of all features; urls has been through lexical()."""
-        joined = urls.join(self.suffixes, "_suffix", "left").join(self.segments, "_segment", "left").fillna(self.prior, ["f_suffix", "f_segment"])
-        return VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(joined)
+class Filter:
+    """Trained trees, or the one verdict there is."""
+
+    def __init__(self, trees: GBTClassificationModel | None, only: str = "allow"):
+        self.trees, self.only = trees, only
 
     def judge(self, urls: DataFrame) -> DataFrame:
-        """Adds judged (allow or block) and p_block."""
+        """Adds judged (allow or block) and p_block to urls with features."""
         if self.trees is None:
             return urls.withColumn("judged", F.lit(self.only)).withColumn("p_block", F.lit(float(self.only == "block")))
         from pyspark.ml.functions import vector_to_array
 
-        scored = self.trees.transform(self.features(urls))
+        scored = self.trees.transform(urls)
         return scored.withColumn("judged", F.when(F.col("prediction") == 1, "block").otherwise("allow")).withColumn("p_block", F.element_at(vector_to_array("probability"), 2))
 
-
-def _rates(labelled: DataFrame, key: str, name: str, prior: float) -> DataFrame:
-    """Shares of blocked URLs by key, shrunk to the prior; only keys with enough labels to differ from it."""
-    return labelled.groupBy(key).agg(F.sum("label").alias("_b"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2).select(key, ((F.col("_b") + SMOOTH * prior) / (F.col("_n") + SMOOTH)).alias(name))
+    def importances(self) -> dict[str, float]:
+        return dict(zip(FEATURES, self.trees.featureImportances.toArray().tolist(), strict=True)) if self.trees else {}
 
 
-def train(labelled: DataFrame, bound: int = LABELLED) -> Filter:
-    """labelled: url, host, path and verdict (allow or block)."""
-    rows = lexical(labelled.withColumn("label", (F.col("verdict") == "block").cast("double")))
+def train(urls: DataFrame, bound: int = LABELLED) -> Filter:
+    """urls: url, features and verdict (allow, block or null)."""
+    rows = urls.where("verdict IS NOT NULL").withColumn("label", (F.col("verdict") == "block").cast("double"))
     n, blocked = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not 0 < blocked < n:
         return Filter(None, "block" if n and blocked else "allow")
-    found = Filter(None, "", _rates(rows, "_suffix", "f_suffix", blocked / n), _rates(rows, "_segment", "f_segment", blocked / n), blocked / n)
     sample = rows.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(_CELLS)) < int(_CELLS * min(1.0, bound / n)))
-    weighted = found.features(sample).withColumn("_weight", F.when(F.col("label") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked))))
-    trainer = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxBins=64)
-    found.trees = trainer.fit(weighted.select("_features", "label", "_weight"))
-    return found
+    weighted = sample.withColumn("_weight", F.when(F.col("label") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked))))
+    trainer = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxBins=64, minInstancesPerNode=LEAF)
+    return Filter(trainer.fit(weighted.select("_features", "label", "_weight")))
 
 
-def filtered(pages: DataFrame, rules=RULES, bound: int = LABELLED) -> DataFrame:
-    """page_id, host, path, rule and verdict of every row of pages (page_id, url), and the trees' probability of block."""
+def featured(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, url, host, path, rule, verdict (null without a rule) and features of every row of pages (page_id, url)."""
     host, path = parts(F.col("url"))
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumns({"rule": rule, "verdict": verdict})
-    judge = train(urls.where("verdict IS NOT NULL").select("url", "host", "path", "verdict"), bound)
-    return judge.judge(lexical(urls)).select("page_id", "host", "path", "rule", F.coalesce("verdict", "judged").alias("verdict"), "p_block")
+    return with_suffixes(lexical(urls.withColumns({"rule": rule, "verdict": verdict})))
+
+
+def filtered(pages: DataFrame, rules=RULES, bound: int = LABELLED) -> DataFrame:
+    """page_id, host, path, rule and verdict of every row of pages (page_id, url), and the trees' probability of block."""
+    urls = featured(pages, rules)
+    return train(urls, bound).judge(urls).select("page_id", "host", "path", "rule", F.coalesce("verdict", "judged").alias("verdict"), "p_block")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

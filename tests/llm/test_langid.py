@@ -58,3 +58,21 @@ def test_held_out_accuracy(spark):
     found = langid.op1_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     right, n = found.selectExpr("avg(cast(lang = lang_pred as double))", "count(*)").first()
     assert n > 150 and right > 0.97
+
+
+def test_places_are_those_of_the_text():
+    model = langid.learn(ROWS)
+    text = f"\u0130\u0130 {EN} {EN}. {DE.upper()} {DE}"
+    assert [(text[a : a + 3], lang) for a, _, lang in model.spans(text)][-1] == ("DER", "de")
+
+
+def test_counting_by_tasks_equals_counting_at_once(spark, monkeypatch):
+    rows = [(i, text, lang) for i, (lang, text) in enumerate(ROWS)] + [(500, "xx yy", "zz"), (501, "??", "und")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    for held in (32, 1):
+        monkeypatch.setattr(langid, "_HELD", held)
+        found, wanted = langid.train(docs), langid.learn([(lang, t) for _, t, lang in rows if lang != "und"])
+        assert found.languages == wanted.languages and np.allclose(found.grams, wanted.grams) and (found.scripts == wanted.scripts).all()
+    assert set(langid.train(docs, languages=2).languages) == {"en", "de"}
+    assert langid.train(docs.limit(0)).languages == []
+    assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}

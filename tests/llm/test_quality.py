@@ -38,3 +38,31 @@ def test_without_labels_and_without_rows(spark, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     assert [(x.score, x.predicted) for x in quality.op6_quality(spark, str(tmp_path)).collect()] == [(0.5, 0)] * 3
     assert quality.score(docs.limit(0), quality.constant(0.5)).count() == 0
+
+
+def test_prior_is_estimated_without_negatives():
+    r = np.random.default_rng(3)
+    for share in (0.25, 0.5, 0.8):
+        make = lambda n, shift: r.normal(shift, 1, (n, 40)).astype(np.float32)
+        x = np.concatenate([make(2000, 0.6), make(int(3000 * share), 0.6), make(3000 - int(3000 * share), -0.6)])
+        y, u = np.repeat([1, -1], [2000, 3000]), np.repeat([False, True], [2000, 3000])
+        assert abs(quality.prior_of(x, u, y, r.random(5000) < 0.5, 0.99) - share) < 0.08
+    assert quality.prior_of(x[:60], u[:60], y[:60], r.random(60) < 0.5, 0.4) == 0.4
+
+
+def test_fit_reaches_the_risk_of_plain_descent():
+    """Against gradient descent on the same risk with finite differences of few weights."""
+    r = np.random.default_rng(5)
+    p, u = r.normal(0.5, 1, (400, 3)), np.concatenate([r.normal(0.5, 1, (300, 3)), r.normal(-0.5, 1, (300, 3))])
+    found = quality.fit(p.astype(np.float32), u.astype(np.float32), 0.5, steps=1500, decay=0.0)
+    own = quality.risk(found.raw(p.astype(np.float32)), found.raw(u.astype(np.float32)), 0.5)
+
+    def value(w):
+        return quality.risk(p @ w[:3] + w[3], u @ w[:3] + w[3], 0.5)
+
+    best, w, step = np.inf, np.zeros(4), 0.5
+    for _ in range(3000):
+        g = np.array([(value(w + d) - value(w - d)) / 2e-5 for d in np.eye(4) * 1e-5])
+        w, step = w - step * g, step * 0.999
+        best = min(best, value(w))
+    assert own < best + 0.01

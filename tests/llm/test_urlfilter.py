@@ -31,20 +31,35 @@ def test_rules_equal_brute_force(spark, tmp_path):
         assert found[i].verdict == verdict if rule else found[i].verdict in ("allow", "block")
 
 
-def test_trees_learn_lexical_signs(spark):
+def test_trees_learn_lexical_signs_and_hold_on_other_hosts(spark, monkeypatch):
     r = random.Random(6)
     word = lambda n: "".join(r.choice("aeiouthns") for _ in range(n))
+    hosts = [f"{word(4)}.{word(5)}.com" for _ in range(40)]
 
-    def url(bad):
-        tail = "".join(r.choice("0123456789abcdef") for _ in range(30)) + "?a=1&b=2&c=3" if bad else word(6)
-        return f"http://{word(5)}.com/{tail}"
+    def url(kind):
+        """Blocked ones are deep, or full of digits, or have many parameters; all are of about one length."""
+        long = lambda: r.randrange(16, 30)
+        tail = {0: word(long()), 1: "/".join(word(r.randrange(2, 5)) for _ in range(6)), 2: "".join(r.choice("0123456789") for _ in range(long())), 3: f"{word(long() - 12)}?a=1&b=2&c=3", 4: f"{word(10)}/{word(long() - 10)}"}[kind]
+        return f"http://{r.choice(hosts)}/{tail}"
 
-    rows = [(url(b), "block" if b else "allow") for b in [0, 1] * 300]
-    host, path = urlfilter.parts(F.col("url"))
-    urls = spark.createDataFrame(rows, "url string, verdict string").withColumns({"host": host, "path": path})
-    train, test = urls.where("pmod(hash(url), 3) > 0"), urls.where("pmod(hash(url), 3) = 0")
-    judged = urlfilter.train(train).judge(urlfilter.lexical(test))
-    assert judged.agg(F.avg((F.col("judged") == F.col("verdict")).cast("double"))).first()[0] > 0.97
+    rows = [(i, url(k), "allow" if k in (0, 4) else "block") for i, k in enumerate([0, 1, 0, 2, 4, 3] * 250)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, label string")
+    for few in (10_000, 20):
+        monkeypatch.setattr(urlfilter, "FEW", few)
+        urls = urlfilter.featured(pages, ()).drop("verdict").join(pages.select("page_id", F.col("label").alias("verdict")), "page_id")
+        train, test = urls.where("pmod(hash(host), 4) > 0"), urls.where("pmod(hash(host), 4) = 0")
+        found = urlfilter.train(train)
+        n, right = found.judge(test).agg(F.count(F.lit(1)), F.avg((F.col("judged") == F.col("verdict")).cast("double"))).first()
+        assert n > 100 and right > 0.97
+        assert sum(v > 0.05 for v in found.importances().values()) >= 3
+
+
+def test_no_feature_knows_a_rule(spark):
+    """On the given pages, labels follow from host and path prefix; the trees must not find that out by suffix."""
+    urls = urlfilter.featured(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url"))
+    importances = urlfilter.train(urls).importances()
+    assert sum(v > 0.01 for k, v in importances.items() if not k.startswith("f_suffix")) >= 4
+    assert urls.count() == 250 and urls.where("f_suffix_urls IS NULL").count() == 0
 
 
 def test_without_labels(spark):
