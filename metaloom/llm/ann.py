@@ -1,11 +1,14 @@
 """Approximate nearest neighbours (operator 5): robust-pruned directed graphs, one for each shard.
 
 Equal vectors are collapsed, each keeping its ``K + 1`` smallest ids, so that copies neither crowd a graph nor hide ties.
-Distinct vectors are dealt by hash into shards of about ``SHARD_ROWS``. In a shard every vector, in random batches, is searched
+Distinct vectors are dealt by hash into shards, whose number follows the number of vectors alone (``shards_of``): small ones while
+there are few, so that their graphs are built side by side, then ``SHARDS`` that grow, up to as many vectors as a task can hold, as every
+query visits every shard. In a shard every vector, in random batches, is searched
 for greedily from the medoid; the visited vectors are its candidates, of which robust pruning keeps diverse ones: the nearest
 is kept and those that it is nearer to by the factor ``ALPHA`` are dropped, and so on up to ``DEGREE``. Kept edges are added
 in reverse too, and full lists pruned again. A second pass repeats this on the graph of the first. Queries are dealt in
-blocks to every shard and answered by beam search of width ``BEAM``; the answers of all shards are merged.
+blocks to every shard, whose task reads its index once and streams the blocks through it; they are answered by beam search of width
+``BEAM``, wider in large shards, and the answers of all shards are merged.
 
 Distances of answers are made again in double precision from the original vectors. Vectors that are null, zero, of another length
 than most or hold null or non-finite components take no part. Every vector is indexed; recall is measured in the tests.
@@ -18,14 +21,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from metaloom.functions.batches import pieces
 from metaloom.functions.ship import ship
-from metaloom.llm.common import cut, table
+from metaloom.llm.common import cut, mark, release, table
 
 K, QUERY_EVERY = 10, 100
-SHARD_ROWS, DEGREE, BEAM, BUILD_BEAM, ALPHA, BATCH, BLOCK = 4000, 24, 48, 48, 1.2, 128, 512
+DEGREE, BEAM, BUILD_BEAM, ALPHA, BATCH, BLOCK = 24, 48, 48, 1.2, 128, 512
+#: Vectors of a small shard and of the largest, and the number of shards between.
+SHARD_ROWS, MOST_ROWS, SHARDS = 4000, 200_000, 64
+
+
+def shards_of(n: int, least: int = SHARD_ROWS) -> int:
+    """The number of shards of n vectors."""
+    return max(1, min(-(-n // least), max(SHARDS, -(-n // MOST_ROWS))))
+
+
+def beam_of(rows: int, beam: int = BEAM) -> int:
+    """The beam's width in a shard of so many vectors: half as wide again for each four times the vectors of a small one."""
+    return int(beam * (1 + 0.25 * max(0.0, np.log2(max(1, rows) / SHARD_ROWS))))
 
 
 def distances(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -149,56 +166,74 @@ def clean(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest of vectors to each of queries, both from clean()."""
     ship(vectors.sparkSession)
+    since = mark()
     # The k + 1 smallest ids of each distinct vector, first within salted parts of its copies.
     salted = Window.partitionBy("h", "v", "salt").orderBy("vec_id")
     final = Window.partitionBy("h", "v").orderBy("vec_id")
     few = vectors.withColumn("salt", F.pmod(F.hash("vec_id"), F.lit(64))).withColumn("i", F.row_number().over(salted)).where(F.col("i") <= k + 1)
     few = few.withColumn("i", F.row_number().over(final)).where(F.col("i") <= k + 1)
     distinct = cut(few.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    n = distinct.count()
-    shards = max(1, -(-n // shard_rows))
-    dealt = distinct.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", F.transform("v", lambda x: x.cast("float")).alias("v"), F.to_json("ids").alias("ids"), "v")
-    dealt = dealt.toDF("shard", "h", "v", "ids", "exact")
+    shards = shards_of(distinct.count(), shard_rows)
+    dealt = distinct.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", F.to_json("ids").alias("ids"), "v")
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("h")
-        x = np.stack(rows["v"].to_numpy()).astype(np.float32)
+        exact = np.stack(rows["v"].to_numpy()).astype(np.float64)
+        x = exact.astype(np.float32)
         g = build(x) if len(x) > 1 else Graph(x, np.full((1, 1), -1), np.zeros(1, np.int64))
-        exact = np.stack(rows["exact"].to_numpy()).astype(np.float64)
-        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "n": [len(x)], "exact": [exact.tobytes()], "edges": [g.edges.astype(np.int32).tobytes()], "entry": [g.entry.astype(np.int32).tobytes()], "ids": ["\n".join(rows["ids"])]})
+        plain = bool((x == exact).all())  # floats, which need no doubles
+        return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "n": [len(x)], "plain": [plain], "exact": [(x if plain else exact).tobytes()], "edges": [g.edges.astype(np.int32).tobytes()], "entry": [g.entry.astype(np.int32).tobytes()], "ids": ["\n".join(rows["ids"])]})
 
-    indexed = cut(dealt.groupBy("shard").applyInPandas(index, "shard int, n int, exact binary, edges binary, entry binary, ids string"))
-    # Queries in blocks, each sent to every shard.
+    # A task for each shard, which ranges of its number give; a hash would put several in one.
+    alone = dealt.repartitionByRange(shards, "shard").groupBy("shard")
+    indexed = cut(alone.applyInPandas(index, "shard int, n int, plain boolean, exact binary, edges binary, entry binary, ids string"))
+    # Queries in blocks, each sent to every shard, whose index comes first.
     m = max(1, queries.count())
     blocks = queries.select("vec_id", "v").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(-(-m // BLOCK))))
     blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
-    blocks = blocks.select(F.col("asked.vec_id").alias("asked"), F.flatten("asked.v").alias("flat"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    met = indexed.join(blocks, "shard")
-
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                exact = np.frombuffer(r.exact, np.float64).reshape(r.n, -1)
-                edges = np.frombuffer(r.edges, np.int32).reshape(r.n, -1).astype(np.int64)
-                g = Graph(exact.astype(np.float32), edges, np.frombuffer(r.entry, np.int32).astype(np.int64))
-                asked, flat = np.asarray(r.asked), np.asarray(r.flat).reshape(len(r.asked), -1)
-                ids = [[int(x) for x in s[1:-1].split(",")] for s in r.ids.split("\n")]
-                out: tuple[list, list, list] = ([], [], [])
-                for start in range(0, len(asked), BATCH):
-                    part, own = flat[start : start + BATCH], asked[start : start + BATCH].tolist()
-                    found = g.nearest(part.astype(np.float32), min(r.n, beam))
-                    score = np.sqrt(((exact[found] - part[:, None]) ** 2).sum(2))
-                    for j, q in enumerate(own):
-                        near = sorted((float(s), v) for s, f in zip(score[j], found[j], strict=True) if f >= 0 for v in ids[f] if v != q)[:k]
-                        out[0].extend([q] * len(near))
-                        out[1].extend(v for _, v in near)
-                        out[2].extend(s for s, _ in near)
-                yield pd.DataFrame({"query_id": out[0], "vec_id": out[1], "score": out[2]}, dtype=object).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = met.select("n", "exact", "edges", "entry", "ids", "asked", "flat").mapInPandas(answer, "query_id bigint, vec_id bigint, score double")
+    blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("turn"), F.col("asked.vec_id").alias("asked"), F.flatten("asked.v").alias("flat"))
+    both = indexed.withColumn("turn", F.lit(0)).unionByName(blocks, allowMissingColumns=True)
+    both = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "turn")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for whole in batches:
+            for batch in pieces(whole, 1):  # an index or a block
+                r = batch.to_pylist()[0]
+                if not r["turn"]:
+                    exact = np.frombuffer(r["exact"], np.float32 if r["plain"] else np.float64).reshape(r["n"], -1)
+                    edges = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1).astype(np.int64)
+                    graph = Graph(exact.astype(np.float32, copy=False), edges, np.frombuffer(r["entry"], np.int32).astype(np.int64))
+                    held = r["shard"], graph, exact, r["ids"].split("\n")
+                elif held and held[0] == r["shard"]:
+                    yield _answers(*held[1:], r["asked"], r["flat"], k, beam)
+
+    found = both.select("shard", "turn", "n", "plain", "exact", "edges", "entry", "ids", "asked", "flat").mapInArrow(answer, "query_id bigint, vec_id bigint, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = cut(best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    release(vectors.sparkSession, since, best)
+    return best
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _answers(graph: Graph, exact: np.ndarray, ids: list[str], asked: list[int], flat: list[float], k: int, beam: int) -> pa.RecordBatch:
+    """The k nearest of a shard to each query of a block, by distances of the original vectors in double precision."""
+    queries, n = np.array(flat, np.float64).reshape(len(asked), -1), len(exact)
+    out: tuple[list, list, list] = ([], [], [])
+    for start in range(0, len(asked), BATCH):
+        part = queries[start : start + BATCH]
+        found = graph.nearest(part.astype(np.float32), min(n, beam_of(n, beam)))
+        score = np.sqrt(((exact[found].astype(np.float64) - part[:, None]) ** 2).sum(2))
+        for j, q in enumerate(asked[start : start + BATCH]):
+            own = ((float(s), ids[f]) for s, f in zip(score[j], found[j], strict=True) if f >= 0)
+            near = sorted((s, int(v)) for s, listed in own for v in listed[1:-1].split(",") if int(v) != q)[:k]
+            out[0].extend([q] * len(near))
+            out[1].extend(v for _, v in near)
+            out[2].extend(s for s, _ in near)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _FOUND.types, strict=True)], schema=_FOUND)
 
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

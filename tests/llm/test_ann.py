@@ -35,6 +35,8 @@ def test_recall_copies_and_bad_vectors(spark, tmp_path, monkeypatch):
     for size in (5000, 400):
         found = ann.nearest(*(lambda v: (v, v.where("vec_id % 100 = 0")))(ann.clean(spark.read.parquet(f"{tmp_path}/embeddings.parquet"))), shard_rows=size).collect()
         assert {x.query_id for x in found} == set(wanted) and recall(found, wanted) > 0.97
+        exact = {i: np.array(v, float) for i, v in rows if i < 3000}
+        assert all(x.score == float(np.sqrt(((exact[x.vec_id] - exact[x.query_id]) ** 2).sum())) for x in found)
         for q in wanted:
             own = sorted((x for x in found if x.query_id == q), key=lambda x: x["rank"])
             assert [x["rank"] for x in own] == list(range(1, 11))
@@ -60,3 +62,10 @@ def test_recall_on_the_given_table(spark):
             far = np.sqrt(((every - v) ** 2).sum(1))
             wanted[i] = sorted((f, j) for f, j in zip(far.tolist(), ids.tolist(), strict=True) if j != i)[:10]
     assert recall(found, wanted) > 0.95
+    exact = dict(rows)
+    assert all(abs(x.score - float(np.sqrt(((exact[x.vec_id] - exact[x.query_id]) ** 2).sum()))) < 1e-12 for x in found)
+
+
+def test_shards_follow_the_number_of_vectors():
+    assert [ann.shards_of(n) for n in (0, 1, 4000, 4001, 256_000, 10_000_000, 10**9)] == [1, 1, 1, 2, 64, 64, 5000]
+    assert ann.beam_of(100) == ann.beam_of(4000) == 48 and ann.beam_of(64_000) == 96

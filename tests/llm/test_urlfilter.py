@@ -37,12 +37,12 @@ def test_trees_learn_lexical_signs_and_hold_on_other_hosts(spark, monkeypatch):
     hosts = [f"{word(4)}.{word(5)}.com" for _ in range(40)]
 
     def url(kind):
-        """Blocked ones are deep, or full of digits, or have many parameters; all are of about one length."""
+        """Blocked ones are deep, or full of digits, or have many parameters; all are of about one length, and allowed ones have digits and hyphens too."""
         long = lambda: r.randrange(16, 30)
-        tail = {0: word(long()), 1: "/".join(word(r.randrange(2, 5)) for _ in range(6)), 2: "".join(r.choice("0123456789") for _ in range(long())), 3: f"{word(long() - 12)}?a=1&b=2&c=3", 4: f"{word(10)}/{word(long() - 10)}"}[kind]
+        tail = {0: word(long()), 1: "/".join(word(r.randrange(2, 5)) for _ in range(6)), 2: "".join(r.choice("0123456789") for _ in range(long())), 3: f"{word(long() - 12)}?a=1&b=2&c=3", 4: "-".join(word(r.randrange(2, 5)) for _ in range(6)), 5: word(long() - 10) + "".join(r.choice("0123456789") for _ in range(10))}[kind]
         return f"http://{r.choice(hosts)}/{tail}"
 
-    rows = [(i, url(k), "allow" if k in (0, 4) else "block") for i, k in enumerate([0, 1, 0, 2, 4, 3] * 250)]
+    rows = [(i, url(k), "allow" if k in (0, 4, 5) else "block") for i, k in enumerate([0, 1, 5, 2, 4, 3] * 250)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, label string")
     for few in (10_000, 20):
         monkeypatch.setattr(urlfilter, "FEW", few)
