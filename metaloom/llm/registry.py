@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from metaloom.llm import stated
 from metaloom.llm.ann import op5_nearest
 from metaloom.llm.bpe import op4_bpe
 from metaloom.llm.fingerprint import op9_fingerprint
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_fingerprint": op9_fingerprint,
     "op10_shard": op10_shard,
 }
-ORACLES: dict[str, str] = {}
+QUERIES |= stated.QUERIES
+ORACLES: dict[str, str] = dict(stated.ORACLES)

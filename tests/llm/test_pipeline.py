@@ -57,3 +57,13 @@ def test_accepted_keeps_columns(spark):
     docs = spark.createDataFrame([(1, None, "x", None, 3)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert quality.accepted(docs, quality.constant(0.9)).collect() == docs.collect()
     assert quality.accepted(docs, quality.constant(0.1)).count() == 0
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean"
+    odd = [(1, None, None, None, None, True), (1, None, None, None, None, True), (None, "", "x", "", 0, None), (2, "one two three four five six", "x", "s", 27, None), (2, "one two three four five six", "x", "s", 27, None)]
+    for name, rows in (("none", []), ("odd", odd)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(2, 1)] if rows else [], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in found} == ({2} if rows else set()), name
