@@ -144,8 +144,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, buckets:
 
 
 def buckets_for(rows: int, keys: int = 1) -> int:
-    """Buckets of about BUCKET_ROWS rows for ranked(), whatever the number of rows."""
-    return max(16, rows // (BUCKET_ROWS * keys))
+    """Buckets of at most about BUCKET_ROWS rows for ranked(), whatever the number of rows."""
+    return max(256, rows // (BUCKET_ROWS * keys))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
