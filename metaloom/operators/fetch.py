@@ -1,32 +1,47 @@
 """Fetching, replayed from tables: redirects, address checks, direct media, providers that block, and strategies for Reddit.
 
-responses has request_url, status, location, content_type, body (text) and may have bytes; dns has host and address. Both come
+responses has request_url, status, location, content_type, body (text) and may have bytes, retry_after, error and fetched_at; of several
+for one URL the latest counts (without fetched_at the one with the lowest status). dns has host and address. Both come
 from a crawler, which is where requests belong: a Spark job that fetched would repeat requests whenever a task is retried.
 """
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from metaloom.functions import images, urls
+from metaloom.functions.http import decode_body
 from metaloom.functions.js import rounded, squashed
 from metaloom.functions.ship import ship
-from metaloom.sources.payload import scalar
+from metaloom.sources.reddit import page_of
 
-REDIRECTS, MOST_REDIRECTS, MOST_CHILDREN, MOST_BYTES = (301, 302, 303, 307, 308), 5, 100, 2_000_000
+REDIRECTS, MOST_REDIRECTS, MOST_BYTES = (301, 302, 303, 307, 308), 5, 2_000_000
 HOP = "struct<from:string,to:string,status:int>"
 
 
-def guarded(wanted: DataFrame, dns: DataFrame, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
-    """Adds blocked: why a URL must not be requested, null if it may. All of a name's addresses must be public."""
+def latest(responses: DataFrame) -> DataFrame:
+    """One answer for each request URL."""
+    time = [F.col("fetched_at").desc_nulls_last()] if "fetched_at" in responses.columns else []
+    order = [*time, F.col("status").asc_nulls_last(), F.col("location").asc_nulls_last(), F.xxhash64("body")]
+    first = F.row_number().over(Window.partitionBy("request_url").orderBy(*order))
+    return responses.withColumn("_first", first).where("_first = 1").drop("_first")
+
+
+def guarded(wanted: DataFrame, dns: DataFrame | None = None, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
+    """Adds blocked: why a URL must not be requested, null if it may. All of a name's addresses must be public, and there must be one.
+
+    Without dns names aren't looked up; protocols, local names and addresses in URLs are checked all the same.
+    """
     host = F.regexp_replace(urls.host_of(F.col("url")), r"^\[|\]$", "")
-    known = dns.groupBy(F.lower("host").alias("_host")).agg(F.array_sort(F.collect_set("address")).alias("_addresses"))
-    joined = wanted.withColumn("_h", host).join(known, F.col("_h") == F.col("_host"), "left")
+    joined = wanted.withColumn("_h", host)
+    if dns is None:
+        joined = joined.withColumns({"_host": F.lit(None).cast("string"), "_addresses": F.lit(None).cast("array<string>")})
+    else:
+        known = dns.where("address IS NOT NULL").groupBy(F.lower("host").alias("_host")).agg(F.array_sort(F.collect_set("address")).alias("_addresses"))
+        joined = joined.join(known, F.col("_h") == F.col("_host"), "left")
     literal = F.col("_h").rlike(r"^[0-9.]+$|:")
 
     def refused(address: Column) -> Column:
@@ -39,28 +54,28 @@ def guarded(wanted: DataFrame, dns: DataFrame, allow_local: bool = False, allow_
         F.when(~F.lower("url").rlike("^https?:"), "Unsupported URL protocol")
         .when(urls.is_local_name(F.col("_h")) & F.lit(not allow_local), "Localhost URLs are blocked by default.")
         .when(literal, refused(F.col("_h")))
+        .when(F.lit(dns is not None and not (allow_local and allow_private)) & F.col("_host").isNull(), F.concat(F.lit("No address is known for "), F.coalesce("_h", F.lit(""))))
         .otherwise(F.get(F.filter(each, lambda x: x.isNotNull()), 0))
     )
     return joined.withColumn("blocked", blocked).drop("_h", "_host", "_addresses")
 
 
-def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS, dns: DataFrame | None = None) -> DataFrame:
+def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS, dns: DataFrame | None = None, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
     """Adds final_url, redirects, status, content_type, body and error to wanted (url, more).
 
-    One join for each hop; the number of hops is bounded, and only rows that still move take part in a hop's work. With dns every
-    hop's target is checked. Responses may have error, which ends a row when it is reached, and bytes, which are added too.
+    One join for each hop, whose number is bounded. Every hop's target is checked by guarded(), names with dns only. Responses may have
+    error, which ends a row when it is reached, and bytes and retry_after, which are added too. Every row of wanted gives one row.
     """
     ship(wanted.sparkSession)
-    data = "bytes" in responses.columns
-    answers = responses.select(F.col("request_url").alias("_q"), F.col("status").alias("_status"), F.col("location").alias("_location"), F.col("content_type").alias("_type"), F.col("body").alias("_body"), (F.col("error") if "error" in responses.columns else F.lit(None).cast("string")).alias("_error"), *([F.col("bytes").alias("_bytes")] if data else []))
+    more = {c: k for c, k in (("bytes", "binary"), ("retry_after", "string")) if c in responses.columns}
+    answers = latest(responses).select(F.col("request_url").alias("_q"), F.col("status").alias("_status"), F.col("location").alias("_location"), F.col("content_type").alias("_type"), F.col("body").alias("_body"), (F.col("error") if "error" in responses.columns else F.lit(None).cast("string")).alias("_error"), *[F.col(c).alias(f"_{c}") for c in more])
     state = wanted.withColumns({"final_url": urls.normalize_url("url"), "redirects": F.array().cast(f"array<{HOP}>"), **{c: F.lit(None).cast(k) for c, k in (("status", "int"), ("content_type", "string"), ("body", "string"), ("error", "string"))}})
     state = state.withColumn("error", F.when(F.col("final_url").isNull(), "Invalid or unsupported URL"))
-    state = state.withColumn("bytes", F.lit(None).cast("binary")) if data else state
+    state = state.withColumns({c: F.lit(None).cast(k) for c, k in more.items()}) if more else state
     for hop in range(most + 1):
         open_ = F.col("status").isNull() & F.col("error").isNull()
-        if dns is not None:
-            state = guarded(state.withColumnRenamed("url", "_asked").withColumn("url", F.col("final_url")), dns).drop("url").withColumnRenamed("_asked", "url")
-            state = state.withColumn("error", F.coalesce("error", F.when(open_, F.col("blocked")))).drop("blocked")
+        state = guarded(state.withColumnRenamed("url", "_asked").withColumn("url", F.col("final_url")), dns, allow_local, allow_private).drop("url").withColumnRenamed("_asked", "url")
+        state = state.withColumn("error", F.coalesce("error", F.when(open_, F.col("blocked")))).drop("blocked")
         joined = state.join(answers, open_ & (F.col("final_url") == F.col("_q")), "left")
         moves = open_ & F.coalesce(F.col("_status").isin(*REDIRECTS), F.lit(False))
         target = urls.resolve_url(F.col("_location"), F.col("final_url"))
@@ -78,9 +93,9 @@ def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS,
             {
                 "error": F.coalesce("error", failed), "redirects": F.when(went, F.concat("redirects", F.array(step))).otherwise(F.col("redirects")), "final_url": F.when(went, F.col("_to")).when(failed.isNotNull(), F.lit(None)).otherwise(F.col("final_url")),
                 "status": F.when(here, F.col("_status")).otherwise(F.col("status")), "content_type": F.when(here, F.col("_type")).otherwise(F.col("content_type")), "body": F.when(here, F.col("_body")).otherwise(F.col("body")),
-                **({"bytes": F.when(here, F.col("_bytes")).otherwise(F.col("bytes"))} if data else {}),
+                **{c: F.when(here, F.col(f"_{c}")).otherwise(F.col(c)) for c in more},
             }
-        ).drop("_q", "_status", "_location", "_type", "_body", "_error", "_bytes", "_moves", "_open", "_to")
+        ).drop("_q", "_status", "_location", "_type", "_body", "_error", "_bytes", "_retry_after", "_moves", "_open", "_to")
     return state
 
 
@@ -90,7 +105,8 @@ def split_by_cache(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     Both sides are compared by their normalised URLs; an entry without a status counts as 200.
     """
     ship(wanted.sparkSession)
-    known = cache.select(urls.normalize_url("url").alias("_u"), "html", "final_url", F.coalesce("status", F.lit(200)).alias("status"), "content_type").dropDuplicates(["_u"])
+    known = cache.select(urls.normalize_url("url").alias("_u"), "html", "final_url", F.coalesce("status", F.lit(200)).alias("status"), "content_type")
+    known = known.withColumn("_i", F.row_number().over(Window.partitionBy("_u").orderBy(F.col("status"), F.col("final_url").asc_nulls_last(), F.xxhash64("html")))).where("_i = 1").drop("_i")
     asked = wanted.withColumn("_u", urls.normalize_url("url"))
     return asked.join(known, "_u").drop("_u"), asked.join(known, "_u", "left_anti").drop("_u")
 
@@ -149,67 +165,43 @@ def reddit_urls(url: Column) -> tuple[Column, Column]:
     return F.when(short | F.contains(path, F.lit("/comments/")), F.concat(F.lit("https://www.reddit.com"), post, F.lit(".json"))), F.concat(F.lit("https://old.reddit.com"), post)
 
 
-def _post(value) -> dict | None:
-    """The first record that is a post."""
-    if isinstance(value, list):
-        return next((p for p in map(_post, value) if p), None)
-    if not isinstance(value, dict):
-        return None
-    if isinstance(value.get("title"), str) and (isinstance(value.get("id"), str) or isinstance(value.get("name"), str)):
-        return value
-    data = value.get("data")
-    for child in data.get("children", []) if isinstance(data, dict) and isinstance(data.get("children"), list) else []:
-        if isinstance(child, dict) and isinstance(child.get("data"), dict) and (child.get("kind") == "t3" or isinstance(child["data"].get("title"), str)):
-            return child["data"]
-    return next((p for p in map(_post, list(value.values())[:MOST_CHILDREN]) if p), None)
-
-
-def _places(post: dict) -> list[str]:
-    """Pictures of a post: the gallery in its order, the direct one, then previews from the largest."""
-    clean = lambda u: u.replace("&amp;", "&") if isinstance(u, str) and u.startswith("http") else None
-    meta, gallery = post.get("media_metadata") or {}, post.get("gallery_data") or {}
-    found = [clean(((meta.get(i.get("media_id")) or {}).get("s") or {}).get("u")) for i in gallery.get("items", []) if isinstance(i, dict)]
-    direct = clean(post.get("url_overridden_by_dest") or post.get("url"))
-    if direct and direct.split("?")[0].lower().endswith((".jpg", ".jpeg", ".png", ".webp", ".gif")):
-        found.append(direct)
-    for image in (post.get("preview") or {}).get("images", []) if isinstance(post.get("preview"), dict) else []:
-        sizes = [image.get("source") or {}, *(image.get("resolutions") or [])]
-        found.append(clean(max(sizes, key=lambda s: (s.get("width") or 0) * (s.get("height") or 0), default={}).get("url")))
-    return list(dict.fromkeys(filter(None, found)))
-
-
-def page_of(body: str | None) -> str | None:
-    """The page that stands for a listing: the post as tags and as application data; None if there is no post in it."""
-    from datetime import UTC, datetime
-    from html import escape
-
-    try:
-        post = _post(json.loads(body or ""))
-    except ValueError:
-        return None
-    if not post or not scalar(post.get("title")):
-        return None
-    made, link = post.get("created_utc"), scalar(post.get("permalink"))
-    facts = {"postTitle": post["title"], "selftext": scalar(post.get("selftext")), "author": {"name": scalar(post.get("author"))}, "createdAt": datetime.fromtimestamp(made, UTC).strftime("%Y-%m-%dT%H:%M:%S.000Z") if isinstance(made, (int, float)) else None}
-    head = [f'<title>{escape(post["title"])}</title>', f'<meta property="og:title" content="{escape(post["title"])}">']
-    head += [f'<meta property="og:url" content="https://www.reddit.com{escape(link)}">'] if link else []
-    head += [f'<meta property="og:image" content="{escape(u)}">' for u in _places(post)]
-    return "".join([*head, '<script type="application/json" id="reddit-json">', json.dumps({k: v for k, v in facts.items() if v}).replace("<", "\\u003c"), "</script>"])
-
-
 @F.pandas_udf(StringType())
 def listing_page(body: pd.Series) -> pd.Series:
     return pd.Series([page_of(b) for b in body], dtype=object)
 
 
-def records(wanted: DataFrame, responses: DataFrame, engine=None, cache: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
+#: Fixed value: what a user can do about a provider that blocks.
+SUGGESTED = "retry_on_different_host_or_use_supported_proxy"
+
+
+def provider_of(attempts: Column) -> Column:
+    """The provider that blocked attempts, by the first that asks for verification, else the last; null if none was blocked."""
+    blocked = F.filter(attempts, lambda a: a.blocked.isNotNull())
+    chosen = F.coalesce(F.get(F.filter(blocked, lambda a: a.blocked == "provider_verification_required"), F.lit(0)), F.try_element_at(blocked, F.lit(-1)))
+    return F.when(chosen.isNotNull(), F.struct(F.lit("reddit").alias("platform"), F.lit(True).alias("blocked"), chosen.status.alias("statusCode"), chosen.blocked.alias("reason"), F.lit(SUGGESTED).alias("suggestedAction")))
+
+
+def retry_of(attempts: Column) -> Column:
+    """Whether and when to try again, after attempts that were blocked; null if none was."""
+    failed = F.filter(attempts, lambda a: a.blocked.isNotNull() | a.status.isin(403, 429))
+    after = F.get(F.filter(F.transform(failed, lambda a: a.retry_after), lambda t: F.coalesce(t, F.lit("")) != ""), F.lit(0))
+    said = F.transform(failed, lambda a: F.concat(a.how, F.when(a.status.isNotNull(), F.concat(F.lit(" returned "), a.status.cast("string"))).otherwise(" failed")))
+    again = F.exists(failed, lambda a: F.coalesce(a.status == 429, F.lit(False)) | (F.coalesce(a.retry_after, F.lit("")) != ""))
+    made = F.struct(again.alias("retryable"), F.array_join(said, "; ").alias("reason"), after.alias("retryAfter"), retry_after_ms(after, F.current_timestamp()).alias("retryAfterMs"), F.size(attempts).alias("attempts"))
+    return F.when(F.size(failed) > 0, made)
+
+
+def records(wanted: DataFrame, responses: DataFrame, engine=None, cache: DataFrame | None = None, most_bytes: int = MOST_BYTES, dns: DataFrame | None = None, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
     """Records of wanted (url, more) from replayed responses.
 
     Reddit posts are tried as JSON, on the old site and as they are; the first answer with content counts. Blocked and failed
     ones become records without content, pictures, videos and sounds records of themselves; everything else is parsed.
 
     What a cache (as in split_by_cache, and redirects if it has them) answers counts instead of responses. Bodies above most_bytes
-    are errors. Addresses aren't checked here: guarded() and follow() with dns do that.
+    are errors. Targets are checked as in follow(). A body that is only there as bytes is read in the charset of its content type.
+
+    attempts has every try, provider and retry (see provider_of() and retry_of()) what blocked tries say. A row's tries meet by a
+    hash of the row, which stays the same when a task runs again; rows that are equal in all columns are fetched once and returned as often.
     """
     from metaloom.plans.api import Engine
 
@@ -218,9 +210,14 @@ def records(wanted: DataFrame, responses: DataFrame, engine=None, cache: DataFra
     reddit = urls.is_reddit(F.col("url"))
     tries = F.when(reddit, F.array(F.struct(F.lit(0).alias("n"), F.lit("reddit:jsonEndpoint").alias("how"), endpoint.alias("at")), F.struct(F.lit(1).alias("n"), F.lit("reddit:oldReddit").alias("how"), old.alias("at")), F.struct(F.lit(2).alias("n"), F.lit("reddit:htmlFallback").alias("how"), F.col("url").alias("at"))))
     tries = tries.otherwise(F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("how"), F.col("url").alias("at"))))
-    asked = wanted.withColumn("_id", F.monotonically_increasing_id()).select("*", F.explode(F.filter(tries, lambda t: t["at"].isNotNull())).alias("t"))
+    row = F.to_json(F.struct(*wanted.columns))
+    asked = wanted.withColumn("_id", F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b"))).select("*", F.explode(F.filter(tries, lambda t: t["at"].isNotNull())).alias("t"))
     asked = asked.select(*keep, "_id", F.col("url").alias("asked"), F.col("t.n").alias("_n"), F.col("t.how").alias("how"), F.col("t.at").alias("url"))
-    got = follow(asked, limited(responses, most_bytes))
+    got = follow(asked, limited(responses, most_bytes), dns=dns, allow_local=allow_local, allow_private=allow_private)
+    if "bytes" in got.columns:
+        got = got.withColumn("body", F.coalesce("body", decode_body("bytes", "content_type")))
+    if "retry_after" not in got.columns:
+        got = got.withColumn("retry_after", F.lit(None).cast("string"))
     if cache is not None:
         past = F.col("redirects") if "redirects" in cache.columns else F.lit(None)
         known = cache.select(urls.normalize_url("url").alias("_u"), F.struct(F.col("html").alias("body"), "final_url", F.coalesce("status", F.lit(200)).alias("status"), "content_type", F.coalesce(past.cast(f"array<{HOP}>"), F.array().cast(f"array<{HOP}>")).alias("redirects")).alias("_c")).dropDuplicates(["_u"])
@@ -232,13 +229,16 @@ def records(wanted: DataFrame, responses: DataFrame, engine=None, cache: DataFra
     fine = F.when(is_reddit, F.col("status").between(200, 299) & F.col("blocked").isNull() & ((F.col("how") != "reddit:jsonEndpoint") | F.col("_page").isNotNull())).otherwise(F.col("status").isNotNull())
     # The first that is fine, else the last.
     fields = [c for c in got.columns if c not in ("_id", "_n")]
-    tried = F.transform(F.array_sort(F.collect_list(F.struct("_n", "how", F.col("url").alias("at"), "status", "blocked", "error"))), lambda t: t.dropFields("_n"))
-    best = got.groupBy("_id").agg(tried.alias("attempts"), F.min_by(F.struct(*fields, F.coalesce(fine, F.lit(False)).alias("fine")), F.when(F.coalesce(fine, F.lit(False)), F.col("_n")).otherwise(100 - F.col("_n"))).alias("b")).select("attempts", "b.*")
+    tried = F.transform(F.array_sort(F.collect_list(F.struct("_n", "how", F.col("url").alias("at"), "status", "blocked", "error", "retry_after"))), lambda t: t.dropFields("_n"))
+    last = F.when(is_reddit, 2).otherwise(0)  # every row has this try
+    best = got.groupBy("_id").agg(F.array_distinct(tried).alias("attempts"), F.count_if(F.col("_n") == last).alias("_times"), F.min_by(F.struct(*fields, F.coalesce(fine, F.lit(False)).alias("fine")), F.when(F.coalesce(fine, F.lit(False)), F.col("_n")).otherwise(100 - F.col("_n"))).alias("b"))
+    best = best.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("attempts", "b.*")
+    best = best.withColumns({"provider": F.when(~F.col("fine"), provider_of(F.col("attempts"))), "retry": F.when(F.col("how").isNotNull(), retry_of(F.col("attempts")))})
     media = direct_media(F.col("final_url"), F.col("content_type"), F.coalesce(*[F.col("bytes")] * ("bytes" in got.columns), F.encode(F.col("body"), "iso-8859-1")))
     best = best.withColumn("media", F.when(F.col("fine") & ~is_reddit, media))
     target = F.when(F.col("how") == "reddit:jsonEndpoint", F.col("asked")).otherwise(F.col("final_url"))
     inputs = best.withColumn("html", F.when(F.col("fine") & F.col("media").isNull(), F.coalesce("_page", "body")))
-    inputs = inputs.select(*keep, "asked", "attempts", "how", "status", "error", "blocked", "redirects", "media", "fine", target.alias("url"), "html")
+    inputs = inputs.select(*keep, "asked", "attempts", "provider", "retry", "how", "status", "error", "blocked", "redirects", "media", "fine", target.alias("url"), "html")
     parsed = (engine or Engine()).parse(inputs.withColumnRenamed("error", "fetch_error"))
     dead = ~F.col("fine")
     none = lambda c: F.when(~dead & F.col("media").isNull(), F.col(c))

@@ -58,7 +58,7 @@ def _candidates(ext: Column | None) -> tuple[Column, Column, Column]:
 def with_media(tagged: DataFrame, sites: list[adapters.Adapter], plugins: list[Column], scorers: tuple = ()) -> DataFrame:
     """Adds ext (the results of plugins, then of matching adapters), found (media) and best."""
     if "oembed_images" not in tagged.columns:
-        tagged = tagged.withColumn("oembed_images", assets.none())
+        tagged = tagged.withColumns({"oembed_images": assets.none(), "oembed_warnings": F.array().cast("array<string>")})
     once = assets.discovered(*_candidates(None), F.col("final_url"))
     found = tagged.withColumn("found", F.struct(*[c.alias(k) for k, c in once.items()]))
     own = F.filter(F.array(*[p.cast(RESULT) for p in plugins]), lambda r: r.isNotNull()) if plugins else F.array().cast(NO_RESULTS)
@@ -226,7 +226,7 @@ def with_fields(df: DataFrame, warnings: list[str] = ()) -> DataFrame:
             "description": defined(_ext("description"), col("og.description"), col("card.description"), *[n.description for n in nodes], state.best_text("description", "excerpt", "summary", "subtitle", "ogDescription"), col("html.description")),
             "site_name": defined(_ext("siteName"), col("og.site_name"), col("n_site")["name"], state.best_text("siteName", "site_name", "appName", "applicationName"), domain_of(col("final_url"))),
             "article": _article(), "product": _product(), "app": _app(), "video": _video(), "playlist": _ext("playlist"), "sources_used": _sources_used(),
-            "warnings": F.array_distinct(F.concat(F.array(*map(F.lit, warnings)).cast("array<string>"), col("jsonld_warnings"))), "sources": _attribution(), "trace": _trace(),
+            "warnings": F.array_distinct(F.concat(F.array(*map(F.lit, warnings)).cast("array<string>"), col("jsonld_warnings"), col("oembed_warnings"))), "sources": _attribution(), "trace": _trace(),
         }
     )
     df = df.withColumns(

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from metaloom.functions.urls import domain_of
 from metaloom.operators import adapters, assets
@@ -62,7 +63,7 @@ class Engine:
     def parse(self, pages: DataFrame, oembed: DataFrame | None = None) -> DataFrame:
         """One record for each row of pages (url, html, more). A URL that isn't http(s) gives ok = false.
 
-        oembed (href, body) holds documents that oEmbed links lead to, one for each href.
+        oembed (href, body) holds documents that oEmbed links lead to; links without a usable one cost a warning.
         """
         registry, warnings, results = Registry(), [], []
         for _, setup in [*_shared, *self.plugins]:
@@ -94,16 +95,30 @@ class Engine:
 
 
 def _with_oembed(tagged: DataFrame, oembed: DataFrame) -> DataFrame:
-    """Pictures of the documents behind a page's oEmbed links, in the order of the links."""
+    """Pictures of the documents behind a page's oEmbed links, in the order of the links, and a warning for each link without one.
+
+    Of several documents for one href the one with the smallest hash counts. Links and pages meet by a hash of the page's columns,
+    which stays the same when a task runs again; pages equal in all of them share their documents.
+    """
     fields = "type string, url string, width double, height double, thumbnail_url string, thumbnail_width double, thumbnail_height double"
-    keyed = tagged.withColumn("_row", F.monotonically_increasing_id())
-    links = keyed.select("_row", "final_url", F.posexplode("oembed_links").alias("_at", "_link")).where("_link.type IS NULL OR lower(_link.type) LIKE '%json%'")
-    docs = links.join(oembed.select(F.col("href").alias("_href"), F.from_json("body", fields).alias("d")), F.col("_link.href") == F.col("_href"))
+    row = F.to_json(F.struct("url", "oembed_links", *[c for c in tagged.columns if c.startswith("in_")]))
+    keyed = tagged.withColumn("_row", F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b")))
+    links = keyed.where(F.size("oembed_links") > 0).select("_row", F.posexplode("oembed_links").alias("_at", "_link")).dropDuplicates(["_row", "_at"])
+    docs = oembed.groupBy(F.col("href").alias("_href")).agg(F.min_by("body", F.xxhash64("body")).alias("_body"))
+    json = F.col("_link.type").isNull() | F.lower("_link.type").contains("json")
+    failed = lambda why: F.concat(F.lit("Could not fetch oEmbed endpoint "), F.col("_link.href"), F.lit(why))
+    warning = (
+        F.when(~json, F.concat(F.lit("Skipping non-JSON oEmbed endpoint: "), F.col("_link.href"), F.lit(".")))
+        .when(F.col("_body").isNull(), failed(": no response"))
+        .when(F.try_parse_json("_body").isNull(), failed(": the response is not JSON"))
+    )
+    got = links.join(docs, F.col("_link.href") == F.col("_href"), "left").withColumn("_warning", warning).withColumn("d", F.when(F.col("_warning").isNull(), F.from_json("_body", fields)))
     thumb = F.when(F.col("d.thumbnail_url").isNotNull(), assets.asset(F.col("d.thumbnail_url"), "image", "oEmbed", width=F.col("d.thumbnail_width"), height=F.col("d.thumbnail_height")))
     photo = F.when((F.col("d.type") == "photo") & F.col("d.url").isNotNull(), assets.asset(F.col("d.url"), "image", "oEmbed", width=F.col("d.width"), height=F.col("d.height")))
-    both = docs.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", F.filter(F.array(thumb, photo), lambda a: a.isNotNull()).alias("a")))).alias("l"))
-    images = both.select("_row", F.flatten(F.transform("l", lambda x: x.a)).alias("oembed_images"))
-    return keyed.join(images, "_row", "left").withColumn("oembed_images", F.coalesce("oembed_images", assets.none())).drop("_row")
+    both = got.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", F.filter(F.array(thumb, photo), lambda a: a.isNotNull()).alias("a"), "_warning"))).alias("l"))
+    told = both.select("_row", F.flatten(F.transform("l", lambda x: x.a)).alias("oembed_images"), F.filter(F.transform("l", lambda x: x._warning), lambda w: w.isNotNull()).alias("oembed_warnings"))
+    found = keyed.join(told, "_row", "left").drop("_row")
+    return found.withColumns({"oembed_images": F.coalesce("oembed_images", assets.none()), "oembed_warnings": F.coalesce("oembed_warnings", F.array().cast("array<string>"))})
 
 
 def preview_cards(records: DataFrame, *keep: str) -> DataFrame:
@@ -112,6 +127,20 @@ def preview_cards(records: DataFrame, *keep: str) -> DataFrame:
     return records.select(*keep, "title", "description", F.col("best_image").alias("image"), url.alias("url"), F.col("site_name").alias("siteName"), domain_of(url).alias("domain"), F.col("author.name").alias("author"), "type", "confidence")
 
 
+#: Lists that stay in a stripped record when they are empty.
+KEPT = ("images", "videos", "audio", "favicons", "trace")
+
+
 def stripped_json(records: DataFrame, *columns: str) -> Column:
-    """The record as JSON without nulls."""
-    return F.to_json(F.struct(*(columns or records.columns)))
+    """The record as JSON without nulls and empty lists, but for those of media and of the trace."""
+    names = columns or records.columns
+    return F.to_json(F.struct(*[_stripped(F.col(c), records.schema[c].dataType, c in KEPT).alias(c) for c in names]))
+
+
+def _stripped(c: Column, kind: DataType, keep: bool = False) -> Column:
+    if isinstance(kind, StructType):
+        return F.when(c.isNotNull(), F.struct(*[_stripped(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, ArrayType):
+        inner = F.transform(c, lambda x: _stripped(x, kind.elementType)) if isinstance(kind.elementType, (StructType, ArrayType)) else c
+        return F.coalesce(inner, F.array().cast(kind)) if keep else F.when(F.size(c) > 0, inner)
+    return c

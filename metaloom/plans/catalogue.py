@@ -485,6 +485,28 @@ def text_quality(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", rounded(quality.text_points(col("s_name"), 18, 6, 120)).alias("title_points"), rounded(quality.text_points(F.lit(" sign  IN "), 114, 6, 120)).alias("home"), quality.source_bonus(source).alias("bonus"))
 
 
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'article' WHEN 1 THEN 'product' WHEN 2 THEN 'video' WHEN 3 THEN 'profile' WHEN 4 THEN 'app' WHEN 5 THEN 'audio' ELSE 'website' END AS type FROM part""")
+def infer_type(spark, d):
+    k = col("p_partkey")
+    node = lambda kind: f'<script type="application/ld+json">{{"@type":"{kind}","name":"n"}}</script>'
+    shapes = ['<meta property="og:type" content="article">', '<meta property="og:type" content="product.item">', node("VideoObject"), node("Person"), node("MobileApplication"), node("AudioObject"), ""]
+    html = text("<title>t", k, "</title>", F.get(F.array(*map(F.lit, shapes)), (k % 7).cast("int")))
+    pages = read(spark, d, "part").select("p_partkey", F.lit("https://f.example.com/").alias("url"), html.alias("html"))
+    return Engine().parse(pages).select("p_partkey", "type")
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'https://o.example.com/p' || n_nationkey || '.jpg' END AS image, CASE WHEN n_nationkey % 3 = 0 THEN 640.0 END AS width, CASE n_nationkey % 3 WHEN 1 THEN 'Could not fetch oEmbed endpoint https://o.example.com/' || n_nationkey || ': no response'
+WHEN 2 THEN 'Could not fetch oEmbed endpoint https://o.example.com/' || n_nationkey || ': the response is not JSON' END AS warning FROM nation""")
+def oembed_documents(spark, d):
+    k = col("n_nationkey")
+    n = read(spark, d, "nation")
+    pages = n.select("n_nationkey", F.lit("https://o.example.com/").alias("url"), text('<link rel="alternate" type="application/json+oembed" href="/', k, '">').alias("html"))
+    body = F.when(k % 3 == 0, text('{"type":"photo","url":"https://o.example.com/p', k, '.jpg","width":640,"height":480}')).otherwise("<html>")
+    docs = n.where(k % 3 != 1).select(text("https://o.example.com/", k).alias("href"), body.alias("body"))
+    first = F.get("images", F.lit(0))
+    return Engine().parse(pages, docs).select("n_nationkey", first.url.alias("image"), first.width.alias("width"), F.get("diagnostics.warnings", F.lit(0)).alias("warning"))
+
+
 # ---- fetching ----------------------------------------------------------------------------------------------------------
 
 
@@ -538,7 +560,7 @@ def retry_after(spark, d):
     return read(spark, d, "nation").select("n_nationkey", fetch.retry_after_ms(value, F.lit("2026-01-01 00:00:00").cast("timestamp")).alias("ms"))
 
 
-@query()
+@query("""SELECT n_nationkey, TRUE AS ok, n_name AS title, 'social_post' AS type, 'https://i.redd.it/' || n_nationkey || '.jpg' AS best_image, 'u' || n_nationkey AS author, 'reddit:jsonEndpoint' AS method FROM nation""")
 def reddit_json_post(spark, d):
     """Posts of a listing, as records."""
     k = col("n_nationkey")
