@@ -568,3 +568,177 @@ def reddit_json_post(spark, d):
     n = read(spark, d, "nation").select("n_nationkey", text("https://www.reddit.com/r/s/comments/p", k, "/t").alias("url"), body.alias("body"))
     responses = n.select(text("https://www.reddit.com/r/s/comments/p", k, "/t.json").alias("request_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"), F.lit("application/json").alias("content_type"), "body")
     return fetch.records(n.select("n_nationkey", "url"), responses).select("n_nationkey", "ok", "title", "type", "best_image", col("author.name").alias("author"), "method")
+
+
+# ---- every site's adapter on pages of its own --------------------------------------------------------------------------
+
+
+def by_turn(*choices: Column) -> Column:
+    """The choice whose turn it is by the customer's key."""
+    return F.get(F.array(*choices), (col("c_custkey") % len(choices)).cast("int"))
+
+
+def script(*parts) -> Column:
+    return text('<script type="application/json">', *parts, "</script>")
+
+
+def site_records(spark, d, pages: list[tuple[Column, Column]]) -> DataFrame:
+    """Records of the customers' pages, each of the (URL, HTML) pairs in turn."""
+    made = read(spark, d, "customer").select("c_custkey", by_turn(*[u for u, _ in pages]).alias("url"), by_turn(*[h for _, h in pages]).alias("html"))
+    return Engine().parse(made)
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Played ' WHEN 1 THEN 'List ' WHEN 2 THEN 'Post ' WHEN 3 THEN 'Html ' ELSE 'Linked ' END || c_custkey AS title, CASE c_custkey % 5 WHEN 1 THEN 'playlist' WHEN 2 THEN 'social_post' ELSE 'video' END AS type,
+CASE c_custkey % 5 WHEN 1 THEN NULL WHEN 2 THEN 'https://www.youtube.com/post/P' || c_custkey ELSE 'https://www.youtube.com/watch?v=v' || c_custkey END AS canonical,
+CASE c_custkey % 5 WHEN 0 THEN 'youtube:ytInitialPlayerResponse' WHEN 1 THEN 'youtube:ytInitialData' WHEN 2 THEN 'youtube:openGraph' WHEN 3 THEN 'youtube:html' ELSE 'youtube:structuredData.VideoObject' END AS method,
+CASE WHEN c_custkey % 5 = 1 THEN 'a' || c_custkey || '=One,b' || c_custkey || '=Two' END AS videos FROM customer""")
+def adapter_youtube(spark, d):
+    k = col("c_custkey")
+    item = lambda id_, title: text('{"playlistVideoRenderer":{"videoId":"', id_, k, '","title":{"simpleText":"', title, '"}}}')
+    listed = text('<script>var ytInitialData = {"contents":[', item("a", "One"), ",", item("b", "Two"), ",", item("a", "Again"), '],"header":{"playlistHeaderRenderer":{"title":{"simpleText":"List ', k, '"}}}};</script>')
+    pages = [
+        (text("https://www.youtube.com/watch?v=v", k), text('<title>Other - YouTube</title><script>var ytInitialPlayerResponse = {"videoDetails":{"title":"Played ', k, '","shortDescription":"Text"}};</script>')),
+        (text("https://www.youtube.com/playlist?list=L", k), listed),
+        (text("https://www.youtube.com/post/P", k), text('<meta property="og:title" content="Post ', k, '"><meta property="og:url" content="https://www.youtube.com/post/P', k, '">')),
+        (text("https://youtu.be/v", k), text("<title>Html ", k, " - YouTube</title>")),
+        (text("https://m.youtube.com/shorts/v", k), text('<meta property="og:title" content="Later"><script type="application/ld+json">{"@type":"VideoObject","name":"Linked ', k, '"}</script>')),
+    ]
+    videos = F.array_join(F.transform("playlist.videos", lambda v: F.concat(v.id, F.lit("="), v.title)), ",")
+    return site_records(spark, d, pages).select("c_custkey", "title", "type", col("canonical_url").alias("canonical"), col("diagnostics.extractionMethod").alias("method"), videos.alias("videos"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Said ' WHEN 1 THEN 'Linked ' WHEN 2 THEN 'Mine ' WHEN 3 THEN 'Card ' ELSE 'Plain ' END || c_custkey AS title, CASE WHEN c_custkey % 5 IN (2, 3) THEN 'website' ELSE 'social_post' END AS type,
+CASE c_custkey % 5 WHEN 1 THEN 'w' || c_custkey WHEN 2 THEN 'u' || c_custkey END AS author,
+CASE c_custkey % 5 WHEN 0 THEN 'reddit:embeddedStructuredData' WHEN 1 THEN 'reddit:structuredData' WHEN 2 THEN 'reddit:openGraph' WHEN 3 THEN 'reddit:twitter' ELSE 'reddit:html' END AS method FROM customer""")
+def adapter_reddit(spark, d):
+    k = col("c_custkey")
+    pages = [
+        (text("https://www.reddit.com/r/s/comments/p", k, "/t"), F.concat(F.lit("<title>Other</title>"), script('{"postTitle":"Said ', k, '"}'))),
+        (text("https://redd.it/q", k), text('<script type="application/ld+json">{"@type":"DiscussionForumPosting","name":"Linked ', k, '","author":{"name":"w', k, '"}}</script>')),
+        (text("https://www.reddit.com/user/u", k), text('<meta property="og:title" content="Mine ', k, ' : r/abc">')),
+        (text("https://old.reddit.com/r/s", k), text('<meta name="twitter:title" content="Card ', k, '">')),
+        (text("https://www.reddit.com/r/s/comments/r", k), text("<title>Plain ", k, " : r/s</title>")),
+    ]
+    return site_records(spark, d, pages).select("c_custkey", "title", "type", col("author.name").alias("author"), col("diagnostics.extractionMethod").alias("method"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'A long title of pin ' WHEN 1 THEN 'Grid title of pin ' ELSE 'Board ' END || c_custkey AS title, CASE WHEN c_custkey % 3 = 2 THEN 'image' ELSE 'social_post' END AS type, CASE WHEN c_custkey % 3 = 1 THEN 'u' || c_custkey END AS author, 'Pinterest' AS site_name FROM customer""")
+def adapter_pinterest(spark, d):
+    """The best text counts, wherever it stands: the long title in markup beats the short one of Open Graph."""
+    k = col("c_custkey")
+    pages = [
+        (text("https://www.pinterest.com/pin/", k, "/"), text('<meta property="og:title" content="Pin"><title>A long title of pin ', k, "</title>")),
+        (text("https://pin.it/", k), script('{"gridTitle":"Grid title of pin ', k, '","pinner":{"username":"u', k, '"}}')),
+        (text("https://www.pinterest.com/me/board", k), text("<title>Board ", k, "</title>")),
+    ]
+    return site_records(spark, d, pages).select("c_custkey", "title", "type", col("author.name").alias("author"), "site_name")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN 'Project number ' ELSE 'Portfolio of ' END || c_custkey AS title, CASE c_custkey % 2 WHEN 0 THEN 'image' ELSE 'website' END AS type, CASE WHEN c_custkey % 2 = 0 THEN 'o' || c_custkey END AS author, 'Behance' AS site_name FROM customer""")
+def adapter_behance(spark, d):
+    k = col("c_custkey")
+    pages = [
+        (text("https://www.behance.net/gallery/", k, "/x"), script('{"projectTitle":"Project number ', k, '","owners":[{"username":"o', k, '"}]}')),
+        (text("https://www.behance.net/u", k), text("<title>Portfolio of ", k, "</title>")),
+    ]
+    return site_records(spark, d, pages).select("c_custkey", "title", "type", col("author.name").alias("author"), "site_name")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'A caption of ' || c_custkey WHEN 1 THEN 'Tune ' || c_custkey || ' - Band' WHEN 2 THEN 'TikTok post by @me' ELSE 'A clip of number ' || c_custkey END AS title, 'social_post' AS type, CASE c_custkey % 4 WHEN 0 THEN 'Nick' ELSE 'me' END AS author,
+CASE c_custkey % 4 WHEN 0 THEN 'tiktok:itemStruct.desc' WHEN 1 THEN 'tiktok:itemStruct.music' WHEN 2 THEN 'tiktok:urlFallback' ELSE 'tiktok:fallback' END AS method, CASE WHEN c_custkey % 4 = 0 THEN c_custkey END AS plays,
+CASE WHEN c_custkey % 4 = 0 THEN '2026-01-01T00:00:00.000Z' END AS published, CASE WHEN c_custkey % 4 = 0 THEN 'https://p16.tiktokcdn.com/' || c_custkey || '.jpg' END AS image FROM customer""")
+def adapter_tiktok(spark, d):
+    """The item of the video's own id counts, not its neighbours."""
+    k = col("c_custkey")
+    url = text("https://www.tiktok.com/@me/video/", k)
+    item = lambda *parts: text('<script id="__UNIVERSAL_DATA_FOR_REHYDRATION__" type="application/json">{"__DEFAULT_SCOPE__":{"webapp.video-detail":{"itemInfo":{"itemStruct":', *parts, "}}}}</script>")
+    pages = [
+        (url, item('{"id":"', k, '","desc":" A caption of ', k, ' ","createTime":"1767225600","author":{"nickname":"Nick"},"stats":{"playCount":', k, '},"video":{"cover":"https://p16.tiktokcdn.com/', k, '.jpg"}}')),
+        (url, item('{"id":"', k, '","music":{"title":"Tune ', k, '","authorName":"Band"}}')),
+        (url, text('<meta property="og:title" content="TikTok - Make Your Day">')),
+        (url, text('<meta property="og:title" content="A clip of number ', k, '">')),
+    ]
+    return site_records(spark, d, pages).select("c_custkey", "title", "type", col("author.name").alias("author"), col("diagnostics.extractionMethod").alias("method"), col("video.viewCount").alias("plays"), col("publish_date").alias("published"), col("best_image").alias("image"))
+
+
+@query("""SELECT c_custkey, 'Title ' || c_custkey AS title, CASE c_custkey % 5 WHEN 0 THEN 'image' WHEN 3 THEN 'website' ELSE 'social_post' END AS type, 'Facebook' AS site_name, CASE WHEN c_custkey % 5 = 4 THEN 'https://cdn.example.com/big.jpg' END AS image FROM customer""")
+def adapter_facebook(spark, d):
+    """Pages without the path of a post are posts if they have media."""
+    k = col("c_custkey")
+    title = text('<meta property="og:title" content="Title ', k, '">')
+    paths = [("photo.php?fbid=", title), ("page/posts/", title), ("permalink.php?id=1&story_fbid=", title), ("page", title), ("page", F.concat(title, F.lit('<meta property="og:image" content="https://cdn.example.com/big.jpg">')))]
+    return site_records(spark, d, [(text("https://www.facebook.com/", p, k), h) for p, h in paths]).select("c_custkey", "title", "type", "site_name", col("best_image").alias("image"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'The whole text of ' ELSE 'Title ' END || c_custkey AS title, CASE WHEN c_custkey % 3 = 2 THEN 'profile' ELSE 'social_post' END AS type, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey END AS author, 'X' AS site_name FROM customer""")
+def adapter_twitter(spark, d):
+    k = col("c_custkey")
+    title = text('<meta property="og:title" content="Title ', k, '">')
+    pages = [(text("https://x.com/u/status/", k), script('{"full_text":"The whole text of ', k, '","screen_name":"s', k, '"}')), (text("https://t.co/", k), title), (text("https://twitter.com/u", k), title)]
+    return site_records(spark, d, pages).select("c_custkey", "title", "type", col("author.name").alias("author"), "site_name")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'A caption of picture ' ELSE 'Title ' END || c_custkey AS title, CASE WHEN c_custkey % 4 = 3 THEN 'profile' ELSE 'social_post' END AS type, CASE WHEN c_custkey % 4 = 0 THEN 'o' || c_custkey END AS author, 'Instagram' AS site_name FROM customer""")
+def adapter_instagram(spark, d):
+    k = col("c_custkey")
+    title = text('<meta property="og:title" content="Title ', k, '">')
+    stated = script('{"caption":"A caption of picture ', k, '","owner":{"username":"o', k, '"}}')
+    return site_records(spark, d, [(text("https://www.instagram.com/", p, k), h) for p, h in (("p/", stated), ("reel/", title), ("tv/", title), ("u", title))]).select("c_custkey", "title", "type", col("author.name").alias("author"), "site_name")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'playlistId=L,videoId=v' || c_custkey WHEN 1 THEN 'postId=p' || c_custkey || ',subreddit=sub' WHEN 2 THEN 'pinId=' || c_custkey WHEN 3 THEN 'projectId=' || c_custkey
+WHEN 4 THEN 'postId=' || c_custkey || ',username=user' WHEN 5 THEN 'postId=' || c_custkey WHEN 6 THEN 'statusId=' || c_custkey ELSE 'shortcode=' || c_custkey END AS ids FROM customer""")
+def site_ids(spark, d):
+    pages = read(spark, d, "customer").select(col("c_custkey").alias("in_c_custkey"), social_url().alias("url"), F.lit("<title>t</title>").alias("html"))
+    found = F.get("adapter_results", F.lit(0)).identifiers
+    told = F.array_join(F.array_sort(F.transform(F.map_entries(found), lambda e: F.concat(e.key, F.lit("="), e.value))), ",")
+    return with_media(with_tags(scan(pages)), adapters.DEFAULT, []).select(col("in_c_custkey").alias("c_custkey"), told.alias("ids"))
+
+
+_GIVEN = "CASE WHEN p_partkey % 2 = 0 THEN {} ELSE 0 END + CASE WHEN p_partkey % 3 = 0 THEN {} ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN {} ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN {} ELSE 0 END"
+
+
+@query(f"SELECT p_partkey, least(100, 45 + {_GIVEN.format(22, 14, 14, 6)}) AS own, least(100, 55 + {_GIVEN.format(15, 10, 15, 5)}) AS told FROM part")
+def adapter_confidence(spark, d):
+    k = col("p_partkey")
+    given = [F.when(k % 2 == 0, "t"), F.when(k % 3 == 0, "d"), k % 5 == 0, F.when(k % 7 == 0, "a")]
+    return read(spark, d, "part").select("p_partkey", quality.adapter_confidence(*given).alias("own"), quality.adapter_confidence(*given, *quality.DIAGNOSTIC).alias("told"))
+
+
+@query("""SELECT p_partkey, 'https://i.example.com/' || f AS url, CAST(w AS DOUBLE) AS width FROM part, LATERAL (VALUES ('keep' || p_partkey || '.jpg', NULL), ('sprites.png', NULL), ('bigicon.png', 65), ('photo.png', 64)) v(f, w)
+UNION ALL SELECT p_partkey, 'https://i.example.com/wide' || p_partkey || '.jpg', p_size FROM part WHERE p_size > 2 UNION ALL SELECT p_partkey, 'https://i.example.com/logo' || p_partkey || '.png', p_size + 40 FROM part WHERE p_size + 40 > 64""")
+def image_filters(spark, d):
+    """Pictures that are no URL of a file, tracking pixels, what is at most two pixels wide or high, and small icons are dropped."""
+    k, size = col("p_partkey"), col("p_size")
+    html = text(
+        '<img src="/keep', k, '.jpg"><img src="data:image/png;base64,x"><img src="blob:x"><img src="javascript:x"><img src="/sprite.png"><img src="/sprites.png"><img src="/a/1x1.gif"><img src="/pixel/a.jpg"><img src="/flat.jpg" width="300" height="2">',
+        '<img src="/wide', k, '.jpg" width="', size, '" height="300"><img src="/logo', k, '.png" width="', size + 40, '" height="64"><img src="/icon.png" width="64" height="64"><img src="/bigicon.png" width="65" height="64"><img src="/photo.png" width="64" height="64">',
+    )
+    pages = read(spark, d, "part").select("p_partkey", F.lit("https://i.example.com/a").alias("url"), html.alias("html"))
+    return scan(pages, ["dom_images"]).select("p_partkey", F.explode("dom_images").alias("a")).select("p_partkey", "a.url", "a.width")
+
+
+@query(_SCORED + " SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) - 1 AS ord, same AS alike, CASE WHEN same > 1 THEN least((same - 1) * 4, 12) ELSE 0 END AS penalty FROM s")
+def duplicate_penalty(spark, d):
+    """What pictures lose to others of the same file, as their reasons tell."""
+    t = line_assets(spark, d).select("l_orderkey", F.posexplode(assets.scored(col("images"))).alias("ord", "a"), F.transform("images", lambda a: assets.signature_of(a.url)).alias("all"))
+    alike = F.size(F.filter("all", lambda s: s == assets.signature_of(col("a.url"))))
+    lost = F.regexp_extract(F.array_join("a.reasons", ";"), r"duplicate-like URL group subtracted (\d+)", 1)
+    return t.select("l_orderkey", col("ord").cast("bigint").alias("ord"), alike.cast("bigint").alias("alike"), F.coalesce(F.nullif(lost, F.lit("")), F.lit("0")).cast("bigint").alias("penalty"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'twitter' WHEN 2 THEN 'embeddedData' ELSE 'html' END AS title, CASE p_partkey % 5 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'twitter' WHEN 2 THEN 'embeddedData' WHEN 3 THEN 'html' END AS description,
+CASE p_partkey % 5 WHEN 0 THEN 'openGraph' WHEN 2 THEN 'embeddedData' END AS author, CASE p_partkey % 5 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'twitter' WHEN 3 THEN 'html' END AS image FROM part""")
+def source_attribution(spark, d):
+    """Where the fields of a record come from."""
+    k = col("p_partkey")
+    shapes = [
+        '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:image" content="/o.jpg"><meta property="article:author" content="A">',
+        '<meta name="twitter:title" content="T"><meta name="twitter:description" content="D"><meta name="twitter:image" content="/t.jpg">',
+        '<script type="application/json">{"title":"A title","description":"A text of it","author":{"name":"N"}}</script>',
+        '<meta name="description" content="D"><img src="/h.jpg">',
+        "",
+    ]
+    html = text("<title>Plain ", k, "</title>", F.get(F.array(*map(F.lit, shapes)), (k % len(shapes)).cast("int")))
+    pages = read(spark, d, "part").select("p_partkey", F.lit("https://f.example.com/").alias("url"), html.alias("html"))
+    return Engine().parse(pages).select("p_partkey", *[col("sources")[f].alias(f) for f in ("title", "description", "author", "image")])
