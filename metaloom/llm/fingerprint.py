@@ -165,23 +165,24 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, list[int]]:
 def edited(docs: DataFrame) -> DataFrame:
     """The fingerprint of every row of docs (doc_id, text), and of its text edited with the next row's by descending doc_id.
 
-    Each range is sorted and streamed through one task, which knows the next row of every row but its last; first and last rows of the
-    ranges are read from the same shuffle again, and a join of these few gives each last row the first of the next range.
+    Each range is a task of its own, which sorts and streams it and knows the next row of every row but its last; first and last rows of
+    the ranges are read from the same shuffle once more, and an aggregation of these few gives each last row the first of the next range.
     """
     ship(docs.sparkSession)
     rows, ranges = dealt(docs)
     if not ranges:
         return docs.sparkSession.createDataFrame([], _RESULT)
-    number = {r: i for i, r in enumerate(ranges)}
-    shared = docs.sparkSession.sparkContext.broadcast(number)
-    ordered = rows.repartition(len(ranges), "range").sortWithinPartitions("range", F.col("doc_id").desc(), "order").select("range", "doc_id", "text")
+    n = len(ranges)  # at most about twice MOST_TASKS
+    known = F.broadcast(docs.sparkSession.createDataFrame([(r, i) for i, r in enumerate(ranges)], "range bigint, i int"))
+    # The number of a range is the number of its task; a hash of it would put several ranges into one.
+    ordered = rows.join(known, "range").repartitionById(n, "i").sortWithinPartitions(F.col("doc_id").desc(), "order").select("i", "doc_id", "text")
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for whole in batches:
             for batch in pieces(whole, BATCH_ROWS, BATCH_BYTES):
                 out = []
-                for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "text")), strict=True):
+                for part, key, text in zip(*(batch.column(c).to_pylist() for c in ("i", "doc_id", "text")), strict=True):
                     now = (part, key, text or "", of(text))
                     if held and held[0] == part:
                         out.append(_made(held[1], held[2], held[3], now[2], now[3]))
@@ -191,26 +192,26 @@ def edited(docs: DataFrame) -> DataFrame:
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first and the last row of each range, under the range's number; the first is meant for the range before."""
-        held, n = None, len(shared.value)
+        held = None
 
         def one(i: int, first: bool, key: int | None, text: str | None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((i, first, key, text), _ENDS.types, strict=True)], schema=_ENDS)
 
         for whole in batches:
             for batch in pieces(whole, BATCH_ROWS, BATCH_BYTES):
-                parts, keys, texts = batch.column("range").to_pylist(), batch.column("doc_id"), batch.column("text")
+                parts, keys, texts = batch.column("i").to_pylist(), batch.column("doc_id"), batch.column("text")
                 for j in [j for j, part in enumerate(parts) if part != (parts[j - 1] if j else held and held[0])]:
                     last = (parts[j - 1], keys[j - 1].as_py(), texts[j - 1].as_py()) if j else held
                     if last:
-                        yield one(shared.value[last[0]], False, *last[1:])
-                    yield one((shared.value[parts[j]] - 1) % n, True, keys[j].as_py(), texts[j].as_py())
+                        yield one(last[0], False, *last[1:])
+                    yield one((parts[j] - 1) % n, True, keys[j].as_py(), texts[j].as_py())
                 held = (parts[-1], keys[-1].as_py(), texts[-1].as_py())
         if held:
-            yield one(shared.value[held[0]], False, *held[1:])
+            yield one(held[0], False, *held[1:])
 
     edges = ordered.mapInArrow(ends, "i bigint, first boolean, doc_id bigint, text string")
-    firsts = edges.where("first").select("i", F.col("text").alias("following"))
-    lasts = edges.where("NOT first").select("i", "doc_id", "text").join(firsts, "i").select("doc_id", "text", "following")
+    own, theirs = (lambda c: F.max(F.when(~F.col("first"), F.col(c))).alias(c)), F.max(F.when(F.col("first"), F.col("text"))).alias("following")
+    lasts = edges.groupBy("i").agg(own("doc_id"), own("text"), theirs).drop("i")  # two rows for each i
 
     def outer():
         def run(keys, texts, following):
