@@ -21,6 +21,8 @@ empty text's. Rows that agree in all columns are interchangeable. All of it is D
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,7 +125,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     most = min(max(SMALL, n // (shards * PIECES)), quotas[-1])
     room = list(quotas)
     plan = planned([(r.g, r.n) for r in groups.where(F.col("n") > most).collect()], room)
-    parts = spark.createDataFrame([(g, j, end - start) for g, start, end, j in plan], "g string, label int, n bigint")
+    listed = json.dumps([{"g": g, "label": j, "n": end - start} for g, start, end, j in plan])  # a literal, as rows from Python come as an RDD
+    parts = spark.range(1).select(F.inline(F.from_json(F.lit(listed), "array<struct<g:string,label:int,n:bigint>>")))
     # The other groups: an even start, in proportion to the room, then rounds.
     linked = joined.where((F.col("n") > 1) & (F.col("n") <= most)).drop("n")
     m = linked.count()
