@@ -29,56 +29,29 @@ from pyspark.sql import functions as F
 
 from metaloom.llm.common import WORD, cut, map_rows, mark, release, table
 from metaloom.llm.graph import components
+from metaloom.llm.words import hashed_words, mix
 
 WIDTH, PERCENT, ROWS, BANDS, BATCH, MISS = 5, 75, 6, 50, 30, 1e-6
 STARS = 2
 _BLOCK = 1024
-_SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
-_seeded = np.random.Generator(np.random.PCG64(20))
-_BYTES = _seeded.integers(1, 1 << 63, 256, np.uint64)
+_INSIDE = ~np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+_seeded = np.random.Generator(np.random.PCG64(21))
 _STEPS = _seeded.integers(1, 1 << 63, WIDTH, np.uint64) | np.uint64(1)
 _XOR = _seeded.integers(0, 1 << 32, ROWS * BANDS, np.uint64).astype(np.uint32)
 _ODD = _seeded.integers(0, 1 << 32, ROWS * BANDS, np.uint64).astype(np.uint32) | np.uint32(1)
-_BASE = 0x9E3779B97F4A7C15
-_UNBASE = pow(_BASE, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, as many as were asked for so far."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            m = 1 << (n - 1).bit_length()
-            cls.up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(m - 1, _BASE, np.uint64))))
-            cls.down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(m - 1, _UNBASE, np.uint64))))
-        return cls.up[:n], cls.down[:n]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    raw = np.frombuffer((text or "").encode().lower(), np.uint8)
-    inside = np.concatenate(([False], ~_SPACE[raw], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _Powers.of(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[:-1])))
-    words = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    words, _ = hashed_words((text or "").encode().lower(), _INSIDE)
+    if not len(words):
+        return words
     width = min(WIDTH, len(words))
     n = len(words) - width + 1
     made = np.full(n, width, np.uint64)
     for k in range(width):
         made += words[k : k + n] * _STEPS[k]
-    return np.unique(_mix(made))
+    return np.unique(mix(made))
 
 
 def signature(found: np.ndarray) -> np.ndarray:
