@@ -83,5 +83,44 @@ SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(list_filter(ip, l
 CAST(len(list_filter(card, lambda c: length(c) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(c[i] AS INTEGER) WHEN CAST(c[i] AS INTEGER) > 4 THEN 2 * CAST(c[i] AS INTEGER) - 9 ELSE 2 * CAST(c[i] AS INTEGER) END)) % 10 = 0)) AS BIGINT) AS n_card,
 CAST(len(list_filter(phone, lambda n: n BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM m"""
 
+#: Every filter's failures, every order of the filters, and sums over the documents of each part.
+FILTER_AUDIT = r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id), m AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+f AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w), 'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(d.doc_id > least, FALSE)} AS f FROM d JOIN m USING (t) LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, good, toxic, f, count(*) AS n FROM f GROUP BY ALL), x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT part, good, toxic, n, o, step, o[step] AS x, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS fails FROM c, o, range(1, 6) r(step)),
+e AS (SELECT *, list_contains(fails, x) AS here, len(list_filter(fails, lambda y: instr(o[1:step - 1], y) > 0)) > 0 AS earlier FROM s),
+g AS (SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, x, coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND NOT earlier), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (here AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (here AND len(fails) = 1), 0)::BIGINT AS unique_fails, coalesce(sum(n) FILTER (here AND NOT earlier AND good), 0)::BIGINT AS good_lost,
+  coalesce(sum(n) FILTER (here AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost FROM e GROUP BY part, o, step, x)
+SELECT * EXCLUDE (x), (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g"""
+
+#: Stretches of equal words at every lag, by pairs of equal words; those inside a stretch of a divisor's lag repeat something smaller.
+PERIODIC_RUNS = r"""WITH b AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0,
+  xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT), lambda crc, c: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), xor(crc, c)), 4294967295), 4294967295) AS h FROM documents),
+a AS (SELECT doc_id, w0, len(w0) AS n, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a, h // 10 AS g FROM b),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w0[i + 1] ELSE w0[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM a),
+p AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM d),
+m AS (SELECT x.doc_id, x.n, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 2),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM m GROUP BY doc_id, q, island HAVING count(*) >= greatest(12 - q, q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.doc_id = s.doc_id AND t.q < s.q AND s.q % t.q = 0 AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+o AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed, arg_min({'start': start, 'length': length, 'period': q}, [-length, start, q]) AS top FROM r GROUP BY doc_id),
+u AS (SELECT doc_id, list_distinct(flatten(list(range(start + q, start + length)))) AS dropped FROM r GROUP BY doc_id),
+k AS (SELECT p.doc_id, string_agg(p.w, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN (SELECT doc_id, unnest(dropped) AS i FROM u) z ON p.doc_id = z.doc_id AND p.i = z.i WHERE z.i IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.start::BIGINT AS start, top.length::BIGINT AS length, top.period::BIGINT AS period, (1000 * top.length // top.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM d LEFT JOIN o ON d.doc_id = o.doc_id LEFT JOIN k ON d.doc_id = k.doc_id"""
+
+#: Windows of the items and of the documents as strings, joined.
+DECONTAMINATE = rf"""WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS x FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, g.n, k FROM g JOIN i ON g.n = i.n AND g.x = i.x),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+
 QUERIES = {"url_rules": url_rules, "mix_targets": mix_targets, "edited_texts": edited_texts, "shard_sizes": shard_sizes, "pii_counts": pii_counts}
-ORACLES = {"op3_near_duplicates": NEAR_DUPLICATES, "url_rules": URL_RULES, "mix_targets": MIX_TARGETS, "edited_texts": EDITED_TEXTS, "shard_sizes": SHARD_SIZES, "pii_counts": PII_COUNTS}
+ORACLES = {"op3_near_duplicates": NEAR_DUPLICATES, "op11_filter_audit": FILTER_AUDIT, "op12_periodic_runs": PERIODIC_RUNS, "op13_decontaminate": DECONTAMINATE, "url_rules": URL_RULES, "mix_targets": MIX_TARGETS, "edited_texts": EDITED_TEXTS, "shard_sizes": SHARD_SIZES, "pii_counts": PII_COUNTS}

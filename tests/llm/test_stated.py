@@ -8,7 +8,7 @@ DATA = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_rows_equal_the_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = registry.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
