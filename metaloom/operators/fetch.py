@@ -2,7 +2,7 @@
 
 responses has request_url, status, location, content_type, body (text) and may have bytes, retry_after, error and fetched_at; of several
 for one URL the latest counts (without fetched_at the one with the lowest status). dns has host and address. Both come
-from a crawler, which is where requests belong: a Spark job that fetched would repeat requests whenever a task is retried.
+from a crawler, or from metaloom.sources.live once its rows are written: a plan that fetched while it is used repeats requests whenever a task is retried.
 """
 
 from __future__ import annotations
@@ -15,19 +15,33 @@ from pyspark.sql.types import StringType
 from metaloom.functions import images, urls
 from metaloom.functions.http import decode_body
 from metaloom.functions.js import rounded, squashed
+from metaloom.functions.shared import Scratch
 from metaloom.functions.ship import ship
 from metaloom.sources.reddit import page_of
 
 REDIRECTS, MOST_REDIRECTS, MOST_BYTES = (301, 302, 303, 307, 308), 5, 2_000_000
 HOP = "struct<from:string,to:string,status:int>"
+INVALID = "Invalid or unsupported URL"
 
 
 def latest(responses: DataFrame) -> DataFrame:
-    """One answer for each request URL."""
-    time = [F.col("fetched_at").desc_nulls_last()] if "fetched_at" in responses.columns else []
-    order = [*time, F.col("status").asc_nulls_last(), F.col("location").asc_nulls_last(), F.xxhash64("body")]
+    """One answer for each request URL, without its body: request_url, status, location, error and two hashes that tell its row.
+
+    Only hashes of bodies are compared, so no body is sorted or moved.
+    """
+    columns = responses.columns
+    error = F.col("error") if "error" in columns else F.lit(None).cast("string")
+    rows = responses.select("request_url", "status", "location", error.alias("error"), (F.col("fetched_at") if "fetched_at" in columns else F.lit(None)).alias("_at"), F.xxhash64("body").alias("_b"), *_row_keys(responses))
+    order = [F.col("_at").desc_nulls_last(), F.col("status").asc_nulls_last(), F.col("location").asc_nulls_last(), F.col("_b"), F.col("_k1"), F.col("_k2")]
     first = F.row_number().over(Window.partitionBy("request_url").orderBy(*order))
-    return responses.withColumn("_first", first).where("_first = 1").drop("_first")
+    return rows.withColumn("_first", first).where("_first = 1").drop("_first", "_at", "_b")
+
+
+def _row_keys(responses: DataFrame) -> list[Column]:
+    """Two hashes of a response's columns: rows that agree in both are equal."""
+    columns = sorted(c for c in ("request_url", "status", "location", "content_type", "body", "bytes", "retry_after", "error", "fetched_at") if c in responses.columns)
+    told = [x for c in columns for x in (F.col(c), F.isnull(c))]
+    return [F.xxhash64(*told).alias("_k1"), F.xxhash64(F.lit(1), *told).alias("_k2")]
 
 
 def guarded(wanted: DataFrame, dns: DataFrame | None = None, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
@@ -60,43 +74,68 @@ def guarded(wanted: DataFrame, dns: DataFrame | None = None, allow_local: bool =
     return joined.withColumn("blocked", blocked).drop("_h", "_host", "_addresses")
 
 
-def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS, dns: DataFrame | None = None, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
-    """Adds final_url, redirects, status, content_type, body and error to wanted (url, more).
+def frontier(starts: DataFrame, answers: DataFrame, scratch: Scratch, most: int = MOST_REDIRECTS, dns: DataFrame | None = None, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
+    """Where each of starts (start, a distinct normalised URL) ends: start, final_url, redirects, error, and the hashes of the last answer (see latest()).
 
-    One join for each hop, whose number is bounded. Every hop's target is checked by guarded(), names with dns only. Responses may have
-    error, which ends a row when it is reached, and bytes and retry_after, which are added too. Every row of wanted gives one row.
+    A hop joins what is still open with the answers: starts, URLs and the way so far, no body. What has ended is written apart and takes no
+    part in later hops, which are as many as the longest chain has, most + 1 at the most. A cycle ends as any chain that is too long.
     """
-    ship(wanted.sparkSession)
-    more = {c: k for c, k in (("bytes", "binary"), ("retry_after", "string")) if c in responses.columns}
-    answers = latest(responses).select(F.col("request_url").alias("_q"), F.col("status").alias("_status"), F.col("location").alias("_location"), F.col("content_type").alias("_type"), F.col("body").alias("_body"), (F.col("error") if "error" in responses.columns else F.lit(None).cast("string")).alias("_error"), *[F.col(c).alias(f"_{c}") for c in more])
-    state = wanted.withColumns({"final_url": urls.normalize_url("url"), "redirects": F.array().cast(f"array<{HOP}>"), **{c: F.lit(None).cast(k) for c, k in (("status", "int"), ("content_type", "string"), ("body", "string"), ("error", "string"))}})
-    state = state.withColumn("error", F.when(F.col("final_url").isNull(), "Invalid or unsupported URL"))
-    state = state.withColumns({c: F.lit(None).cast(k) for c, k in more.items()}) if more else state
+    open_ = starts.select("start", F.col("start").alias("url"), F.array().cast(f"array<{HOP}>").alias("redirects"))
+    ended: list[DataFrame] = []
     for hop in range(most + 1):
-        open_ = F.col("status").isNull() & F.col("error").isNull()
-        state = guarded(state.withColumnRenamed("url", "_asked").withColumn("url", F.col("final_url")), dns, allow_local, allow_private).drop("url").withColumnRenamed("_asked", "url")
-        state = state.withColumn("error", F.coalesce("error", F.when(open_, F.col("blocked")))).drop("blocked")
-        joined = state.join(answers, open_ & (F.col("final_url") == F.col("_q")), "left")
-        moves = open_ & F.coalesce(F.col("_status").isin(*REDIRECTS), F.lit(False))
-        target = urls.resolve_url(F.col("_location"), F.col("final_url"))
-        joined = joined.withColumns({"_moves": moves, "_open": open_}).withColumn("_to", F.when(F.col("_moves"), target))
+        checked = guarded(open_, dns, allow_local, allow_private)
+        known = answers.select(F.col("request_url").alias("_q"), "status", "location", "error", "_k1", "_k2")
+        joined = checked.join(known.hint("merge"), F.col("blocked").isNull() & (F.col("url") == F.col("_q")), "left")  # a merge join, as a hot target can be split then
+        moves = F.coalesce(F.col("status").isin(*REDIRECTS), F.lit(False))
         failed = (
-            F.when(F.col("_open") & F.col("_q").isNull(), F.concat(F.lit("No response for "), F.col("final_url")))
-            .when(F.col("_moves") & F.col("_location").isNull(), F.concat(F.lit("Redirect response from "), F.col("final_url"), F.lit(" did not include a Location header.")))
-            .when(F.col("_moves") & F.lit(hop == most), F.lit(f"Too many redirects. Maximum allowed redirects: {most}."))
-            .when(F.col("_open") & ~F.col("_moves"), F.col("_error"))
+            F.when(F.col("blocked").isNotNull(), F.col("blocked"))
+            .when(F.col("_q").isNull(), F.concat(F.lit("No response for "), F.col("url")))
+            .when(moves & F.col("location").isNull(), F.concat(F.lit("Redirect response from "), F.col("url"), F.lit(" did not include a Location header.")))
+            .when(moves & F.lit(hop == most), F.lit(f"Too many redirects. Maximum allowed redirects: {most}."))
+            .when(moves & F.col("to").isNull(), F.lit(INVALID))
+            .when(~moves, F.col("error"))
         )
-        went = F.col("_moves") & failed.isNull()
-        here = F.col("_open") & ~F.col("_moves") & failed.isNull()
-        step = F.struct(F.col("final_url").alias("from"), F.col("_to").alias("to"), F.col("_status").alias("status"))
-        state = joined.withColumns(
-            {
-                "error": F.coalesce("error", failed), "redirects": F.when(went, F.concat("redirects", F.array(step))).otherwise(F.col("redirects")), "final_url": F.when(went, F.col("_to")).when(failed.isNotNull(), F.lit(None)).otherwise(F.col("final_url")),
-                "status": F.when(here, F.col("_status")).otherwise(F.col("status")), "content_type": F.when(here, F.col("_type")).otherwise(F.col("content_type")), "body": F.when(here, F.col("_body")).otherwise(F.col("body")),
-                **{c: F.when(here, F.col(f"_{c}")).otherwise(F.col(c)) for c in more},
-            }
-        ).drop("_q", "_status", "_location", "_type", "_body", "_error", "_bytes", "_retry_after", "_moves", "_open", "_to")
-    return state
+        told = joined.withColumn("to", F.when(moves & F.col("location").isNotNull(), urls.resolve_url("location", "url"))).withColumn("failed", failed)
+        state = scratch.cut(told.select("start", "url", "redirects", "status", F.when(moves & F.col("failed").isNull(), F.col("to")).alias("to"), "failed", "_k1", "_k2"))
+        fine = F.col("failed").isNull()
+        ended.append(state.where("to IS NULL").select("start", F.when(fine, F.col("url")).alias("final_url"), "redirects", F.col("failed").alias("error"), *[F.when(fine, F.col(k)).alias(k) for k in ("_k1", "_k2")]))
+        step = F.struct(F.col("url").alias("from"), "to", "status").cast(HOP)
+        open_ = state.where("to IS NOT NULL").select("start", F.col("to").alias("url"), F.concat("redirects", F.array(step)).alias("redirects"))
+        if open_.isEmpty():
+            break
+    found = ended[0]
+    for more in ended[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS, dns: DataFrame | None = None, allow_local: bool = False, allow_private: bool = False) -> DataFrame:
+    """Adds final_url, redirects, status, content_type, body and error to wanted (url, more).
+
+    Each distinct URL is followed once, by frontier(); bodies are joined once, at the end. Every hop's target is checked by guarded(), names with
+    dns only. Responses may have error, which ends a row when it is reached, and bytes and retry_after, which are added too. Every row of wanted gives
+    one row. Narrow tables are written to the shared folder when this is called; the one that the result reads stays.
+    """
+    spark = wanted.sparkSession
+    ship(spark)
+    scratch = Scratch(spark)
+    asked = wanted.withColumn("_start", urls.normalize_url("url"))
+    answers = scratch.cut(latest(responses))
+    starts = asked.where("_start IS NOT NULL").select(F.col("_start").alias("start")).distinct()
+    ended = scratch.cut(frontier(starts, answers, scratch, most, dns, allow_local, allow_private))
+    scratch.release(ended)
+    more = {c: k for c, k in (("bytes", "binary"), ("retry_after", "string")) if c in responses.columns}
+    body = {"status": "int", "content_type": "string", "body": "string", **more}
+    chosen = ended.where("_k1 IS NOT NULL").select(F.col("final_url").alias("request_url"), "_k1", "_k2").distinct()
+    bodies = responses.select("request_url", *body, *_row_keys(responses)).join(chosen, ["request_url", "_k1", "_k2"], "left_semi").dropDuplicates(["request_url", "_k1", "_k2"])
+    bodies = bodies.select(F.col("request_url").alias("_q"), F.col("_k1").alias("_q1"), F.col("_k2").alias("_q2"), *[F.col(c).cast(k).alias(c) for c, k in body.items()])
+    rest = [c for c in wanted.columns if c not in ("final_url", "redirects", "error", *body)]
+    told = ended.withColumnRenamed("start", "_begun")  # the caller may have a start
+    good = asked.where("_start IS NOT NULL").select(*rest, "_start").join(told.hint("merge"), F.col("_start") == F.col("_begun"))
+    good = good.join(bodies.hint("merge"), (F.col("final_url") == F.col("_q")) & (F.col("_k1") == F.col("_q1")) & (F.col("_k2") == F.col("_q2")), "left")
+    bad = asked.where("_start IS NULL").select(*rest, F.lit(None).cast("string").alias("final_url"), F.array().cast(f"array<{HOP}>").alias("redirects"), *[F.lit(None).cast(k).alias(c) for c, k in body.items()], F.lit(INVALID).alias("error"))
+    columns = [*rest, "final_url", "redirects", "status", "content_type", "body", "error", *more]
+    return good.select(*columns).unionByName(bad.select(*columns))
 
 
 def split_by_cache(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -521,6 +521,22 @@ def redirect_chain(spark, d):
     return found.select("start", "final_url", F.when(col("error").isNull(), F.size("redirects")).alias("hops"), "error")
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), e AS (SELECT c_custkey AS k, c_custkey % 10 AS kind, CASE WHEN c_custkey % 10 < 6 THEN (c_custkey * 3) % n + 1 END AS nxt FROM customer, n),
+w AS (SELECT k AS start, k AS pos, 0 AS hops FROM e UNION ALL SELECT start, nxt, hops + 1 FROM w JOIN e ON pos = k WHERE nxt IS NOT NULL AND hops < 5), l AS (SELECT start, max(hops) AS hops, arg_max(pos, hops) AS pos FROM w GROUP BY start),
+r AS (SELECT start, hops, 'https://n.example.com/' || pos AS place, CASE WHEN nxt IS NOT NULL THEN 'Too many redirects. Maximum allowed redirects: 5.' WHEN kind = 6 THEN 'Redirect response from https://n.example.com/' || pos || ' did not include a Location header.' WHEN kind = 7 THEN 'No response for https://n.example.com/' || pos END AS error, kind FROM l JOIN e ON pos = k)
+SELECT o_orderkey, hops, CASE WHEN error IS NULL THEN place END AS final_url, CASE WHEN error IS NULL THEN CASE kind WHEN 8 THEN 404 ELSE 200 END END AS status, CASE WHEN error IS NULL THEN 'body of ' || place END AS body, error FROM orders JOIN r ON o_custkey = start""")
+def redirect_frontier(spark, d):
+    """Every order asks for its customer's URL; customers redirect to each other, in cycles too, and end in pages, errors and nothing."""
+    customers = read(spark, d, "customer")
+    k, n = col("c_custkey"), customers.count()
+    at, kind = text("https://n.example.com/", k), k % 10
+    status = F.when(kind < 7, 302).when(kind == 8, 404).otherwise(200)
+    answers = customers.where(kind != 7).select(at.alias("request_url"), status.alias("status"), F.when(kind < 6, text("/", k * 3 % n + 1)).alias("location"), F.lit("text/html").alias("content_type"), text("body of ", at).alias("body"))
+    asked = read(spark, d, "orders").select("o_orderkey", text("https://n.example.com/", col("o_custkey")).alias("url"))
+    found = fetch.follow(asked, answers)
+    return found.select("o_orderkey", F.size("redirects").alias("hops"), "final_url", "status", "body", "error")
+
+
 @query("""SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Localhost URLs are blocked by default.' WHEN 1 THEN 'Loopback address is blocked: 127.0.0.1' WHEN 2 THEN 'Private or reserved network address is blocked: 10.0.0.' || n_nationkey WHEN 3 THEN 'Unsupported URL protocol' END AS blocked FROM nation""")
 def ssrf_block(spark, d):
     k = col("n_nationkey")
