@@ -9,7 +9,9 @@
 3. Links join classes into components. A bucket whose other members lie in several components isn't done: it goes
    on with a new centre against members of other components, ``STARS`` times. What is left is joined on rare shingles, which is
    exact: in any fixed order of shingles (here rarest first) two sets at the threshold have their first common one early enough
-   in both that what follows can still reach the needed overlap. So every pair that shares a bucket is compared, excluded by that
+   in both that what follows can still reach the needed overlap. The larger set looks among its first 25 %, the smaller is listed by its first 14 %
+   only, under the sizes that a partner can have there: pages of one template whose own parts keep them below 0.75 are listed by these alone and
+   meet nobody. So every pair that shares a bucket is compared, excluded by that
    bound or already connected, no pairs are made within a component, and neither large groups of near copies nor passages that
    many texts share make pairs of all their members.
 
@@ -212,15 +214,26 @@ def _rare_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
     items = map_rows(left.join(sets, "class").select("class", "comp", "set"), spread, "class bigint, comp bigint, n int, item bigint")
     df = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     ranked = items.join(df.hint("merge"), "item").groupBy("class", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item", "lo", "hi"))).alias("all"))
-    # Of n shingles, a common one after the first n - ceil(0.75 n) + 1 leaves too few.
-    prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    rare = cut(ranked.select("class", "comp", "n", F.posexplode(prefix).alias("at", "x")).where("x.lo < x.hi").select("class", "comp", "n", "at", "x.item"))
-    other = rare.select(F.col("class").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "item")
+    # A pair at the threshold t has an overlap of t / (1 + t) of both sizes together. So its first common shingle is among the first
+    # n - ceil(t n) + 1 of the larger set, and among the first n - ceil(2 t / (1 + t) n) + 1 of the smaller.
+    near = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
+    rare = cut(ranked.select("class", "comp", "n", F.posexplode(near).alias("at", "x")).where("x.lo < x.hi").select("class", "comp", "n", "at", "x.item"))
+    few = F.col("n") - F.ceil(F.col("n") * (2 * PERCENT) / (100 + PERCENT)) + 1
+    # What is left after a common shingle bounds both sizes together: the smaller set is found under the sizes that its partners can have.
+    most = F.floor((100 + PERCENT) * (F.col("n") - F.col("at")) / PERCENT) - F.col("n")
+    small = rare.where((F.col("at") < few) & (most >= F.col("n"))).select(F.col("class").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), "item", F.explode(F.sequence(_step(F.col("n")), _step(most))).alias("step"))
+    large = rare.withColumn("step", _step(F.col("n")))
+    larger = F.struct("n", "class") > F.struct("n_b", "b")
     reach = (100 + PERCENT) * F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= PERCENT * (F.col("n") + F.col("n_b"))
-    met = rare.join(other.hint("merge"), "item").where((F.col("class") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & reach)
+    met = large.join(small.hint("merge"), ["item", "step"]).where(larger & (F.col("comp") != F.col("comp_b")) & reach)
     return met.select(F.col("class").alias("a"), "b").distinct()
 
 
+def _step(n: Column) -> Column:
+    """Sizes by steps of about a twentieth."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05)))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 

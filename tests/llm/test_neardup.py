@@ -135,3 +135,17 @@ def test_intermediate_tables_are_deleted(spark):
     common.drop_tables(spark)
     found = neardup.clustered(spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e")], "doc_id bigint, text string"))
     assert len(common._tables) == 1 and found.where("kept").count() == 1
+
+
+def test_pages_of_one_template(spark):
+    r = random.Random(5)
+    frame = [f"t{i}" for i in range(80)]
+    rows = [(i, " ".join(frame + [f"o{i}_{j}" for j in range(20 if i % 2 else r.randrange(3, 60))])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, neardup.clustered(docs).collect())) == brute(rows)
+    sets = [(i, i, neardup.shingles(t).tobytes()) for i, t in rows]
+    left = spark.createDataFrame([(i, c) for i, c, _ in sets], "class bigint, comp bigint")
+    pairs = {(x.a, x.b) for x in neardup._rare_pairs(left, spark.createDataFrame([(i, s) for i, _, s in sets], "class bigint, set binary")).collect()}
+    found = {i: np.frombuffer(s, np.uint64) for i, _, s in sets}
+    near = {(a, b) for a in found for b in found if (len(found[a]), a) > (len(found[b]), b) and neardup.similar(found[a], found[b])}
+    assert near and pairs == near  # nothing else is proposed
