@@ -268,17 +268,18 @@ def embedded_best_string(spark, d):
     return scan(event_pages(spark, d), ["walk"]).select("event_id", state.best_text("title", "headline", "name").alias("title"), state.first_entity("author")["name"].alias("author"), number_of(state.best_text("viewCount", "views")).alias("views"))
 
 
-@query("""SELECT c_custkey, 'T' || c_custkey AS title, CASE WHEN c_custkey % 5 IN (0, 3) THEN 1 ELSE 0 END AS n_nodes, CASE WHEN c_custkey % 5 = 0 THEN chr(65533) || ' x' END AS name, CASE WHEN c_custkey % 5 = 1 THEN 'half ' || chr(65533) END AS state_title,
-CASE WHEN c_custkey % 5 = 4 THEN 1 ELSE 0 END AS n_warnings, CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 0 END AS n_images, CASE WHEN c_custkey % 5 = 2 THEN TRUE END AS endless FROM customer""")
+@query("""SELECT c_custkey, 'T' || c_custkey AS title, CASE WHEN c_custkey % 6 IN (0, 3) THEN 1 ELSE 0 END AS n_nodes, CASE WHEN c_custkey % 6 = 0 THEN chr(65533) || ' x' END AS name, CASE WHEN c_custkey % 6 = 1 THEN 'half ' || chr(65533) END AS state_title,
+CASE WHEN c_custkey % 6 = 4 THEN 1 ELSE 0 END AS n_warnings, CASE WHEN c_custkey % 6 = 2 THEN 1 ELSE 0 END AS n_images, CASE WHEN c_custkey % 6 = 2 THEN TRUE END AS endless FROM customer""")
 def hostile_pages(spark, d):
-    """Halves of surrogate pairs, numbers, keys, widths and ports of thousands of digits, and JSON that is nested too deeply."""
+    """Halves of surrogate pairs, numbers, keys, widths and ports of thousands of digits, JSON that is nested too deeply, and elements that stay open."""
     k = col("c_custkey")
     nines = "9" * 5000
     shapes = [
         '<script type="application/ld+json">{"name":"\\ud800 x"}</script>', f'<script>window.__INITIAL_STATE__ = {{"{nines}":1,"title":"half \\udc00"}}</script>',
         f'<img src="/a.jpg" width="{nines}"><img src="https://e.example.com:{nines}/b.jpg">', f'<script type="application/ld+json">{{"reviewCount":{nines}}}</script>', f'<script type="application/ld+json">{"[" * 100_000}</script>',
+        "<video>" * 2000 + "</p>" * 2000,
     ]
-    html = text("<title>T", k, "</title>", F.get(F.array(*map(F.lit, shapes)), (k % 5).cast("int")))
+    html = text("<title>T", k, "</title>", F.get(F.array(*map(F.lit, shapes)), (k % 6).cast("int")))
     pages = read(spark, d, "customer").select("c_custkey", F.lit("https://e.example.com/").alias("url"), html.alias("html"))
     image = F.get("dom_images", F.lit(0))
     return scan(pages, ["title", "jsonld", "jsonld_warnings", "walk", "dom_images"]).select(

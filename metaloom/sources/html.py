@@ -9,6 +9,7 @@ from html.entities import html5
 
 #: Elements whose content is text; noscript counts as one, and its content is read again as a fallback.
 _RAW = ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript")
+_OWNERS = ("video", "audio", "picture")
 _WANTED = frozenset(("meta", "link", "img", "source", "video", "audio", "picture", *_RAW))
 _OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)|(/))")
 _REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?|["'])*+(>|$)""")
@@ -59,6 +60,7 @@ def elements(html: str) -> list[Element]:
     """Wanted elements in document order."""
     out: list[Element] = []
     open_: list[Element] = []
+    held = dict.fromkeys(_OWNERS, 0)  # open elements by name, so that a closing tag of none costs nothing
     at = 0
     while m := _OPEN.search(html, at):
         if m[1]:
@@ -72,9 +74,12 @@ def elements(html: str) -> list[Element]:
         at = max(rest.end(), m.end()) if rest else len(html)
         tag = m[4].lower()
         if m[3]:
-            if any(e.tag == tag for e in open_):
-                while open_.pop().tag != tag:
-                    pass
+            if held.get(tag):
+                while True:
+                    last = open_.pop().tag
+                    held[last] -= 1
+                    if last == tag:
+                        break
             continue
         if tag not in _WANTED:
             continue
@@ -87,6 +92,7 @@ def elements(html: str) -> list[Element]:
             if tag in ("title", "textarea"):
                 e.text = unescape(e.text)
             at = stop
-        elif tag in ("video", "audio", "picture"):
+        elif tag in _OWNERS:
             open_.append(e)
+            held[tag] += 1
     return out

@@ -21,14 +21,14 @@ LAZY_SETS = ("data-srcset", "data-lazy-srcset", "data-original-srcset")
 LAZY_MEDIA = ("data-src", "data-original", "data-lazy-src", "data-video", "data-video-url", "data-media", "data-playback-url")
 #: JSON keys that hold media, by kind.
 KEYS = {
-    "image": "image images thumbnail thumbnailUrl thumbnail_url thumbnailSrc thumbnail_src previewImage preview_image preview ogImage og_image cardImage displayUrl display_url mediaUrl media_url media_url_https fullPicture full_picture cover coverImage cover_image original source poster posterImage media".lower().split(),
-    "video": "video videos videoUrl video_url contentUrl content_url embedUrl embed_url playbackUrl playback_url fallback_url hls_url dash_url media".lower().split(),
-    "audio": "audio audios audioUrl audio_url podcastUrl".lower().split(),
+    "image": ["image", "images", "thumbnail", "thumbnailurl", "thumbnail_url", "thumbnailsrc", "thumbnail_src", "previewimage", "preview_image", "preview", "ogimage", "og_image", "cardimage", "displayurl", "display_url", "mediaurl", "media_url", "media_url_https", "fullpicture", "full_picture", "cover", "coverimage", "cover_image", "original", "source", "poster", "posterimage", "media"],
+    "video": ["video", "videos", "videourl", "video_url", "contenturl", "content_url", "embedurl", "embed_url", "playbackurl", "playback_url", "fallback_url", "hls_url", "dash_url", "media"],
+    "audio": ["audio", "audios", "audiourl", "audio_url", "podcasturl"],
 }
 #: Fields of a record that may hold its URL, and those that come first for video; fields that may hold a nested one.
-PLACES = "url src secure_url secureUrl contentUrl content_url embedUrl embed_url thumbnailUrl thumbnail_url thumbnailSrc thumbnail_src mediaUrl media_url media_url_https displayUrl display_url fullPicture full_picture previewImage preview_image poster posterUrl poster_url coverImage cover_image original source".split()
-VIDEO_PLACES = "videoUrl video_url playbackUrl playback_url fallback_url hls_url dash_url".split()
-NESTED = "source original image thumbnail thumbnailUrl thumbnail_url previewImage preview_image video reddit_video".split()
+PLACES = ["url", "src", "secure_url", "secureUrl", "contentUrl", "content_url", "embedUrl", "embed_url", "thumbnailUrl", "thumbnail_url", "thumbnailSrc", "thumbnail_src", "mediaUrl", "media_url", "media_url_https", "displayUrl", "display_url", "fullPicture", "full_picture", "previewImage", "preview_image", "poster", "posterUrl", "poster_url", "coverImage", "cover_image", "original", "source"]
+VIDEO_PLACES = ["videoUrl", "video_url", "playbackUrl", "playback_url", "fallback_url", "hls_url", "dash_url"]
+NESTED = ["source", "original", "image", "thumbnail", "thumbnailUrl", "thumbnail_url", "previewImage", "preview_image", "video", "reddit_video"]
 LINKED = {"image": ("image", "thumbnailUrl", "thumbnail", "logo"), "video": ("contentUrl", "embedUrl", "video"), "audio": ("contentUrl", "encoding")}
 #: URLs of markup that are never media, those that discovery drops as well, and hints of each kind.
 _DATA = re.compile(r"(?:data|blob|javascript):", re.I)
@@ -72,6 +72,10 @@ def markup(found: list[Element], base: str) -> tuple[list[dict], list[dict], lis
     images: list[dict] = []
     videos: list[dict] = []
     sounds: list[dict] = []
+    owned: dict[int, list[Element]] = {}
+    for e in found:
+        if e.tag == "source" and e.owner and e.get("src") is not None:
+            owned.setdefault(id(e.owner), []).append(e)
 
     def put(into: list[dict], url: str | None, kind: str, source: str = "html", **more) -> None:
         url = resolve(squash(url), base)
@@ -117,9 +121,8 @@ def markup(found: list[Element], base: str) -> tuple[list[dict], list[dict], lis
             lazy = [squash(e.get(k)) for k in LAZY_MEDIA]
             for url in [squash(e.get("src")) or next(filter(None, lazy), None), *lazy]:
                 put(videos, url, "video", **same)
-            for s in found:
-                if s.tag == "source" and s.owner is e and s.get("src") is not None:
-                    put(videos, s.get("src"), "video", type=squash(s.get("type")), **same)
+            for s in owned.get(id(e), ()):
+                put(videos, s.get("src"), "video", type=squash(s.get("type")), **same)
     for e in found:
         if e.tag == "iframe" and (src := squash(e.get("src"))) and _EMBEDS.search(src):
             put(videos, src, "video", width=to_integer(e.get("width")), height=to_integer(e.get("height")))
@@ -129,9 +132,8 @@ def markup(found: list[Element], base: str) -> tuple[list[dict], list[dict], lis
     for e in found:
         if e.tag == "audio":
             put(sounds, e.get("src"), "audio")
-            for s in found:
-                if s.tag == "source" and s.owner is e and s.get("src") is not None:
-                    put(sounds, s.get("src"), "audio", type=squash(s.get("type")))
+            for s in owned.get(id(e), ()):
+                put(sounds, s.get("src"), "audio", type=squash(s.get("type")))
     return _unique(images), _unique(videos), _unique(sounds)
 
 

@@ -1,6 +1,7 @@
 """No page may fail the pages beside it."""
 
 import json
+import time
 
 import pyarrow as pa
 import pytest
@@ -44,3 +45,15 @@ def test_pieces(rows):
     assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and all(p.num_rows <= rows for p in parts)
     assert all(p.num_rows == 1 or sum(map(len, p.column("a").to_pylist())) <= 20 for p in parts)
     assert list(pieces(batch.slice(0, 0), rows)) == []
+
+
+@pytest.mark.parametrize("shape", ["<video>{}</p>", '<video src="/v{}.mp4"><source src="/s{}.mp4"></video>', '<audio src="/v{}.mp3"><source src="/s{}.mp3">', '<picture><img src="/a{}.png"></p>'])
+def test_time_follows_the_page(shape):
+    """Twice the page takes about twice the time, whatever stays open."""
+    seconds = []
+    for n in (4000, 16000):
+        html = "".join(shape.replace("{}", str(i)) for i in range(n))
+        began = time.process_time()
+        pages.scan_page("https://e.example/", html)
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 10 * max(seconds[0], 0.05)
