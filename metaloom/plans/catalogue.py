@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from metaloom.functions import images as image_files
 from metaloom.functions import urls
 from metaloom.functions.ship import ship
-from metaloom.operators import adapters, assets, fetch, quality, state, tags
+from metaloom.operators import adapters, assets, fetch, joins, quality, state, tags
 from metaloom.operators.record import with_media, with_tags
 from metaloom.plans.api import Engine, preview_cards
 from metaloom.sources.media import srcset
@@ -547,6 +547,40 @@ def ssrf_block(spark, d):
     return fetch.guarded(n.select("n_nationkey", url.alias("url")), dns).select("n_nationkey", "blocked")
 
 
+@query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), r AS (SELECT user_id, ts, event_id AS answer, value FROM events WHERE event_type = 'purchase')
+SELECT p.event_id, p.user_id, answer, r.value FROM p ASOF LEFT JOIN r ON p.user_id = r.user_id AND p.ts >= r.ts""")
+def last_before(spark, d):
+    """Each event with its user's last purchase until then."""
+    events = read(spark, d, "events")
+    purchase = col("event_type") == "purchase"
+    answers = events.where(purchase).select("user_id", "ts", col("event_id").alias("answer"), "value")
+    found = joins.as_of(events.where(~purchase).select("event_id", "user_id", col("ts").alias("at")), answers, ["user_id"], "at", "ts")
+    return found.select("event_id", "user_id", "last.answer", "last.value")
+
+
+@query("""WITH b AS (SELECT s_suppkey, (s_suppkey * 40503) % 65536 * 65536 AS lo, (s_suppkey * 40503) % 65536 * 65536 + CASE s_suppkey % 4 WHEN 0 THEN 65535 WHEN 1 THEN 16383 WHEN 2 THEN 5000 ELSE 0 END AS hi FROM supplier),
+a AS (SELECT o_orderkey, (o_custkey * 40503) % 65536 * 65536 + (o_orderkey % 3) * 4001 AS n FROM orders) SELECT o_orderkey, s_suppkey FROM a JOIN b ON n BETWEEN lo AND hi""")
+def address_blocks(spark, d):
+    """Addresses of orders in blocks of suppliers: prefixes, single addresses and ranges that are none."""
+    dotted = lambda n: text((F.shiftright(n, 24)), ".", F.shiftright(n, 16).bitwiseAND(255), ".", F.shiftright(n, 8).bitwiseAND(255), ".", n.bitwiseAND(255))
+    low = lambda k: k * 40503 % 65536 * 65536
+    k = col("s_suppkey")
+    block = F.when(k % 4 == 0, text(dotted(low(k)), "/16")).when(k % 4 == 1, text(dotted(low(k)), "/18")).when(k % 4 == 2, text(dotted(low(k)), "-", dotted(low(k) + 5000))).otherwise(dotted(low(k)))
+    orders = read(spark, d, "orders").select("o_orderkey", dotted(low(col("o_custkey")) + col("o_orderkey") % 3 * 4001).alias("address"))
+    return joins.in_blocks(orders, read(spark, d, "supplier").select("s_suppkey", block.alias("block"))).select("o_orderkey", "matched.s_suppkey")
+
+
+@query("""WITH h AS (SELECT o_orderkey, 'h' || o_custkey % 10 || '.s' || o_custkey % 7 || '.d' || o_custkey % 200 || '.example' || o_custkey % 5 || '.com' AS host FROM orders),
+l AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'd' || s_suppkey || '.example' || s_suppkey % 5 || '.com' WHEN 1 THEN 's' || s_suppkey % 7 || '.d' || s_suppkey || '.example' || s_suppkey % 5 || '.com' WHEN 2 THEN 'example' || s_suppkey % 4 || '.com' ELSE 'ample' || s_suppkey % 5 || '.com' END AS domain FROM supplier)
+SELECT o_orderkey, arg_max(domain, length(domain)) AS listed FROM h LEFT JOIN l ON host = domain OR host LIKE '%.' || domain GROUP BY o_orderkey""")
+def listed_domains(spark, d):
+    """The longest domain of suppliers that the host of an order is below."""
+    k, c = col("s_suppkey"), col("o_custkey")
+    listed = F.when(k % 4 == 0, text("d", k, ".example", k % 5, ".com")).when(k % 4 == 1, text("s", k % 7, ".d", k, ".example", k % 5, ".com")).when(k % 4 == 2, text("example", k % 4, ".com")).otherwise(text("ample", k % 5, ".com"))
+    hosts = read(spark, d, "orders").select("o_orderkey", text("h", c % 10, ".s", c % 7, ".d", c % 200, ".example", c % 5, ".com").alias("host"))
+    return joins.listed_domains(hosts, read(spark, d, "supplier").select(listed.alias("domain"))).select("o_orderkey", "listed")
+
+
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN 82 WHEN 3 THEN NULL ELSE 70 END AS confidence, CASE n_nationkey % 4 WHEN 0 THEN 60 WHEN 3 THEN NULL ELSE 35 END AS completeness, CASE n_nationkey % 4 WHEN 0 THEN 300.0 + n_nationkey END AS width FROM nation""")
 def direct_media(spark, d):
     k = col("n_nationkey")
