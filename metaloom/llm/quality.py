@@ -9,8 +9,9 @@ positive share above it, where both shares are known well enough. Label 0 has no
 doesn't fix the scale, the score is calibrated by a one-variable logistic fit on labelled rows of the training folds, and this is the
 only place where label 0 is used.
 
-Training takes a bounded sample by hash of doc_id: about ``POSITIVES`` labelled and ``UNLABELLED`` other rows
-(``train``'s parameters). Everything else reads all rows. Null and empty texts have all features 0 and get the
+Training takes a bounded sample by hash of doc_id: about ``POSITIVES`` ids with label 1, ``NEGATIVES`` with label 0 and ``UNLABELLED`` others
+(``train``'s parameters), each with a rate of its own, whatever the labels' shares are, and one row for each id (the smallest hash of its text);
+calibration weighs labels by their rates. Everything else reads all rows. Null and empty texts have all features 0 and get the
 score of that vector; repeated rows score alike. Without labels of both classes, all scores are the share of label 1, or 0.5
 without any label. An empty table gives no rows; other columns don't count.
 """
@@ -20,7 +21,7 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import fold, map_rows, table
@@ -28,7 +29,7 @@ from metaloom.llm.common import fold, map_rows, table
 GRAMS, SHARES = 1024, 16
 #: Bytes of a text whose trigram frequencies count half.
 SHORT = 200
-POSITIVES, UNLABELLED, STEPS = 6000, 6000, 250
+POSITIVES, NEGATIVES, UNLABELLED, STEPS = 6000, 6000, 6000, 250
 THRESHOLD = 0.7
 #: Rows that each half needs for an estimate of the prior.
 LEAST = 50
@@ -127,15 +128,15 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
-    """A logistic fit of the label on the raw score, by Newton's method with a little shrinkage."""
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
+    """A weighted logistic fit of the label on the raw score, by Newton's method with a little shrinkage."""
     raw = model.raw(x)
     center, spread = raw.mean(), raw.std() + 1e-6
     z, (a, b) = (raw - center) / spread, (1.0, 0.0)
     for _ in range(30):
         q = _sigmoid(a * z + b)
-        s = q * (1 - q)
-        grad = np.array([((q - y) * z).sum() + 0.1 * a, (q - y).sum() + 0.01 * b])
+        s = weight * q * (1 - q)
+        grad = np.array([(weight * (q - y) * z).sum() + 0.1 * a, (weight * (q - y)).sum() + 0.01 * b])
         hess = np.array([[(s * z * z).sum() + 0.1, (s * z).sum()], [(s * z).sum(), s.sum() + 0.01]])
         a, b = np.array([a, b]) - np.linalg.solve(hess, grad)
     model.slope, model.shift = float(max(a, 1e-6) / spread), float(b - a * center / spread)
@@ -146,19 +147,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _share(salt: int, rate: float):
-    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(_CELLS)) < int(rate * _CELLS)
+def _share(salt: int, rate) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), F.lit(_CELLS)) < F.floor(rate * _CELLS)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def sampled(docs: DataFrame, known: DataFrame, rates: dict[int, float], of_docs: float) -> DataFrame:
+    """doc_id, text, in_u, y and half of the rows to learn from: of known (doc_id, y) at the rate of each label, of docs at of_docs."""
+    rate = F.when(F.col("y") == 1, rates[1]).otherwise(rates[0])
+    chosen = known.where(_share(1, rate))
+    either = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (_share(1, F.lit(max(rates.values()))) | _share(2, F.lit(of_docs)))).withColumn("in_u", _share(2, F.lit(of_docs)))
+    rows = either.join(chosen, "doc_id", "left").where("in_u OR y IS NOT NULL")
+    order = F.struct(F.xxhash64("text"), F.isnull("text"))
+    return rows.groupBy("doc_id", "in_u", "y").agg(F.min_by("text", order).alias("text")).withColumn("half", _share(4, F.lit(0.5)))
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, negatives: int = NEGATIVES) -> Model:
     """Learns from docs (doc_id, text) and labels (doc_id, quality in 0 or 1). Ids whose labels disagree or are null don't count."""
     known = labels.groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).where("y = _y AND y IN (0, 1)").select("doc_id", "y")
     n, ones = known.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not n or not 0 < ones < n:
         return constant(min(max(ones / n, 0.01), 0.99) if n else 0.5)
-    of_labels, of_docs = min(1.0, positives / ones), min(1.0, unlabelled / max(1, docs.count()))
-    sample = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (_share(1, of_labels) | _share(2, of_docs))).withColumn("in_u", _share(2, of_docs))
-    sample = sample.join(known.where(_share(1, of_labels)), "doc_id", "left").where("in_u OR y IS NOT NULL").withColumn("half", _share(4, 0.5))
+    rates = {1: min(1.0, positives / ones), 0: min(1.0, negatives / (n - ones))}
+    sample = sampled(docs, known, rates, min(1.0, unlabelled / max(1, docs.count())))
 
     def make():
         return lambda u, y, half, texts: [u, y, half, [features(t).astype(np.float16).tobytes() for t in texts]]
@@ -169,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not (u.any() and (y == 1).any() and (y == 0).any()):
         return constant(ones / n)
     half = np.array([r.half for r in rows], bool)
-    return calibrate(fit(x[y == 1], x[u], prior_of(x, u, y, half, ones / n)), x[y >= 0], y[y >= 0])
+    weight = np.where(y == 1, 1 / rates[1], 1 / rates[0])[y >= 0]
+    return calibrate(fit(x[y == 1], x[u], prior_of(x, u, y, half, ones / n)), x[y >= 0], y[y >= 0], weight / weight.mean())
 
 
 def prior_of(x: np.ndarray, u: np.ndarray, y: np.ndarray, half: np.ndarray, otherwise: float) -> float:

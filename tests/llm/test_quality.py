@@ -66,3 +66,14 @@ def test_fit_reaches_the_risk_of_plain_descent():
         w, step = w - step * g, step * 0.999
         best = min(best, value(w))
     assert own < best + 0.01
+
+
+def test_samples_are_bounded_for_each_label(spark):
+    """One label in a thousand is positive, and one row is there many times."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('text ', id) AS text").unionByName(spark.range(20_000).selectExpr("0L AS doc_id", "'again' AS text"))
+    known = spark.range(60_000).selectExpr("id AS doc_id", "CAST(id % 1000 = 0 AS int) AS y")
+    rates = {1: min(1.0, 300 / 60), 0: 300 / 59_940}
+    rows = quality.sampled(docs, known, rates, 300 / 80_000).collect()
+    ones, zeros, others = sum(r.y == 1 for r in rows), sum(r.y == 0 for r in rows), sum(r.in_u for r in rows)
+    assert ones == 60 and 200 < zeros < 400 and 100 < others < 400 and len({r.doc_id for r in rows}) == len(rows)
+    assert [r.y for r in rows if r.doc_id == 0] == [1]
