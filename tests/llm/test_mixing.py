@@ -72,8 +72,8 @@ def test_empty(spark):
 
 
 def sampled(rows, p, wanted, rounds):
-    """The brute-force sample of one source: rows are (u, r, size, key); copies of each key."""
-    order = sorted((((o := u / (1 - u) * (1 - p) / p) / (1 + o), r, size), key) for u, r, size, key in rows if size)
+    """The brute-force sample of one source: rows are (u, r, size, key), p is each key's chance; copies of each key."""
+    order = sorted((((o := u / (1 - u) * (1 - p[key]) / p[key]) / (1 + o), r, size), key) for u, r, size, key in rows if size and p[key] < 1)
     taken, left, at = {}, wanted, None
     for _ in range(rounds):
         limit, passed = left, False
@@ -102,13 +102,51 @@ def test_sample_equals_brute_force_and_keeps_to_its_probabilities(spark, monkeyp
         rest = target[s] - whole * words[s]
         own = [(i, size(t)) for i, x, t in rows if x == s]
         if rest:
-            p = rest / words[s]
-            wanted = sampled([((hashes[i] % (1 << 52) + 0.5) / (1 << 52), hashes[i], n, i) for i, n in own], p, rest, 1 + mixing.ROUNDS)
-            assert {i for i, _ in own if found[i].copies > whole} == set(wanted)
-            for n in (1, 3, 10, 30, 90):
-                ids = [i for i, k in own if k == n]
-                share = sum(i in wanted for i in ids) / len(ids)
-                assert abs(share - p) < 4 * (p * (1 - p) / len(ids)) ** 0.5 + 20_000 / words[s], (s, n, share, p)
+            p = chances(own, rest)
+            assert all(abs(found[i].chance - p[i]) < 1e-9 for i, _ in own) and abs(sum(p[i] * n for i, n in own) - rest) < 1e-6 * rest
+            sure = {i for i, _ in own if p[i] >= 1}
+            left = rest - sum(n for i, n in own if i in sure)
+            wanted = sampled([((hashes[i] % (1 << 52) + 0.5) / (1 << 52), hashes[i], n, i) for i, n in own], p, left, 1 + mixing.ROUNDS)
+            assert {i for i, _ in own if found[i].copies > whole} == set(wanted) | sure
+
+
+def chances(own, rest):
+    """min(1, a * size^POWER) of each key of one source, by halving the range of a."""
+    low, high = 0.0, 1e9
+    for _ in range(300):
+        a = (low + high) / 2
+        low, high = (low, a) if sum(min(1.0, a * n**mixing.POWER) * n for _, n in own) > rest else (a, high)
+    return {i: min(1.0, low * n**mixing.POWER) for i, n in own}
+
+
+def test_rates_over_seeds_are_the_documents_own_chances(spark):
+    r = random.Random(6)
+    rows = [(i, "ab"[i % 4 == 0], "w " * r.choice((1, 4, 16, 64))) for i in range(3200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    seeds, hits, chance, whole = 4, {}, {}, {}
+    for seed in range(seeds):
+        for x in mixing.mix(docs, seed=seed).collect():
+            chance[x.doc_id, x.source, x["size"]] = x.chance
+            whole[x.source] = int(x.target // x.source_size)
+            hits[x.source, x["size"]] = hits.get((x.source, x["size"]), 0) + x.copies - whole[x.source]
+    tried = 0
+    for (source, n), got in hits.items():
+        own = [p for (_, s, k), p in chance.items() if s == source and k == n]
+        p, m = own[0], len(own) * seeds
+        assert max(own) - min(own) < 1e-12
+        if 0 < p < 1:
+            tried += 1
+            assert abs(got / m - p) < 4.5 * (p * (1 - p) / m) ** 0.5 + 0.01, (source, n, got / m, p)
+    assert tried >= 4 and len({round(p, 6) for p in chance.values()}) >= 5
+
+
+def test_columns_of_any_names(spark):
+    names = ["p", "_key", "_rank", "_place", "_more", "_h1", "_copies", "_k", "_n", "Size", "_doc", "_t", "_whole"]
+    docs = spark.createDataFrame([(i, "s", "a b c", *[f"{n}{i}" for n in names]) for i in range(20)], "doc_id bigint, source string, text string, " + ", ".join(f"{n} string" for n in names))
+    found = mixing.mix(docs).collect()
+    assert all(x._key == f"_key{x.doc_id}" and x.p == f"p{x.doc_id}" for x in found) and len(found) == 20
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns and all(x["_copies"] == f"_copies{x.doc_id}" for x in mixed.collect())
 
 
 def test_one_row_many_times(spark):
