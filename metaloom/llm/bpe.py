@@ -1,15 +1,16 @@
 """BPE encoding and decoding (operator 4): tree concatenation.
 
-A pretoken of up to ``LEAF`` bytes is encoded directly. A longer one, which no pattern splits, is
-halved down to leaves; the leaves are encoded independently and joined upwards. A join re-encodes a
-window of tokens around the seam, doubling it until the window's first and last token are those that
-the two sides have there. A token sequence is the BPE encoding of its bytes exactly if each
-neighbouring pair is the encoding of its own bytes; each pair of the joined sequence lies inside a side
-or inside the window, so the joined sequence is exact, and work at a seam does not grow with the text.
-
-The leaves of a run don't depend on each other, and neither do the joins of a level, so they could be encoded side by side. Here
-they follow one another in the row's task: rows are what the cluster's cores share, one core is all that a task has, and the encoder holds
-the interpreter's lock. A run of a million letters takes about a second this way, as joins look at windows only.
+A text of ``TREE`` characters or more is split anywhere, every ``PART`` characters, and the parts are encoded side by side: each is a row that
+Spark deals out like any other. What one text's parts give meets in one row and is joined in a tree, neighbours first. A join encodes a window of text around
+the seam anew, which grows until both sides agree: it starts at a pretoken of the left side that ends well before the seam, and must reach a
+pretoken at which the right side starts one too, well before the window's end. From a place where two tokenizations of a text both start a pretoken
+they go on alike, as neither the pattern nor the special tokens look back; ``MARGIN`` keeps what looks ahead away from ends. So the joined
+ids are those of the whole text, and a join's work doesn't grow with it. Where no pretoken ends (a run of one kind of character), the window grows to the whole side.
+
+Inside one pretoken of more than ``LONG`` characters the same is done on bytes: leaves of ``LEAF`` bytes are encoded alone and joined upwards. A
+join encodes a window of tokens around the seam anew, doubling it until its first and last token are those that the two sides have there.
+A token sequence is the BPE encoding of its bytes exactly if each neighbouring pair is the encoding of its own bytes; each pair of the joined
+sequence lies inside a side or inside the window. These leaves follow one another in the row's task.
 
 Nulls encode as the empty text: no ids, and the hashes of the empty string. Special tokens that
 stand in a text are encoded as their own id, as the tokenizers library does. Repeated rows are encoded alike, an empty table gives no
@@ -23,19 +24,44 @@ import hashlib
 import json
 from functools import lru_cache
 
+import numpy as np
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from metaloom.llm.common import map_rows, table
 
 #: Bytes of a leaf, tokens on each side of the first window at a join, characters from which a run counts as unsplit.
 LEAF, WINDOW, LONG = 256, 8, 1024
+#: Characters from which a text is encoded in parts, and of a part; pretokens that a window must see beyond those that count, and on each side at first.
+TREE, PART, MARGIN, AROUND = 1 << 14, 1 << 12, 3, 8
 #: Fixed value: the pattern of byte-level pretokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _UNSPLIT = regex.compile(rf"\p{{L}}{{{LONG},}}|\p{{N}}{{{LONG},}}|[^\s\p{{L}}\p{{N}}]{{{LONG},}}|\s{{{LONG},}}")
 
 
+class Part:
+    """Pretokens of a stretch of text: where each starts, where its ids start (and the last end), and the ids."""
+
+    __slots__ = ("at", "ids", "starts")
+
+    def __init__(self, starts: np.ndarray, at: np.ndarray, ids: np.ndarray):
+        self.starts, self.at, self.ids = starts, at, ids
+
+    def head(self, k: int) -> Part:
+        return Part(self.starts[:k], self.at[: k + 1], self.ids[: self.at[k]])
+
+    def tail(self, k: int) -> Part:
+        return Part(self.starts[k:], self.at[k:] - self.at[k], self.ids[self.at[k] :])
+
+    def moved(self, offset: int) -> Part:
+        return Part(self.starts + offset, self.at, self.ids)
+
+    def __add__(self, other: Part) -> Part:
+        return Part(np.concatenate((self.starts, other.starts)), np.concatenate((self.at, other.at[1:] + self.at[-1])), np.concatenate((self.ids, other.ids)))
+
+
 class Coder:
     """Encodes and decodes with the vocabulary of a tokenizer file and the same vocabulary as ranks."""
 
@@ -50,6 +76,7 @@ class Coder:
         self._plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         self._piece = self._plain._core_bpe.encode_single_piece
         self._split = regex.compile(PATTERN)
+        self._ahead = max([2, *map(len, special)])  # characters that a decision can look ahead
         self._marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self._bytes = [b""] * (1 + max([*ranks.values(), *special.values()]))
         for token, rank in ranks.items():
@@ -76,6 +103,57 @@ class Coder:
             level = [self.join(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []
 
+    def part(self, text: str, offset: int = 0) -> Part:
+        """The pretokens of a text that is read alone, with their ids."""
+        starts, counts, ids, known = [], [], [], {}
+        at = offset
+        for piece in self._marks.split(text) if self._marks else [text]:
+            for token in [piece] if piece in self.special else self._split.findall(piece):
+                found = known.get(token)
+                if found is None:
+                    known[token] = found = [self.special[token]] if token in self.special else self.tree(token.encode()) if len(token) >= LONG else self._piece(token.encode())
+                starts.append(at)
+                counts.append(len(found))
+                ids += found
+                at += len(token)
+        return Part(np.array(starts, np.int64), np.cumsum([0, *counts]), np.array(ids, np.int32))
+
+    def joined(self, text: str, left: Part, right: Part, seam: int, end: int) -> Part:
+        """What reading text from the start of left to the end of right alone gives; right starts at seam and ends before end."""
+        around = AROUND
+        while True:
+            # Where the window starts: the left side's own start, or a pretoken with enough of the side after it.
+            k = max(0, len(left.starts) - around - MARGIN)
+            if k and seam - left.starts[k + around] < self._ahead:
+                k = 0 if around > len(left.starts) else k
+            first = int(left.starts[k]) if len(left.starts) else seam
+            m = around + MARGIN
+            stop = int(right.starts[m]) if m < len(right.starts) else end
+            window = self.part(text[first:stop], first)
+            # Pretokens that both sides have, far enough from the window's end if the text goes on there.
+            common = np.intersect1d(window.starts, right.starts[: m + 1], assume_unique=True)
+            common = common[common > seam]
+            if stop < end:
+                last = window.starts[-MARGIN] if len(window.starts) >= MARGIN else first
+                common = common[(common <= last) & (common <= stop - self._ahead)]
+            if stop == end:
+                return left.head(k) + window
+            if len(common):
+                at = int(common[0])
+                return left.head(k) + window.head(int(np.searchsorted(window.starts, at))) + right.tail(int(np.searchsorted(right.starts, at)))
+            around *= 2
+
+    def joined_all(self, parts: list[tuple[str, Part]]) -> list[int]:
+        """The ids of a whole text from its parts in order, each read alone."""
+        texts = [t for t, _ in parts]
+        text = "".join(texts)
+        bounds = np.cumsum([0, *map(len, texts)]).tolist()
+        level = [(a, b, part.moved(a)) for a, b, (_, part) in zip(bounds[:-1], bounds[1:], parts, strict=True)]
+        while len(level) > 1:
+            pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+            level = [(p[0][0], p[1][1], self.joined(text, p[0][2], p[1][2], p[1][0], p[1][1])) if len(p) == 2 else p[0] for p in pairs]
+        return level[0][2].ids.tolist() if level else []
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         width = WINDOW
         while True:
@@ -123,24 +201,78 @@ def decode(encoded: DataFrame, paths: tuple[str, str] | None = None, id_column:
     return map_rows(encoded.select(id_column, "ids"), make, f"{id_column} {encoded.schema[id_column].dataType.simpleString()}, text string")
 
 
+_DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def digested(c: Coder, ids: list[int]) -> tuple[int, str, str]:
+    """The number of ids, their hash, and the hash of the text that they decode to."""
+    return len(ids), hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
+
+
+def parts_of(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
+    """The encoded parts of long texts: a row of doc_id, t1, t2 (hashes of the text), part, n (equal rows), text, starts, at and ids for each.
+
+    Parts are dealt by what tells them apart, so those of one text are encoded by many tasks, and equal rows once.
+    """
+    long = docs.where(F.length("text") >= TREE).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+
+    def split():
+        def run(keys, t1, t2, texts):
+            cut = [[t[i : i + PART] for i in range(0, len(t), PART)] for t in texts]
+            spread = lambda values: [v for v, x in zip(values, cut, strict=True) for _ in x]
+            return [spread(keys), spread(t1), spread(t2), [i for x in cut for i in range(len(x))], [t for x in cut for t in x]]
+
+        return run
+
+    leaves = map_rows(long, split, "doc_id bigint, t1 bigint, t2 bigint, part int, text string")
+    leaves = leaves.groupBy("doc_id", "t1", "t2", "part").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+
+    def make():
+        c = coder(*(paths or vocabulary()))
+
+        def run(keys, t1, t2, part, n, texts):
+            found = [c.part(t) for t in texts]
+            return [keys, t1, t2, part, n, texts, [f.starts.tolist() for f in found], [f.at.tolist() for f in found], [f.ids.tolist() for f in found]]
+
+        return run
+
+    return map_rows(leaves, make, "doc_id bigint, t1 bigint, t2 bigint, part int, n bigint, text string, starts array<int>, at array<int>, ids array<int>")
+
+
 def digest(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """Encodes whole texts, decodes the ids, and returns the number of ids and both hashes."""
+    """Encodes whole texts, decodes the ids, and returns the number of ids and both hashes; long texts by the tree of their parts."""
+    docs = docs.select("doc_id", "text")
 
     def make():
         c = coder(*(paths or vocabulary()))
 
         def run(keys, texts):
-            n, ids_hash, text_hash = [], [], []
-            for text in texts:
-                ids = c.encode(text or "")
-                n.append(len(ids))
-                ids_hash.append(hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
-                text_hash.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            return [keys, n, ids_hash, text_hash]
+            return [keys, *map(list, zip(*(digested(c, c.encode(t or "")) for t in texts), strict=True))]
+
+        return run
+
+    short = map_rows(docs.where(F.coalesce(F.length("text") < TREE, F.lit(True))), make, _DIGEST)
+    parts = parts_of(docs, paths)
+    names = ("text", "starts", "at", "ids")
+    whole = parts.groupBy("doc_id", "t1", "t2").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", *names))).alias("p"))
+    # The copies of a row are made after its ids are digested.
+    whole = whole.select("doc_id", "n", *[F.col("p")[c].alias(c) for c in names])
+
+    def join():
+        c = coder(*(paths or vocabulary()))
+
+        def run(keys, n, texts, starts, at, ids):
+            out = []
+            for row in zip(texts, starts, at, ids, strict=True):
+                made = [(t, Part(np.array(s, np.int64), np.array(a, np.int64), np.array(i, np.int32))) for t, s, a, i in zip(*row, strict=True)]
+                out.append(digested(c, c.joined_all(made)))
+            return [keys, n, *map(list, zip(*out, strict=True))]
 
         return run
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    long = map_rows(whole, join, f"doc_id bigint, n bigint, {_DIGEST.split(', ', 1)[1]}")
+    columns = [f.split()[0] for f in _DIGEST.split(", ")]
+    return short.unionByName(long.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(*columns))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
