@@ -12,14 +12,17 @@ language (two inside the text, one at its start or end), the constant labelling
 running sums decides exactly.
 
 Training takes a bounded sample: about ``PER_LANGUAGE`` rows of each language, by hash of doc_id, of the ``LANGUAGES`` most common
-values of lang (both parameters). Their trigrams are counted where the rows are; the driver gets the sums, whose number the tables' size bounds.
-Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned.
+values of lang (both parameters, the second of which bounds the model's size; rarer ones are never predicted). Their trigrams are counted where the rows are; the driver gets the sums, whose number the tables' size bounds.
+A text is read in blocks, the smaller the more languages there are; what is kept of all its words are their places and a bit for each language.
+Null texts and texts without a letter are `und` with score 0; so is everything if nothing was learned. Repeated rows are labelled alike and each
+gives a row; of training rows each counts. Other columns don't count; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,10 @@ from metaloom.functions.batches import pieces
 from metaloom.functions.ship import ship
 from metaloom.llm.common import BATCH_BYTES, BATCH_ROWS, fold, map_rows, table
 
-PER_LANGUAGE, LANGUAGES, SWITCH, SCRIPT_SHARE, SMOOTH = 600, 200, 12.0, 0.01, 0.3
+PER_LANGUAGE, LANGUAGES, SWITCH, SCRIPT_SHARE, SMOOTH = 600, 500, 12.0, 0.01, 0.3
 _TABLE, _BLOCK, _CELLS, _HELD = 1 << 16, 1 << 20, 1_000_000, 32
+#: Scores (characters times languages) that a block of a text has.
+_SCORES = 1 << 22
 #: First and last code points of scripts, by name.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x24F), (0x1E00, 0x1EFF)],
@@ -61,11 +66,11 @@ def _alphabet() -> tuple[np.ndarray, np.ndarray]:
     return letters, scripts
 
 
-def _blocks(text: str):
-    """Pieces of at most _BLOCK characters that end at a space where there is one."""
-    start = 0
-    while len(text) - start > _BLOCK:
-        end = text.rfind(" ", start + _BLOCK // 2, start + _BLOCK) + 1 or start + _BLOCK
+def _blocks(text: str, size: int = 0):
+    """Pieces of at most size characters (_BLOCK by default) that end at a space where there is one."""
+    start, size = 0, size or _BLOCK
+    while len(text) - start > size:
+        end = text.rfind(" ", start + size // 2, start + size) + 1 or start + size
         yield text[start:end]
         start = end
     yield text[start:]
@@ -100,32 +105,49 @@ class Model:
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the words, and their scores by language."""
-        starts, ends, scores, offset = [], [], [], 0
-        for block in _blocks(text):
+        starts, ends, scores = zip(*self._parts(text), strict=True)
+        return np.concatenate(starts), np.concatenate(ends), np.concatenate(scores)
+
+    def _parts(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """words() of one block after the other; the more languages, the smaller blocks."""
+        offset = 0
+        for block in _blocks(text, min(_BLOCK, max(1024, _SCORES // max(1, len(self.languages))))):
             _, gram, s, e, script = _scan(block)
             sums = np.zeros((len(gram) + 1, len(self.languages)))
             np.cumsum(self.grams[gram], axis=0, out=sums[1:])
-            scores.append(np.where(self.scripts[script], sums[e + 1] - sums[s], -1e6 + 0.0))
-            starts.append(s + offset)
-            ends.append(e + offset)
+            yield s + offset, e + offset, np.where(self.scripts[script], sums[e + 1] - sums[s], -1e6 + 0.0)
             offset += len(_codes(block))
-        return np.concatenate(starts), np.concatenate(ends), np.concatenate(scores)
 
     def label(self, scores: np.ndarray) -> np.ndarray:
         """The optimal labelling of words."""
-        best = int(scores.sum(0).argmax())
-        gain = np.concatenate(([0.0], np.cumsum(scores.max(1) - scores[:, best])))
-        inside = (gain - np.minimum.accumulate(gain)).max() <= 2 * SWITCH
-        if inside and gain.max() <= SWITCH and gain[-1] - gain.min() <= SWITCH:
-            return np.full(len(scores), best)
-        return viterbi(scores, SWITCH)
+        return self._label(lambda: [scores])
+
+    def _label(self, blocks: Callable[[], Iterable[np.ndarray]]) -> np.ndarray:
+        """The same for the scores of several blocks, which can be had more than once."""
+        best = int(sum(scores.sum(0) for scores in blocks()).argmax())
+        # What leaving the best single language for a stretch of words can gain: inside, at the start and at the end of the text.
+        n, gain, low, most, high = 0, 0.0, 0.0, 0.0, 0.0
+        for scores in blocks():
+            run = gain + np.concatenate(([0.0], np.cumsum(scores.max(1) - scores[:, best])))
+            floor = np.minimum(low, np.minimum.accumulate(run))
+            most, high, low, gain = max(most, float((run - floor).max())), max(high, float(run.max())), float(floor[-1]), float(run[-1])
+            n += len(scores)
+        if most <= 2 * SWITCH and high <= SWITCH and gain - low <= SWITCH:
+            return np.full(n, best)
+        return viterbi_of(blocks(), SWITCH)
+
+    def labelled(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and languages of all words. Scores of a text of several blocks are made again for each pass, never held together."""
+        first = list(islice(self._parts(text), 2))
+        parts = (lambda: first) if len(first) < 2 else lambda: self._parts(text)
+        starts, ends = (np.concatenate(x) for x in zip(*((s, e) for s, e, _ in parts()), strict=True))
+        return starts, ends, self._label(lambda: (scores for _, _, scores in parts())) if len(starts) else starts
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, language) of each run of words of one language, in code points of the text."""
-        starts, ends, scores = self.words(text)
+        starts, ends, labels = self.labelled(text)
         if not len(starts):
             return []
-        labels = self.label(scores)
         first = np.concatenate(([0], np.flatnonzero(np.diff(labels)) + 1))
         last = np.concatenate((first[1:] - 1, [len(labels) - 1]))
         return [(int(starts[a]), int(ends[b]), self.languages[labels[a]]) for a, b in zip(first, last, strict=True)]
@@ -134,30 +156,57 @@ class Model:
         """The text's language, its share of the letters, and the number of spans."""
         if not text or not self.languages:
             return "und", 0.0, 0
-        starts, ends, scores = self.words(text)
+        starts, ends, labels = self.labelled(text)
         if not len(starts):
             return "und", 0.0, 0
-        labels = self.label(scores)
         letters = np.bincount(labels, weights=ends - starts, minlength=len(self.languages))
         top = int(letters.argmax())
         return self.languages[top], float(letters[top] / letters.sum()), 1 + int(np.count_nonzero(np.diff(labels)))
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The labels that maximise the sum of scores less a penalty for each change; ties stay, then go to the first label."""
-    total, totals = scores[0].tolist(), []
-    for row in scores[1:].tolist():
-        totals.append(total)
-        moved = max(total) - penalty
-        total = [(t if t >= moved else moved) + x for t, x in zip(total, row, strict=True)]
-    at = total.index(max(total))
-    labels = [at]
-    for total in reversed(totals):
-        top = max(total)
-        if total[at] < top - penalty:
-            at = total.index(top)
-        labels.append(at)
-    return np.array(labels[::-1], np.int64)
+    """The labels that maximise the sum of scores less a penalty for each change (see viterbi_of())."""
+    return viterbi_of([scores], penalty)
+
+
+def viterbi_of(blocks: Iterable[np.ndarray], penalty: float) -> np.ndarray:
+    """Of scores in blocks: the labels that maximise the sum of scores less a penalty for each change; ties stay, then go to the first label.
+
+    Going back, a label stays if its sum was at most the penalty below the best, else the best one's goes on: a bit for each label and a number
+    for each word are all that is kept.
+    """
+    total, tops, stays = None, [], []
+    for scores in blocks:
+        if not len(scores):
+            continue
+        before = np.empty_like(scores)
+        few = scores.shape[1] <= 16
+        if few:
+            now = None if total is None else total.tolist()
+            rows = []
+            for row in scores.tolist():
+                if now is None:
+                    now = row
+                else:
+                    moved = max(now) - penalty
+                    now = [(t if t >= moved else moved) + x for t, x in zip(now, row, strict=True)]
+                rows.append(now)
+            before[:], total = rows, np.array(now)
+        else:
+            for i, row in enumerate(scores):
+                total = row if total is None else np.maximum(total, total.max() - penalty) + row
+                before[i] = total
+        top = before.argmax(1)
+        tops.append(top)
+        stays.append(np.packbits(before >= before[np.arange(len(top)), top][:, None] - penalty, axis=1))
+    top, stay = np.concatenate(tops), np.concatenate(stays)
+    labels = np.empty(len(top), np.int64)
+    at = labels[-1] = int(top[-1])
+    for i in range(len(top) - 2, -1, -1):
+        if not stay[i, at >> 3] >> (7 - (at & 7)) & 1:
+            at = int(top[i])
+        labels[i] = at
+    return labels
 
 
 class Counts:

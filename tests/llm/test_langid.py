@@ -76,3 +76,27 @@ def test_counting_by_tasks_equals_counting_at_once(spark, monkeypatch):
     assert set(langid.train(docs, languages=2).languages) == {"en", "de"}
     assert langid.train(docs.limit(0)).languages == []
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
+
+
+def test_many_languages_in_bounded_memory(monkeypatch):
+    """300 languages, with Viterbi on arrays and over blocks, as on lists at once."""
+    r = np.random.default_rng(4)
+    for width in (3, 40):
+        scores = r.normal(0, 8, (400, width))
+        whole = langid.viterbi(scores, langid.SWITCH)
+        cut = langid.viterbi_of([scores[:7], scores[7:7], scores[7:300], scores[300:]], langid.SWITCH)
+        assert (whole == cut).all()
+    brute = langid.viterbi(np.pad(scores[:, :3], ((0, 0), (0, 37)), constant_values=-1e6), langid.SWITCH)
+    assert (brute == langid.viterbi(scores[:, :3], langid.SWITCH)).all()
+    made = random.Random(8)
+    alphabets = ["".join(chr(0x4E00 + 20 * k + i) for i in range(12)) for k in range(300)]
+    rows = [(f"l{k}", " ".join("".join(made.choices(a, k=4)) for _ in range(30))) for k, a in enumerate(alphabets)]
+    model = langid.learn(rows)
+    assert len(model.languages) == 300 and all(model.predict(t)[0] == lang for lang, t in rows[::10])
+    mixed = " ".join(t for _, t in rows[:60])
+    spans = model.spans(mixed)
+    assert len(spans) == 60 and [s[2] for s in spans] == [lang for lang, _ in rows[:60]]
+    largest, scan = [], langid._scan
+    monkeypatch.setattr(langid, "_scan", lambda t: largest.append(len(t)) or scan(t))
+    monkeypatch.setattr(langid, "_SCORES", 300 * 2048)
+    assert model.spans(mixed) == spans and max(largest) <= 2048 and len(largest) > 2
