@@ -20,6 +20,7 @@ from metaloom.operators.record import with_media, with_tags
 from metaloom.plans.api import Engine, preview_cards
 from metaloom.sources.media import srcset
 from metaloom.sources.pages import scan
+from metaloom.streaming import activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -581,6 +582,64 @@ def listed_domains(spark, d):
     return joins.listed_domains(hosts, read(spark, d, "supplier").select(listed.alias("domain"))).select("o_orderkey", "listed")
 
 
+_SESSIONS = """WITH e AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS cents, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, CAST(sum(event_id) AS BIGINT) AS ids, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span_us FROM s GROUP BY user_id, session"""
+
+
+def _timed_events(spark, d):
+    return read(spark, d, "events").withColumn("ts", col("ts").cast("timestamp"))
+
+
+def _micros(c):
+    return F.unix_micros(col(c))
+
+
+def _session_rows(found):
+    return found.select("user_id", "n", "cents", "ids", (_micros("last") - _micros("first")).alias("span_us"))
+
+
+def _sessions_of(events):
+    return activity.sessions(events, "user_id", "ts", "2 hours", "10 minutes", cents=F.round(col("value") * 100).cast("bigint"), ids=col("event_id"))
+
+
+@query(_SESSIONS)
+def event_sessions(spark, d):
+    """Sessions of users, from the table."""
+    return _session_rows(_sessions_of(_timed_events(spark, d)))
+
+
+@query(_SESSIONS)
+def streamed_sessions(spark, d):
+    """The same from a stream of the events in four micro-batches; one late row of nobody closes what is open."""
+    events = _timed_events(spark, d)
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts")).select("ts", F.lit(-1).cast("bigint").alias("user_id"))
+    found, _ = activity.drained(_sessions_of(activity.replayed(events.unionByName(end, allowMissingColumns=True), "ts", 4)))
+    return _session_rows(found.where("user_id >= 0"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) THEN 1 ELSE 0 END AS changed FROM events)
+SELECT 'https://e.example.com/' || user_id AS url, count(*) AS times, CAST(sum(changed) AS BIGINT) AS changes, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span_us FROM e GROUP BY user_id""")
+def streamed_last_seen(spark, d):
+    """What a stateful stream has seen of each URL by its end."""
+    pages = _timed_events(spark, d).select(text("https://e.example.com/", col("user_id")).alias("url"), "ts", col("event_type").alias("html"))
+    found, _ = activity.drained(activity.last_seen(activity.replayed(pages, "ts", 4), "ts", "html"), rocks=True)
+    last = found.groupBy("url").agg(F.max_by(F.struct("first", "last", "times", "changes"), "times").alias("x"))
+    return last.select("url", "x.times", "x.changes", (_micros("x.last") - _micros("x.first")).alias("span_us"))
+
+
+@query("""SELECT l.event_id AS page_id, r.event_id AS document FROM events l LEFT JOIN events r ON l.user_id = r.user_id AND r.event_type = 'purchase' AND r.ts >= l.ts AND r.ts <= l.ts + INTERVAL 3 HOUR WHERE l.event_type = 'click'""")
+def streamed_documents(spark, d):
+    """Clicks with the purchases of their user within three hours, from two streams; those without one come when their time is over."""
+    events = _timed_events(spark, d)
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"))
+    links = events.where("event_type = 'click'").select(col("event_id").alias("page_id"), col("user_id").cast("string").alias("href"), col("ts").alias("asked"))
+    documents = events.where("event_type = 'purchase'").select(col("user_id").cast("string").alias("doc_href"), col("event_id").alias("document"), col("ts").alias("got"))
+    links, documents = links.unionByName(end.select(col("ts").alias("asked")), allowMissingColumns=True), documents.unionByName(end.select(col("ts").alias("got")), allowMissingColumns=True)
+    found, _ = activity.drained(activity.documents_of_pages(activity.replayed(links, "asked", 3), activity.replayed(documents, "got", 3), "3 HOURS"))
+    return found.where("page_id IS NOT NULL").select("page_id", "document")
+
+
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN 82 WHEN 3 THEN NULL ELSE 70 END AS confidence, CASE n_nationkey % 4 WHEN 0 THEN 60 WHEN 3 THEN NULL ELSE 35 END AS completeness, CASE n_nationkey % 4 WHEN 0 THEN 300.0 + n_nationkey END AS width FROM nation""")
 def direct_media(spark, d):
     k = col("n_nationkey")
