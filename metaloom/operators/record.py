@@ -205,8 +205,8 @@ def _trace() -> Column:
     return F.array_distinct(F.filter(every, lambda s: s.isNotNull()))
 
 
-def with_fields(df: DataFrame, warnings: list[str] = ()) -> DataFrame:
-    """Adds the record's fields to the columns of with_media(); warnings are the same for all rows."""
+def with_fields(df: DataFrame, warnings: list[str] = (), more: list[str] = ()) -> DataFrame:
+    """Adds the record's fields to the columns of with_media(); warnings are the same for all rows, more names columns that hold others."""
     col = F.col
     df = df.withColumns(
         {
@@ -226,7 +226,7 @@ def with_fields(df: DataFrame, warnings: list[str] = ()) -> DataFrame:
             "description": defined(_ext("description"), col("og.description"), col("card.description"), *[n.description for n in nodes], state.best_text("description", "excerpt", "summary", "subtitle", "ogDescription"), col("html.description")),
             "site_name": defined(_ext("siteName"), col("og.site_name"), col("n_site")["name"], state.best_text("siteName", "site_name", "appName", "applicationName"), domain_of(col("final_url"))),
             "article": _article(), "product": _product(), "app": _app(), "video": _video(), "playlist": _ext("playlist"), "sources_used": _sources_used(),
-            "warnings": F.array_distinct(F.concat(F.array(*map(F.lit, warnings)).cast("array<string>"), col("jsonld_warnings"), col("oembed_warnings"))), "sources": _attribution(), "trace": _trace(),
+            "warnings": F.array_distinct(F.concat(F.array(*map(F.lit, warnings)).cast("array<string>"), col("jsonld_warnings"), *[F.coalesce(c, F.array().cast("array<string>")) for c in more], col("oembed_warnings"))), "sources": _attribution(), "trace": _trace(),
         }
     )
     df = df.withColumns(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from metaloom.functions.urls import domain_of
-from metaloom.operators import adapters, assets
+from metaloom.operators import adapters, assets, plugins
 from metaloom.operators.record import with_fields, with_media, with_tags
 from metaloom.sources.pages import scan
 
@@ -29,6 +29,7 @@ class Registry:
         self.adapters = list(adapters.DEFAULT)
         self.extractors: list[tuple[str, Callable[[], Column]]] = []
         self.scorers: list[Callable[[Column, Column, Column], Column]] = []
+        self.functions: list[plugins.Function] = []
 
     def add_adapter(self, name: str, detect: Callable[[Column], Column], extract: Callable[[adapters.Page], Column]) -> None:
         """detect: a condition on the URL; extract: a result (see adapters.result) from a page's columns."""
@@ -38,6 +39,16 @@ class Registry:
         """extract: a result from the scan's and the tags' columns, null where it has nothing."""
         self.extractors.append((name, extract))
 
+    def add_page_function(self, name: str, function: Callable[[dict], dict | None]) -> None:
+        """function: a Python function of one page (see metaloom.operators.plugins), whose errors cost that page a warning."""
+        self.functions.append(("Plugin extractor", name, function))
+        self.extractors.append((name, lambda: plugins.result_of(name)))
+
+    def add_page_adapter(self, name: str, detect: Callable[[Column], Column], function: Callable[[dict], dict | None]) -> None:
+        """The same as an adapter, whose result counts where detect holds; the function may return None at once elsewhere."""
+        self.functions.append(("Adapter", name, function))
+        self.adapters.append((name, detect, lambda page: plugins.result_of(name)))
+
     def add_image_scorer(self, scorer: Callable[[Column, Column, Column], Column]) -> None:
         """scorer: points for (asset, index, all assets), added to the score."""
         self.scorers.append(scorer)
@@ -74,10 +85,12 @@ class Engine:
                 results.append(F.when(made.isNotNull(), made.cast(adapters.RESULT).withField("source", F.coalesce(made["source"], F.lit(name)))))
             except Exception as e:  # noqa: BLE001
                 warnings.append(f'Plugin extractor "{name}" failed: {e}')
-        tagged = with_tags(scan(pages.withColumnsRenamed({c: f"in_{c}" for c in pages.columns if c not in ("url", "html")})))
+        functions = tuple(registry.functions)
+        more = (plugins.SCHEMA, lambda page: plugins.run(functions, page)) if functions else None
+        tagged = with_tags(scan(pages.withColumnsRenamed({c: f"in_{c}" for c in pages.columns if c not in ("url", "html")}), more=more))
         if oembed is not None:
             tagged = _with_oembed(tagged, oembed)
-        found = with_fields(with_media(tagged, registry.adapters, results, tuple(registry.scorers)), warnings)
+        found = with_fields(with_media(tagged, registry.adapters, results, tuple(registry.scorers)), warnings, ["plugin_warnings"] if functions else [])
         kept = [F.col(f"in_{c}").alias(c) for c in pages.columns if c not in ("url", "html")]
         diagnostics = F.struct(
             F.col("url").alias("originalUrl"), F.col("final_url").alias("finalUrl"), F.col("canonical_url").alias("canonicalUrl"), F.col("sources_used").alias("sourcesUsed"), "warnings", "adapter",

@@ -479,6 +479,27 @@ def plugin_and_scorer(spark, d):
     return Engine([("mine", setup)]).parse(pages).select("p_partkey", "title", col("sources.title").alias("source"), col("best_image").alias("best"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 't' ELSE 'Ratio ' || (1000 // (p_partkey % 3)) END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Plugin extractor "ratio" failed: integer division or modulo by zero' END AS warning,
+CASE WHEN p_partkey % 5 = 4 THEN 'Adapter "shop" failed: images can''t be 7' END AS other, CASE WHEN p_partkey % 5 = 4 OR p_partkey % 2 = 1 THEN NULL ELSE 'https://shop.example.com/' || p_partkey || '.png' END AS best, CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 2 = 0 THEN 'shop' END AS adapter FROM part""")
+def page_functions(spark, d):
+    """Plugins and an adapter as Python functions: one divides by zero on every third page, the other returns nonsense on every fifth."""
+
+    def ratio(page):
+        return {"title": f"Ratio {1000 // (page['p_partkey'] % 3)}"}
+
+    def shop(page):
+        return {"images": 7 if page["p_partkey"] % 5 == 4 else [f"https://shop.example.com/{page['p_partkey']}.png"]}
+
+    def setup(api):
+        api.add_page_function("ratio", ratio)
+        api.add_page_adapter("shop", lambda url: F.contains(url, F.lit("//shop.")), shop)
+
+    k = col("p_partkey")
+    pages = read(spark, d, "part").select("p_partkey", F.when(k % 2 == 0, "https://shop.example.com/").otherwise("https://other.example.com/").alias("url"), F.lit("<title>t</title>").alias("html"))
+    warned = lambda part: F.get(F.filter("diagnostics.warnings", lambda w: F.contains(w, F.lit(part))), F.lit(0))
+    return Engine([("mine", setup)]).parse(pages).select("p_partkey", "title", warned('"ratio"').alias("warning"), warned('"shop"').alias("other"), col("best_image").alias("best"), col("diagnostics.adapterUsed").alias("adapter"))
+
+
 @query("SELECT s_suppkey, CAST(floor(18 * least(1, length(s_name) / 6.0) + 0.5) AS INT) AS title_points, 40 AS home, CASE WHEN s_suppkey % 2 = 0 THEN 8 ELSE 1 END AS bonus FROM supplier")
 def text_quality(spark, d):
     from metaloom.functions.js import rounded

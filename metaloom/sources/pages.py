@@ -6,7 +6,7 @@ scan() adds the columns of SCAN to (page_id, url, html). A row whose URL can't b
 from __future__ import annotations
 
 import re
-from collections.abc import Container, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -154,12 +154,13 @@ def safe_page(url: str | None, html: str | None, wanted: Container[str] = COLUMN
         return unread(url, e)
 
 
-def scan(pages: DataFrame, columns: Iterable[str] | None = None, rows_per_batch: int = 256) -> DataFrame:
+def scan(pages: DataFrame, columns: Iterable[str] | None = None, rows_per_batch: int = 256, more: tuple[str, Callable[[dict], dict]] | None = None) -> DataFrame:
     """pages has url and html, and whatever else is to be kept; columns are those of SCAN that are wanted, all by default.
 
     Catalyst can't see what Python needs, so what isn't wanted must be said: linked data, application data, media and walks are
     only read for columns that hold them. Batches are worked through in small pieces, as a page can hold megabytes. A page that can't
-    be read becomes a row without content and with a warning, and never fails the others.
+    be read becomes a row without content and with a warning, and never fails the others. more is the schema of further columns and a function that
+    makes them of a page: the dict of its columns, whatever the caller's are called (without in_), url and html.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -167,9 +168,11 @@ def scan(pages: DataFrame, columns: Iterable[str] | None = None, rows_per_batch:
     ship(spark)
     kept = [f for f in pages.schema if f.name != "html"]
     schema = StructType([*kept, *(f for f in _schema(spark) if columns is None or f.name in columns)])
+    wanted = frozenset(schema.names[len(kept) :])
+    if more:
+        schema = StructType([*schema, *spark.createDataFrame([], more[0]).schema])
     arrow = to_arrow_schema(schema)
     made = arrow.names[len(kept) :]
-    wanted = frozenset(made)
 
     def column(rows: list[dict], name: str) -> pa.Array:
         return pa.array([r[name] for r in rows], arrow.field(name).type)
@@ -190,7 +193,13 @@ def scan(pages: DataFrame, columns: Iterable[str] | None = None, rows_per_batch:
         for whole in batches:
             for batch in pieces(whole, rows_per_batch):
                 urls = batch.column("url").to_pylist()
-                rows = [safe_page(u, h, wanted) or dict.fromkeys(made) for u, h in zip(urls, batch.column("html").to_pylist(), strict=True)]
+                texts = batch.column("html").to_pylist()
+                rows = [safe_page(u, h, wanted) or dict.fromkeys(made) for u, h in zip(urls, texts, strict=True)]
+                if more:
+                    own = [batch.column(f.name).to_pylist() for f in kept]
+                    names = [f.name.removeprefix("in_") for f in kept]
+                    for i, (row, html) in enumerate(zip(rows, texts, strict=True)):
+                        row |= more[1](dict(zip(names, (c[i] for c in own), strict=True)) | row | {"html": html})
                 yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + arrays(urls, rows), names=arrow.names)
 
     return pages.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from metaloom.functions.batches import pieces
+from metaloom.operators import plugins
 from metaloom.sources import pages
 
 ODD = st.sampled_from(["\\ud800", "\\udc00", "\\ud83d\\ude00", "9" * 5000, "-1e999", "null", '"', "{", "}", "[", "]", ":", ",", "<", ">", "=", "'", "\x00", "\ufffe", "&#xD800;", "&#99999999999;", "\u0130", " ", "a", "title", "image", "width"])
@@ -57,3 +58,11 @@ def test_time_follows_the_page(shape):
         pages.scan_page("https://e.example/", html)
         seconds.append(time.process_time() - began)
     assert seconds[1] < 10 * max(seconds[0], 0.05)
+
+
+def test_functions_of_plugins_fail_alone():
+    page = {"url": "u", "n": 0}
+    found = plugins.run((("Plugin extractor", "a", lambda p: {"title": str(1 // p["n"])}), ("Adapter", "b", lambda p: {"title": p["url"], "images": ("x",)}), ("Plugin extractor", "c", lambda p: None), ("Plugin extractor", "d", lambda p: {"title": "\ud800"}), ("Plugin extractor", "e", lambda p: [1])), page)
+    assert [r["plugin"] for r in found["plugin_rows"]] == ["b"] and found["plugin_rows"][0]["images"] == ["x"]
+    assert [w.split(" failed")[0] for w in found["plugin_warnings"]] == ['Plugin extractor "a"', 'Plugin extractor "d"', 'Plugin extractor "e"']
+    json.dumps(found, ensure_ascii=False).encode()
