@@ -83,6 +83,8 @@ class Coder:
             self._bytes[rank] = token
         for token, rank in special.items():
             self._bytes[rank] = token.encode()
+        self._lengths = np.array([len(b) for b in self._bytes], np.int64)
+        self._width = np.dtype("<u2" if len(self._bytes) <= 1 << 16 else "<u4")
 
     def encode(self, text: str) -> list[int]:
         if not (len(text) >= LONG and _UNSPLIT.search(text)):
@@ -118,6 +120,21 @@ class Coder:
                 at += len(token)
         return Part(np.array(starts, np.int64), np.cumsum([0, *counts]), np.array(ids, np.int32))
 
+    def packed(self, part: Part) -> tuple[bytes, bytes]:
+        """A part's ids, and a bit for each that says whether a pretoken starts with it."""
+        first = np.zeros(len(part.ids), bool)
+        first[part.at[:-1]] = True
+        return part.ids.astype(self._width).tobytes(), np.packbits(first).tobytes()
+
+    def unpacked(self, ids: bytes, first: bytes) -> tuple[str, Part]:
+        """The text that packed ids stand for, and the part."""
+        found = np.frombuffer(ids, self._width).astype(np.int32)
+        raw = b"".join([self._bytes[i] for i in found.tolist()])
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(first, np.uint8), count=len(found)))
+        begins = np.concatenate(([0], np.cumsum(self._lengths[found])))
+        chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+        return raw.decode(), Part(chars[begins[at]], np.append(at, len(found)), found)
+
     def joined(self, text: str, left: Part, right: Part, seam: int, end: int) -> Part:
         """What reading text from the start of left to the end of right alone gives; right starts at seam and ends before end."""
         around = AROUND
@@ -210,9 +227,9 @@ def digested(c: Coder, ids: list[int]) -> tuple[int, str, str]:
 
 
 def parts_of(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """The encoded parts of long texts: a row of doc_id, t1, t2 (hashes of the text), part, n (equal rows), text, starts, at and ids for each.
+    """The encoded parts of long texts: a row of doc_id, t1, t2 (hashes of the text), part, n (equal rows), ids and first (as packed()) for each.
 
-    Parts are dealt by what tells them apart, so those of one text are encoded by many tasks, and equal rows once.
+    Parts are dealt by what tells them apart, so those of one text are encoded by many tasks, and equal rows once. Their text isn't kept, as ids stand for it.
     """
     long = docs.where(F.length("text") >= TREE).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
 
@@ -231,12 +248,12 @@ def parts_of(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame
         c = coder(*(paths or vocabulary()))
 
         def run(keys, t1, t2, part, n, texts):
-            found = [c.part(t) for t in texts]
-            return [keys, t1, t2, part, n, texts, [f.starts.tolist() for f in found], [f.at.tolist() for f in found], [f.ids.tolist() for f in found]]
+            found = [c.packed(c.part(t)) for t in texts]
+            return [keys, t1, t2, part, n, [i for i, _ in found], [f for _, f in found]]
 
         return run
 
-    return map_rows(leaves, make, "doc_id bigint, t1 bigint, t2 bigint, part int, n bigint, text string, starts array<int>, at array<int>, ids array<int>")
+    return map_rows(leaves, make, "doc_id bigint, t1 bigint, t2 bigint, part int, n bigint, ids binary, first binary")
 
 
 def digest(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
@@ -253,19 +270,15 @@ def digest(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
 
     short = map_rows(docs.where(F.coalesce(F.length("text") < TREE, F.lit(True))), make, _DIGEST)
     parts = parts_of(docs, paths)
-    names = ("text", "starts", "at", "ids")
-    whole = parts.groupBy("doc_id", "t1", "t2").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", *names))).alias("p"))
+    whole = parts.groupBy("doc_id", "t1", "t2").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "ids", "first"))).alias("p"))
     # The copies of a row are made after its ids are digested.
-    whole = whole.select("doc_id", "n", *[F.col("p")[c].alias(c) for c in names])
+    whole = whole.select("doc_id", "n", F.col("p.ids").alias("ids"), F.col("p.first").alias("first"))
 
     def join():
         c = coder(*(paths or vocabulary()))
 
-        def run(keys, n, texts, starts, at, ids):
-            out = []
-            for row in zip(texts, starts, at, ids, strict=True):
-                made = [(t, Part(np.array(s, np.int64), np.array(a, np.int64), np.array(i, np.int32))) for t, s, a, i in zip(*row, strict=True)]
-                out.append(digested(c, c.joined_all(made)))
+        def run(keys, n, ids, first):
+            out = [digested(c, c.joined_all([c.unpacked(*x) for x in zip(*row, strict=True)])) for row in zip(ids, first, strict=True)]
             return [keys, n, *map(list, zip(*out, strict=True))]
 
         return run

@@ -56,6 +56,9 @@ def test_parts_of_any_length_join_to_the_whole():
         size = r.choice([1, 2, 3, 5, 17, 100]) if len(text) < 500 else r.choice([300, 1000, 8192])
         parts = [text[i : i + size] for i in range(0, len(text), size)]
         assert coder.joined_all([(t, coder.part(t)) for t in parts]) == expected(text), (text[:80], size)
+        for t in parts:
+            back, part = coder.unpacked(*coder.packed(coder.part(t)))
+            assert back == t and all((getattr(part, k) == getattr(coder.part(t), k)).all() for k in ("at", "ids", "starts"))
 
 
 def test_joins_look_at_windows_only(monkeypatch):
