@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metaloom.functions.js import defined, number_of
+from metaloom.functions.kept import kept
 from metaloom.functions.urls import domain_of
 from metaloom.operators import adapters, assets, quality, state, tags
 from metaloom.operators.adapters import PERSON, RESULT
@@ -14,35 +15,42 @@ from metaloom.sources.pages import ENTITY
 NO_RESULTS = f"array<{RESULT}>"
 
 
-def with_tags(scanned: DataFrame) -> DataFrame:
-    """Adds og, card, html and oembed_links to a scan."""
-    graph = scanned.withColumns({"og_raw": tags.pairs("property", "og:", "article:", "product:"), "card_raw": tags.pairs("name", "twitter:")})
+@kept
+def _raw_tags() -> dict[str, Column]:
+    return {"og_raw": tags.pairs("property", "og:", "article:", "product:"), "card_raw": tags.pairs("name", "twitter:")}
+
+
+@kept
+def _tags() -> dict[str, Column]:
     og, card = F.col("og_raw"), F.col("card_raw")
     of = lambda key: tags.first(og, key)
     url = F.get(F.filter(og, lambda m: m.key == "og:url"), 0)
-    return graph.withColumns(
-        {
-            "og": F.struct(
-                *[of(f"og:{k}").alias(k) for k in ("title", "description", "type", "site_name", "locale", "determiner")],
-                url.content.alias("raw_url"), url.resolved.alias("url"),
-                tags.graph_assets(tags.graph_media(og, "image"), "image").alias("images"), tags.graph_assets(tags.graph_media(og, "video"), "video").alias("videos"), tags.graph_assets(tags.graph_media(og, "audio"), "audio").alias("audio"),
-                of("article:published_time").alias("published"), of("article:modified_time").alias("modified"), of("article:expiration_time").alias("expires"), of("article:section").alias("section"),
-                tags.values(og, "article:tag").alias("tags"), tags.values(og, "article:author").alias("authors"),
-                *[of(f"product:{k}").alias(n) for k, n in (("price:amount", "price"), ("price:currency", "currency"), ("availability", "availability"), ("condition", "condition"))],
-            ),
-            "card": F.struct(
-                *[tags.first(card, f"twitter:{k}").alias(k) for k in ("card", "site", "creator", "title", "description")],
-                tags.card_images(card).alias("images"), tags.card_videos(card).alias("videos"),
-            ),
-            "html": F.struct(
-                F.coalesce("title", tags.meta_named(("name", "title"))).alias("title"), tags.meta_named(("name", "description"), ("itemprop", "description")).alias("description"), tags.keywords().alias("keywords"),
-                tags.meta_named(("name", "robots")).alias("robots"), tags.canonical().alias("rawCanonicalUrl"), F.try_element_at(F.transform(tags.links_with("canonical"), lambda x: x.resolved), F.lit(-1)).alias("canonicalUrl"),
-                F.get(F.filter("links", lambda x: x.rel_text == "manifest"), 0).href.alias("manifestUrl"), tags.meta_named(("name", "theme-color")).alias("themeColor"),
-                tags.meta_named(("name", "application-name"), ("name", "apple-mobile-web-app-title")).alias("applicationName"), tags.favicons().alias("favicons"), tags.image_src().alias("imageSrc"), tags.alternates().alias("alternates"),
-            ),
-            "oembed_links": tags.oembed_links(),
-        }
-    ).drop("title")
+    return {
+        "og": F.struct(
+            *[of(f"og:{k}").alias(k) for k in ("title", "description", "type", "site_name", "locale", "determiner")],
+            url.content.alias("raw_url"), url.resolved.alias("url"),
+            tags.graph_assets(tags.graph_media(og, "image"), "image").alias("images"), tags.graph_assets(tags.graph_media(og, "video"), "video").alias("videos"), tags.graph_assets(tags.graph_media(og, "audio"), "audio").alias("audio"),
+            of("article:published_time").alias("published"), of("article:modified_time").alias("modified"), of("article:expiration_time").alias("expires"), of("article:section").alias("section"),
+            tags.values(og, "article:tag").alias("tags"), tags.values(og, "article:author").alias("authors"),
+            *[of(f"product:{k}").alias(n) for k, n in (("price:amount", "price"), ("price:currency", "currency"), ("availability", "availability"), ("condition", "condition"))],
+        ),
+        "card": F.struct(
+            *[tags.first(card, f"twitter:{k}").alias(k) for k in ("card", "site", "creator", "title", "description")],
+            tags.card_images(card).alias("images"), tags.card_videos(card).alias("videos"),
+        ),
+        "html": F.struct(
+            F.coalesce("title", tags.meta_named(("name", "title"))).alias("title"), tags.meta_named(("name", "description"), ("itemprop", "description")).alias("description"), tags.keywords().alias("keywords"),
+            tags.meta_named(("name", "robots")).alias("robots"), tags.canonical().alias("rawCanonicalUrl"), F.try_element_at(F.transform(tags.links_with("canonical"), lambda x: x.resolved), F.lit(-1)).alias("canonicalUrl"),
+            F.get(F.filter("links", lambda x: x.rel_text == "manifest"), 0).href.alias("manifestUrl"), tags.meta_named(("name", "theme-color")).alias("themeColor"),
+            tags.meta_named(("name", "application-name"), ("name", "apple-mobile-web-app-title")).alias("applicationName"), tags.favicons().alias("favicons"), tags.image_src().alias("imageSrc"), tags.alternates().alias("alternates"),
+        ),
+        "oembed_links": tags.oembed_links(),
+    }
+
+
+def with_tags(scanned: DataFrame) -> DataFrame:
+    """Adds og, card, html and oembed_links to a scan."""
+    return scanned.withColumns(_raw_tags()).withColumns(_tags()).drop("title")
 
 
 def _candidates(ext: Column | None) -> tuple[Column, Column, Column]:
@@ -55,23 +63,47 @@ def _candidates(ext: Column | None) -> tuple[Column, Column, Column]:
     return images, videos, audio
 
 
+@kept
+def _once() -> dict[str, Column]:
+    return {"found": F.struct(*[c.alias(k) for k, c in assets.discovered(*_candidates(None), F.col("final_url")).items()])}
+
+
+@kept
+def _of_sites(sites: tuple[adapters.Adapter, ...]) -> dict[str, Column]:
+    return adapters.page_columns(list(sites))
+
+
+@kept
+def _site_media() -> dict[str, Column]:
+    of_site = lambda c: F.when(F.col("site_adapter").isNotNull(), adapters.marked(c, F.col("site_adapter")))
+    return {"site_images": of_site(F.col("found.images")), "site_videos": of_site(F.col("found.videos"))}
+
+
+@kept
+def _site_results(sites: tuple[adapters.Adapter, ...]) -> dict[str, Column]:
+    return {"adapter_results": adapters.results(list(sites))}
+
+
+@kept
+def _again() -> dict[str, Column]:
+    again = assets.discovered(*_candidates(F.col("ext")), F.col("final_url"))
+    # Without results of others the media are those found already.
+    return {"media": F.when(F.size("ext") == 0, F.col("found")).otherwise(F.struct(*[c.alias(k) for k, c in again.items()]))}
+
+
+@kept
+def _pictures(scorers: tuple) -> dict[str, Column]:
+    return {"pictures": assets.scored(F.col("media.images"), scorers)}
+
+
 def with_media(tagged: DataFrame, sites: list[adapters.Adapter], plugins: list[Column], scorers: tuple = ()) -> DataFrame:
     """Adds ext (the results of plugins, then of matching adapters), found (media) and best."""
     if "oembed_images" not in tagged.columns:
         tagged = tagged.withColumns({"oembed_images": assets.none(), "oembed_warnings": F.array().cast("array<string>")})
-    once = assets.discovered(*_candidates(None), F.col("final_url"))
-    found = tagged.withColumn("found", F.struct(*[c.alias(k) for k, c in once.items()]))
     own = F.filter(F.array(*[p.cast(RESULT) for p in plugins]), lambda r: r.isNotNull()) if plugins else F.array().cast(NO_RESULTS)
-    found = found.withColumns(adapters.page_columns(sites))
-    of_site = lambda c: F.when(F.col("site_adapter").isNotNull(), adapters.marked(c, F.col("site_adapter")))
-    found = found.withColumns({"site_images": of_site(F.col("found.images")), "site_videos": of_site(F.col("found.videos"))})
-    found = found.withColumns({"plugin_results": own, "adapter_results": adapters.results(sites)})
-    found = found.withColumn("ext", F.concat("plugin_results", "adapter_results"))
-    again = assets.discovered(*_candidates(F.col("ext")), F.col("final_url"))
-    # Without results of others the media are those found already.
-    whole = F.when(F.size("ext") == 0, F.col("found")).otherwise(F.struct(*[c.alias(k) for k, c in again.items()]))
-    found = found.withColumn("media", whole)
-    return found.withColumn("pictures", assets.scored(F.col("media.images"), scorers)).withColumn("best", F.get("pictures", F.lit(0)))
+    found = tagged.withColumns(_once()).withColumns(_of_sites(tuple(sites))).withColumns(_site_media())
+    found = found.withColumns({"plugin_results": own} | _site_results(tuple(sites))).withColumn("ext", F.concat("plugin_results", "adapter_results"))
+    return found.withColumns(_again()).withColumns(_pictures(tuple(scorers))).withColumn("best", F.get("pictures", F.lit(0)))
 
 
 def _ext(field: str) -> Column:
@@ -205,52 +237,66 @@ def _trace() -> Column:
     return F.array_distinct(F.filter(every, lambda s: s.isNotNull()))
 
 
-def with_fields(df: DataFrame, warnings: list[str] = (), more: list[str] = ()) -> DataFrame:
-    """Adds the record's fields to the columns of with_media(); warnings are the same for all rows, more names columns that hold others."""
+@kept
+def _nodes() -> dict[str, Column]:
+    return {
+        "n_article": state.node_of("Article", "NewsArticle", "BlogPosting"), "n_product": state.node_of("Product"), "n_app": state.node_of("SoftwareApplication", "MobileApplication", "WebApplication"),
+        "n_site": state.node_of("Organization", "NewsMediaOrganization", "WebSite"), "n_video": state.node_of("VideoObject"),
+        "e_author": state.first_entity("author", "creator", "owner", "user"), "e_publisher": state.first_entity("publisher", "provider", "organization"),
+    }
+
+
+@kept
+def _own(warnings: tuple[str, ...], more: tuple[str, ...]) -> dict[str, Column]:
     col = F.col
-    df = df.withColumns(
-        {
-            "n_article": state.node_of("Article", "NewsArticle", "BlogPosting"), "n_product": state.node_of("Product"), "n_app": state.node_of("SoftwareApplication", "MobileApplication", "WebApplication"),
-            "n_site": state.node_of("Organization", "NewsMediaOrganization", "WebSite"), "n_video": state.node_of("VideoObject"),
-            "e_author": state.first_entity("author", "creator", "owner", "user"), "e_publisher": state.first_entity("publisher", "provider", "organization"),
-        }
-    )
     nodes = [col(n) for n in ("n_article", "n_product", "n_app", "n_site")]
     pair = lambda text, resolved: F.when(F.coalesce(text, F.lit("")) != "", F.struct(text.alias("text"), resolved.alias("resolved")))
     linked = F.get(F.filter("jsonld", lambda n: n.url.isNotNull()), 0)
     canonical = F.coalesce(pair(_ext("canonicalUrl"), _ext("canonicalUrl")), pair(col("html.rawCanonicalUrl"), col("html.canonicalUrl")), pair(col("og.raw_url"), col("og.url")), pair(linked.url, linked.resolved), state.best_link("canonicalUrl", "canonical", "permalink", "pageUrl", "shareUrl")).resolved
-    df = df.withColumns(
-        {
-            "canonical_url": canonical,
-            "title": defined(_ext("title"), col("og.title"), col("card.title"), *[n.headline for n in nodes], *[n["name"] for n in nodes], state.best_text("title", "headline", "pageTitle", "ogTitle", "name"), col("html.title")),
-            "description": defined(_ext("description"), col("og.description"), col("card.description"), *[n.description for n in nodes], state.best_text("description", "excerpt", "summary", "subtitle", "ogDescription"), col("html.description")),
-            "site_name": defined(_ext("siteName"), col("og.site_name"), col("n_site")["name"], state.best_text("siteName", "site_name", "appName", "applicationName"), domain_of(col("final_url"))),
-            "article": _article(), "product": _product(), "app": _app(), "video": _video(), "playlist": _ext("playlist"), "sources_used": _sources_used(),
-            "warnings": F.array_distinct(F.concat(F.array(*map(F.lit, warnings)).cast("array<string>"), col("jsonld_warnings"), *[F.coalesce(c, F.array().cast("array<string>")) for c in more], col("oembed_warnings"))), "sources": _attribution(), "trace": _trace(),
-        }
-    )
-    df = df.withColumns(
-        {
-            "type": _type(),
-            "author": F.coalesce(_ext("author").cast(ENTITY), F.get("article.authors", F.lit(0)), col("e_author")),
-            "publisher": F.coalesce(col("article.publisher"), _ext("publisher").cast(ENTITY), col("n_site").self, col("e_publisher")),
-            "publish_date": defined(col("article.publishedTime"), col("video.publishedTime")),
-        }
-    )
+    return {
+        "canonical_url": canonical,
+        "title": defined(_ext("title"), col("og.title"), col("card.title"), *[n.headline for n in nodes], *[n["name"] for n in nodes], state.best_text("title", "headline", "pageTitle", "ogTitle", "name"), col("html.title")),
+        "description": defined(_ext("description"), col("og.description"), col("card.description"), *[n.description for n in nodes], state.best_text("description", "excerpt", "summary", "subtitle", "ogDescription"), col("html.description")),
+        "site_name": defined(_ext("siteName"), col("og.site_name"), col("n_site")["name"], state.best_text("siteName", "site_name", "appName", "applicationName"), domain_of(col("final_url"))),
+        "article": _article(), "product": _product(), "app": _app(), "video": _video(), "playlist": _ext("playlist"), "sources_used": _sources_used(),
+        "warnings": F.array_distinct(F.concat(F.array(*map(F.lit, warnings)).cast("array<string>"), col("jsonld_warnings"), *[F.coalesce(c, F.array().cast("array<string>")) for c in more], col("oembed_warnings"))), "sources": _attribution(), "trace": _trace(),
+    }
+
+
+@kept
+def _people() -> dict[str, Column]:
+    col = F.col
+    return {
+        "type": _type(),
+        "author": F.coalesce(_ext("author").cast(ENTITY), F.get("article.authors", F.lit(0)), col("e_author")),
+        "publisher": F.coalesce(col("article.publisher"), _ext("publisher").cast(ENTITY), col("n_site").self, col("e_publisher")),
+        "publish_date": defined(col("article.publishedTime"), col("video.publishedTime")),
+    }
+
+
+@kept
+def _scores() -> dict[str, Column]:
+    col = F.col
     first = F.get("adapter_results", F.lit(0))
     has_media = (F.coalesce(F.size(first.images), F.lit(0)) > 0) | (F.coalesce(F.size(first.videos), F.lit(0)) > 0)
     worked = F.exists("adapter_results", lambda r: r.title.isNotNull() | r.description.isNotNull() | (F.coalesce(F.size(r.images), F.lit(0)) > 0) | (F.coalesce(F.size(r.videos), F.lit(0)) > 0))
     structured, stated = F.size("jsonld") > 0, F.size("embedded") > 0
     media = F.size("media.images") + F.size("media.videos") + F.size("media.audio")
     there = lambda name: col(name).isNotNull()
-    df = df.withColumns(
-        {
-            "confidence": quality.confidence(col("title"), col("description"), col("best.score"), col("best.source"), col("canonical_url"), structured, worked, F.size("og_raw") > 0, F.size("card_raw") > 0, stated, F.size("warnings")),
-            "completeness": quality.completeness(title=there("title"), description=there("description"), image=there("best"), canonical=there("canonical_url"), site=there("site_name"), author=there("author"), publisher=there("publisher"), type=col("type") != "unknown", published=there("publish_date"), media=media > 1),
-            "confidence_breakdown": quality.breakdown(col("title"), col("description"), col("best.score"), col("best.source"), structured, stated, F.when(worked, quality.adapter_confidence(first.title, first.description, has_media, first.author)).otherwise(0)),
-            "adapter": F.struct(first.isNotNull().alias("matched"), first.source.alias("name"), F.when(first.isNotNull(), quality.adapter_confidence(first.title, first.description, has_media, first.author, *quality.DIAGNOSTIC)).alias("confidence")),
-            "method": F.coalesce(first.method, col("sources.title")),
-        }
-    )
-    return df.withColumn("reliability", quality.reliability(col("confidence"), col("completeness"), F.size("adapter_results") > 0, col("best.score"), F.size("warnings")))
+    return {
+        "confidence": quality.confidence(col("title"), col("description"), col("best.score"), col("best.source"), col("canonical_url"), structured, worked, F.size("og_raw") > 0, F.size("card_raw") > 0, stated, F.size("warnings")),
+        "completeness": quality.completeness(title=there("title"), description=there("description"), image=there("best"), canonical=there("canonical_url"), site=there("site_name"), author=there("author"), publisher=there("publisher"), type=col("type") != "unknown", published=there("publish_date"), media=media > 1),
+        "confidence_breakdown": quality.breakdown(col("title"), col("description"), col("best.score"), col("best.source"), structured, stated, F.when(worked, quality.adapter_confidence(first.title, first.description, has_media, first.author)).otherwise(0)),
+        "adapter": F.struct(first.isNotNull().alias("matched"), first.source.alias("name"), F.when(first.isNotNull(), quality.adapter_confidence(first.title, first.description, has_media, first.author, *quality.DIAGNOSTIC)).alias("confidence")),
+        "method": F.coalesce(first.method, col("sources.title")),
+    }
 
+
+@kept
+def _reliability() -> dict[str, Column]:
+    return {"reliability": quality.reliability(F.col("confidence"), F.col("completeness"), F.size("adapter_results") > 0, F.col("best.score"), F.size("warnings"))}
+
+
+def with_fields(df: DataFrame, warnings: list[str] = (), more: list[str] = ()) -> DataFrame:
+    """Adds the record's fields to the columns of with_media(); warnings are the same for all rows, more names columns that hold others."""
+    return df.withColumns(_nodes()).withColumns(_own(tuple(warnings), tuple(more))).withColumns(_people()).withColumns(_scores()).withColumns(_reliability())

@@ -6,6 +6,7 @@ them, and the SQL states what must come out from the same columns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import images as image_files
 from metaloom.functions import urls
+from metaloom.functions.shared import shared_folder
 from metaloom.functions.ship import ship
-from metaloom.operators import adapters, assets, fetch, joins, quality, state, tags
+from metaloom.operators import adapters, assets, fetch, joins, quality, reports, state, tags
+from metaloom.operators.cache import PageCache
 from metaloom.operators.record import with_media, with_tags
 from metaloom.plans.api import Engine, preview_cards
-from metaloom.sources.media import srcset
 from metaloom.sources.pages import scan
 from metaloom.streaming import activity
 
@@ -322,12 +324,30 @@ def video_audio_candidates(spark, d):
     return both[0].unionByName(both[1])
 
 
-@query("SELECT p_partkey, ord, CASE ord WHEN 0 THEN '/a' || p_partkey || '.jpg' WHEN 1 THEN 'b.jpg' ELSE 'c.jpg' END AS url FROM part, (VALUES (0), (1), (2)) v(ord)")
+@query("SELECT p_partkey, ord, 'https://v.example.com/' || CASE ord WHEN 0 THEN 'a' || p_partkey || '.jpg' WHEN 1 THEN 'd/b.jpg' ELSE 'd/c.jpg' END AS url FROM part, (VALUES (0), (1), (2)) v(ord)")
 def srcset_split(spark, d):
-    value = text("/a", col("p_partkey"), ".jpg 1x,  b.jpg\t640w ,, c.jpg")
-    first = F.transform(F.split(value, ","), lambda c: F.get(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), 0))
-    assert srcset("/a1.jpg 1x,  b.jpg\t640w ,, c.jpg") == ["/a1.jpg", "b.jpg", "c.jpg"]
-    return read(spark, d, "part").select("p_partkey", F.posexplode(F.filter(first, lambda u: u != "")).alias("ord", "url"))
+    """Sets of pictures as the page scan splits them."""
+    html = text('<img srcset="/a', col("p_partkey"), '.jpg 1x,  b.jpg\t640w ,, c.jpg, , data:x 2x">')
+    found = scan(read(spark, d, "part").select("p_partkey", F.lit("https://v.example.com/d/x").alias("url"), html.alias("html")), ["dom_images"])
+    return found.select("p_partkey", F.posexplode("dom_images").alias("ord", "a")).select("p_partkey", "ord", "a.url")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k FROM part), m AS (SELECT k, kind, unnest(CASE kind WHEN 'image' THEN [{'o': 0, 'u': '/thumb' || k || '.jpg', 's': 'jsonLd', 'w': NULL::DOUBLE, 'alt': NULL}, {'o': 1, 'u': '/thumb' || k || '.jpg', 's': 'jsonScript', 'w': NULL, 'alt': NULL}, {'o': 2, 'u': '/deep/image.png', 's': 'applicationJson', 'w': 640.0, 'alt': 'A deep one'},
+  {'o': 3, 'u': '/deep/image.png', 's': 'applicationJson', 'w': 640.0, 'alt': NULL}, {'o': 4, 'u': '/list/photo-1.webp', 's': 'applicationJson', 'w': NULL, 'alt': NULL}, {'o': 5, 'u': '/list/photo-2.webp', 's': 'applicationJson', 'w': 320.0, 'alt': NULL}, {'o': 6, 'u': '/set/card-1.jpg', 's': 'applicationJson', 'w': NULL, 'alt': NULL},
+  {'o': 7, 'u': '/set/card-2.jpg', 's': 'applicationJson', 'w': NULL, 'alt': NULL}, {'o': 8, 'u': '/own/cover.jpg', 's': 'applicationJson', 'w': 100.0, 'alt': 'Own'}]
+  WHEN 'video' THEN [{'o': 0, 'u': '/clip' || k || '.mp4', 's': 'jsonLd', 'w': NULL, 'alt': NULL}, {'o': 1, 'u': '/clip' || k || '.mp4', 's': 'jsonScript', 'w': NULL, 'alt': NULL}, {'o': 2, 'u': '/play.m3u8', 's': 'applicationJson', 'w': NULL, 'alt': NULL}] ELSE [{'o': 0, 'u': '/pod' || k || '.mp3', 's': 'applicationJson', 'w': NULL, 'alt': NULL}] END) AS x FROM p, (VALUES ('image'), ('video'), ('audio')) v(kind))
+SELECT k AS p_partkey, kind, x.o AS ord, 'https://v.example.com' || x.u AS url, x.s AS source, x.w AS width, x.alt AS alt FROM m""")
+def json_media(spark, d):
+    """Media of linked data and of application data: texts, lists, records, records in records and sets."""
+    k = col("p_partkey")
+    html = text(
+        '<script type="application/ld+json">{"@type":"VideoObject","thumbnailUrl":"/thumb', k, '.jpg","contentUrl":"/clip', k, '.mp4"}</script><script type="application/json">{"image":{"source":{"url":"/deep/image.png","width":"640"},"caption":"A deep one"},'
+        '"images":["/list/photo-1.webp",{"src":"/list/photo-2.webp","width":320},"javascript:x","plain"],"poster":{"srcset":"/set/card-1.jpg 1x, /set/card-2.jpg 2x, /sprite.png 3x"},"item":{"coverImageUrl":"/own/cover.jpg","width":100,"alt":"Own"},'
+        '"playbackUrl":"/play.m3u8","podcastUrl":"/pod', k, '.mp3","videoTitle":"no media"}</script>',
+    )
+    t = scan(read(spark, d, "part").select("p_partkey", F.lit("https://v.example.com/x").alias("url"), html.alias("html")), ["json_images", "json_videos", "json_audio"])
+    parts = [t.select("p_partkey", F.lit(kind).alias("kind"), F.posexplode(c).alias("ord", "a")) for kind, c in (("image", "json_images"), ("video", "json_videos"), ("audio", "json_audio"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("p_partkey", "kind", "ord", "a.url", "a.source", "a.width", "a.alt")
 
 
 # ---- URLs --------------------------------------------------------------------------------------------------------------
@@ -444,6 +464,28 @@ def reddit_filter(spark, d):
     return read(spark, d, "part").select("p_partkey", F.size(kept).alias("n"), F.get(F.transform(F.array_sort(F.transform(kept, lambda a: a.url)), lambda u: u), 0).alias("first"))
 
 
+@query("""SELECT p_partkey, ord, 'https://i.redd.it/' || CASE WHEN p_partkey % 2 = 0 THEN substr('zym', ord + 1, 1) ELSE substr('mzy', ord + 1, 1) END || p_partkey || '.jpg' AS url FROM part, (VALUES (0), (1), (2)) v(ord)""")
+def reddit_filter_order(spark, d):
+    """A post's pictures of one priority stay in the order of their candidates, but for larger ones."""
+    k = col("p_partkey")
+    large = F.when(k % 2 == 1, 900.0)
+    images = F.array(*[assets.asset(text(f"https://i.redd.it/{name}", k, ".jpg"), "image", "openGraph", **({"width": large, "height": large} if name == "m" else {})) for name in "zym"])
+    return read(spark, d, "part").select("p_partkey", F.posexplode(assets.reddit_filtered(images)).alias("ord", "a")).select("p_partkey", "ord", "a.url")
+
+
+@query("""WITH u AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'https://e.example.com/x' WHEN 1 THEN 'https://e.example.com/cover' WHEN 2 THEN 'https://e.example.com/hero-preview-large' WHEN 3 THEN 'https://e.example.com/og/card/media/share/social' WHEN 4 THEN 'https://i.ytimg.com/vi/abc/maxresdefault' ELSE 'https://pbs.twimg.com/media/q' END AS url, [0, 4, 12, 14, 16, 12][p_partkey % 6 + 1] AS hints FROM part)
+SELECT p_partkey, hints, CASE p_partkey % 6 WHEN 1 THEN 'URL matched preview hints (cover) and added 4 points' WHEN 2 THEN 'URL matched preview hints (hero, preview, large) and added 12 points' WHEN 3 THEN 'URL matched preview hints (og, card, media, share, social) and added 14 points'
+WHEN 4 THEN 'URL matched preview hints (maxres) and added 4 points' WHEN 5 THEN 'URL matched preview hints (media) and added 4 points' END AS reason, CASE p_partkey % 6 WHEN 4 THEN 'YouTube platform thumbnail added 12 points' WHEN 5 THEN 'social platform media host added 8 points' END AS host FROM u""")
+def url_hints(spark, d):
+    """What words and hosts in a picture's URL add, against the same picture without them."""
+    k = col("p_partkey")
+    urls_ = ["https://e.example.com/x", "https://e.example.com/cover", "https://e.example.com/hero-preview-large", "https://e.example.com/og/card/media/share/social", "https://i.ytimg.com/vi/abc/maxresdefault", "https://pbs.twimg.com/media/q"]
+    own, plain = (F.get(assets.scored(F.array(assets.asset(u, "image", "html"))), 0) for u in (F.get(F.array(*map(F.lit, urls_)), (k % 6).cast("int")), F.lit("https://e.example.com/x")))
+    said = lambda part: F.get(F.filter("own.reasons", lambda r: F.contains(r, F.lit(part))), F.lit(0))
+    found = read(spark, d, "part").select("p_partkey", own.alias("own"), plain.alias("plain"))
+    return found.select("p_partkey", (col("own.score") - col("plain.score")).cast("int").alias("hints"), said("preview hints").alias("reason"), F.coalesce(said("platform thumbnail"), said("media host")).alias("host"))
+
+
 # ---- whole records -----------------------------------------------------------------------------------------------------
 
 
@@ -508,6 +550,31 @@ def text_quality(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", rounded(quality.text_points(col("s_name"), 18, 6, 120)).alias("title_points"), rounded(quality.text_points(F.lit(" sign  IN "), 114, 6, 120)).alias("home"), quality.source_bonus(source).alias("bonus"))
 
 
+@query("""SELECT p_partkey, ['article', 'product', 'video', 'app'][p_partkey % 4 + 1] AS type, CASE p_partkey % 4 WHEN 0 THEN 'Headline ' || p_partkey END AS headline, CASE p_partkey % 4 WHEN 0 THEN 'World' END AS section, CASE p_partkey % 4 WHEN 0 THEN 'a|b|x|y' END AS tags,
+CASE p_partkey % 4 WHEN 0 THEN '2024-01-02' END AS published, CASE p_partkey % 4 WHEN 0 THEN '2024-05-05' END AS modified, CASE p_partkey % 4 WHEN 0 THEN 'Ann ' || p_partkey || '|Bob' END AS authors, CASE p_partkey % 4 WHEN 0 THEN 'Paper' END AS publisher,
+CASE p_partkey % 4 WHEN 1 THEN 'Thing ' || p_partkey || '|Brand|S' || p_partkey || '|9.5|EUR|InStock|NewCondition' END AS product, CASE p_partkey % 4 WHEN 1 THEN 4.5 END AS rating, CASE p_partkey % 4 WHEN 1 THEN CAST(p_partkey AS DOUBLE) END AS reviews,
+CASE p_partkey % 4 WHEN 2 THEN 'Clip ' || p_partkey || '|2024-03-03|PT1M' END AS video, CASE p_partkey % 4 WHEN 3 THEN 'App ' || p_partkey || '|Games|Linux|0|USD' END AS app FROM part""")
+def nested_objects(spark, d):
+    """Articles, products, videos and apps: each field from where it counts first."""
+    k = col("p_partkey")
+    ld = lambda *parts: text('<script type="application/ld+json">', *parts, "</script>")
+    article = text('<meta property="og:type" content="article"><meta property="article:published_time" content="2024-01-02"><meta property="article:tag" content="a"><meta property="article:tag" content="b"><meta property="og:title" content="Other">', ld('{"@type":"NewsArticle","headline":"Headline ', k, '","articleSection":"World","datePublished":"2020-01-01","dateModified":"2024-05-05","keywords":"x, y","author":[{"name":"Ann ', k, '"},{"name":"Bob"}],"publisher":{"name":"Paper"}}'))
+    product = ld('{"@type":"Product","name":"Thing ', k, '","brand":{"name":"Brand"},"sku":"S', k, '","offers":{"price":"9.5","priceCurrency":"EUR","availability":"https://schema.org/InStock","itemCondition":"https://schema.org/NewCondition"},"aggregateRating":{"ratingValue":"4.5","reviewCount":', k, "}}")
+    video = ld('{"@type":"VideoObject","name":"Clip ', k, '","uploadDate":"2024-03-03","duration":"PT1M"}')
+    app = text('<meta name="application-name" content="App ', k, '">', ld('{"@type":"SoftwareApplication","name":"Other","applicationCategory":"Games","operatingSystem":"Linux","offers":[{"price":0,"priceCurrency":"USD"}]}'))
+    html = F.get(F.array(article, product, video, app), (k % 4).cast("int"))
+    found = Engine().parse(read(spark, d, "part").select("p_partkey", F.lit("https://f.example.com/").alias("url"), html.alias("html")))
+    of = lambda kind: col("type") == kind
+    joined = lambda kind, *fields: F.when(of(kind), F.concat_ws("|", *fields))
+    a = lambda f: F.when(of("article"), col(f"article.{f}"))
+    return found.select(
+        "p_partkey", "type", a("headline").alias("headline"), a("section").alias("section"), joined("article", "article.tags").alias("tags"), a("publishedTime").alias("published"), a("modifiedTime").alias("modified"),
+        F.when(of("article"), F.array_join(F.transform("article.authors", lambda x: x["name"]), "|")).alias("authors"), a("publisher.name").alias("publisher"),
+        joined("product", *[f"product.{f}" for f in ("name", "brand.name", "sku", "price", "currency", "availability", "condition")]).alias("product"), col("product.ratingValue").alias("rating"), col("product.reviewCount").alias("reviews"),
+        joined("video", *[f"video.{f}" for f in ("title", "publishedTime", "duration")]).alias("video"), joined("app", *[f"app.{f}" for f in ("name", "category", "operatingSystem", "price", "currency")]).alias("app"),
+    )
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'article' WHEN 1 THEN 'product' WHEN 2 THEN 'video' WHEN 3 THEN 'profile' WHEN 4 THEN 'app' WHEN 5 THEN 'audio' ELSE 'website' END AS type FROM part""")
 def infer_type(spark, d):
     k = col("p_partkey")
@@ -661,6 +728,28 @@ def streamed_documents(spark, d):
     return found.where("page_id IS NOT NULL").select("page_id", "document")
 
 
+@query("""SELECT 'https://u.example.com/' || user_id AS url, 'body of ' || max(event_id) AS html, 1 AS entries FROM events GROUP BY user_id""")
+def cache_upsert(spark, d):
+    """Events as answers for their users' URLs, put into a cache in three parts, one of them twice; the newest answer of each URL stays."""
+    events = _timed_events(spark, d)
+    answers = events.select(text("https://u.example.com/", col("user_id")).alias("url"), text("body of ", col("event_id")).alias("html"), F.lit(200).alias("status"), F.timestamp_seconds(col("event_id")).alias("fetched_at"), (col("event_id") % 3).alias("part"))
+    cache = PageCache(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}", buckets=16)
+    for part in (2, 0, 1, 2):
+        cache.put(answers.where(col("part") == part).drop("part"))
+    return cache.rows().groupBy("url").agg(F.max("html").alias("html"), F.count(F.lit(1)).cast("int").alias("entries"))
+
+
+@query("""SELECT event_type, part, CAST(GROUPING(event_type) * 2 + GROUPING(part) AS INTEGER) AS level, count(*) AS n, count(DISTINCT user_id) AS users, TRUE AS close FROM (SELECT *, 'p' || event_id % 7 AS part FROM events) GROUP BY CUBE (event_type, part)""")
+def event_cube(spark, d):
+    """Events by type and part and all of their combinations; users are counted by sketches of two halves, added up, and exactly beside them."""
+    events = read(spark, d, "events").select("event_id", "event_type", "user_id", text("p", col("event_id") % 7).alias("part"))
+    halves = [reports.counted(events.where(col("event_id") % 2 == k), ["event_type", "part"], "user_id") for k in (0, 1)]
+    found = reports.cube(reports.added(halves[0].unionByName(halves[1]), ["event_type", "part"]), ["event_type", "part"])
+    exact = events.cube("event_type", "part").agg(F.grouping_id().cast("int").alias("_level"), F.count_distinct("user_id").alias("users")).select(col("event_type").alias("_type"), col("part").alias("_part"), "_level", "users")
+    same = col("event_type").eqNullSafe(col("_type")) & col("part").eqNullSafe(col("_part")) & (col("level") == col("_level"))
+    return found.join(exact, same).select("event_type", "part", "level", "n", "users", (F.abs(col("about") - col("users")) <= 0.07 * col("users") + 1).alias("close"))
+
+
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' END AS kind, CASE n_nationkey % 4 WHEN 0 THEN 82 WHEN 3 THEN NULL ELSE 70 END AS confidence, CASE n_nationkey % 4 WHEN 0 THEN 60 WHEN 3 THEN NULL ELSE 35 END AS completeness, CASE n_nationkey % 4 WHEN 0 THEN 300.0 + n_nationkey END AS width FROM nation""")
 def direct_media(spark, d):
     k = col("n_nationkey")
