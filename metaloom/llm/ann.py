@@ -184,8 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
         plain = bool((x == exact).all())  # floats, which need no doubles
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "n": [len(x)], "plain": [plain], "exact": [(x if plain else exact).tobytes()], "edges": [g.edges.astype(np.int32).tobytes()], "entry": [g.entry.astype(np.int32).tobytes()], "ids": ["\n".join(rows["ids"])]})
 
-    # A task for each shard, which ranges of its number give; a hash would put several in one.
-    alone = dealt.repartitionByRange(shards, "shard").groupBy("shard")
+    # A task for each shard, by its number; a hash would put several in one, and ranges follow a sample.
+    alone = dealt.repartitionById(shards, "shard").groupBy("shard")
     indexed = cut(alone.applyInPandas(index, "shard int, n int, plain boolean, exact binary, edges binary, entry binary, ids string"))
     # Queries in blocks, each sent to every shard, whose index comes first.
     m = max(1, queries.count())
@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("vec_id", "v")).alias("asked"))
     blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("turn"), F.col("asked.vec_id").alias("asked"), F.flatten("asked.v").alias("flat"))
     both = indexed.withColumn("turn", F.lit(0)).unionByName(blocks, allowMissingColumns=True)
-    both = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "turn")
+    both = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "turn")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None

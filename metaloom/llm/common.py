@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metaloom.functions.batches import pieces
+from metaloom.functions.shared import _folders, delete, shared_folder
 from metaloom.functions.ship import ship
 
 #: Rows and bytes of text that a Python function gets at once.
@@ -26,47 +27,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application below the checkpoint folder, which all executors share; its tables are done with when it ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-        base = _folders.setdefault("", tempfile.mkdtemp(prefix="metaloom-"))  # one machine
-    return _folders.setdefault(base, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
+class _Written(threading.local):
+    """Each thread's own tables, so that operators built side by side don't delete each other's."""
 
+    def __init__(self):
+        self.tables: list[tuple[str, DataFrame]] = []
 
-_folders: dict[str, str] = {}
-_tables: list[tuple[str, DataFrame]] = []
 
-
-def delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_written = _Written()
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Deletes what cut() has written so far, once no result that reads it is needed any more."""
+    """Deletes what cut() has written so far in all threads, once no result that reads it is needed any more."""
     for base, folder in list(_folders.items()):
         if base:
             delete(spark, folder)
             del _folders[base]
-    _tables.clear()
+    _written.tables.clear()
 
 
 def mark() -> int:
-    """A point in time for release()."""
-    return len(_tables)
+    """A point in time of this thread for release()."""
+    return len(_written.tables)
 
 
 def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Deletes the tables that cut() has written since a mark(), but for those in keep (as cut() returned them)."""
-    kept = [(path, df) for path, df in _tables[since:] if any(df is k for k in keep)]
-    for path, df in _tables[since:]:
+    kept = [(path, df) for path, df in _written.tables[since:] if any(df is k for k in keep)]
+    for path, df in _written.tables[since:]:
         if not any(df is k for k in keep):
             delete(spark, path)
-    _tables[since:] = kept
+    _written.tables[since:] = kept
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -78,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
-    _tables.append((path, found))
+    _written.tables.append((path, found))
     return found
 
 

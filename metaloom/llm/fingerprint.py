@@ -143,9 +143,11 @@ def dealt(docs: DataFrame) -> tuple[DataFrame, list[int]]:
         return rows.withColumn("range", F.lit(0).cast("bigint")), [0] if n else []
     at = F.coalesce(F.col("doc_id").cast("double"), F.lit(_NULL))
     share = min(1.0, SAMPLED * parts / n)
-    taken = rows.where(F.pmod(F.xxhash64("doc_id", "order"), F.lit(_CELLS)) < int(share * _CELLS)).select(at.alias("at"))
-    sample = np.sort(taken.toPandas()["at"].to_numpy(np.float64))
-    ends = sample[np.linspace(0, len(sample) - 1, parts + 1).astype(np.int64)[1:-1]] if len(sample) else sample
+    taken = rows.where(F.pmod(F.xxhash64("doc_id", "order"), F.lit(_CELLS)) < int(share * _CELLS))
+    # Equal rows are sampled together, so they are counted before the driver sees them.
+    sample = taken.groupBy(at.alias("at"), "order").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("at")
+    value, until = sample["at"].to_numpy(np.float64), np.cumsum(sample["n"].to_numpy(np.int64))
+    ends = value[np.searchsorted(until, np.linspace(0, until[-1] - 1, parts + 1).astype(np.int64)[1:-1], "right")] if len(value) else value
     cuts, counts = np.unique(ends, return_counts=True)
     deal = Bucketizer(splits=[float("-inf"), *cuts.tolist(), float("inf")], inputCol="at", outputCol="bucket")
     rows = deal.transform(rows.withColumn("at", at))

@@ -16,7 +16,8 @@ then into as few parts as there can be. Their number is bounded, so the driver p
 within the room that is left.
 
 Slots number each shard's rows from 0. Null texts have size 1 and checksum 0 and are linked with each other, apart from the
-empty text's. Rows that agree in all columns are interchangeable. All of it is DataFrame operations on ids, sizes and hashes.
+empty text's. Rows that agree in all columns are interchangeable, and dealt
+apart like any others. All of it is DataFrame operations on ids, sizes and hashes.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ from pyspark.sql import functions as F
 from metaloom.llm.common import before, buckets_for, cut, mark, ranked, release, running, table
 
 SHARDS, ROUNDS, PIECES, SMALL, HOT = 8, 6, 16, 64, 4096
-_ORDER = ["doc_id", "text_crc32", "size", "g"]
+#: row, a number that the written table has, tells equal rows apart, so that no bucket gets all of them.
+_ORDER = ["doc_id", "text_crc32", "size", "g", "row"]
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the hash of the text that links equal texts."""
+    """doc_id, size, text_crc32, the hash of the text that links equal texts, and a number of the row."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.concat(F.when(F.isnull("text"), F.lit("n")).otherwise(F.lit("t")), F.md5(text)).alias("g"))
+    return docs.select("doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.concat(F.when(F.isnull("text"), F.lit("n")).otherwise(F.lit("t")), F.md5(text)).alias("g"), F.monotonically_increasing_id().alias("row"))
 
 
 def planned(groups: list[tuple[str, int]], room: list[int]) -> list[tuple[str, int, int, int]]:
@@ -103,7 +105,7 @@ def shared_out(rows: DataFrame, parts: DataFrame, buckets: int) -> DataFrame:
     counts = before(dealt.groupBy("g", "_b").agg(F.count(F.lit(1)).alias("_n")), ["g"], "_b", "_n", "_start")
     ends = before(parts, ["g"], "label", "n", "_from").groupBy("g").agg(F.array_sort(F.collect_list(F.struct((F.col("_from") + F.col("n")).alias("end"), "label"))).alias("_ends"))
     told = counts.join(ends, "g").select("g", "_b", "_start", "_ends")
-    inside = F.expr("row_number() OVER (PARTITION BY g, _b ORDER BY doc_id, text_crc32, size) - 1")
+    inside = F.expr("row_number() OVER (PARTITION BY g, _b ORDER BY doc_id, text_crc32, size, row) - 1")
     placed = dealt.withColumn("_i", inside).join(told, ["g", "_b"]).withColumn("_rank", F.col("_start") + F.col("_i"))
     label = F.get(F.filter("_ends", lambda e: e.end > F.col("_rank")), F.lit(0)).label
     return placed.withColumn("label", label.cast("int")).select(*rows.columns, "label")
@@ -142,7 +144,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     rest = rest.withColumn("label", dealt([q - held.get(j, 0) for j, q in enumerate(quotas)])).drop("_rank")
     every = cut(placed.unionByName(rest).withColumnRenamed("label", "shard"))
     release(spark, since, every)
-    return ranked(every, ["shard"], _ORDER, "slot", buckets_for(n, shards))
+    return ranked(every, ["shard"], _ORDER, "slot", buckets_for(n, shards)).drop("row")
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,12 @@ def test_an_id_with_most_rows_is_cut(spark, monkeypatch):
         wanted = sorted(([(i, f"other {i}") for i in range(100, 200)] + [(hot, t) for t in texts]), key=lambda r: (r[0] is None, -(r[0] or 0), order[r[1]]))
         made = sorted(hashlib.sha256(fp.edit(t, wanted[(i + 1) % 500][1]).encode()).hexdigest() for i, (_, t) in enumerate(wanted))
         assert sorted(x.edited_sha256 for x in found) == made
+
+
+def test_one_row_many_times_reaches_the_driver_once(spark, monkeypatch):
+    monkeypatch.setattr(fp, "RANGE_ROWS", 2000)
+    seen, plain = [], type(spark.range(1)).toPandas
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: seen.append(plain(self)) or seen[-1])
+    docs = spark.range(1_000_000).selectExpr("7L AS doc_id", "'same' AS text").unionByName(spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text"))
+    _, ranges = fp.dealt(docs)
+    assert len(seen[0]) <= 3001 and len(ranges) >= 1

@@ -134,7 +134,7 @@ def test_intermediate_tables_are_deleted(spark):
 
     common.drop_tables(spark)
     found = neardup.clustered(spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e")], "doc_id bigint, text string"))
-    assert len(common._tables) == 1 and found.where("kept").count() == 1
+    assert len(common._written.tables) == 1 and found.where("kept").count() == 1
 
 
 def test_pages_of_one_template(spark):
