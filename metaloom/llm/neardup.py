@@ -17,7 +17,7 @@
 
 Words are lower-cased (A-Z) runs of anything but ASCII white space; a shingle is five words, or all words of a shorter text.
 Shingles count as equal if their 64-bit hashes are. Null texts and texts without words have empty sets and are linked with nothing.
-Rows that share a doc_id are separate documents; those in one component share its component_id.
+Rows that share a doc_id are separate documents; those in one component share its component_id. An empty table gives no rows; other columns don't count.
 """
 
 from __future__ import annotations

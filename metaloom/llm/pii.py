@@ -9,7 +9,8 @@ social security numbers, phones without + and opaque words need a context word.
 assigned to a name like password has that name as its context word. A proposal that only context lifts gives
 way to the spans it overlaps. Offsets count code points, ends are exclusive.
 
-Nulls count as empty texts, which have no spans. Very long runs cost time in proportion to their length.
+Nulls count as empty texts, which have no spans. Very long runs cost time in proportion to their length. Repeated rows are searched alike and
+each gives a row; other columns don't count where spans are told and stay where texts are redacted. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -67,5 +67,5 @@ def test_recall_on_the_given_table(spark):
 
 
 def test_shards_follow_the_number_of_vectors():
-    assert [ann.shards_of(n) for n in (0, 1, 4000, 4001, 256_000, 10_000_000, 10**9)] == [1, 1, 1, 2, 64, 64, 5000]
-    assert ann.beam_of(100) == ann.beam_of(4000) == 48 and ann.beam_of(64_000) == 96
+    assert [ann.shards_of(n) for n in (0, 1, 4000, 4001, 256_000, 10_000_000, 10**9)] == [1, 1, 1, 2, 64, 500, 50_000]
+    assert ann.beam_of(100) == ann.beam_of(4000) == 48 and ann.beam_of(20_000) == 188
