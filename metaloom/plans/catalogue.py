@@ -17,7 +17,7 @@ from metaloom.functions import images as image_files
 from metaloom.functions import urls
 from metaloom.functions.shared import shared_folder
 from metaloom.functions.ship import ship
-from metaloom.operators import adapters, assets, fetch, joins, quality, reports, state, tags
+from metaloom.operators import adapters, aggregates, assets, fetch, joins, quality, reports, state, tags
 from metaloom.operators.cache import PageCache
 from metaloom.operators.record import with_media, with_tags
 from metaloom.plans.api import Engine, preview_cards
@@ -453,6 +453,21 @@ def best_image(spark, d):
     return line_assets(spark, d).select("l_orderkey", best.alias("a")).select("l_orderkey", "a.url", "a.score", F.exists("a.reasons", lambda r: r.startswith("duplicate-like")).alias("repeated"))
 
 
+_WHY = """'source ' || CASE source WHEN 'openGraph' THEN 'og:image' WHEN 'jsonLd' THEN 'JSON-LD' ELSE source END || ' added ' || weight || ' base points' || CASE WHEN same > 1 THEN '; duplicate-like URL group subtracted ' || least((same - 1) * 4, 12) || ' points' ELSE '' END"""
+
+
+@query(f"""{_SCORED.replace("l_orderkey, row_number", "l_orderkey, l_suppkey, row_number", 1)}, w AS (SELECT *, {_WHY} AS why FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, url, why) AS k, count(*) OVER (PARTITION BY l_suppkey) AS total FROM w)
+SELECT 's' || l_suppkey || '.example.com' AS domain, total AS n, score, url, why FROM b WHERE k = 1""")
+def domain_pictures(spark, d):
+    """The best picture of all pages of a domain, with the reasons for its base points and for those that repeats cost."""
+    at = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1").alias("at")
+    page = text("https://www.s", col("l_suppkey"), ".example.com/o/", col("l_orderkey"))
+    rows = assets.scored_rows(read(spark, d, "lineitem").select("l_orderkey", at, urls.domain_of(page).alias("domain"), line_asset().alias("a")), "l_orderkey")
+    why = F.array_join(F.filter("reasons", lambda r: r.startswith("source ") | r.startswith("duplicate-like ")), "; ")
+    best = aggregates.aggregated(rows.select("domain", aggregates.candidate(col("a.url"), col("score"), why).alias("best")), ["domain"], "best", aggregates.best_picture)
+    return best.select("domain", "best.*")
+
+
 @query("""SELECT p_partkey, 1 AS n, CASE WHEN p_size % 5 = 0 THEN 'https://preview.redd.it/b.jpg' ELSE 'https://i.redd.it/a' || p_partkey || '.jpg' END AS first FROM part""")
 def reddit_filter(spark, d):
     big = F.when(col("p_size") % 5 == 0, 100.0).otherwise(900.0)
@@ -790,6 +805,32 @@ def reddit_json_post(spark, d):
     return fetch.records(n.select("n_nationkey", "url"), responses).select("n_nationkey", "ok", "title", "type", "best_image", col("author.name").alias("author"), "method")
 
 
+@query("""SELECT c_custkey, c_custkey % 4 < 3 AS ok, CASE c_custkey % 4 WHEN 0 THEN 'Json ' || c_custkey WHEN 1 THEN 'Old ' || c_custkey WHEN 2 THEN 'Page ' || c_custkey END AS title,
+CASE c_custkey % 4 WHEN 0 THEN 'reddit:jsonEndpoint' WHEN 1 THEN 'reddit:oldReddit' WHEN 2 THEN 'reddit:htmlFallback' ELSE 'reddit:blockedProvider' END AS method,
+CASE c_custkey % 4 WHEN 0 THEN '200,,' WHEN 1 THEN '429,200,' WHEN 2 THEN '200,403,200' ELSE '429,200,403' END AS statuses, CASE WHEN c_custkey % 4 = 3 THEN 'provider_verification_required' END AS reason,
+CASE c_custkey % 4 WHEN 1 THEN 'reddit:jsonEndpoint returned 429' WHEN 2 THEN 'reddit:oldReddit returned 403' WHEN 3 THEN 'reddit:jsonEndpoint returned 429; reddit:oldReddit returned 200; reddit:htmlFallback returned 403' END AS said,
+CASE c_custkey % 4 WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN TRUE END AS again, CAST(CASE WHEN c_custkey % 4 = 3 THEN c_custkey * 1000 END AS BIGINT) AS wait_ms FROM customer""")
+def reddit_fallbacks(spark, d):
+    """Posts whose listing answers, is refused or isn't one; the old site and the page stand in, and what is refused everywhere says when to try again."""
+    k = col("c_custkey")
+    post = text("/r/s/comments/p", k, "/t")
+    listing = text('[{"data":{"children":[{"kind":"t3","data":{"id":"p', k, '","title":"Json ', k, '","permalink":"/r/s/comments/p', k, '/t/"}}]}}]')
+    page = lambda name: text('<title>x</title><meta property="og:title" content="', name, " ", k, '">')
+    refused, verify = F.lit("<p>no</p>"), F.lit("<title>Reddit - Please wait for verification</title>")
+    answer = lambda at, status, body, after=None: F.struct(F.concat(F.lit(f"https://{at}"), post, F.lit(".json" if body is listing or status == 429 or body is odd else "")).alias("request_url"), F.lit(status).alias("status"), body.alias("body"), (after if after is not None else F.lit(None).cast("string")).alias("retry_after"))
+    odd = F.lit('{"kind":"other"}')
+    www, old = "www.reddit.com", "old.reddit.com"
+    given = [
+        F.array(answer(www, 200, listing)), F.array(answer(www, 429, refused), answer(old, 200, page("Old"))),
+        F.array(answer(www, 200, odd), answer(old, 403, refused), answer(www, 200, page("Page"))), F.array(answer(www, 429, refused, k.cast("string")), answer(old, 200, verify), answer(www, 403, refused)),
+    ]
+    customers = read(spark, d, "customer")
+    responses = customers.select(F.explode(F.get(F.array(*given), (k % 4).cast("int"))).alias("r")).select("r.*", F.lit(None).cast("string").alias("location"), F.lit("text/html").alias("content_type"))
+    r = fetch.records(customers.select("c_custkey", F.concat(F.lit("https://www.reddit.com"), post).alias("url")), responses)
+    statuses = F.array_join(F.transform("attempts", lambda a: a.status.cast("string")), ",", "")
+    return r.select("c_custkey", "ok", "title", "method", statuses.alias("statuses"), col("provider.reason").alias("reason"), col("retry.reason").alias("said"), col("retry.retryable").alias("again"), col("retry.retryAfterMs").alias("wait_ms"))
+
+
 # ---- every site's adapter on pages of its own --------------------------------------------------------------------------
 
 
