@@ -190,10 +190,10 @@ def block_reason(status: Column, html: Column) -> Column:
 
 
 def retry_after_ms(value: Column, now: Column) -> Column:
-    """Seconds, or the time until a date."""
+    """Seconds, or the time until a date; null for anything else."""
     seconds = F.nullif(F.regexp_extract(value, r"^\s*(\d+)", 1), F.lit("")).try_cast("bigint")
     date = F.try_to_timestamp(F.regexp_replace(value, r"^\w+, ", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
-    return F.coalesce(seconds * 1000, F.greatest(F.unix_millis(date) - F.unix_millis(now), F.lit(0)))
+    return F.coalesce(seconds * 1000, F.when(date.isNotNull(), F.greatest(F.unix_millis(date) - F.unix_millis(now), F.lit(0))))
 
 
 def reddit_urls(url: Column) -> tuple[Column, Column]:
