@@ -84,11 +84,13 @@ def last_seen(pages: DataFrame, time: str, content: str, delay: str = "1 hour",
 def documents_of_pages(links: DataFrame, documents: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Every row of a stream of links (page_id, href, asked) with the documents (doc_href, body, got) that arrive within a time after it, or null.
 
-    Both sides have watermarks, so a link is kept until its time is over and is then written without a document.
+    Both sides have watermarks, so a link is kept until its time is over and is then written without a document. Rows without a href meet nothing,
+    but their times count: the keys are never null, as Catalyst would drop documents with a null key before the watermark sees them.
     """
-    left, right = links.withWatermark("asked", delay), documents.withWatermark("got", delay)
-    near = (F.col("href") == F.col("doc_href")) & (F.col("got") >= F.col("asked")) & (F.col("got") <= F.col("asked") + F.expr(f"INTERVAL {within}"))
-    return left.join(right, near, "leftOuter")
+    key = lambda c, alone: F.coalesce(F.concat(F.lit("="), c), F.lit(alone))
+    left, right = links.withColumn("_asked_for", key("href", "<")).withWatermark("asked", delay), documents.withColumn("_given_for", key("doc_href", ">")).withWatermark("got", delay)
+    near = (F.col("_asked_for") == F.col("_given_for")) & (F.col("got") >= F.col("asked")) & (F.col("got") <= F.col("asked") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, near, "leftOuter").drop("_asked_for", "_given_for")
 
 
 def with_rocks(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:

@@ -52,3 +52,11 @@ def test_documents_meet_their_pages_and_others_stay_alone(spark):
     assert got == [(1, "A"), (2, None), (3, "again"), (4, None), (9, "e")]
     batch_of = {r.page_id: r._batch for r in found.collect()}
     assert batch_of[2] > batch_of[1]  # known to be alone only after the watermark
+
+
+def test_documents_of_no_page_move_the_time_on(spark):
+    links = spark.createDataFrame([(1, "/a", at(0)), (2, "/b", at(5)), (3, None, at(6)), (9, None, at(5000))], "page_id int, href string, asked timestamp")
+    docs = spark.createDataFrame([("/a", "A", at(1)), (None, "nobody's", at(6)), (None, "end", at(5000))], "doc_href string, body string, got timestamp")
+    found, _ = activity.drained(activity.documents_of_pages(activity.replayed(links, "asked", 2), activity.replayed(docs, "got", 2)))
+    assert found.columns == ["page_id", "href", "asked", "doc_href", "body", "got", "_batch"]
+    assert sorted((r.page_id, r.body) for r in found.where("page_id < 9").collect()) == [(1, "A"), (2, None), (3, None)]
