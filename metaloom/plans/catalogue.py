@@ -17,6 +17,7 @@ from metaloom.functions import images as image_files
 from metaloom.functions import urls
 from metaloom.functions.shared import shared_folder
 from metaloom.functions.ship import ship
+from metaloom.functions.spread import spread
 from metaloom.operators import adapters, aggregates, assets, fetch, joins, quality, reports, state, tags
 from metaloom.operators.cache import PageCache
 from metaloom.operators.record import with_media, with_tags
@@ -45,8 +46,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Tables of few bytes whose rows become pages or lists of assets.
+SMALL = ("customer", "part", "supplier")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in SMALL else rows
 
 
 def text(*parts) -> Column:
@@ -314,14 +320,19 @@ def image_candidates(spark, d):
     return t.select("l_orderkey", "ord", "a.url", "a.width", col("a.metadata.discoveredFrom").alias("origin"))
 
 
+def by_kind(scanned: DataFrame, **kinds: str) -> DataFrame:
+    """Each part's media with kind and ord, from one pass over its page."""
+    lists = F.array(*[F.struct(F.lit(kind).alias("kind"), col(c).alias("l")) for kind, c in kinds.items()])
+    return scanned.select("p_partkey", F.explode(lists).alias("k")).select("p_partkey", "k.kind", F.posexplode("k.l").alias("ord", "a"))
+
+
 @query("""SELECT p_partkey, kind, ord, url, type FROM part, LATERAL (VALUES ('video', 0, 'https://v.example.com/a' || p_partkey || '.mp4', NULL), ('video', 1, 'https://v.example.com/b.webm', 'video/webm'), ('video', 2, 'https://player.example.com/' || p_partkey, NULL),
 ('audio', 0, 'https://v.example.com/s' || p_partkey || '.mp3', 'audio/mpeg')) v(kind, ord, url, type)""")
 def video_audio_candidates(spark, d):
     k = col("p_partkey")
     html = text('<video data-src="/a', k, '.mp4" poster="/p.jpg" width=640><source src="/b.webm" type="video/webm"></video><audio><source src="/s', k, '.mp3" type="audio/mpeg"></audio><iframe src="https://player.example.com/', k, '"><img src="/no.jpg"></iframe><iframe src="/other"></iframe>')
     t = scan(read(spark, d, "part").select("p_partkey", F.lit("https://v.example.com/x").alias("url"), html.alias("html")), ["dom_videos", "dom_audio"])
-    both = [t.select("p_partkey", F.lit(kind).alias("kind"), F.posexplode(c).alias("ord", "a")).select("p_partkey", "kind", "ord", "a.url", "a.type") for kind, c in (("video", "dom_videos"), ("audio", "dom_audio"))]
-    return both[0].unionByName(both[1])
+    return by_kind(t, video="dom_videos", audio="dom_audio").select("p_partkey", "kind", "ord", "a.url", "a.type")
 
 
 @query("SELECT p_partkey, ord, 'https://v.example.com/' || CASE ord WHEN 0 THEN 'a' || p_partkey || '.jpg' WHEN 1 THEN 'd/b.jpg' ELSE 'd/c.jpg' END AS url FROM part, (VALUES (0), (1), (2)) v(ord)")
@@ -346,8 +357,7 @@ def json_media(spark, d):
         '"playbackUrl":"/play.m3u8","podcastUrl":"/pod', k, '.mp3","videoTitle":"no media"}</script>',
     )
     t = scan(read(spark, d, "part").select("p_partkey", F.lit("https://v.example.com/x").alias("url"), html.alias("html")), ["json_images", "json_videos", "json_audio"])
-    parts = [t.select("p_partkey", F.lit(kind).alias("kind"), F.posexplode(c).alias("ord", "a")) for kind, c in (("image", "json_images"), ("video", "json_videos"), ("audio", "json_audio"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("p_partkey", "kind", "ord", "a.url", "a.source", "a.width", "a.alt")
+    return by_kind(t, image="json_images", video="json_videos", audio="json_audio").select("p_partkey", "kind", "ord", "a.url", "a.source", "a.width", "a.alt")
 
 
 # ---- URLs --------------------------------------------------------------------------------------------------------------
