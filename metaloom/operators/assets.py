@@ -245,16 +245,16 @@ def scored(images: Column, scorers: tuple = ()) -> Column:
 
 
 def scored_rows(rows: DataFrame, page: str) -> DataFrame:
-    """The same for a table of candidates (page, at from 0, a): adds score, reasons and ord from 0, with windows instead of arrays."""
+    """The same for a table of candidates (page, at from 0, a): adds score, reasons, alike (candidates of its signature) and ord from 0, with windows instead of arrays."""
     own, same = Window.partitionBy(page), Window.partitionBy(page, "_sig")
-    rows = rows.withColumn("_sig", signature_of(F.col("a.url"))).withColumns({"_n": F.count(F.lit(1)).over(own), "_same": F.count(F.lit(1)).over(same)})
+    rows = rows.withColumn("_sig", signature_of(F.col("a.url"))).withColumns({"_n": F.count(F.lit(1)).over(own), "alike": F.count(F.lit(1)).over(same)})
     a = F.col("a")
-    score, said = points(a, F.col("at"), F.col("_n"), F.col("_same"))
+    score, said = points(a, F.col("at"), F.col("_n"), F.col("alike"))
     context = (a.metadata.adapter == "redditAdapter") | (a.metadata.originalSource == "redditJsonEndpoint") | a.metadata.redditMediaKind.isNotNull()
-    rows = rows.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), "reasons": F.filter(F.array(*said), lambda x: x.isNotNull()), "_reddit": F.max(F.coalesce(context, F.lit(False))).over(own)})
+    rows = rows.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), "reasons": F.array_remove(F.array(*[F.coalesce(x, F.lit("")) for x in said]), ""), "_reddit": F.max(F.coalesce(context, F.lit(False))).over(own)})
     first = F.when(F.col("_reddit"), reddit_priority(a)).otherwise(0)
     order = own.orderBy(first.desc(), F.col("score").desc(), by_source(POINTS, a.source).desc(), area(a).desc(), "at")
-    return rows.withColumn("ord", F.row_number().over(order) - 1).drop("_sig", "_n", "_same", "_reddit")
+    return rows.withColumn("ord", F.row_number().over(order) - 1).drop("_sig", "_n", "_reddit")
 
 
 def choice(best: Column) -> Column:

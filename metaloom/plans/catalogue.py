@@ -451,16 +451,21 @@ _POINTS = """(CASE source WHEN 'openGraph' THEN 94 WHEN 'html' THEN 42 WHEN 'jso
 _SCORED = f"WITH a AS ({_ASSETS}), c AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n, count(*) OVER (PARTITION BY l_orderkey, sig) AS same FROM a), s AS (SELECT *, CAST(greatest(0, least(100, {_POINTS})) AS DOUBLE) AS score, CASE source WHEN 'openGraph' THEN 94 WHEN 'html' THEN 42 WHEN 'jsonLd' THEN 82 ELSE 50 END AS weight FROM c)"
 
 
+def scored_lines(spark, d) -> DataFrame:
+    """The lines of orders as candidates of one page each, ranked."""
+    at = F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1").alias("at")
+    return assets.scored_rows(read(spark, d, "lineitem").select("l_orderkey", at, line_asset().alias("a")), "l_orderkey")
+
+
 @query(_SCORED + " SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) - 1 AS ord, url, source, score FROM s")
 def score_images(spark, d):
-    rows = read(spark, d, "lineitem").select("l_orderkey", F.expr("row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1").alias("at"), line_asset().alias("a"))
-    return assets.scored_rows(rows, "l_orderkey").select("l_orderkey", col("ord").cast("bigint").alias("ord"), "a.url", "a.source", "score")
+    return scored_lines(spark, d).select("l_orderkey", col("ord").cast("bigint").alias("ord"), "a.url", "a.source", "score")
 
 
 @query(_SCORED + ", b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) AS k FROM s) SELECT l_orderkey, url, score, CAST(same > 1 AS BOOLEAN) AS repeated FROM b WHERE k = 1")
 def best_image(spark, d):
-    best = F.get(assets.scored(col("images")), 0)
-    return line_assets(spark, d).select("l_orderkey", best.alias("a")).select("l_orderkey", "a.url", "a.score", F.exists("a.reasons", lambda r: r.startswith("duplicate-like")).alias("repeated"))
+    repeated = F.exists("reasons", lambda r: r.startswith("duplicate-like"))
+    return scored_lines(spark, d).where("ord = 0").select("l_orderkey", "a.url", "score", repeated.alias("repeated"))
 
 
 _WHY = """'source ' || CASE source WHEN 'openGraph' THEN 'og:image' WHEN 'jsonLd' THEN 'JSON-LD' ELSE source END || ' added ' || weight || ' base points' || CASE WHEN same > 1 THEN '; duplicate-like URL group subtracted ' || least((same - 1) * 4, 12) || ' points' ELSE '' END"""
@@ -992,10 +997,8 @@ def image_filters(spark, d):
 @query(_SCORED + " SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, weight DESC, width * height DESC, pos) - 1 AS ord, same AS alike, CASE WHEN same > 1 THEN least((same - 1) * 4, 12) ELSE 0 END AS penalty FROM s")
 def duplicate_penalty(spark, d):
     """What pictures lose to others of the same file, as their reasons tell."""
-    t = line_assets(spark, d).select("l_orderkey", F.posexplode(assets.scored(col("images"))).alias("ord", "a"), F.transform("images", lambda a: assets.signature_of(a.url)).alias("all"))
-    alike = F.size(F.filter("all", lambda s: s == assets.signature_of(col("a.url"))))
-    lost = F.regexp_extract(F.array_join("a.reasons", ";"), r"duplicate-like URL group subtracted (\d+)", 1)
-    return t.select("l_orderkey", col("ord").cast("bigint").alias("ord"), alike.cast("bigint").alias("alike"), F.coalesce(F.nullif(lost, F.lit("")), F.lit("0")).cast("bigint").alias("penalty"))
+    lost = F.regexp_extract(F.array_join("reasons", ";"), r"duplicate-like URL group subtracted (\d+)", 1)
+    return scored_lines(spark, d).select("l_orderkey", col("ord").cast("bigint").alias("ord"), col("alike").cast("bigint").alias("alike"), F.coalesce(F.nullif(lost, F.lit("")), F.lit("0")).cast("bigint").alias("penalty"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'twitter' WHEN 2 THEN 'embeddedData' ELSE 'html' END AS title, CASE p_partkey % 5 WHEN 0 THEN 'openGraph' WHEN 1 THEN 'twitter' WHEN 2 THEN 'embeddedData' WHEN 3 THEN 'html' END AS description,

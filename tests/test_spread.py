@@ -25,3 +25,9 @@ def test_media_of_all_kinds_come_from_one_pass(spark):
     for name in ("json_media", "video_audio_candidates"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1
+
+
+def test_ranked_lines_are_rows_not_lists(spark):
+    for name in ("best_image", "duplicate_penalty"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan
