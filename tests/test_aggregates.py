@@ -35,3 +35,17 @@ def test_other_merges_and_names(spark):
     assert found.columns == ["part", "k0", "v"] and sorted(map(tuple, found.collect())) == [(1, "x", 5), (2, None, 4)]
     whole = rows.groupBy("part").agg(aggregates.merged_by(lambda a: pc.max(a).as_py(), "int")("v").alias("m"))
     assert sorted(map(tuple, whole.collect())) == [(1, 3), (2, 4)]
+
+
+def test_few_values_of_a_group_are_handed_on(spark):
+    """A merge in a batch costs more than the rows of a rare group: those with FEW values or more are merged there, the others once."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def most(values):
+        calls.add(1)
+        return pc.max(values).as_py()
+
+    rows = spark.range(9_000, numPartitions=3).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 1000).alias("k"), F.col("id").alias("v"))
+    found = {r.k: r.v for r in aggregates.aggregated(rows, ["k"], "v", most).collect()}
+    assert found == {r.k: r.v for r in rows.groupBy("k").agg(F.max("v").alias("v")).collect()}
+    assert calls.value <= 2 * 1001 + 3 + 3  # both levels after the shuffle, and the frequent group in each batch
