@@ -66,3 +66,14 @@ def test_functions_of_plugins_fail_alone():
     assert [r["plugin"] for r in found["plugin_rows"]] == ["b"] and found["plugin_rows"][0]["images"] == ["x"]
     assert [w.split(" failed")[0] for w in found["plugin_warnings"]] == ['Plugin extractor "a"', 'Plugin extractor "d"', 'Plugin extractor "e"']
     json.dumps(found, ensure_ascii=False).encode()
+
+
+def test_open_elements_without_anything_cost_no_resolving(monkeypatch):
+    from metaloom.sources import media
+    from metaloom.sources.pages import scan_page
+
+    calls, resolve = [], media.resolve
+    monkeypatch.setattr(media, "resolve", lambda *a: calls.append(a) or resolve(*a))
+    page = scan_page("https://e.example.com/", "<video>" * 2000 + "<audio>" * 2000 + "</p>" * 2000 + '<video src="/a.mp4">', ("dom_videos", "dom_audio"))
+    assert [v["url"] for v in page["dom_videos"]] == ["https://e.example.com/a.mp4"] and page["dom_audio"] == []
+    assert len(calls) < 20
