@@ -22,6 +22,8 @@ GENERIC = "(?i)^(home|untitled|index|login|sign in)$"
 
 def squash(text: str | None) -> str | None:
     """Runs of white space become one space, the ends are trimmed, and nothing becomes None."""
+    if text and " " not in text and text.isascii() and text.isprintable():
+        return text
     return (_SPACE.sub(" ", text).strip(" ") or None) if text else None
 
 

@@ -18,6 +18,8 @@ _FORBIDDEN = re.compile(r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7f]")
 _PORTS = {"http": "80", "https": "443"}
 #: Signs that stay as they are in paths and queries, beside letters and digits.
 _PATH, _QUERY = "!$%&'()*+,-./:;=@[\\]_|~^", "!$%&()*+,-./:;=?@[\\]^_`{|}~"
+#: A path that stays as it is: nothing to quote, and no segment that begins with a dot, written as %2e or not.
+_PLAIN = re.compile(rf"(?:/(?!\.|%2)[A-Za-z0-9{re.escape(_PATH.replace('/', ''))}]*+)++")
 #: Hosts of URL shorteners.
 SHORT_HOSTS = {"pin.it": "Pinterest", "redd.it": "Reddit", "t.co": "X", "bit.ly": "Bitly", "tinyurl.com": "TinyURL", "youtu.be": "YouTube"}
 
@@ -57,6 +59,8 @@ def _host(raw: str) -> str | None:
 
 
 def _path(raw: str) -> str:
+    if _PLAIN.fullmatch(raw):
+        return raw
     out: list[str] = []
     segments = raw.split("/")[1:]
     for i, s in enumerate(segments):
@@ -97,7 +101,9 @@ def resolve(url: str | None, base: str | None = None) -> str | None:
     """The absolute URL without fragment; None where it isn't http(s) or can't be read."""
     if not url:
         return None
-    url = re.sub("[\t\n\r]", "", url.strip(_EDGE))
+    url = url.strip(_EDGE)
+    if not url.isprintable():
+        url = re.sub("[\t\n\r]", "", url)
     m = _SCHEME.match(url)
     if m and not (base and m[1].lower() == base.split(":", 1)[0].lower() and not re.match(r"[/\\]", url[m.end() :])):
         found = split(url)

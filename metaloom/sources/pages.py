@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Container, Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from metaloom.functions.ship import ship
 from metaloom.functions.urls import resolve
 from metaloom.sources.html import Element, elements
 from metaloom.sources.media import ASSET, in_payload, markup
-from metaloom.sources.payload import compact, embedded, entities_of, entity_of, field_score, joined, keywords_of, linked_data, record_of, text_of, texts_of, types_of, walk
+from metaloom.sources.payload import LONGEST_KEY, compact, embedded, entities_of, entity_of, field_score, joined, keywords_of, linked_data, record_of, text_of, texts_of, types_of, walk
 from metaloom.sources.sites import SITE, site_facts
 
 ENTITY = "struct<name:string,url:string,logo:string,sameAs:array<string>>"
@@ -60,14 +61,21 @@ def _node(n: dict, base: str) -> dict:
     }
 
 
+def _told(key: str) -> tuple[str, bool, bool, bool]:
+    """A key in lower case, and whether it names people, a field or a field of a site."""
+    low = key.lower()
+    return low, any(k in low for k in _ENTITIES), low in _EQUAL, low.endswith(_ENDS)
+
+
+_told_once = lru_cache(maxsize=1 << 12)(_told)
+
+
 def _walked(items: list[tuple[str, str | None, dict]], base: str) -> Iterator[dict]:
     for i, (source, _, data) in enumerate(items):
         for value, key, _ in walk(data):
             if not key:
                 continue
-            low = key.lower()
-            person = any(k in low for k in _ENTITIES)
-            equal, ends = low in _EQUAL, low.endswith(_ENDS)
+            low, person, equal, ends = _told_once(key) if len(key) <= LONGEST_KEY else _told(key)
             if person or equal or ends:
                 text = text_of(value)
                 site = squash(joined(value)) if ends else None
@@ -113,9 +121,9 @@ def scan_page(url: str | None, html: str | None, wanted: Container[str] = COLUMN
         page["walk"] = list(_walked(items, base))
     if "site" in wanted:
         page["site"] = site_facts(base, nodes, items)
-    for c, kind in _JSON_MEDIA.items():
-        if c in wanted:
-            page[c] = in_payload(nodes, items, kind, base) if nodes or items else []
+    media = {kind: c for c, kind in _JSON_MEDIA.items() if c in wanted}
+    if media:
+        page |= {media[kind]: assets for kind, assets in in_payload(nodes, items, media, base).items()}
     if any(c in wanted for c in _MARKUP):
         page |= zip(_MARKUP, markup(found, base), strict=True)
     return page
