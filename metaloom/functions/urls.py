@@ -196,8 +196,11 @@ def is_local_name(host: Column) -> Column:
 
 
 def is_reddit(url: Column) -> Column:
-    host = domain_of(url)
-    return F.coalesce(host.isin("reddit.com", "redd.it") | F.endswith(host, F.lit(".reddit.com")), F.lit(False))
+    return on_reddit(domain_of(url))
+
+
+def on_reddit(domain: Column) -> Column:
+    return F.coalesce(domain.isin("reddit.com", "redd.it") | F.endswith(domain, F.lit(".reddit.com")), F.lit(False))
 
 
 def youtube_id(url: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions.js import squashed
 from metaloom.functions.urls import domain_of, host_is, path_of, query_value, youtube_id
-from metaloom.operators.assets import none
+from metaloom.operators.assets import none, unique_by_url
 from metaloom.operators.state import best_of, best_site_text
 from metaloom.sources.media import ASSET
 from metaloom.sources.sites import HOSTS
@@ -51,9 +51,7 @@ def _kinds(ddl: str) -> list[str]:
 
 def marked(assets: Column, adapter: Column) -> Column:
     """Assets as the adapter's own, each URL once; the source that they came from is kept."""
-    urls = F.transform(assets, lambda a: a.url)
-    once = F.filter(assets, lambda a, i: F.array_position(urls, a.url) == i + 1)
-    return F.transform(once, lambda a: a.withField("metadata", a.metadata.withField("adapter", adapter).withField("originalSource", F.coalesce(a.metadata.originalSource, a.source))).withField("source", F.lit("adapter")))
+    return F.transform(unique_by_url(assets), lambda a: a.withField("metadata", a.metadata.withField("adapter", adapter).withField("originalSource", F.coalesce(a.metadata.originalSource, a.source))).withField("source", F.lit("adapter")))
 
 
 def _person(p: Column) -> Column:
@@ -82,11 +80,12 @@ def _ids(**ids: Column) -> Column:
 
 
 def page_columns(adapters: list[Adapter]) -> dict[str, Column]:
-    """What several adapters read, each computed once; null for pages of no adapter's site. Texts are the best ones, whichever the source."""
-    name = F.coalesce(*[F.when(test(F.col("final_url")), F.lit(n)) for n, test, _ in adapters], F.lit(None).cast("string"))
+    """What several adapters read, each computed once; null for pages of no adapter's site. Texts are the best ones, whichever the source. Reads site_domain."""
+    name = F.coalesce(*[F.when(fits(test), F.lit(n)) for n, test, _ in adapters], F.lit(None).cast("string"))
     of_site = lambda c: F.when(F.col("site").isNotNull(), c)
     return {
         "site_adapter": name,
+        "site_fits": F.array(*[F.coalesce(fits(test), F.lit(False)) for _, test, _ in adapters]).cast("array<boolean>"),
         "site_path": path_of(F.col("final_url")),
         "site_published": of_site(best_of(F.col("og.published"), F.col("site.published"), best_site_text(_PUBLISHED))),
         "site_description": of_site(best_of(F.col("og.description"), F.col("card.description"), best_site_text(_DESCRIPTION), F.col("html.description"))),
@@ -204,14 +203,34 @@ def instagram(p: Page) -> Column:
     return p.plain("instagramAdapter", "Instagram", F.when(code.isNotNull(), "social_post").otherwise("profile"), ("title", "caption", "edge_media_to_caption", "headline"), shortcode=code)
 
 
+class OnHosts:
+    """Whether a URL's host is one of some domains or below one."""
+
+    def __init__(self, *domains: str):
+        self.domains = domains
+
+    def __call__(self, url: Column) -> Column:
+        return self.holds(domain_of(url))
+
+    def holds(self, domain: Column) -> Column:
+        return host_is(domain, *self.domains)
+
+
+def fits(test: Callable[[Column], Column]) -> Column:
+    """Whether an adapter handles a page; its domain is read from the URL once, as many adapters ask for it."""
+    return test.holds(F.col("site_domain")) if isinstance(test, OnHosts) else test(F.col("final_url"))
+
+
 Adapter = tuple[str, Callable[[Column], Column], Callable[[Page], Column]]
 #: (name, whether it handles a URL, its result).
-DEFAULT: list[Adapter] = [(f"{f.__name__}Adapter", lambda url, d=HOSTS[f.__name__]: host_is(domain_of(url), *d), f) for f in (youtube, reddit, pinterest, behance, tiktok, facebook, twitter, instagram)]
+DEFAULT: list[Adapter] = [(f"{f.__name__}Adapter", OnHosts(*HOSTS[f.__name__]), f) for f in (youtube, reddit, pinterest, behance, tiktok, facebook, twitter, instagram)]
 
 
 def results(adapters: list[Adapter]) -> Column:
     """The results of all adapters that handle a page, in order."""
-    page = Page()
-    every = F.array(*[F.when(F.coalesce(test(page.url), F.lit(False)), make(page)) for _, test, make in adapters]) if adapters else F.array().cast(f"array<{RESULT}>")
-    return F.filter(every, lambda r: r.isNotNull())
+    page, empty = Page(), F.array().cast(f"array<{RESULT}>")
+    if not adapters:
+        return empty
+    every = F.array(*[F.when(F.get("site_fits", F.lit(i)), make(page)) for i, (_, _, make) in enumerate(adapters)])
+    return F.when(F.col("site_adapter").isNotNull(), F.filter(every, lambda r: r.isNotNull())).otherwise(empty)
 

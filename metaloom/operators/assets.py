@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from metaloom.functions.bound import bound
 from metaloom.functions.js import rounded, two_places
-from metaloom.functions.urls import is_reddit, signature_of
+from metaloom.functions.urls import signature_of
 from metaloom.sources.media import _META, ASSET
 
 #: Weight of a source among equal pictures, and base points of a candidate.
@@ -54,25 +55,25 @@ def by_source(table: dict[str, int], source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in table.items() for x in p]), F.coalesce(source, F.lit(""))), F.lit(OTHER))
 
 
-def reddit_priority(a: Column) -> Column:
-    kind, url = a.metadata.redditMediaKind, F.lower(a.url)
+def reddit_priority(a: Column, url: Column | None = None, more: int = 0, otherwise: Column | None = None) -> Column:
+    """url is the asset's in lower case, if it is known; more is added to each priority, and otherwise counts where there is none."""
+    kind, url = a.metadata.redditMediaKind, F.lower(a.url) if url is None else url
     return (
-        F.when(kind == "gallery", 700)
-        .when(kind == "previewOriginal", 620)
-        .when(kind == "directImage", 580)
-        .when(F.contains(url, F.lit("//preview.redd.it/")), 560)
-        .when(F.contains(url, F.lit("//i.redd.it/")), 540)
-        .when(a.source.isin("openGraph", "twitter"), 420)
-        .when(F.contains(url, F.lit("//external-preview.redd.it/")), 300)
-        .when(F.contains(url, F.lit("//thumbs.redditmedia.com/")), 1)
-        .when(url.rlike(REDDIT_MEDIA), 250)
-        .otherwise(0)
+        F.when(kind == "gallery", 700 + more)
+        .when(kind == "previewOriginal", 620 + more)
+        .when(kind == "directImage", 580 + more)
+        .when(F.contains(url, F.lit("//preview.redd.it/")), 560 + more)
+        .when(F.contains(url, F.lit("//i.redd.it/")), 540 + more)
+        .when(a.source.isin("openGraph", "twitter"), 420 + more)
+        .when(F.contains(url, F.lit("//external-preview.redd.it/")), 300 + more)
+        .when(F.contains(url, F.lit("//thumbs.redditmedia.com/")), 1 + more)
+        .when(url.rlike(REDDIT_MEDIA), 250 + more)
+        .otherwise(F.lit(0) if otherwise is None else otherwise)
     )
 
 
 def rank(a: Column) -> Column:
-    priority = reddit_priority(a)
-    return F.when(priority > 0, priority + 1000).otherwise(by_source(RANKS, a.source))
+    return bound(F.lower(a.url), lambda url: reddit_priority(a, url, 1000, by_source(RANKS, a.source)))
 
 
 def area(a: Column) -> Column:
@@ -81,15 +82,18 @@ def area(a: Column) -> Column:
 
 def merged(assets: Column) -> Column:
     """One asset for each signature, at the place of its first, with the highest rank (the first of equal ones)."""
-    keyed = F.transform(assets, lambda a, i: F.struct(signature_of(a.url).alias("sig"), rank(a).alias("rank"), (-i).alias("at"), a.alias("a")))
-    signatures = F.array_distinct(F.transform(keyed, lambda k: k.sig))
-    best = lambda s: F.array_max(F.transform(F.filter(keyed, lambda k: k.sig == s), lambda k: F.struct(k.rank, k["at"], k.a)))
-    return F.transform(signatures, lambda s: best(s).a)
+
+    def chosen(keyed: Column) -> Column:
+        best = lambda s: F.array_max(F.transform(F.filter(keyed, lambda k: k.sig == s), lambda k: F.struct(k.rank, k["at"], k.a)))
+        return F.transform(F.array_distinct(F.transform(keyed, lambda k: k.sig)), lambda s: best(s).a)
+
+    keyed = lambda of: F.transform(of, lambda a, i: F.struct(signature_of(a.url).alias("sig"), rank(a).alias("rank"), (-i).alias("at"), a.alias("a")))
+    return bound(assets, lambda of: F.when(F.size(of) <= 1, of).otherwise(bound(keyed(of), chosen)))
 
 
 def unique_by_url(assets: Column) -> Column:
-    urls = F.transform(assets, lambda a: a.url)
-    return F.filter(assets, lambda a, i: F.array_position(urls, a.url) == i + 1)
+    first = lambda of, urls: F.filter(of, lambda a, i: F.array_position(urls, a.url) == i + 1)
+    return bound(assets, lambda of: F.when(F.size(of) == 0, of).otherwise(bound(F.transform(of, lambda a: a.url), lambda urls: first(of, urls))))
 
 
 def reddit_filtered(assets: Column) -> Column:
@@ -102,11 +106,11 @@ def reddit_filtered(assets: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k.a)
 
 
-def discovered(images: Column, videos: Column, audio: Column, page_url: Column) -> dict[str, Column]:
-    """The media of a page from all candidates in order of their sources."""
+def discovered(images: Column, videos: Column, audio: Column, reddit: Column) -> dict[str, Column]:
+    """The media of a page from all candidates in order of their sources; reddit says whether it is a page of Reddit."""
     pictures = merged(usable(images))
     return {
-        "images": F.when(is_reddit(page_url), reddit_filtered(pictures)).otherwise(pictures),
+        "images": F.when(reddit, reddit_filtered(pictures)).otherwise(pictures),
         "videos": merged(unique_by_url(usable(videos))),
         "audio": merged(unique_by_url(usable(audio))),
     }
@@ -134,8 +138,8 @@ def _dimensions(a: Column) -> tuple[Column, list[Column]]:
     return F.when(known, by_area + by_ratio).otherwise(0), said
 
 
-def _format(a: Column) -> tuple[Column, list[Column]]:
-    kind, url = F.lower(F.coalesce(a.type, F.lit(""))), F.lower(a.url)
+def _format(a: Column, url: Column) -> tuple[Column, list[Column]]:
+    kind = F.lower(F.coalesce(a.type, F.lit("")))
     has = lambda *words: F.lit(False) if not words else kind.rlike("|".join(words))
     webp, avif = has("webp") | F.endswith(url, F.lit(".webp")), has("avif") | url.rlike(r"\.avif(\?|$)")
     jpeg, png, weak = has("jpeg", "jpg") | url.rlike(r"\.jpe?g(\?|$)"), has("png") | url.rlike(r"\.png(\?|$)"), url.rlike(r"\.(gif|svg|ico)(\?|$)")
@@ -144,9 +148,11 @@ def _format(a: Column) -> tuple[Column, list[Column]]:
     return points, [said]
 
 
-def _hints(a: Column) -> tuple[Column, list[Column]]:
-    url = F.lower(a.url)
-    found = F.array_distinct(F.regexp_extract_all(url, F.lit("cover|preview|thumbnail|thumb|og|card|media|hero|share|social|maxres|highres|large|original"), F.lit(0)))
+def _hinted(url: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(url, F.lit("cover|preview|thumbnail|thumb|og|card|media|hero|share|social|maxres|highres|large|original"), F.lit(0)))
+
+
+def _hints(url: Column, found: Column) -> tuple[Column, list[Column]]:
     points = F.least(F.size(found) * 4, F.lit(14))
     video, reddit = url.rlike(r"ytimg\.com/vi/[^/]+/(?:maxresdefault|sddefault|hqdefault)"), url.rlike(r"(?:i|preview|external-preview)\.redd\.it|v\.redd\.it")
     social = url.rlike(r"pbs\.twimg\.com/media|pinimg\.com|cdninstagram\.com|fbcdn\.net|tiktokcdn\.com|mir-s3-cdn-cf\.behance\.net")
@@ -158,8 +164,8 @@ def _hints(a: Column) -> tuple[Column, list[Column]]:
     return points + host, said
 
 
-def _reddit(a: Column) -> tuple[Column, list[Column]]:
-    url, kind = F.lower(a.url), a.metadata.redditMediaKind
+def _reddit(a: Column, url: Column) -> tuple[Column, list[Column]]:
+    kind = a.metadata.redditMediaKind
     at = lambda host: F.contains(url, F.lit(f"//{host}/"))
     rules = [
         (kind == "gallery", 24, "Reddit gallery media added 24 points"),
@@ -175,8 +181,7 @@ def _reddit(a: Column) -> tuple[Column, list[Column]]:
     return points, [said]
 
 
-def url_penalty(a: Column) -> Column:
-    url = F.lower(a.url)
+def url_penalty(a: Column, url: Column) -> Column:
     return (
         F.when(url.rlike("favicon|apple-touch-icon|sprite|icon-|/icon|placeholder|blank|spacer|pixel|tracking|emoji"), 30).otherwise(0)
         + F.when(url.rlike("logo|avatar|profile|headshot|badge"), 22).otherwise(0)
@@ -197,15 +202,20 @@ def named(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), source), source)
 
 
-def points(a: Column, index: Column, count: Column, same: Column) -> tuple[Column, list[Column]]:
+def read_url(a: Column, url: Column) -> Column:
+    """What several parts of a score ask of an asset's URL (url is it in lower case)."""
+    return F.struct(url.alias("url"), _hinted(url).alias("hints"), url_penalty(a, url).alias("penalty"), by_source(POINTS, a.source).alias("base"))
+
+
+def points(a: Column, index: Column, count: Column, same: Column, read: Column) -> tuple[Column, list[Column]]:
     """The score of one candidate among count before custom scorers and limits, and the reasons (null where one doesn't apply).
 
-    same is the number of candidates with its signature.
+    same is the number of candidates with its signature, read what read_url() says.
     """
-    base = by_source(POINTS, a.source)
-    parts = [_dimensions(a), _format(a), _hints(a), _reddit(a)]
+    base, url = read.base, read.url
+    parts = [_dimensions(a), _format(a, url), _hints(url, read.hints), _reddit(a, url)]
     twice = F.when(same > 1, F.least((same - 1) * 4, F.lit(12))).otherwise(0)
-    place, penalty = F.least(index * 1.5, F.lit(10.0)), url_penalty(a)
+    place, penalty = F.least(index * 1.5, F.lit(10.0)), read.penalty
     score = base + sum((p for p, _ in parts), F.lit(0)) - penalty - twice - place + F.when(count == 1, 4).otherwise(0)
     said = [F.concat(F.lit("source "), named(a.source), F.lit(" added "), base.cast("string"), F.lit(" base points")), *(s for _, more in parts for s in more)]
     said += [
@@ -222,12 +232,10 @@ def scored(images: Column, scorers: tuple = ()) -> Column:
 
     scorers are functions (asset, index, images) -> Column of points that are added.
     """
-    signatures = F.transform(images, lambda a: signature_of(a.url))
     context = F.exists(images, lambda a: (a.metadata.adapter == "redditAdapter") | (a.metadata.originalSource == "redditJsonEndpoint") | a.metadata.redditMediaKind.isNotNull())
 
-    def one(a: Column, i: Column) -> Column:
-        same = F.size(F.filter(signatures, lambda s: s == F.get(signatures, i)))
-        score, said = points(a, i, F.size(images), same)
+    def one(a: Column, i: Column, alike: Column, read: Column) -> Column:
+        score, said = points(a, i, F.size(images), F.get(alike, i), read)
         extra = sum((s(a, i, images) for s in scorers), F.lit(0.0)) if scorers else F.lit(0.0)
         total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), score + extra))
         sign = F.when(extra >= 0, "+").otherwise("")
@@ -235,13 +243,18 @@ def scored(images: Column, scorers: tuple = ()) -> Column:
         reasons = F.filter(F.array(*said), lambda x: x.isNotNull())
         return F.struct(a.alias("a"), total.alias("score"), reasons.alias("reasons"), i.alias("i"))
 
-    def key(x: Column) -> Column:
-        first = F.when(F.coalesce(context, F.lit(False)), -reddit_priority(x.a)).otherwise(0)
+    def key(x: Column, reddit: Column) -> Column:
+        first = F.when(F.coalesce(reddit, F.lit(False)), -reddit_priority(x.a)).otherwise(0)
         fields = [x.a[f].alias(f) for f in ("url", "kind", "source", "secureUrl", "type", "width", "height", "alt", "title", "poster", "metadata")]
         made = F.struct(*fields, x.score.alias("score"), two_places(x.score).alias("confidence"), x.reasons.alias("reasons"))
         return F.struct(first.alias("p"), (-x.score).alias("s"), (-by_source(POINTS, x.a.source)).alias("w"), (-area(x.a)).alias("z"), x.i.alias("i"), made.alias("a"))
 
-    return F.transform(F.array_sort(F.transform(F.transform(images, one), key)), lambda k: k.a)
+    count = lambda signatures: F.transform(signatures, lambda s: F.size(F.filter(signatures, lambda t: t == s)))
+    alike = F.when(F.size(images) == 1, F.array(F.lit(1))).otherwise(bound(F.transform(images, lambda a: signature_of(a.url)), count))
+    each = lambda a, i, n: bound(bound(F.lower(a.url), lambda url: read_url(a, url)), lambda read: one(a, i, n, read))
+    made = bound(alike, lambda n: F.transform(images, lambda a, i: each(a, i, n)))
+    sorted_ = bound(context, lambda reddit: F.array_sort(F.transform(made, lambda x: key(x, reddit))))
+    return F.when(F.size(images) == 0, F.array().cast(f"array<{SCORED}>")).otherwise(F.transform(sorted_, lambda k: k.a))
 
 
 def scored_rows(rows: DataFrame, page: str) -> DataFrame:
@@ -249,12 +262,13 @@ def scored_rows(rows: DataFrame, page: str) -> DataFrame:
     own, same = Window.partitionBy(page), Window.partitionBy(page, "_sig")
     rows = rows.withColumn("_sig", signature_of(F.col("a.url"))).withColumns({"_n": F.count(F.lit(1)).over(own), "alike": F.count(F.lit(1)).over(same)})
     a = F.col("a")
-    score, said = points(a, F.col("at"), F.col("_n"), F.col("alike"))
+    rows = rows.withColumn("_read", read_url(a, F.lower(a.url)))
+    score, said = points(a, F.col("at"), F.col("_n"), F.col("alike"), F.col("_read"))
     context = (a.metadata.adapter == "redditAdapter") | (a.metadata.originalSource == "redditJsonEndpoint") | a.metadata.redditMediaKind.isNotNull()
     rows = rows.withColumns({"score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), "reasons": F.array_remove(F.array(*[F.coalesce(x, F.lit("")) for x in said]), ""), "_reddit": F.max(F.coalesce(context, F.lit(False))).over(own)})
     first = F.when(F.col("_reddit"), reddit_priority(a)).otherwise(0)
     order = own.orderBy(first.desc(), F.col("score").desc(), by_source(POINTS, a.source).desc(), area(a).desc(), "at")
-    return rows.withColumn("ord", F.row_number().over(order) - 1).drop("_sig", "_n", "_reddit")
+    return rows.withColumn("ord", F.row_number().over(order) - 1).drop("_sig", "_n", "_reddit", "_read")
 
 
 def choice(best: Column) -> Column:

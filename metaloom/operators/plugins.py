@@ -48,7 +48,10 @@ def _fitting(field: str, value):
 
 def result_of(name: str) -> Column:
     """The result of a function, as those of other plugins and adapters; null where it returned nothing."""
-    row = F.get(F.filter("plugin_rows", lambda r: r.plugin == name), F.lit(0))
-    images = F.transform(row.images, lambda u: assets.asset(u, "image", name))
-    texts = {f: row[f] for f in FIELDS if f != "images"}
-    return F.when(row.isNotNull(), adapters.result(source=F.lit(name), images=F.coalesce(images, assets.none()), **texts))
+
+    def made(row: Column) -> Column:
+        images = F.transform(row.images, lambda u: assets.asset(u, "image", name))
+        return adapters.result(source=F.lit(name), images=F.coalesce(images, assets.none()), **{f: row[f] for f in FIELDS if f != "images"})
+
+    # The row is bound by transform(), so it is looked up once and not for each of its fields.
+    return F.get(F.transform(F.filter("plugin_rows", lambda r: r.plugin == name), made), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions.js import defined, number_of
 from metaloom.functions.kept import kept
-from metaloom.functions.urls import domain_of
+from metaloom.functions.urls import domain_of, on_reddit
 from metaloom.operators import adapters, assets, quality, state, tags
 from metaloom.operators.adapters import PERSON, RESULT
 from metaloom.sources.pages import ENTITY
@@ -63,9 +63,19 @@ def _candidates(ext: Column | None) -> tuple[Column, Column, Column]:
     return images, videos, audio
 
 
+@kept
+def _domain() -> dict[str, Column]:
+    return {"site_domain": domain_of(F.col("final_url"))}
+
+
+@kept
+def _reddit() -> dict[str, Column]:
+    return {"site_reddit": on_reddit(F.col("site_domain"))}
+
+
 @kept
 def _once() -> dict[str, Column]:
-    return {"found": F.struct(*[c.alias(k) for k, c in assets.discovered(*_candidates(None), F.col("final_url")).items()])}
+    return {"found": F.struct(*[c.alias(k) for k, c in assets.discovered(*_candidates(None), F.col("site_reddit")).items()])}
 
 
 @kept
@@ -86,7 +96,7 @@ def _site_results(sites: tuple[adapters.Adapter, ...]) -> dict[str, Column]:
 
 @kept
 def _again() -> dict[str, Column]:
-    again = assets.discovered(*_candidates(F.col("ext")), F.col("final_url"))
+    again = assets.discovered(*_candidates(F.col("ext")), F.col("site_reddit"))
     # Without results of others the media are those found already.
     return {"media": F.when(F.size("ext") == 0, F.col("found")).otherwise(F.struct(*[c.alias(k) for k, c in again.items()]))}
 
@@ -101,7 +111,7 @@ def with_media(tagged: DataFrame, sites: list[adapters.Adapter], plugins: list[C
     if "oembed_images" not in tagged.columns:
         tagged = tagged.withColumns({"oembed_images": assets.none(), "oembed_warnings": F.array().cast("array<string>")})
     own = F.filter(F.array(*[p.cast(RESULT) for p in plugins]), lambda r: r.isNotNull()) if plugins else F.array().cast(NO_RESULTS)
-    found = tagged.withColumns(_once()).withColumns(_of_sites(tuple(sites))).withColumns(_site_media())
+    found = tagged.withColumns(_domain()).withColumns(_reddit()).withColumns(_once()).withColumns(_of_sites(tuple(sites))).withColumns(_site_media())
     found = found.withColumns({"plugin_results": own} | _site_results(tuple(sites))).withColumn("ext", F.concat("plugin_results", "adapter_results"))
     return found.withColumns(_again()).withColumns(_pictures(tuple(scorers))).withColumn("best", F.get("pictures", F.lit(0)))
 
@@ -257,7 +267,7 @@ def _own(warnings: tuple[str, ...], more: tuple[str, ...]) -> dict[str, Column]:
         "canonical_url": canonical,
         "title": defined(_ext("title"), col("og.title"), col("card.title"), *[n.headline for n in nodes], *[n["name"] for n in nodes], state.best_text("title", "headline", "pageTitle", "ogTitle", "name"), col("html.title")),
         "description": defined(_ext("description"), col("og.description"), col("card.description"), *[n.description for n in nodes], state.best_text("description", "excerpt", "summary", "subtitle", "ogDescription"), col("html.description")),
-        "site_name": defined(_ext("siteName"), col("og.site_name"), col("n_site")["name"], state.best_text("siteName", "site_name", "appName", "applicationName"), domain_of(col("final_url"))),
+        "site_name": defined(_ext("siteName"), col("og.site_name"), col("n_site")["name"], state.best_text("siteName", "site_name", "appName", "applicationName"), col("site_domain")),
         "article": _article(), "product": _product(), "app": _app(), "video": _video(), "playlist": _ext("playlist"), "sources_used": _sources_used(),
         "warnings": F.array_distinct(F.concat(F.array(*map(F.lit, warnings)).cast("array<string>"), col("jsonld_warnings"), *[F.coalesce(c, F.array().cast("array<string>")) for c in more], col("oembed_warnings"))), "sources": _attribution(), "trace": _trace(),
     }

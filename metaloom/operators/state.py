@@ -33,13 +33,13 @@ def best_of(*texts: Column) -> Column:
     """The best of some texts by the sites' rules."""
     from metaloom.functions.js import squashed, units
 
-    def one(i: int, text: Column) -> Column:
-        plain = squashed(text)
-        n = units(plain)
-        score = F.least(n, F.lit(180)) + F.when(n.between(10, 140), 60).otherwise(0) - F.when(plain.rlike("(?i)^(home|login|index|untitled)$"), 100).otherwise(0)
-        return F.when(plain.isNotNull(), F.struct(score.alias("score"), F.lit(-i).alias("at"), plain.alias("text")))
+    def one(x: Column, i: Column) -> Column:
+        score = F.least(x.n, F.lit(180)) + F.when(x.n.between(10, 140), 60).otherwise(0) - F.when(x.plain.rlike("(?i)^(home|login|index|untitled)$"), 100).otherwise(0)
+        return F.struct(score.alias("score"), (-i).alias("at"), x.plain.alias("text"))
 
-    return _best(F.filter(F.array(*[one(i, t) for i, t in enumerate(texts)]), lambda x: x.isNotNull()))
+    # Each step is bound by transform(), so a text is squashed and measured once.
+    plain = F.filter(F.transform(F.array(*texts), squashed), lambda t: t.isNotNull())
+    return _best(F.transform(F.transform(plain, lambda t: F.struct(t.alias("plain"), units(t).alias("n"))), one))
 
 
 def _best(scored: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from metaloom.functions.bound import bound
 from metaloom.functions.urls import domain_of
 from metaloom.operators import adapters, assets, plugins
 from metaloom.operators.record import with_fields, with_media, with_tags
@@ -82,7 +83,7 @@ class Engine:
         for name, extract in registry.extractors:  # a plugin that can't be planned costs a warning, not the run
             try:
                 made = extract()
-                results.append(F.when(made.isNotNull(), made.cast(adapters.RESULT).withField("source", F.coalesce(made["source"], F.lit(name)))))
+                results.append(bound(made, lambda r: F.when(r.isNotNull(), r.cast(adapters.RESULT).withField("source", F.coalesce(r["source"], F.lit(name))))))  # noqa: B023
             except Exception as e:  # noqa: BLE001
                 warnings.append(f'Plugin extractor "{name}" failed: {e}')
         functions = tuple(registry.functions)
