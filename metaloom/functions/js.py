@@ -64,7 +64,8 @@ def rounded(x: Column) -> Column:
 
 def units(text: Column) -> Column:
     """Length in UTF-16 units."""
-    return F.length(text) + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", ""))
+    n = F.length(text)
+    return F.when(F.octet_length(text) == n, n).otherwise(n + F.length(F.regexp_replace(text, "[^\\x{10000}-\\x{10FFFF}]", "")))
 
 
 def two_places(score: Column) -> Column:

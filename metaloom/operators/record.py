@@ -13,6 +13,7 @@ from metaloom.operators.adapters import PERSON, RESULT
 from metaloom.sources.pages import ENTITY
 
 NO_RESULTS = f"array<{RESULT}>"
+CARD = ("card", "site", "creator", "title", "description")
 
 
 @kept
@@ -34,9 +35,8 @@ def _tags() -> dict[str, Column]:
             tags.values(og, "article:tag").alias("tags"), tags.values(og, "article:author").alias("authors"),
             *[of(f"product:{k}").alias(n) for k, n in (("price:amount", "price"), ("price:currency", "currency"), ("availability", "availability"), ("condition", "condition"))],
         ),
-        "card": F.struct(
-            *[tags.first(card, f"twitter:{k}").alias(k) for k in ("card", "site", "creator", "title", "description")],
-            tags.card_images(card).alias("images"), tags.card_videos(card).alias("videos"),
+        "card": F.when(F.size(card) == 0, F.struct(*[F.lit(None).cast("string").alias(k) for k in CARD], assets.none().alias("images"), assets.none().alias("videos"))).otherwise(
+            F.struct(*[tags.first(card, f"twitter:{k}").alias(k) for k in CARD], tags.card_images(card).alias("images"), tags.card_videos(card).alias("videos"))
         ),
         "html": F.struct(
             F.coalesce("title", tags.meta_named(("name", "title"))).alias("title"), tags.meta_named(("name", "description"), ("itemprop", "description")).alias("description"), tags.keywords().alias("keywords"),
@@ -97,8 +97,9 @@ def _site_results(sites: tuple[adapters.Adapter, ...]) -> dict[str, Column]:
 @kept
 def _again() -> dict[str, Column]:
     again = assets.discovered(*_candidates(F.col("ext")), F.col("site_reddit"))
-    # Without results of others the media are those found already.
-    return {"media": F.when(F.size("ext") == 0, F.col("found")).otherwise(F.struct(*[c.alias(k) for k, c in again.items()]))}
+    # Without media of others the media are those found already.
+    given = F.exists("ext", lambda r: F.greatest(*[F.coalesce(F.size(r[k]), F.lit(0)) for k in ("images", "videos", "audio")]) > 0)
+    return {"media": F.when(~given, F.col("found")).otherwise(F.struct(*[c.alias(k) for k, c in again.items()]))}
 
 
 @kept
