@@ -32,8 +32,8 @@ def test_media_are_merged_again_only_if_others_give_some(spark):
     from metaloom.operators import record
     from metaloom.plans.api import Engine
 
-    assert "exists(ext" in str(record._again()["media"]) and str(record._tags()["card"]).startswith("Column<'CASE WHEN (size(card_raw")
+    assert "exists(ext" in str(record._again()["media"]) and str(record._tags()["card"]).startswith("Column<'CASE WHEN =(size(card_raw)")
     rows = [(1, "https://www.facebook.com/page", '<meta property="og:title" content="T">'), (2, "https://www.facebook.com/page", '<meta property="og:image" content="/b.jpg"><meta name="twitter:title" content="C">')]
     found = {r.id: r for r in Engine().parse(spark.createDataFrame(rows, "id int, url string, html string")).select("id", "title", "type", "best_image", "images", "videos", "audio").collect()}
     assert (found[1].title, found[1].type, found[1].best_image, found[1].images, found[1].videos, found[1].audio) == ("T", "website", None, [], [], [])
-    assert (found[2].title, found[2].type, found[2].best_image, found[2].images[0].source) == ("C", "social_post", "https://www.facebook.com/b.jpg", "adapter")
+    assert (found[2].title, found[2].type, found[2].best_image, found[2].images[0].source) == ("C", "social_post", "https://www.facebook.com/b.jpg", "openGraph")
