@@ -20,6 +20,8 @@ _PORTS = {"http": "80", "https": "443"}
 _PATH, _QUERY = "!$%&'()*+,-./:;=@[\\]_|~^", "!$%&()*+,-./:;=?@[\\]^_`{|}~"
 #: A path that stays as it is: nothing to quote, and no segment that begins with a dot, written as %2e or not.
 _PLAIN = re.compile(rf"(?:/(?!\.|%2)[A-Za-z0-9{re.escape(_PATH.replace('/', ''))}]*+)++")
+#: A URL that is normalised already: a name in lower case that can't be an address, a path and a query that stay as they are.
+_NORMAL = re.compile(rf"https?://(?:[a-z0-9-]+\.)*+[a-z][a-z0-9-]*+{_PLAIN.pattern.replace(re.escape(chr(92)), '')}(?:\?[A-Za-z0-9{re.escape(_QUERY.replace(chr(92), ''))}]++)?+")
 #: Hosts of URL shorteners.
 SHORT_HOSTS = {"pin.it": "Pinterest", "redd.it": "Reddit", "t.co": "X", "bit.ly": "Bitly", "tinyurl.com": "TinyURL", "youtu.be": "YouTube"}
 
@@ -101,6 +103,8 @@ def resolve(url: str | None, base: str | None = None) -> str | None:
     """The absolute URL without fragment; None where it isn't http(s) or can't be read."""
     if not url:
         return None
+    if _NORMAL.fullmatch(url):
+        return url
     url = url.strip(_EDGE)
     if not url.isprintable():
         url = re.sub("[\t\n\r]", "", url)
@@ -137,6 +141,10 @@ def normalize_url(url: pd.Series) -> pd.Series:
     return pd.Series([resolve(u) for u in url], dtype=object)
 
 
+#: The same for tables that are filtered by its result: Spark would ask a deterministic function once for the filter and again for the column.
+normalize_url_once = F.pandas_udf(normalize_url.func, StringType()).asNondeterministic()
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1), F.lit("")))
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from metaloom.functions.bound import bound
 from metaloom.functions.js import squashed
 from metaloom.functions.urls import domain_of, host_is, path_of, query_value, youtube_id
 from metaloom.operators.assets import none, unique_by_url
@@ -132,23 +133,35 @@ def youtube(p: Page) -> Column:
 
 def reddit_parts(url: Column) -> dict[str, Column]:
     """subreddit, postId and username of a Reddit URL."""
-    parts = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
+    return _reddit_parts(_segments(path_of(url)), domain_of(url))
+
+
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def _reddit_parts(parts: Column, domain: Column) -> dict[str, Column]:
     at = F.array_position(parts, "comments").cast("int")
-    short = F.when(host_is(domain_of(url), "redd.it"), F.get(parts, 0))
+    short = F.when(host_is(domain, "redd.it"), F.get(parts, 0))
     after = lambda word: F.when(F.get(parts, 0) == word, F.get(parts, 1))
     return {"subreddit": after("r"), "postId": F.when(at > 0, F.get(parts, at)).otherwise(short), "username": after("user"), "isPost": (at > 0) | short.isNotNull()}
 
 
 def reddit(p: Page) -> Column:
-    of = reddit_parts(p.url)
-    state = F.when(p.site.reddit_payload, "reddit:jsonEndpoint").otherwise("reddit:embeddedStructuredData")
     said = best_site_text(("postTitle", "title", "headline"), _REDDIT_STATE)
-    title, method = _first((said, "state"), (p.site.ld_post_title, "reddit:structuredData"), (F.col("og.title"), "reddit:openGraph"), (F.col("card.title"), "reddit:twitter"), (F.col("html.title"), "reddit:html"))
     text = F.coalesce(best_site_text(("description", "selftext", "excerpt", "summary", "body"), _REDDIT_STATE), p.site.ld_post_description, F.col("og.description"), F.col("card.description"), F.col("html.description"))
+    found = F.struct(_segments(p.path).alias("parts"), said.alias("said"), squashed(text).alias("text"))
+    return bound(found, lambda x: _reddit(p, x))
+
+
+def _reddit(p: Page, x: Column) -> Column:
+    """x holds what several fields read: the parts of the path, the title that the page's data state, and the text."""
+    of = _reddit_parts(x.parts, F.col("site_domain"))
+    state = F.when(p.site.reddit_payload, "reddit:jsonEndpoint").otherwise("reddit:embeddedStructuredData")
+    title, method = _first((x.said, "state"), (p.site.ld_post_title, "reddit:structuredData"), (F.col("og.title"), "reddit:openGraph"), (F.col("card.title"), "reddit:twitter"), (F.col("html.title"), "reddit:html"))
     clean = F.trim(F.regexp_replace(title, r"(?i)\s*:\s*r/[A-Za-z0-9_]+$", ""))
-    clean = F.when(~clean.rlike("(?i)please wait for verification|whoa there, pardner"), F.nullif(clean, F.lit("")))
-    text = squashed(text)
-    text = F.when(~text.rlike("(?i)please wait for verification|whoa there, pardner|request has been blocked"), text)
+    clean = bound(clean, lambda c: F.when(~c.rlike("(?i)please wait for verification|whoa there, pardner"), F.nullif(c, F.lit(""))))
+    text = F.when(~x.text.rlike("(?i)please wait for verification|whoa there, pardner|request has been blocked"), x.text)
     return result(
         source=F.lit("redditAdapter"), type=F.when(of["isPost"], "social_post").otherwise("website"), siteName=F.lit("Reddit"), canonicalUrl=F.coalesce(F.col("og.url"), F.col("html.canonicalUrl")), title=clean, description=text,
         author=F.coalesce(_named(of["username"]), _person(p.site.person)), publishedTime=p.published, images=p.images, videos=p.videos,

@@ -119,7 +119,7 @@ def follow(wanted: DataFrame, responses: DataFrame, most: int = MOST_REDIRECTS,
     spark = wanted.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    asked = wanted.withColumn("_start", urls.normalize_url("url"))
+    asked = wanted.withColumn("_start", urls.normalize_url_once("url"))
     answers = scratch.cut(latest(responses))
     starts = asked.where("_start IS NOT NULL").select(F.col("_start").alias("start")).distinct()
     ended = scratch.cut(frontier(starts, answers, scratch, most, dns, allow_local, allow_private))
@@ -172,8 +172,8 @@ def direct_media(url: Column, content_type: Column, data: Column) -> Column:
         .when(F.startswith(kind_of, F.lit("audio/")) | ends("mp3", "m4a", "wav", "ogg", "aac"), "audio")
     )
     stated = F.struct(urls.url_dimension(url, "width").alias("w"), urls.url_dimension(url, "height").alias("h"))
-    read = images.dimensions(data, content_type)
     picture = kind == "image"
+    read = images.dimensions(F.when(picture, data), content_type)
     width, height = (F.when(picture, F.coalesce(a.cast("double"), F.when(stated.w.isNotNull() & stated.h.isNotNull(), b))) for a, b in ((read.width, stated.w), (read.height, stated.h)))
     confidence = F.when(picture, 82).otherwise(70)
     completeness = F.when(picture, F.when(width.isNotNull() & height.isNotNull(), 60).otherwise(45)).otherwise(35)
@@ -182,8 +182,16 @@ def direct_media(url: Column, content_type: Column, data: Column) -> Column:
 
 def block_reason(status: Column, html: Column) -> Column:
     """Why a provider's answer is no content, null if it is; phrases count wherever they stand in the body."""
+    return _reason(status, *_said(html))
+
+
+def _said(html: Column) -> tuple[Column, Column]:
+    """Title and text of an answer."""
     title = F.coalesce(squashed(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), "<[^>]*>", " ")), F.lit(""))
-    text = F.coalesce(squashed(F.regexp_replace(html, "<[^>]*>", " ")), F.lit(""))
+    return title, F.coalesce(squashed(F.regexp_replace(html, "<[^>]*>", " ")), F.lit(""))
+
+
+def _reason(status: Column, title: Column, text: Column) -> Column:
     verify = title.rlike(r"(?i)reddit\s*-\s*please wait for verification") | text.rlike("(?i)please wait for verification|verification required|verify you are human")
     phrases = text.rlike("(?i)whoa there, pardner|request has been blocked|too many requests|forbidden|you're blocked|you are blocked|youre blocked|blocked by network security")
     return F.when(verify, "provider_verification_required").when(status.isin(403, 429) | phrases | title.rlike("(?i)^blocked$"), "provider_blocked_request")
@@ -198,8 +206,11 @@ def retry_after_ms(value: Column, now: Column) -> Column:
 
 def reddit_urls(url: Column) -> tuple[Column, Column]:
     """A post's JSON endpoint and its page on the old site."""
-    path = F.regexp_replace(urls.path_of(url), "/$", "")
-    short = urls.domain_of(url) == "redd.it"
+    return _endpoints(urls.domain_of(url), F.regexp_replace(urls.path_of(url), "/$", ""))
+
+
+def _endpoints(domain: Column, path: Column) -> tuple[Column, Column]:
+    short = domain == "redd.it"
     post = F.when(short, F.concat(F.lit("/comments"), path)).otherwise(path)
     return F.when(short | F.contains(path, F.lit("/comments/")), F.concat(F.lit("https://www.reddit.com"), post, F.lit(".json"))), F.concat(F.lit("https://old.reddit.com"), post)
 
@@ -245,12 +256,13 @@ def records(wanted: DataFrame, responses: DataFrame, engine=None, cache: DataFra
     from metaloom.plans.api import Engine
 
     keep = [c for c in wanted.columns if c != "url"]
-    endpoint, old = reddit_urls(F.col("url"))
-    reddit = urls.is_reddit(F.col("url"))
-    tries = F.when(reddit, F.array(F.struct(F.lit(0).alias("n"), F.lit("reddit:jsonEndpoint").alias("how"), endpoint.alias("at")), F.struct(F.lit(1).alias("n"), F.lit("reddit:oldReddit").alias("how"), old.alias("at")), F.struct(F.lit(2).alias("n"), F.lit("reddit:htmlFallback").alias("how"), F.col("url").alias("at"))))
-    tries = tries.otherwise(F.array(F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("how"), F.col("url").alias("at"))))
-    row = F.to_json(F.struct(*wanted.columns))
-    asked = wanted.withColumn("_id", F.struct(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b"))).select("*", F.explode(F.filter(tries, lambda t: t["at"].isNotNull())).alias("t"))
+    # What several columns read has a projection of its own, and the tries no lambda, so that nothing is evaluated again.
+    parts = wanted.withColumns({"_row": F.to_json(F.struct(*wanted.columns)), "_site": urls.domain_of(F.col("url")), "_path": F.regexp_replace(urls.path_of(F.col("url")), "/$", "")})
+    endpoint, old = _endpoints(F.col("_site"), F.col("_path"))
+    parts = parts.withColumns({"_id": F.struct(F.xxhash64("_row").alias("a"), F.xxhash64(F.lit(1), "_row").alias("b")), "_reddit": urls.on_reddit(F.col("_site")), "_json": endpoint, "_old": old})
+    a_try = lambda n, how, at: F.struct(F.lit(n).alias("n"), F.lit(how).cast("string").alias("how"), F.col(at).alias("at"))
+    tries = F.when(F.col("_reddit"), F.array(a_try(0, "reddit:jsonEndpoint", "_json"), a_try(1, "reddit:oldReddit", "_old"), a_try(2, "reddit:htmlFallback", "url"))).otherwise(F.array(a_try(0, None, "url")))
+    asked = parts.select(*keep, "_id", "url", F.explode(tries).alias("t")).where("t.at IS NOT NULL")
     asked = asked.select(*keep, "_id", F.col("url").alias("asked"), F.col("t.n").alias("_n"), F.col("t.how").alias("how"), F.col("t.at").alias("url"))
     got = follow(asked, limited(responses, most_bytes), dns=dns, allow_local=allow_local, allow_private=allow_private)
     if "bytes" in got.columns:
@@ -264,13 +276,17 @@ def records(wanted: DataFrame, responses: DataFrame, engine=None, cache: DataFra
         got = got.withColumn("_u", urls.normalize_url("url")).join(known, "_u", "left")
         got = got.withColumns({**{c: F.when(hit, F.col(f"_c.{c}")).otherwise(F.col(c)) for c in ("body", "final_url", "status", "content_type", "redirects")}, **{c: F.when(~hit, F.col(c)) for c in ("error", "bytes") if c in got.columns}}).drop("_u", "_c")
     is_reddit = F.col("how").isNotNull()
-    got = got.withColumns({"blocked": F.when(is_reddit & F.col("status").isNotNull(), block_reason(F.col("status"), F.col("body"))), "_page": F.when(F.col("how") == "reddit:jsonEndpoint", listing_page("body"))})
+    title, text = _said(F.when(is_reddit & F.col("status").isNotNull(), F.col("body")))
+    got = got.withColumns({"_title": title, "_text": text})
+    got = got.withColumns({"blocked": F.when(is_reddit & F.col("status").isNotNull(), _reason(F.col("status"), F.col("_title"), F.col("_text"))), "_page": listing_page(F.when((F.col("how") == "reddit:jsonEndpoint") & F.col("status").between(200, 299), F.col("body")))}).drop("_title", "_text")
     fine = F.when(is_reddit, F.col("status").between(200, 299) & F.col("blocked").isNull() & ((F.col("how") != "reddit:jsonEndpoint") | F.col("_page").isNotNull())).otherwise(F.col("status").isNotNull())
+    got = got.withColumn("fine", F.coalesce(fine, F.lit(False)))
+    got = got.withColumn("body", F.when(F.col("fine") & F.col("_page").isNull(), F.col("body")))  # no other is read, so none is moved
     # The first that is fine, else the last.
     fields = [c for c in got.columns if c not in ("_id", "_n")]
     tried = F.transform(F.array_sort(F.collect_list(F.struct("_n", "how", F.col("url").alias("at"), "status", "blocked", "error", "retry_after"))), lambda t: t.dropFields("_n"))
     last = F.when(is_reddit, 2).otherwise(0)  # every row has this try
-    best = got.groupBy("_id").agg(F.array_distinct(tried).alias("attempts"), F.count_if(F.col("_n") == last).alias("_times"), F.min_by(F.struct(*fields, F.coalesce(fine, F.lit(False)).alias("fine")), F.when(F.coalesce(fine, F.lit(False)), F.col("_n")).otherwise(100 - F.col("_n"))).alias("b"))
+    best = got.groupBy("_id").agg(F.array_distinct(tried).alias("attempts"), F.count_if(F.col("_n") == last).alias("_times"), F.min_by(F.struct(*fields), F.when(F.col("fine"), F.col("_n")).otherwise(100 - F.col("_n"))).alias("b"))
     best = best.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("attempts", "b.*")
     best = best.withColumns({"provider": F.when(~F.col("fine"), provider_of(F.col("attempts"))), "retry": F.when(F.col("how").isNotNull(), retry_of(F.col("attempts")))})
     media = direct_media(F.col("final_url"), F.col("content_type"), F.coalesce(*[F.col("bytes")] * ("bytes" in got.columns), F.encode(F.col("body"), "iso-8859-1")))
